@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import unicodedata
 
 import numpy as np
 
@@ -13,17 +14,46 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 @functools.cache
 def classes() -> np.ndarray:
-    """Class of each code point."""
+    """Class of each code point, as the tokenizers library sees it.
+
+    Unicode tables of different ages differ in code points assigned lately; where those of Python and of the
+    ``regex`` module differ, the library is asked."""
     import regex
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
 
     table = np.zeros(0x110000, dtype=np.uint8)
     everything = "".join(map(chr, range(0xD800))) + "\0" * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
     for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
         for m in regex.finditer(pattern, everything):
             table[m.start() : m.end()] = kind
+    known = {"L": LETTER, "N": NUMBER}
+    own = np.fromiter((known.get(unicodedata.category(c)[0], OTHER) for c in everything), dtype=np.uint8, count=len(everything))
+    doubtful = np.flatnonzero((table != own) & (table != SPACE))
+    asked = "".join(everything[i] for i in doubtful)
+    table[doubtful] = OTHER
+    for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER)):
+        parts = Split(Regex(pattern), behavior="removed", invert=True).pre_tokenize_str(asked)
+        for _, (start, end) in parts:
+            table[doubtful[start:end]] = kind
     return table
 
 
+@functools.cache
+def doubtful() -> str:
+    """A pattern's set of the code points that the ``regex`` module takes for letters or numbers and the library doesn't."""
+    import regex
+
+    wrong = [i for i in np.flatnonzero(classes() == OTHER).tolist() if i > 0x1000 and regex.match(r"[\p{L}\p{N}]", chr(i))]
+    ranges: list[list[int]] = []
+    for i in wrong:
+        if ranges and ranges[-1][1] == i - 1:
+            ranges[-1][1] = i
+        else:
+            ranges.append([i, i])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges)
+
+
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in byte-level vocabularies: itself where printable, else from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
