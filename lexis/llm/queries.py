@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from lexis.llm import quality
 from lexis.llm.packing import op4_packing
 from lexis.llm.quality import op5_quality_rules
+from lexis.llm.secrets import op8_secrets
 from lexis.llm.token_counts import op2_token_counts
+from lexis.llm.warc import op1_warc_records
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_packing, op5_quality_rules)}
+    return {f.__name__: f for f in (op1_warc_records, op2_token_counts, op4_packing, op5_quality_rules, op8_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
