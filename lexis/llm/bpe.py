@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import unicodedata
 
 import numpy as np
@@ -39,19 +40,11 @@ def classes() -> np.ndarray:
     return table
 
 
-@functools.cache
-def doubtful() -> str:
-    """A pattern's set of the code points that the ``regex`` module takes for letters or numbers and the library doesn't."""
-    import regex
-
-    wrong = [i for i in np.flatnonzero(classes() == OTHER).tolist() if i > 0x1000 and regex.match(r"[\p{L}\p{N}]", chr(i))]
-    ranges: list[list[int]] = []
-    for i in wrong:
-        if ranges and ranges[-1][1] == i - 1:
-            ranges[-1][1] = i
-        else:
-            ranges.append([i, i])
-    return "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges)
+def ranges(kind: int) -> str:
+    """The code points of a class in the basic plane, as the inside of a pattern's set."""
+    inside = np.concatenate([[0], (classes()[:0x10000] == kind).astype(np.int8), [0]])
+    edges = np.flatnonzero(np.diff(inside)).reshape(-1, 2).tolist()
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for a, b in edges)
 
 
 def byte_letters() -> dict[str, int]:

@@ -34,7 +34,7 @@ from lexis.llm.common import table
 WINDOW = 2048
 PIECE = 512
 SHRED, SHREDDED = 32, 0.03
-BLOCK = 600_000
+BLOCK = 300_000
 KEPT = 400_000
 END = (1).to_bytes(4, "little")
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -45,16 +45,14 @@ class Ids:
     """Ids of whole texts as little-endian 32-bit numbers, for a tokenizer whose words are encoded one by one."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = tokenizer = Tokenizer.from_file(path)
         self.special = {k.content: v for v, k in tokenizer.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        odd = bpe.doubtful()
-        self.above = re.compile(f"[{odd[0]}-\U0010ffff]").search if odd else None
-        self.odd = re.compile(f"[{odd}]").search if odd else None
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        letter, number, space = map(bpe.ranges, (bpe.LETTER, bpe.NUMBER, bpe.SPACE))
+        self.words = re.compile(f"[{letter}]+|'(?:s|t|re|ve|m|ll|d)|[{number}]|[^{space}{letter}{number}]+").findall
+        self.astral = re.compile("[\U00010000-\U0010ffff]").search
 
         class Kept(dict):
             def __missing__(self, word: str) -> bytes:
@@ -66,10 +64,10 @@ class Ids:
         self.kept = Kept()
 
     def plain(self, text: str) -> bytes:
-        if self.odd and not text.isascii() and self.above(text) and self.odd(text):
+        if not text.isascii() and self.astral(text):
             return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
         # The library lowers each character by itself, so a sigma has no final form.
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        text = (text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
         if len(self.kept) > KEPT:
             self.kept.clear()
         return b"".join(map(self.kept.__getitem__, self.words(text)))
