@@ -40,10 +40,10 @@ def classes() -> np.ndarray:
     return table
 
 
-def ranges(kind: int) -> str:
-    """The code points of a class in the basic plane, as the inside of a pattern's set."""
-    inside = np.concatenate([[0], (classes()[:0x10000] == kind).astype(np.int8), [0]])
-    edges = np.flatnonzero(np.diff(inside)).reshape(-1, 2).tolist()
+def ranges(kind: int | None) -> str:
+    """The code points of a class in the basic plane, or those that Python's tables don't know, as the inside of a pattern's set."""
+    chosen = classes()[:0x10000] == kind if kind is not None else np.array([unicodedata.category(chr(i)) == "Cn" for i in range(0x10000)])
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], chosen.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
     return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for a, b in edges)
 
 

@@ -52,7 +52,7 @@ class Ids:
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         letter, number, space = map(bpe.ranges, (bpe.LETTER, bpe.NUMBER, bpe.SPACE))
         self.words = re.compile(f"[{letter}]+|'(?:s|t|re|ve|m|ll|d)|[{number}]|[^{space}{letter}{number}]+").findall
-        self.astral = re.compile("[\U00010000-\U0010ffff]").search
+        self.rare = re.compile(f"[\U00010000-\U0010ffff{bpe.ranges(None)}]").search
 
         class Kept(dict):
             def __missing__(self, word: str) -> bytes:
@@ -64,10 +64,11 @@ class Ids:
         self.kept = Kept()
 
     def plain(self, text: str) -> bytes:
-        if not text.isascii() and self.astral(text):
+        text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+        if not text.isascii() and self.rare(text):
             return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
         # The library lowers each character by itself, so a sigma has no final form.
-        text = (text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
+        text = text.replace("Σ", "σ").lower()
         if len(self.kept) > KEPT:
             self.kept.clear()
         return b"".join(map(self.kept.__getitem__, self.words(text)))
