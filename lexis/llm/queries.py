@@ -10,13 +10,14 @@ from lexis.llm import quality
 from lexis.llm.packing import op4_packing
 from lexis.llm.quality import op5_quality_rules
 from lexis.llm.secrets import op8_secrets
+from lexis.llm.substring_dedup import op9_substring_dedup
 from lexis.llm.token_counts import op2_token_counts
 from lexis.llm.toxicity import op6_toxicity
 from lexis.llm.warc import op1_warc_records
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_records, op2_token_counts, op4_packing, op5_quality_rules, op6_toxicity, op8_secrets)}
+    return {f.__name__: f for f in (op1_warc_records, op2_token_counts, op4_packing, op5_quality_rules, op6_toxicity, op8_secrets, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
