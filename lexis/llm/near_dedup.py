@@ -176,8 +176,8 @@ def _confirmed(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
     return [(ids[i], ids[j]) for i, j in union.stars()]
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+def classes(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, part (a hash of the text), n (shingles) and root, the component's least record (null for empty sets)."""
 
     def sketch():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -226,11 +226,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             all_ = split.join(per, "root").withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", "block", "part", "id", "text", F.lit(0).alias("side"))
             more = saved(_by_group(asks.unionByName(all_), ["root", "block", "part"], ["id", "text", "side"], _confirmed, "a binary, b binary"), "confirmed")
             whole = components(links.unionByName(more))
-    classed = each.drop("mins").join(whole, "id", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "id")))
+    return each.drop("mins").join(whole, "id", "left").select("doc_id", "part", "n", F.when(F.col("n") > 0, F.coalesce("root", "id")).alias("root"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    classed = classes(docs)
     names = classed.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("many")).filter("many > 1").drop("many")
-    named = classed.select("doc_id", "n", "root").join(names, "root", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    named = classed.join(names, "root", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component, that with the least doc_id and text hash, and all rows without words."""
+    classed = saved(classes(docs), "classes")
+    place = F.struct("doc_id", "part")
+    names = classed.filter("n > 0").groupBy("root").agg(F.min(place).alias("name"), F.count("*").alias("many")).filter("many > 1").select("root", "name")
+    others = classed.join(names, "root").filter(place != F.col("name")).select(F.coalesce("doc_id", F.lit(0)).alias("__d"), F.col("part").alias("__t"), F.col("doc_id").isNull().alias("__n")).distinct()
+    keyed = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))).withColumn("__t", F.xxhash64("text")).withColumn("__n", F.col("doc_id").isNull())
+    kept = keyed.join(others, ["__d", "__t", "__n"], "left_anti")
+    if not classed.filter("n > 0").groupBy("doc_id", "part").count().filter("count > 1").isEmpty():
+        # rows that repeat both
+        empty = F.trim(F.coalesce("text", F.lit(""))) == ""
+        kept = kept.filter(~empty).dropDuplicates(["__d", "__t", "__n"]).unionByName(kept.filter(empty))
+    return kept.select(*(f"`{c}`" for c in docs.columns))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

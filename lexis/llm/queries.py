@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexis.llm import quality
+from lexis.llm.decontamination import op3_decontamination
+from lexis.llm.line_dedup import op10_line_dedup
 from lexis.llm.near_dedup import op7_near_dedup
 from lexis.llm.packing import op4_packing
 from lexis.llm.quality import op5_quality_rules
@@ -18,7 +20,19 @@ from lexis.llm.warc import op1_warc_records
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_records, op2_token_counts, op4_packing, op5_quality_rules, op6_toxicity, op7_near_dedup, op8_secrets, op9_substring_dedup)}
+    found = (
+        op1_warc_records,
+        op2_token_counts,
+        op3_decontamination,
+        op4_packing,
+        op5_quality_rules,
+        op6_toxicity,
+        op7_near_dedup,
+        op8_secrets,
+        op9_substring_dedup,
+        op10_line_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
