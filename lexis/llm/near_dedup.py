@@ -4,8 +4,8 @@ A text's set holds its distinct shingles of five words. Equal sets are one recor
 embedded by ``COORDINATES`` minwise tokens. Each of ``TREES`` trees sends every record down a path: at a node a coordinate is
 chosen by the node's own hash, and records with the same token there share a child. A node of at most ``SMALL``
 records is compared exhaustively by estimated similarity. In a larger one, records are compared with ``PIVOTS``
-pivots: those very like a pivot stay with it (whatever is similar to them is like the pivot too), and the rest
-branches again, by two coordinates a level, so that a similar pair is rarely parted. A pair at the threshold misses all trees with
+pivots and linked to the likeliest: those very like a pivot, or fairly like several, stay with them (whatever is similar
+to them is like the pivots too), and the rest branches again, by two coordinates a level, so that a similar pair is rarely parted. A pair at the threshold misses all trees with
 a chance of about 0.25^10. A node that is still large after ``DEPTH`` levels is compared in blocks.
 
 Candidates are then confirmed on full sets, group by group of the candidates' components: a group's texts are
@@ -24,7 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexis.llm.common import map_rows, saved, table, words_of
@@ -34,8 +34,11 @@ from lexis.llm.substring_dedup import HASHES, runs_of
 WORDS, PERCENT = 5, 75
 COORDINATES, TREES, DEPTH = 64, 10, 5
 SMALL, PIVOTS = 128, 16
-#: Agreeing coordinates from which a pair is a candidate (0.75 of 64 are 48, with a deviation of 3.5) and from which a record stays with a pivot.
-LIKELY, ALIKE = 33, 59
+#: Agreeing coordinates from which a pair is a candidate (0.75 of 64 are 48, with a deviation of 3.5); a record stays with
+#: the pivots of a large node if it agrees in ALIKE with one of them or in FAIRLY with ENOUGH of them.
+LIKELY, ALIKE, FAIRLY, ENOUGH = 33, 54, 46, 4
+#: Records of a large node that one task compares with its pivots.
+SHARE = 4000
 #: Shingles of a part of a group.
 WEIGHT = 2_000_000
 
@@ -114,51 +117,81 @@ def _links(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def _sketched(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
-    """Stars of candidates among all records of a small node (id, mins)."""
+    """Stars of candidates among all records of a small node (id, sig)."""
     ids = [r[0] for r in rows]
-    mins = np.array([r[1] for r in rows], dtype=np.int32)
+    sigs = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint8).reshape(len(ids), COORDINATES)
     union = Union(len(ids))
     for i in range(len(ids) - 1):
-        for j in np.flatnonzero((mins[i + 1 :] == mins[i]).sum(axis=1) >= LIKELY).tolist():
+        for j in np.flatnonzero((sigs[i + 1 :] == sigs[i]).sum(axis=1) >= LIKELY).tolist():
             union.join(i, i + 1 + j)
     return [(ids[i], ids[j]) for i, j in union.stars()]
 
 
-def _agree(a: str, b: str) -> Column:
-    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x)")
+def _with_pivots(batches):
+    """Rows (node, share, rank, id, sig) of large nodes, pivots (rank 0) first, to (node, id, other, stays).
+
+    Each record has one row with its likeliest pivot, or none, and each two pivots that a record joins have one."""
+    key, pivots, sigs, joined = None, [], None, set()
+    for batch in batches:
+        out: list[tuple] = []
+        for node, share, rank, own, sig in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if (node, share) != key:
+                key, pivots, sigs, joined = (node, share), [], None, set()
+            if rank == 0:
+                pivots.append((own, sig))
+                continue
+            if sigs is None:
+                sigs = np.frombuffer(b"".join(p[1] for p in pivots), dtype=np.uint8).reshape(len(pivots), COORDINATES)
+            agree = (sigs == np.frombuffer(sig, dtype=np.uint8)).sum(axis=1)
+            agree[[p[0] == own for p in pivots]] = 0
+            near = np.flatnonzero(agree >= LIKELY)
+            if not len(near):
+                out.append((node, own, None, False))
+                continue
+            best = int(near[agree[near].argmax()])
+            out.append((node, own, pivots[best][0], bool(agree[best] >= ALIKE or (agree >= FAIRLY).sum() >= ENOUGH)))
+            for n in near.tolist():
+                if n != best and (best, n) not in joined:
+                    joined |= {(best, n), (n, best)}
+                    out.append((node, pivots[best][0], pivots[n][0], None))
+        columns = list(zip(*out)) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.bool_()))], ["node", "id", "other", "stays"])
 
 
 def candidates(records: DataFrame) -> DataFrame:
-    """Links (a, b) of likely pairs among ``records`` (id, mins), as stars within nodes."""
+    """Links (a, b) of likely pairs among ``records`` (id, mins, sig), as stars within nodes."""
     chosen = [int(c) for c in np.random.default_rng(7).permutation(COORDINATES)[:TREES]]
     roots = F.array(*(F.xxhash64(F.lit(t), F.element_at("mins", c + 1)) for t, c in enumerate(chosen)))
     members = records.select("id", F.explode(roots).alias("node"))
+    sigs = records.select("id", "sig")
     found = None
     for depth in range(DEPTH + 1):
         sizes = saved(members.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "nodes")
-        small = members.join(sizes.filter(f"n <= {SMALL}").select("node"), "node").join(records, "id")
-        links = saved(_by_group(small, ["node"], ["id", "mins"], _sketched, "a binary, b binary"), "candidates")
+        small = members.join(sizes.filter(f"n <= {SMALL}").select("node"), "node").join(sigs, "id")
+        links = saved(_by_group(small, ["node"], ["id", "sig"], _sketched, "a binary, b binary"), "candidates")
         found = links if found is None else found.unionByName(links)
         large = sizes.filter(f"n > {SMALL}").select("node", "n")
         if large.isEmpty():
             break
-        large_members = saved(members.join(large, "node").join(records, "id"), "large")
+        large_members = members.join(large, "node")
         if depth == DEPTH:
             blocks = F.ceil(F.col("n") / (SMALL // 2)).cast("int")
             own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-            pairs = large_members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            pairs = pairs.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "mins")
-            found = found.unionByName(saved(_by_group(pairs, ["node", "i", "j"], ["id", "mins"], _sketched, "a binary, b binary"), "candidates"))
+            pairs = large_members.join(sigs, "id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            pairs = pairs.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "sig")
+            found = found.unionByName(saved(_by_group(pairs, ["node", "i", "j"], ["id", "sig"], _sketched, "a binary, b binary"), "candidates"))
             break
+        shares = F.ceil(F.col("n") / SHARE).cast("int")
         rank = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("id", "node"), "id"))
-        pivots = large_members.select("node", "id", "mins").withColumn("rank", rank).filter(f"rank <= {PIVOTS}").groupBy("node").agg(F.collect_list(F.struct(F.col("id").alias("pivot"), F.col("mins").alias("pivot_mins"))).alias("pivots"))
-        # each record with the pivots' agreement: within the row, as a node has few pivots
-        near = large_members.join(pivots, "node").withColumn("near", F.expr("transform(pivots, p -> named_struct('agree', aggregate(zip_with(mins, p.pivot_mins, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x), 'pivot', p.pivot))"))
-        near = saved(near.select("node", "id", "mins", F.expr(f"filter(near, x -> x.agree >= {LIKELY})").alias("near")), "near")
-        found = found.unionByName(near.select(F.col("id").alias("a"), F.explode("near.pivot").alias("b")).filter("a <> b"))
-        rest = near.filter(f"not exists(near, x -> x.agree >= {ALIKE} and x.pivot <> id)")
+        pivots = large_members.withColumn("rank", rank).filter(f"rank <= {PIVOTS}").join(sigs, "id")
+        pivots = pivots.select("node", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), F.lit(0).alias("rank"), "id", "sig")
+        rest = large_members.join(sigs, "id").select("node", F.pmod(F.xxhash64("id"), shares).cast("int").alias("share"), F.lit(1).alias("rank"), "id", "sig")
+        dealt = pivots.unionByName(rest).repartition("node", "share").sortWithinPartitions("node", "share", "rank")
+        near = saved(dealt.mapInArrow(_with_pivots, "node bigint, id binary, other binary, stays boolean"), "near")
+        found = found.unionByName(near.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
+        branching = near.filter("not stays").select("id", "node").join(records.select("id", "mins"), "id")
         child = F.explode(F.array(*(F.xxhash64("node", F.lit(j), F.get("mins", F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDINATES)).cast("int"))) for j in range(2))))
-        members = saved(rest.select("id", child.alias("node")).distinct(), "members")
+        members = saved(branching.select("id", child.alias("node")).distinct(), "members")
     return found
 
 
@@ -181,22 +214,23 @@ def classes(docs: DataFrame) -> DataFrame:
 
     def sketch():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, sizes, mins = [], [], []
+            ids, sizes, mins, sigs = [], [], [], []
             for text in batch.column(2):
                 found = shingles(text.as_py())
                 sizes.append(len(found))
                 ids.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 mins.append(minwise(found) if len(found) else None)
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(mins, pa.list_(pa.int32()))], ["doc_id", "part", "id", "n", "mins"])
+                sigs.append(mins[-1].astype(np.uint8).tobytes() if len(found) else None)
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(mins, pa.list_(pa.int32())), pa.array(sigs, pa.binary())], ["doc_id", "part", "id", "n", "mins", "sig"])
 
         return each
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("part", F.xxhash64("text"))
-    each = saved(map_rows(rows, ["doc_id", "part", "text"], sketch, "doc_id bigint, part bigint, id binary, n bigint, mins array<int>"), "sketches")
+    each = saved(map_rows(rows, ["doc_id", "part", "text"], sketch, "doc_id bigint, part bigint, id binary, n bigint, mins array<int>, sig binary"), "sketches")
     # one row per set; its text is that of the row with the least place
     place = F.struct(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("part").alias("t"))
-    records = saved(each.filter("n > 0").groupBy("id").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("mins").alias("mins")), "records")
-    groups = components(candidates(records.select("id", "mins")))
+    records = saved(each.filter("n > 0").groupBy("id").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("sig").alias("sig")), "records")
+    groups = components(candidates(records.select("id", "mins", "sig")))
     # texts of records in groups, once each
     wanted = groups.join(records.select("id", "place", "n"), "id").select("root", "id", "n", F.col("place.d").alias("d"), F.col("place.t").alias("t"))
     texts = rows.select(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("part").alias("t"), "text")
@@ -226,7 +260,7 @@ def classes(docs: DataFrame) -> DataFrame:
             all_ = split.join(per, "root").withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", "block", "part", "id", "text", F.lit(0).alias("side"))
             more = saved(_by_group(asks.unionByName(all_), ["root", "block", "part"], ["id", "text", "side"], _confirmed, "a binary, b binary"), "confirmed")
             whole = components(links.unionByName(more))
-    return each.drop("mins").join(whole, "id", "left").select("doc_id", "part", "n", F.when(F.col("n") > 0, F.coalesce("root", "id")).alias("root"))
+    return each.drop("mins", "sig").join(whole, "id", "left").select("doc_id", "part", "n", F.when(F.col("n") > 0, F.coalesce("root", "id")).alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
