@@ -45,7 +45,7 @@ b(n, m, s) AS (SELECT entry_id, entry_id, '' FROM e UNION ALL SELECT n, m // 62,
 ix AS (SELECT *, list_transform(kanjis, lambda k, i: list_filter(list_transform(readings, lambda r, j: CASE WHEN NOT r.nokanji AND (r.restr IS NULL OR list_contains(r.restr, i - 1)) THEN j - 1 ELSE -1 END), lambda j: j >= 0)) AS lists, {_MARK.format('kanjis')} AS ks FROM e),
 kg AS (SELECT entry_id, lists[p] AS l, min(p) AS o, string_agg(ks[p], ',' ORDER BY p) AS txt, any_value(len(readings)) AS nr FROM (SELECT *, unnest(range(1, len(kanjis) + 1)) AS p FROM ix) GROUP BY entry_id, lists[p]),
 kj AS (SELECT entry_id, string_agg(txt || CASE WHEN len(l) = nr THEN '' ELSE '#' || array_to_string(l, ',') END, ';' ORDER BY o) AS k FROM kg GROUP BY entry_id)
-SELECT e.entry_id, coalesce(kj.k || chr(9), '') || array_to_string({_MARK.format('readings')}, ';') || chr(9) || array_to_string(list_transform(groups, lambda g: array_to_string(g.pos, ',') || ';' || array_to_string(g.senses, '`')), '\\') || chr(9) || b.s AS line
+SELECT CAST(e.entry_id AS BIGINT) AS entry_id, coalesce(kj.k || chr(9), '') || array_to_string({_MARK.format('readings')}, ';') || chr(9) || array_to_string(list_transform(groups, lambda g: array_to_string(g.pos, ',') || ';' || array_to_string(g.senses, '`')), '\\') || chr(9) || b.s AS line
 FROM e LEFT JOIN kj USING (entry_id) JOIN b ON b.n = e.entry_id AND b.m = 0""")
 def entry_line_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.encoded(inline(spark, ENTRIES, codec.ENTRY))
@@ -63,10 +63,10 @@ def entry_line_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH e(entry_id, kanjis, readings, groups) AS (VALUES {_NESTED}),
 x AS (SELECT entry_id, kanjis[i].text AS k, i, array_to_string(list_filter(list_transform(readings, lambda r, j: CASE WHEN NOT r.nokanji AND (r.restr IS NULL OR list_contains(r.restr, i - 1)) THEN j - 1 ELSE -1 END), lambda j: j >= 0), ',') AS readings FROM (SELECT *, unnest(range(1, len(kanjis) + 1)) AS i FROM e))
-SELECT entry_id, readings, string_agg(k, ',' ORDER BY i) AS kanjis FROM x GROUP BY entry_id, readings""")
+SELECT CAST(entry_id AS BIGINT) AS entry_id, readings, string_agg(k, ',' ORDER BY i) AS kanjis FROM x GROUP BY entry_id, readings""")
 def reading_restriction_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = inline(spark, ENTRIES, codec.ENTRY).withColumn("ix", F.expr(codec.reading_indices()))
-    rows = df.select("entry_id", F.posexplode(F.arrays_zip("kanjis.text", "ix")).alias("i", "x")).select("entry_id", "i", F.expr("x['0']").alias("k"), F.expr("array_join(x.ix, ',')").alias("readings"))
+    rows = df.select("entry_id", F.posexplode(F.expr("zip_with(kanjis, ix, (k, j) -> named_struct('text', k.text, 'ix', j))")).alias("i", "x")).select("entry_id", "i", F.col("x.text").alias("k"), F.expr("array_join(x.ix, ',')").alias("readings"))
     return rows.groupBy("entry_id", "readings").agg(F.expr("array_join(transform(array_sort(collect_list(struct(i, k))), x -> x.k), ',')").alias("kanjis"))
 
 

@@ -39,8 +39,8 @@ PAIRS = [("A: 彼は行った。\tHe went.#ID=1_2", "B: 彼(かれ)[01] は 行
 _PAIR_SQL = f"""WITH RECURSIVE p(a, b) AS (VALUES {values(PAIRS)}),
 s AS (SELECT regexp_extract(a, '#ID=([0-9_]+)', 1) AS sent_id, regexp_extract(a, '^A: ([^' || chr(9) || ']*)', 1) AS text, string_split(substr(b, 4), ' ') AS ws FROM p),
 w AS (SELECT sent_id, text, ws, 1 AS i, 0 AS upto, '' AS form, CAST(NULL AS BIGINT) AS start FROM s
- UNION ALL SELECT sent_id, text, ws, i + 1, CASE WHEN at > 0 THEN upto + at - 1 + length(f) ELSE upto END, f, CASE WHEN at > 0 THEN CAST(upto + at - 1 AS BIGINT) END FROM (
-  SELECT *, instr(substr(text, upto + 1), f) AS at FROM (SELECT sent_id, text, ws, i, upto, coalesce(nullif(regexp_extract(ws[i], '\\{{([^}}]*)\\}}', 1), ''), regexp_extract(ws[i], '^([^(\\[{{|~]*)', 1)) AS f FROM w WHERE i <= len(ws))))
+ UNION ALL SELECT sent_id, text, ws, i + 1, CASE WHEN pl > 0 THEN upto + pl - 1 + length(f) ELSE upto END, f, CASE WHEN pl > 0 THEN CAST(upto + pl - 1 AS BIGINT) END FROM (
+  SELECT *, instr(substr(text, upto + 1), f) AS pl FROM (SELECT sent_id, text, ws, i, upto, coalesce(nullif(regexp_extract(ws[i], '\\{{([^}}]*)\\}}', 1), ''), regexp_extract(ws[i], '^([^(\\[{{|~]*)', 1)) AS f FROM w WHERE i <= len(ws))))
 """
 
 
