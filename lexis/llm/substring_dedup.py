@@ -10,7 +10,7 @@
    its windows go by 128-bit digests through an aggregation with partial sums and a join that Spark can split.
 5. The words under marked windows are removed in a last pass over the documents.
 
-Documents are shuffled once, by their key (steps 3 and 5 use one exchange); what is held in memory is a text or a
+Documents are shuffled once, by their key (steps 3 and 5 read the same columns, so they use one exchange); what is held in memory is a text or a
 bucket of at most ``HOT`` strings of at most ``k + 31`` words. Texts are cut for step 1 every 2^20 words.
 
 Windows are judged on the input. Null and empty texts, and texts shorter than a window, lose nothing; without words
@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 
 from lexis.llm.common import map_rows, saved, table, words_of
 
-K, M = 35, 8
+K, M = 35, 6
 LONGEST = 32
-HOT = 20_000
+HOT = 100_000
+FEW = 64
 SEGMENT = 1 << 20
 KEPT = 1_000_000
 SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
@@ -98,23 +99,28 @@ def super_kmers(hashes: np.ndarray, k: int = K, m: int = M) -> tuple[np.ndarray,
 
 def repeats_in(packed: list[bytes], windows: list[int], k: int = K) -> list[int]:
     """For each packed string of a bucket, the mask of its windows that occur elsewhere in the bucket."""
-    if len(packed) > 1 and len(set(packed)) == 1:
-        return [(1 << n) - 1 for n in windows]
-    texts: list[bytes] = []
-    owner: list[tuple[int, int]] = []
-    for row, (string, n) in enumerate(zip(packed, windows)):
-        words = string.split(b" ")
-        at = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]).tolist()
-        for i in range(n):
-            texts.append(string[at[i] : at[i + k] - 1])
-            owner.append((row, i))
-    masks = [0] * len(packed)
-    order = sorted(range(len(texts)), key=texts.__getitem__)
-    for a, b in zip(order, order[1:]):
-        if texts[a] == texts[b]:
-            for row, i in (owner[a], owner[b]):
-                masks[row] |= 1 << i
-    return masks
+    counts: dict[bytes, int] = {}
+    for string in packed:
+        counts[string] = counts.get(string, 0) + 1
+    masks = {string: 0 for string in counts}
+    if len(counts) > 1:
+        # Many windows are sorted by 128-bit digests, which a bucket of the largest size has room for; few as they are.
+        digests = len(counts) > FEW
+        texts: list[bytes] = []
+        owner: list[tuple[bytes, int]] = []
+        sizes = dict(zip(packed, windows))
+        for string in counts:
+            at = [0, *(i + 1 for i, c in enumerate(string) if c == 32), len(string) + 1]
+            for i in range(sizes[string]):
+                text = string[at[i] : at[i + k] - 1]
+                texts.append(hashlib.blake2b(text, digest_size=16).digest() if digests else text)
+                owner.append((string, i))
+        order = sorted(range(len(texts)), key=texts.__getitem__)
+        for a, b in zip(order, order[1:]):
+            if texts[a] == texts[b]:
+                for string, i in (owner[a], owner[b]):
+                    masks[string] |= 1 << i
+    return [(1 << n) - 1 if counts[string] > 1 else masks[string] for string, n in zip(packed, windows)]
 
 
 def remove_repeats(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> DataFrame:
@@ -142,7 +148,7 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> D
     def taken(which: str) -> DataFrame:
         """Documents with those of their super-k-mers whose minimisers are ``which``."""
         shared = cuts.join(counts.filter(which).select("least"), "least").groupBy(*key).agg(F.collect_list(F.struct("start", "n", "least")).alias("cuts"))
-        return rows.select(*key, "text").join(shared, key).select(*key, "text", "cuts")
+        return rows.join(shared, key).select(*key, "text", "cuts", "doc_id")
 
     def pack():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -192,11 +198,11 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> D
 
         return run
 
-    packed = map_rows(taken(f"all <= {hot}"), [*key, "text", "cuts"], pack, "__d bigint, __t bigint, start bigint, n bigint, least bigint, packed binary")
+    packed = map_rows(taken(f"all <= {hot}"), [*key, "text", "cuts", "doc_id"], pack, "__d bigint, __t bigint, start bigint, n bigint, least bigint, packed binary")
     cold = packed.repartition("least").sortWithinPartitions("least")
     marks = cold.mapInArrow(lambda batches: count()(batches), "__d bigint, __t bigint, start bigint, mask bigint")
     if not counts.filter(f"all > {hot}").isEmpty():
-        each = saved(map_rows(taken(f"all > {hot}"), [*key, "text", "cuts"], digest, "__d bigint, __t bigint, start bigint, digest binary"), "windows")
+        each = saved(map_rows(taken(f"all > {hot}"), [*key, "text", "cuts", "doc_id"], digest, "__d bigint, __t bigint, start bigint, digest binary"), "windows")
         often = each.groupBy("digest").agg(F.count("*").alias("all")).filter("all > 1").select("digest")
         marks = marks.unionByName(each.join(often, "digest").select(*key, "start", F.lit(1).cast("bigint").alias("mask")))
     marks = marks.groupBy(*key).agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
