@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import unicodedata
 import zlib
 
@@ -35,7 +36,7 @@ WINDOW = 2048
 PIECE = 512
 SHRED, SHREDDED = 32, 0.03
 BLOCK = 300_000
-KEPT = 400_000
+KEPT = 800_000
 END = (1).to_bytes(4, "little")
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -54,9 +55,15 @@ class Ids:
         self.words = re.compile(f"[{letter}]+|'(?:s|t|re|ve|m|ll|d)|[{number}]|[^{space}{letter}{number}]+").findall
         self.rare = re.compile(f"[\U00010000-\U0010ffff{bpe.ranges(None)}]").search
 
+        model = tokenizer.model
+        byte = [letter for letter, _ in sorted(bpe.byte_letters().items(), key=lambda x: x[1])]
+
         class Kept(dict):
             def __missing__(self, word: str) -> bytes:
-                made = b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(word, add_special_tokens=False).ids)
+                # the model itself: a word has been normalised and split off by then
+                letters = word if word.isascii() and word.isprintable() else "".join(map(byte.__getitem__, word.encode()))
+                found = [t.id for t in model.tokenize(letters)]
+                made = struct.pack(f"<{len(found)}I", *found)
                 if len(word) <= 40:
                     self[word] = made
                 return made
