@@ -48,7 +48,7 @@ def decoded(lines: DataFrame) -> DataFrame:
     """``lines`` (line) of words as entry_id, kanji_groups, readings and groups."""
     df = lines.withColumn("p", F.split("line", "\t")).withColumn("n", F.size("p"))
     text = "named_struct('text', regexp_replace(x, 'U$', ''), 'common', not x rlike 'U$')"
-    kanji = f"transform(split(if(n = 4, p[0], ''), ';'), g -> named_struct('kanjis', transform(split(split(g, '#')[0], ','), x -> {text}), 'reading_indices', if(instr(g, '#') > 0, transform(split(split(g, '#')[1], ','), x -> cast(x as int)), null)))"
+    kanji = f"transform(split(if(n = 4, p[0], ''), ';'), g -> named_struct('kanjis', transform(split(split(g, '#')[0], ','), x -> {text}), 'reading_indices', if(instr(g, '#') > 0, filter(transform(split(split(g, '#')[1], ','), x -> try_cast(x as int)), x -> x is not null), null)))"
     group = "named_struct('types', split(split(g, ';', 2)[0], ','), 'senses', if(instr(g, ';') > 0 and split(g, ';', 2)[1] <> '', split(split(g, ';', 2)[1], '`'), cast(array() as array<string>)))"
     return df.select(
         from_base62("p[n - 1]").alias("entry_id"),
