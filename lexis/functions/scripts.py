@@ -13,7 +13,3 @@ GATE = "^ ?[○、-ヿ㐀-鿿豈-﫿０-ﾝ\U00020000-\U0010ffff]"
 #: Runs that the page reader takes up, half-width and supplementary characters included.
 JAPANESE = "[○々-〇ぁ-ヿ㐀-䶿一-鿿豈-﫿０-９Ａ-Ｚａ-ｚｦ-ﾝ\U00020000-\U0010ffff]"
 
-
-def count_of(column: str, pattern: str) -> str:
-    """SQL for how many characters of the class a text has; both engines read it."""
-    return f"length(regexp_replace({column}, '{pattern.replace('[', '[^', 1)}', ''{{g}}))"

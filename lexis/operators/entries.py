@@ -44,3 +44,20 @@ def length_stats(rows: DataFrame, text: str) -> DataFrame:
     upto = F.sum("n").over(Window.orderBy("len"))
     ranked = sizes.withColumn("upto", upto).withColumn("all", F.sum("n").over(Window.orderBy("len").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return ranked.agg(F.min("len").alias("min_len"), F.max("len").alias("max_len"), (F.sum(F.col("len") * F.col("n")) / F.sum("n")).alias("mean_len"), F.min(F.when(F.col("upto") > F.expr("all div 2"), F.col("len"))).alias("upper_median"))
+
+
+def without_romanised(names: DataFrame) -> DataFrame:
+    """``names`` (entry_id, reading, gloss) without glosses that merely romanise the reading; a name's only gloss stays out too."""
+    from lexis.functions.romaji import is_romanisation
+
+    return names.filter(~is_romanisation("reading", "regexp_replace(gloss, '[^A-Za-z]', '')"))
+
+
+def kana_readings(entries: DataFrame) -> DataFrame:
+    """(entry_id, reading) of readings (entry_id, reading, uk, restriction) that some sense says are usually written in kana; a sense without a restriction holds for all readings."""
+    return entries.filter(F.col("uk") & (F.col("restriction").isNull() | F.array_contains("restriction", F.col("reading")))).select("entry_id", "reading").distinct()
+
+
+def bounds(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """What a fixed-size reader must know of a table: its least key and its longest line."""
+    return rows.agg(F.min(key).alias("min_id"), F.max(F.octet_length(text)).cast("bigint").alias("max_line"))

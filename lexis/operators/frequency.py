@@ -52,3 +52,9 @@ def mapped_counts(tokens: DataFrame, mapping: DataFrame) -> DataFrame:
     found = found.withColumn("form", F.when(F.col("kind").isin("one", "star"), 0).when(F.col("as") == F.col("writing"), 0).when(F.col("as") == F.col("folded"), 1)).filter("form is not null")
     first = F.rank().over(Window.partitionBy("t").orderBy("form"))
     return found.withColumn("r", first).filter("r = 1").groupBy("entry_id").agg(F.count("*").alias("n"))
+
+
+def phrase_table(parses: DataFrame, known: DataFrame) -> DataFrame:
+    """(phrase, entry_id) of entries' parses (entry_id, words) of two words or more, for entries that aren't in ``known`` (entry_id)."""
+    some = parses.filter(F.size("words") > 1).join(known, "entry_id", "left_anti")
+    return some.select(F.array_join("words", " ").alias("phrase"), "entry_id").distinct()

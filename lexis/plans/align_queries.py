@@ -121,6 +121,13 @@ def greedy_tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency.greedy(rows, frequency.phrase_hits(rows, inline(spark, PHRASES, "phrase string"), keys), keys)
 
 
+@query("""SELECT DISTINCT array_to_string(w, ' ') AS phrase, p_partkey AS entry_id FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part) WHERE len(w) > 1 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)""")
+def phrase_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parses = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_id"), F.split("p_name", " ").alias("words"))
+    known = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("entry_id"))
+    return frequency.phrase_table(parses, known)
+
+
 TOKENS = [(1, "a", "a"), (1, "b", "a"), (2, "x", "y"), (2, "y", "y"), (2, "z", "z"), (3, "q", "q"), (4, "q", "q")]
 MAPPING = [(1, "one", None, 100), (2, "writing", "x", 200), (2, "writing", "y", 201), (3, "star", None, 300), (3, "star", None, 301)]
 

@@ -135,6 +135,28 @@ def render_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.rows_html(inline(spark, HITS, "w string, rnk int, kanji string, reading string, reasons string, pos string, senses array<string>"))
 
 
+GLOSSES = [(1, "たなか", "Tanaka"), (2, "とうきょう", "Tokyo Tower"), (3, "みはる", "Miharu"), (4, "さくら", "cherry blossom"), (5, "かとう", "Kato")]
+ROMANISED = [1, 3]
+
+
+@query(f"SELECT CAST(entry_id AS BIGINT) AS entry_id, gloss FROM (VALUES {values(GLOSSES)}) t(entry_id, reading, gloss) WHERE entry_id NOT IN ({', '.join(map(str, ROMANISED))})")
+def redundant_gloss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries.without_romanised(inline(spark, GLOSSES, "entry_id bigint, reading string, gloss string")).select("entry_id", "gloss")
+
+
+USUAL = [(1, "かんじ", True, None), (1, "カンジ", True, ["かんじ"]), (2, "いい", False, None), (3, "この", True, ["この", "こ"])]
+
+
+@query(f"SELECT DISTINCT CAST(e AS BIGINT) AS entry_id, r AS reading FROM (VALUES {', '.join(f'({e}, {_duck(r)}, {u}, {_duck(x)}::VARCHAR[])' for e, r, u, x in USUAL)}) t(e, r, u, x) WHERE u AND (x IS NULL OR list_contains(x, r))")
+def uk_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries.kana_readings(inline(spark, USUAL, "entry_id bigint, reading string, uk boolean, restriction array<string>"))
+
+
+@query("SELECT min(p_partkey) AS min_id, CAST(max(strlen(p_name)) AS BIGINT) AS max_line FROM part")
+def table_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries.bounds(table(spark, sf_dir, "part"), "p_partkey", "p_name")
+
+
 @query(None)
 def xml_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xml.summary(xml.parsed(inline(spark, [(x,) for x in xml.SAMPLE], "xml string")))
