@@ -4,12 +4,12 @@ A text's set holds its distinct shingles of five words. Equal sets are one recor
 embedded by ``COORDINATES`` minwise tokens. Each of ``TREES`` trees sends every record down a path: at a node a coordinate is
 chosen by the node's own hash, and records with the same token there share a child. A node of at most ``SMALL``
 records is compared exhaustively by estimated similarity. In a larger one, records are compared with ``PIVOTS``
-pivots and linked to the likeliest: those very like a pivot, or fairly like several, stay with them (whatever is similar
+pivots and linked to the least one that is likely similar: those very like a pivot, or fairly like several, stay with them (whatever is similar
 to them is like the pivots too), and the rest branches again, by two coordinates a level, so that a similar pair is rarely parted. A pair at the threshold misses all trees with
 a chance of about 0.25^10. A node that is still large after ``DEPTH`` levels is compared in blocks.
 
 Candidates are then confirmed on full sets, group by group of the candidates' components: a group's texts are
-compared exactly, except those that are linked already. Groups of more than ``SMALL`` are split into parts that share pivots;
+compared exactly, except those that are linked already. Groups of more than ``GROUP`` are split into parts that share pivots;
 what isn't linked to the group's largest part-spanning component is compared with the whole group afterwards,
 so all pairs but those inside that component are covered, and no pairs are listed.
 
@@ -32,8 +32,10 @@ from lexis.llm.components import components
 from lexis.llm.substring_dedup import HASHES, runs_of
 
 WORDS, PERCENT = 5, 75
-COORDINATES, TREES, DEPTH = 64, 10, 5
-SMALL, PIVOTS = 128, 16
+COORDINATES, TREES, DEPTH = 64, 10, 3
+SMALL, PIVOTS = 512, 16
+#: Texts of a group that are confirmed together.
+GROUP = 128
 #: Agreeing coordinates from which a pair is a candidate (0.75 of 64 are 48, with a deviation of 3.5); a record stays with
 #: the pivots of a large node if it agrees in ALIKE with one of them or in FAIRLY with ENOUGH of them.
 LIKELY, ALIKE, FAIRLY, ENOUGH = 33, 54, 46, 4
@@ -130,7 +132,8 @@ def _sketched(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
 def _with_pivots(batches):
     """Rows (node, share, rank, id, sig) of large nodes, pivots (rank 0) first, to (node, id, other, stays).
 
-    Each record has one row with its likeliest pivot, or none, and each two pivots that a record joins have one."""
+    Each record has one row with the least pivot that it is like, or none, and each two pivots that a record joins have one.
+    Pivots are a node's least ids, which are hashes: nodes of different trees mostly share them, so their links coincide."""
     key, pivots, sigs, joined = None, [], None, set()
     for batch in batches:
         out: list[tuple] = []
@@ -148,8 +151,8 @@ def _with_pivots(batches):
             if not len(near):
                 out.append((node, own, None, False))
                 continue
-            best = int(near[agree[near].argmax()])
-            out.append((node, own, pivots[best][0], bool(agree[best] >= ALIKE or (agree >= FAIRLY).sum() >= ENOUGH)))
+            best = int(near[0])
+            out.append((node, own, pivots[best][0], bool(agree.max() >= ALIKE or (agree >= FAIRLY).sum() >= ENOUGH)))
             for n in near.tolist():
                 if n != best and (best, n) not in joined:
                     joined |= {(best, n), (n, best)}
@@ -182,11 +185,11 @@ def candidates(records: DataFrame) -> DataFrame:
             found = found.unionByName(saved(_by_group(pairs, ["node", "i", "j"], ["id", "sig"], _sketched, "a binary, b binary"), "candidates"))
             break
         shares = F.ceil(F.col("n") / SHARE).cast("int")
-        rank = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("id", "node"), "id"))
+        rank = F.row_number().over(Window.partitionBy("node").orderBy("id"))
         pivots = large_members.withColumn("rank", rank).filter(f"rank <= {PIVOTS}").join(sigs, "id")
         pivots = pivots.select("node", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), F.lit(0).alias("rank"), "id", "sig")
         rest = large_members.join(sigs, "id").select("node", F.pmod(F.xxhash64("id"), shares).cast("int").alias("share"), F.lit(1).alias("rank"), "id", "sig")
-        dealt = pivots.unionByName(rest).repartition("node", "share").sortWithinPartitions("node", "share", "rank")
+        dealt = pivots.unionByName(rest).repartition("node", "share").sortWithinPartitions("node", "share", "rank", "id")
         near = saved(dealt.mapInArrow(_with_pivots, "node bigint, id binary, other binary, stays boolean"), "near")
         found = found.unionByName(near.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
         branching = near.filter("not stays").select("id", "node").join(records.select("id", "mins"), "id")
@@ -235,7 +238,7 @@ def classes(docs: DataFrame) -> DataFrame:
     wanted = groups.join(records.select("id", "place", "n"), "id").select("root", "id", "n", F.col("place.d").alias("d"), F.col("place.t").alias("t"))
     texts = rows.select(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("part").alias("t"), "text")
     texts = saved(texts.join(wanted, ["d", "t"]).select("root", "id", "n", "text").dropDuplicates(["id"]), "texts")
-    sizes = saved(texts.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).withColumn("parts", F.greatest(F.ceil(F.col("size") / SMALL), F.ceil(F.col("weight") / WEIGHT)).cast("int")), "groups")
+    sizes = saved(texts.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).withColumn("parts", F.greatest(F.ceil(F.col("size") / GROUP), F.ceil(F.col("weight") / WEIGHT)).cast("int")), "groups")
     split = texts.join(sizes, "root")
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     rank = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("id"), "id"))
@@ -253,7 +256,7 @@ def classes(docs: DataFrame) -> DataFrame:
         outside = inside.join(main, "root").filter("class <> main").select("root", "id", "parts")
         outside = saved(outside, "outside")
         if not outside.isEmpty():
-            per = outside.groupBy("root").agg(F.ceil(F.count("*") / SMALL).cast("int").alias("blocks"))
+            per = outside.groupBy("root").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
             block = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
             asks = outside.join(per, "root").withColumn("block", block).join(texts.drop("root", "n"), "id")
             asks = asks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("root", "block", "part", "id", "text", F.lit(1).alias("side"))

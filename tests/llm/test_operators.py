@@ -242,6 +242,7 @@ def near_rows():
 @pytest.mark.parametrize("small", [128, 6])
 def test_near_duplicates(spark, monkeypatch, small):
     monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "GROUP", small)
     monkeypatch.setattr(near_dedup, "DEPTH", 2)
     rows = near_rows()
     assert rows_of(near_dedup.near_duplicates(docs(spark, rows))) == brute_near(rows)
