@@ -5,7 +5,8 @@ buckets of word hashes, and a word's key is its bucket's rank above 47 bits of i
 from rare to frequent. Lines of at least ``LEAST`` distinct words take part. Equal sets become one record at their first
 line. For the others, sets with a Jaccard similarity of ``PERCENT`` or more share a key among the first
 ``size - ceil(PERCENT * size / 100) + 1`` of both (prefix filter); their sizes are alike (length filter), and the places of the shared
-key leave room for the overlap (positional filter). Pairs that pass are verified on the whole sets, and a line that
+key leave room for the overlap (positional filter), and so do bitmaps of their keys, which differ in no more bits than the sets
+differ in words. Pairs that pass are verified on the whole sets, and a line that
 matches any earlier line, in order of doc_id, text hash and place, is removed.
 
 Only whether an earlier match exists is asked, so a key that more than ``HOT`` sets share in their prefixes (copies of one line
@@ -73,10 +74,10 @@ def repeats(rows: DataFrame) -> DataFrame:
     """(d, t, gone): the places of the lines to be removed from each document of ``rows`` (d, t, text)."""
     ranks = rarity(rows)
     lines = lines_of(rows, ranks)
-    thin = saved(lines.select("d", "t", "i", F.xxhash64(F.lit(1), "keys").alias("h"), F.xxhash64(F.lit(2), "keys").alias("g"), F.size("keys").alias("size"), F.expr(f"slice(keys, 1, {_prefix('size(keys)')})").alias("prefix")), "lines")
+    thin = saved(lines.select("d", "t", "i", F.xxhash64(F.lit(1), "keys").alias("h"), F.xxhash64(F.lit(2), "keys").alias("g"), F.size("keys").alias("size"), F.expr("aggregate(keys, 0L, (s, k) -> s | shiftleft(1L, cast(k & 63 as int)))").alias("bits"), F.expr(f"slice(keys, 1, {_prefix('size(keys)')})").alias("prefix")), "lines")
     first = F.min(F.struct("d", "t", "i"))
-    sets = saved(thin.groupBy("h", "g").agg(first.alias("at"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "sets")
-    parts = sets.select("h", "g", "at", "size", F.posexplode("prefix").alias("place", "key"))
+    sets = saved(thin.groupBy("h", "g").agg(first.alias("at"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "sets")
+    parts = sets.select("h", "g", "at", "size", "bits", F.posexplode("prefix").alias("place", "key"))
     # keys that more than one set has
     often = saved(parts.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1"), "keys")
     shared = parts.join(often, "key")
@@ -84,6 +85,7 @@ def repeats(rows: DataFrame) -> DataFrame:
         (F.col("a.at") < F.col("b.at"))
         & F.expr(f"100 * least(a.size, b.size) >= {PERCENT} * greatest(a.size, b.size)")
         & F.expr(f"{100 + PERCENT} * (1 + least(a.size - a.place - 1, b.size - b.place - 1)) >= {PERCENT} * (a.size + b.size)")
+        & F.expr(f"{100 + PERCENT} * bit_count(a.bits ^ b.bits) <= {100 - PERCENT} * (a.size + b.size)")
     )
 
     def pairs(early: DataFrame, late: DataFrame) -> DataFrame:
