@@ -2,11 +2,11 @@
 
 A line's set holds its distinct words. Words are ordered by rarity: occurrences are counted over all documents in ``BUCKETS``
 buckets of word hashes, and a word's key is its bucket's rank above 47 bits of its hash, so any order of keys goes
-from rare to frequent. Lines of at least ``LEAST`` distinct words take part. Equal sets become one record at their first
-line. For the others, sets with a Jaccard similarity of ``PERCENT`` or more share a key among the first
+from rare to frequent. Lines of at least one word take part. Equal sets become one record at their first
+line, by grouping alone. Only sets that are large enough to match another one (nine words at 90 percent) are joined: sets with a Jaccard similarity of ``PERCENT`` or more share a key among the first
 ``size - ceil(PERCENT * size / 100) + 1`` of both (prefix filter); their sizes are alike (length filter), and the places of the shared
-key leave room for the overlap (positional filter), and so do bitmaps of their keys, which differ in no more bits than the sets
-differ in words. Pairs that pass are verified on the whole sets, and a line that
+key leave room for the overlap (positional filter), and so do bitmaps of their keys (bits of odd counts), which differ in no more
+bits than the sets differ in words. Pairs that pass are verified on the whole sets, and a line that
 matches any earlier line, in order of doc_id, text hash and place, is removed.
 
 Only whether an earlier match exists is asked, so a key that more than ``HOT`` sets share in their prefixes (copies of one line
@@ -15,7 +15,7 @@ is compared with all earlier ones. Pairs within such a group are never all made.
 
 Everything is Spark SQL: no Python. Documents are shuffled by their key once for verification and the final result.
 
-Null and empty texts have no lines to remove and stay as they are, as do lines of few words. Rows that repeat a doc_id and text are one document and
+Null and empty texts have no lines to remove and stay as they are, as do lines without words. Rows that repeat a doc_id and text are one document and
 get one result each. Null doc_ids come as 0 in the order. Further columns pass ``without_repeats`` unchanged.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lexis.llm.common import saved, table
 
-LEAST, PERCENT = 5, 90
+PERCENT = 90
 BUCKETS = 1 << 13
 HOT, LEADERS = 1000, 16
 
@@ -51,14 +51,13 @@ def rarity(rows: DataFrame) -> list[int]:
 
 
 def lines_of(rows: DataFrame, ranks: list[int]) -> DataFrame:
-    """Lines that take part: (d, t, i, keys) with sorted keys of their distinct words; ``rows`` has d, t and text."""
+    """Lines that have words: (d, t, i, keys) with sorted keys of their distinct words; ``rows`` has d, t and text."""
     lines = rows.select("d", "t", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     # one number a bucket; the optimizer folds it into a constant array
     lines = lines.withColumn("ranks", F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>"))
-    lines = lines.withColumn("words", _words("line")).filter(F.size("words") >= LEAST)
+    lines = lines.filter(r"line rlike '[^\\x20\\x09-\\x0D]'").withColumn("words", _words("line"))
     key = f"shiftleft(cast(ranks[{_bucket('w')}] as bigint), 47) | (xxhash64(w) & {(1 << 47) - 1}L)"
-    lines = lines.select("d", "t", "i", F.expr(f"sort_array(array_distinct(transform(words, w -> {key})))").alias("keys"))
-    return lines.filter(F.size("keys") >= LEAST)
+    return lines.select("d", "t", "i", F.expr(f"sort_array(array_distinct(transform(words, w -> {key})))").alias("keys"))
 
 
 def _prefix(size: str) -> str:
@@ -74,10 +73,11 @@ def repeats(rows: DataFrame) -> DataFrame:
     """(d, t, gone): the places of the lines to be removed from each document of ``rows`` (d, t, text)."""
     ranks = rarity(rows)
     lines = lines_of(rows, ranks)
-    thin = saved(lines.select("d", "t", "i", F.xxhash64(F.lit(1), "keys").alias("h"), F.xxhash64(F.lit(2), "keys").alias("g"), F.size("keys").alias("size"), F.expr("aggregate(keys, 0L, (s, k) -> s | shiftleft(1L, cast(k & 63 as int)))").alias("bits"), F.expr(f"slice(keys, 1, {_prefix('size(keys)')})").alias("prefix")), "lines")
+    thin = saved(lines.select("d", "t", "i", F.xxhash64(F.lit(1), "keys").alias("h"), F.xxhash64(F.lit(2), "keys").alias("g"), F.size("keys").alias("size"), F.expr("aggregate(keys, 0L, (s, k) -> s ^ shiftleft(1L, cast(k & 63 as int)))").alias("bits"), F.expr(f"slice(keys, 1, {_prefix('size(keys)')})").alias("prefix")), "lines")
     first = F.min(F.struct("d", "t", "i"))
     sets = saved(thin.groupBy("h", "g").agg(first.alias("at"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "sets")
-    parts = sets.select("h", "g", "at", "size", "bits", F.posexplode("prefix").alias("place", "key"))
+    # a smaller set matches none but its equals, not even with one word more
+    parts = sets.filter(f"100 * size >= {PERCENT} * (size + 1)").select("h", "g", "at", "size", "bits", F.posexplode("prefix").alias("place", "key"))
     # keys that more than one set has
     often = saved(parts.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1"), "keys")
     shared = parts.join(often, "key")

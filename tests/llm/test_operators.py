@@ -380,6 +380,16 @@ def test_line_dedup(spark, monkeypatch, hot):
     assert line_dedup.op10_line_dedup(spark, "").count() == 0
 
 
+def test_short_lines(spark, monkeypatch):
+    nine = [f"w{i}" for i in range(9)]
+    rows = [(1, "All rights reserved.\nand so\n\n"), (2, "all rights\n \t\nAll rights reserved.\nword"), (3, "word\nword word\nso and\n" + " ".join(nine)), (4, " ".join(nine[1:]) + "\n" + " ".join([*nine, "more"]))]
+    df = docs(spark, rows)
+    monkeypatch.setattr(line_dedup, "table", lambda *a: df)
+    kept = ["All rights reserved.\nand so\n\n", "all rights\n \t\nword", " ".join(nine), " ".join(nine[1:])]
+    want = [(d, t.count("\n") + 1, t.count("\n") - k.count("\n"), hashlib.sha256(k.encode()).hexdigest()) for (d, t), k in zip(rows, kept)]
+    assert rows_of(line_dedup.op10_line_dedup(spark, "")) == want
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     sf_dir = "/root/testdata/sf0.001"
