@@ -112,6 +112,39 @@ def test_spaced_seeds(spark):
     assert decontamination.find_overlaps(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def fewest_substitutions(masks, longest):
+    """For each length, the fewest unequal places with which no mask hits, over all patterns (by the last places of a pattern)."""
+    width = max(map(len, masks)) - 1
+    looked = [int(m, 2) for m in masks]
+    held, least = {0: 0}, {}
+    for n in range(1, longest + 1):
+        grown = {}
+        for last, cost in held.items():
+            for equal in (0, 1):
+                places = last << 1 | equal
+                if not any(places & m == m for m in looked):
+                    key = places & (1 << width) - 1
+                    grown[key] = min(grown.get(key, 99), cost + 1 - equal)
+        held, least[n] = grown, min(grown.values())
+    return least
+
+
+def test_masks_miss_nothing():
+    from itertools import combinations
+
+    least = fewest_substitutions(decontamination.MASKS, 2 * decontamination.LEAST - 1)
+    for n in range(decontamination.SPAN, 2 * decontamination.LEAST):
+        assert least[n] > n // 5, n  # 0.8 of n tokens are equal
+    for n, wrong in ((15, 3), (20, 4)):
+        words = [f"w{i}" for i in range(n)]
+        block = decontamination.Benchmark([(1, " ".join(words))])
+        item, other = block.tokens[0], decontamination.tokens("other")[0]
+        for places in combinations(range(n), wrong):
+            text = item.copy()
+            text[list(places)] = other
+            assert (0, 0) in block.shifts(text), places
+
+
 # 4
 
 
