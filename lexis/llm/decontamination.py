@@ -4,16 +4,16 @@ A mask is a fixed pattern over a few consecutive tokens of which it looks at som
 at are equal whatever stands in the ignored places. Every place of every training text and benchmark item is hashed
 under all masks, training hashes are looked up among the benchmark's, and around each hit the texts are laid side by side:
 the overlap grows from the hit in both directions while it keeps at least ``ALIKE`` of its tokens, so substituted
-tokens don't end it. The masks miss no such overlap: wherever the substitutions are, one mask hits at one place. An item is found in a text if such an overlap has ``LEAST`` tokens or more, or covers the whole item
-where the item is shorter (at least ``SPAN``).
+tokens don't end it. The masks miss no such overlap: wherever the substitutions are, one mask hits at one place. An item is found in a text if such an overlap has ``LEAST`` tokens or more, or has ``ALIKE`` of all the item's
+tokens equal, whichever they are. Items of fewer than ``SPAN`` tokens are found where all their tokens stand in order: each of their
+lengths has a mask that looks at every place.
 
 Tokens are words of letters and digits in lower case. The benchmark is taken in blocks of at most ``BLOCK`` items
 by the hash of its key; a block's hashes are bounded, so they go to the tasks as they are, and the training texts
 are read once a block without any shuffle. A hit is kept once for each shift between the texts, so a frequent passage
 costs a text one verification a shift. Whole texts are hashed.
 
-Null and empty texts and items overlap with nothing, and items shorter than ``SPAN`` tokens are not looked for (a shared
-sentence fragment is no leak). Repeated items are found each; repeated rows are found each. A null doc_id stays null.
+Null and empty texts and items overlap with nothing. Repeated items are found each; repeated rows are found each. A null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -67,8 +67,9 @@ class Benchmark:
         self.tokens = [tokens(t) for _, t in items]
         self.seeds: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]] = []
         self.filter = np.zeros(1 << 22, dtype=bool)
-        for mask in MASKS:
-            each = [seeds(t, mask) for t in self.tokens]
+        short = {len(t) for t in self.tokens if 0 < len(t) < SPAN}
+        for mask, size in [(m, 0) for m in MASKS] + [("1" * n, n) for n in sorted(short)]:
+            each = [seeds(t if size in (0, len(t)) else t[:0], mask) for t in self.tokens]
             hashes = np.concatenate(each) if each else np.zeros(0, np.uint64)
             item = np.repeat(np.arange(len(each)), [len(x) for x in each])
             place = np.concatenate([np.arange(len(x)) for x in each]) if each else item
@@ -98,7 +99,8 @@ class Benchmark:
             a, b = max(shift, 0), min(shift + len(other), len(text))
             same = text[a:b] == other[a - shift : b - shift]
             start, length, equal = longest(same)
-            if length >= min(LEAST, len(other)) and length > best.get(item, (0, 0, 0, 0))[2]:
+            share = ALIKE if len(other) >= SPAN else 1
+            if (length >= LEAST or equal >= share * len(other) - 1e-9) and length > best.get(item, (0, 0, 0, 0))[2]:
                 best[item] = (a + start, a + start - shift, length, equal)
         return [(self.keys[i], *x) for i, x in sorted(best.items())]
 

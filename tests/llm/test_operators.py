@@ -145,6 +145,25 @@ def test_masks_miss_nothing():
             assert (0, 0) in block.shifts(text), places
 
 
+def test_items_near_and_below_the_least():
+    def found(item, text):
+        return [x[3:] for x in decontamination.Benchmark([(7, " ".join(item))]).overlaps(decontamination.tokens(" ".join(text)))]
+
+    w = [f"w{i}" for i in range(24)]
+    noise = [f"n{i}" for i in range(9)]
+    assert found(w[:15], noise + w[:14] + ["other"] + noise) == [(14, 14)]
+    assert found(w[:15], noise + w[1:15]) == [(14, 14)]
+    assert found(w[:20], w[:19]) == [(19, 19)]
+    assert found(w[:15], ["other", *w[1:7], "other", *w[8:14], "other"]) == [(13, 12)]
+    assert found(w[:15], ["other", *w[1:7], "other", *w[8:13], "other", "other"]) == []
+    assert found(w[:24], noise + w[:19] + noise) == [] and found(w[:24], noise + w[:20] + noise) == [(20, 20)]
+    for n in range(1, 12):
+        assert found(w[:n], noise + w[:n] + noise) == [(n, n)]
+        assert found(w[:n], noise + w[: n - 1] + noise) == []
+    both = decontamination.Benchmark([(1, "w1 w2 w3"), (2, None), (3, "w9"), (4, " ".join(w))])
+    assert [x[0] for x in both.overlaps(decontamination.tokens("w0 w1 w2 w3 w4 w5 w6"))] == [1]
+
+
 # 4
 
 
