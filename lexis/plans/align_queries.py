@@ -24,6 +24,13 @@ def mapping_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.link_classes(some.union(orders), "c_custkey", "c_nationkey")
 
 
+@query("""WITH e AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), d AS (SELECT l_suppkey, count(*) AS d FROM e GROUP BY 1)
+SELECT l_partkey, CASE WHEN count(*) = 1 THEN 'one' WHEN max(d) = 1 THEN 'star' ELSE 'ambiguous' END AS kind, count(*) AS n FROM e JOIN d USING (l_suppkey) GROUP BY l_partkey""")
+def mapping_classes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All links of lineitem, where ``mapping_classes`` takes a third of the customers."""
+    return alignment.link_classes(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
+
+
 @query("""WITH e AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b, l_returnflag AS t FROM lineitem)
 SELECT a, b FROM (SELECT a, b, count(DISTINCT t) AS h FROM e GROUP BY a, b) JOIN (SELECT a, count(DISTINCT t) AS n FROM e GROUP BY a) USING (a) WHERE h = n""")
 def cover_test(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,15 @@ def test_pruning_reaches_a_fixpoint(spark):
     assert {(r.a, r.b) for r in alignment.pruned(links, "a", "b").collect()} == {(1, 10)}
 
 
+def test_mapping_classes_of_all_links(spark, monkeypatch):
+    from lexis.plans import align_queries
+
+    links = [(1, 10), (2, 20), (2, 21), (2, 21), (3, 30), (4, 30), (4, 40), (5, 30)]
+    monkeypatch.setattr(align_queries, "table", lambda *a: spark.createDataFrame(links, "l_partkey bigint, l_suppkey bigint"))
+    rows = {r.l_partkey: (r.kind, r.n) for r in align_queries.mapping_classes_all(spark, "").collect()}
+    assert rows == {1: ("one", 1), 2: ("star", 2), 3: ("one", 1), 4: ("ambiguous", 2), 5: ("one", 1)}
+
+
 def test_review(spark):
     a, b = (spark.createDataFrame([(x,) for x in xs], "id bigint") for xs in ([1, 2, 2], [2, 3]))
     assert sorted(r.id for r in review.added(a, b).collect()) == [1, 2, 3]
