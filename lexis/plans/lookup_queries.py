@@ -25,9 +25,9 @@ def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.select("key", lookup.entry_id("key").alias("entry_id"), F.when(F.length("key") <= 4, 4).otherwise(2).alias("pos_mask"))
 
 
-def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts' name words as a second dictionary."""
-    keys = lookup.tokens(table(spark, sf_dir, "part").select(F.substring("p_name", 1, 3).alias("text"))).select(F.col("w").alias("key")).distinct()
+def _names(spark: SparkSession, sf_dir: str, text: str = "substring(p_name, 1, 3)") -> DataFrame:
+    """Parts' name words as a second dictionary: those of ``text``, an expression on part."""
+    keys = lookup.tokens(table(spark, sf_dir, "part").select(F.expr(text).alias("text"))).select(F.col("w").alias("key")).distinct()
     return keys.select("key", lookup.entry_id("key").alias("entry_id"), F.lit(0).alias("pos_mask"))
 
 
@@ -50,6 +50,7 @@ hits AS (
 won AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY w, is_name, entry_id ORDER BY match_len DESC, depth, path, key) = 1),
 rnk AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY match_len DESC, is_name, strlen(reasons) DESC, entry_id) AS rnk FROM won QUALIFY rnk <= 32)
 """
+_WHOLE_NAMES = _WITH.replace("substring(p_name, 1, 3)", "p_name")
 
 
 @query(_WITH + "SELECT w, prefix, CAST(n AS BIGINT) AS n FROM pre")
@@ -122,6 +123,22 @@ def late_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.materialised(hits, entries).select("w", F.col("rnk").cast("bigint").alias("rnk"), "text")
 
 
+@query(_WHOLE_NAMES + "SELECT w, CAST(rnk AS BIGINT) AS rnk, entry_id, is_name FROM rnk")
+def lookup_rank_top32_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lookup_rank_top32`` with all words of the whole part names."""
+    hits = lookup.lookup(_inputs(spark, sf_dir), _vocabulary(spark, sf_dir), _names(spark, sf_dir, "p_name"), RULES)
+    return hits.select("w", F.col("rnk").cast("bigint").alias("rnk"), "entry_id", "is_name")
+
+
+@query(_WHOLE_NAMES + "SELECT rnk.w, CAST(rnk AS BIGINT) AS rnk, e.key AS text FROM rnk JOIN (SELECT entry_id, key, FALSE AS is_name FROM voc UNION ALL SELECT entry_id, key, TRUE FROM nam) e ON e.entry_id = rnk.entry_id AND e.is_name = rnk.is_name")
+def late_materialise_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``late_materialise`` with all words of the whole part names."""
+    words, names = _vocabulary(spark, sf_dir), _names(spark, sf_dir, "p_name")
+    hits = lookup.lookup(_inputs(spark, sf_dir), words, names, RULES).select("w", "rnk", "entry_id", "is_name")
+    entries = words.select("entry_id", F.col("key").alias("text"), F.lit(False).alias("is_name")).unionByName(names.select("entry_id", F.col("key").alias("text"), F.lit(True).alias("is_name")))
+    return lookup.materialised(hits, entries).select("w", F.col("rnk").cast("bigint").alias("rnk"), "text")
+
+
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
 def review_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = table(spark, sf_dir, "orders").filter("o_totalprice > 100000").select(F.col("o_custkey").alias("id"))

@@ -91,6 +91,15 @@ def test_mapping_classes_of_all_links(spark, monkeypatch):
     assert rows == {1: ("one", 1), 2: ("star", 2), 3: ("one", 1), 4: ("ambiguous", 2), 5: ("one", 1)}
 
 
+def test_hits_of_whole_names(spark, monkeypatch):
+    from lexis.plans import lookup_queries
+
+    texts = {"benchmark": ("text", "blue anvils"), "documents": ("text", "nothing"), "part": ("p_name", "blue anvil")}
+    monkeypatch.setattr(lookup_queries, "table", lambda spark, sf_dir, name: spark.createDataFrame([(texts[name][1],)], f"{texts[name][0]} string"))
+    assert {(r.w, r.is_name) for r in lookup_queries.lookup_rank_top32_names(spark, "").collect()} == {("blue", True), ("anvils", True)}
+    assert {(r.w, r.text) for r in lookup_queries.late_materialise_names(spark, "").collect()} == {("blue", "blue"), ("anvils", "anvil")}
+
+
 def test_review(spark):
     a, b = (spark.createDataFrame([(x,) for x in xs], "id bigint") for xs in ([1, 2, 2], [2, 3]))
     assert sorted(r.id for r in review.added(a, b).collect()) == [1, 2, 3]
