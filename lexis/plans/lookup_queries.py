@@ -84,6 +84,22 @@ def suffix_rule_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("w", F.col("word").alias("cand"), "reasons", F.col("depth").cast("bigint").alias("depth"), place.cast("bigint").alias("place"))
 
 
+@query(f"""WITH RECURSIVE rules AS (SELECT 'ja' AS lang, * FROM (VALUES {values(JAPANESE)}) t{RULE_COLUMNS} UNION ALL SELECT 'eu', * FROM (VALUES {values(RULES)}) t{RULE_COLUMNS}),
+inp AS (SELECT 'ja' AS lang, w FROM (VALUES {values(INFLECTED)}) t(w) UNION ALL SELECT 'eu', w FROM ({_TOKENS.format('text', 'documents')}) WHERE w <> ''),
+clo(lang, w, word, mask, depth, path, reasons) AS (SELECT lang, w, w, 2147483647, 0, CAST([] AS INTEGER[]), '' FROM inp UNION ALL
+  SELECT c.lang, c.w, left(c.word, length(c.word) - length(r.suffix)) || r.new_suffix, r.target_mask, c.depth + 1, list_append(c.path, r.rule_rank), CASE WHEN c.reasons = '' THEN r.reason ELSE c.reasons || ',' || r.reason END
+  FROM clo c JOIN rules r ON c.lang = r.lang AND ends_with(c.word, r.suffix) AND (c.mask & r.source_mask) <> 0 AND left(c.word, length(c.word) - length(r.suffix)) || r.new_suffix <> '' WHERE c.depth < 6)
+SELECT w, word AS cand, reasons, CAST(depth AS BIGINT) AS depth, CAST(row_number() OVER (PARTITION BY lang, w ORDER BY depth, path) AS BIGINT) AS place FROM clo WHERE depth > 0""")
+def suffix_rule_closure_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``suffix_rule_closure`` with the documents' vocabulary under the European rules beside the inline words."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("w").orderBy("depth", "path"))
+    words = lookup.tokens(table(spark, sf_dir, "documents").select("text")).distinct()
+    found = [inflection.closure(df, rules, 6).withColumn("place", place) for df, rules in ((inline(spark, INFLECTED, "w string"), JAPANESE), (words, RULES))]
+    return found[0].unionByName(found[1]).select("w", F.col("word").alias("cand"), "reasons", F.col("depth").cast("bigint").alias("depth"), F.col("place").cast("bigint").alias("place"))
+
+
 @query(f"""WITH RECURSIVE rules{RULE_COLUMNS} AS (VALUES {values(JAPANESE)}), inp(w) AS (VALUES {values(INFLECTED)}), voc(key, pos_mask) AS (VALUES {values(KANA_WORDS)}),
 pre AS (SELECT w, n, left(w, n) AS prefix FROM (SELECT w, unnest(range(1, length(w) + 1)) AS n FROM inp)),
 clo(w, word, mask, depth, reasons) AS (SELECT DISTINCT prefix, prefix, 2147483647, 0, '' FROM pre UNION ALL

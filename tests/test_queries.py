@@ -100,6 +100,14 @@ def test_hits_of_whole_names(spark, monkeypatch):
     assert {(r.w, r.text) for r in lookup_queries.late_materialise_names(spark, "").collect()} == {("blue", "blue"), ("anvils", "anvil")}
 
 
+def test_closure_of_vocabulary(spark, monkeypatch):
+    from lexis.plans import lookup_queries
+
+    monkeypatch.setattr(lookup_queries, "table", lambda *a: spark.createDataFrame([("Settings",)], "text string"))
+    rows = {(r.cand, r.reasons, r.depth) for r in lookup_queries.suffix_rule_closure_words(spark, "").filter("w = 'settings'").collect()}
+    assert {("setting", "plural", 1), ("setting", "-s", 1), ("sett", "plural,-ing", 2), ("sett", "-s,-ing", 2)} == rows
+
+
 def test_review(spark):
     a, b = (spark.createDataFrame([(x,) for x in xs], "id bigint") for xs in ([1, 2, 2], [2, 3]))
     assert sorted(r.id for r in review.added(a, b).collect()) == [1, 2, 3]
