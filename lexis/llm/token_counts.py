@@ -10,7 +10,7 @@ characters at once from their classes.
 
 A text is cut into chunks, which are words or parts of ``CHUNK`` bytes of a longer word. A chunk's map goes from the
 state before it to the state behind it and the tokens emitted. Words start in the start state, so most maps are
-needed there only; the maps of a long word's chunks are composed by a prefix scan over the states that occur.
+needed there only; through a long word's chunks the one state is carried in order, and no map over all states is built.
 Arcs and maps at the start state are kept in memory per Python worker, up to ``KEPT_ARCS`` and ``KEPT_WORDS``;
 then they are dropped and made anew, so memory is bounded for any input. Nothing is shuffled: the operator is one narrow pass.
 
@@ -123,7 +123,7 @@ class Counter:
         self.words = Words()
 
     def scan(self, word: bytes) -> int:
-        """Compose the maps of a word's chunks from the start state on."""
+        """Carry the state through a word's chunks from the start state on."""
         state = total = 0
         for a in range(0, len(word), CHUNK):
             state, n = self.machine.run(state, word[a : a + CHUNK])
