@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 # Kana in the order of the syllabary.
 HALF_WIDTH = "をぁぃぅぇぉゃゅょっーあいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわん"
 A_ROW = "あかがさざただなはばぱまやゃらわ"
-I_ROW = "いきぎしじちぢにひびぴみり"
+I_ROW = "いきぎしじちぢにひびぴみりゐ"
 U_ROW = "うくぐすずつづぬふぶぷむゆゅる"
-E_ROW = "えけげせぜてでねへべぺめれ"
+E_ROW = "えけげせぜてでねへべぺめれゑ"
 O_ROW = "おこごそぞとどのほぼぽもよょろ"
 VOICED = ("うかきくけこさしすせそたちつてとはひふへほ", "ゔがぎぐげござじずぜぞだぢづでどばびぶべぼ")
 HALF_VOICED = ("はひふへほ", "ぱぴぷぺぽ")

@@ -13,25 +13,26 @@ from pyspark.sql import functions as F
 
 # The syllabary by rows with their consonants, and spellings that don't follow the row.
 ROWS = {"": "あいうえお", "k": "かきくけこ", "g": "がぎぐげご", "s": "さしすせそ", "z": "ざじずぜぞ", "t": "たちつてと", "d": "だぢづでど", "n": "なにぬねの", "h": "はひふへほ", "b": "ばびぶべぼ", "p": "ぱぴぷぺぽ", "m": "まみむめも", "r": "らりるれろ"}
-OWN = {"や": ["ya"], "ゆ": ["yu"], "よ": ["yo"], "わ": ["wa"], "を": ["wo", "o"], "ん": ["n'", "n", "m"], "ゔ": ["vu"], "ぁ": ["a"], "ぃ": ["i"], "ぅ": ["u"], "ぇ": ["e"], "ぉ": ["o"]}
-FIRST = {"し": "shi", "じ": "ji", "ち": "chi", "つ": "tsu", "ぢ": "ji", "づ": "zu", "ふ": "fu"}
-SOFT = {"し": "sh", "じ": "j", "ち": "ch", "ぢ": "j"}
-LONG_VOWELS = {"おう": ["ou", "o", "oh"], "おお": ["oo", "o", "oh"], "うう": ["uu", "u"], "ああ": ["aa", "a"], "いい": ["ii", "i"], "ええ": ["ee", "e"], "えい": ["ei", "e"]}
+OWN = {"し": ["shi", "si"], "じ": ["ji", "zi"], "ち": ["chi", "ti"], "ぢ": ["dzi", "dji", "ji", "di", "zi"], "つ": ["tsu", "tu"], "づ": ["dzu", "du", "zu"], "ふ": ["fu", "hu"]}
+REST = {"や": ["ya"], "ゆ": ["yu"], "よ": ["yo"], "わ": ["wa"], "ゐ": ["i", "wi"], "ゑ": ["e", "we"], "を": ["o", "wo"], "ん": ["n'", "n", "m"]}
+SOFT = {"し": ["sh", "sy"], "じ": ["zy", "j"], "ち": ["ch", "ty"], "ぢ": ["dy", "dj", "dz", "zy", "j"]}
+SMALL = {"しぃ": ["shii"], "しぇ": ["she"], "じぇ": ["je", "ze"], "ちぃ": ["chii"], "ちぇ": ["che", "te"], "てぃ": ["ti"], "ふぁ": ["fa", "ha"], "ふぉ": ["fo", "ho"], "ぷぅ": ["puu"], "みぃ": ["mii"], "りぃ": ["rii"], "るぅ": ["ruu"], "れぇ": ["re"]}
+LONG_VOWELS = {"ああ": "ā", "いい": "ī", "うう": "ū", "えい": "ē", "ええ": "ē", "おう": "ō", "おお": "ō"}
 
 
 def spellings() -> dict[str, list[str]]:
-    """Spellings of each piece of kana, the preferred first."""
-    table: dict[str, list[str]] = {k: list(v) for k, v in OWN.items()}
+    """Spellings of each piece of kana, the preferred first: rows, then long marks (the last letter again), then small っ (the first
+    letter twice) before all of them, then long vowels, plain or with a macron."""
+    table: dict[str, list[str]] = {}
+    vowels = dict(zip(ROWS[""], "aiueo"))
     for consonant, row in ROWS.items():
-        for kana, vowel in zip(row, "aiueo"):
-            table[kana] = list(dict.fromkeys([FIRST.get(kana, consonant + vowel), consonant + vowel] + (["ha", "wa"] if kana == "は" else ["he", "e"] if kana == "へ" else [])))
+        table |= {kana: OWN.get(kana, [consonant + vowel]) for kana, vowel in zip(row, "aiueo")}
         if consonant:
-            for small, vowel in zip("ゃゅょ", "auo"):
-                soft = SOFT.get(row[1])
-                table[row[1] + small] = ([soft + vowel] if soft else []) + [f"{consonant}y{vowel}"]
-    table |= {k + "ー": list(dict.fromkeys(x for s in v for x in (s + s[-1], s))) for k, v in list(table.items()) if k != "ん"}
-    table |= {"っ" + k: [("t" if s.startswith("ch") else s[0]) + s for s in v if s[0] not in "aiueo'"] or list(v) for k, v in list(table.items())}
-    return table | {k: list(v) for k, v in LONG_VOWELS.items()}
+            table |= {row[1] + small: [soft + vowel for soft in SOFT.get(row[1], [f"{consonant}y"])] for small, vowel in zip("ゃゅょ", "auo")}
+    table |= REST | SMALL
+    table |= {kana + "ー": [x + x[-1] for x in found] for kana, found in table.items()}
+    table |= {"っ" + kana: [x[0] + x for x in found] for kana, found in table.items()}
+    return table | {kana: [vowels[kana[0]] + vowels[kana[1]], macron] for kana, macron in LONG_VOWELS.items()}
 
 
 def accepts(kana: str, latin: str) -> bool:

@@ -13,21 +13,27 @@ from pyspark.sql import functions as F
 POS = ("raw", "adj-i", "v1", "v1-s", "vk", "masu", "desu", "v5k", "v5g", "v5k-s", "vs-i", "vs-s", "v5s", "v5r", "v5t", "v5u", "v5u-s", "v5r-i", "v5aru", "v5n", "v5b", "v5m")
 BIT = {name: 1 << n for n, name in enumerate(POS)}
 ANY = (1 << len(POS)) - 1
-#: class: (dictionary, a-row, i-row, e-row, o-row endings, and the joined form before -te or -ta)
-GODAN = {
-    "v5u": ("う", "わ", "い", "え", "お", "って"),
-    "v5k": ("く", "か", "き", "け", "こ", "いて"),
-    "v5g": ("ぐ", "が", "ぎ", "げ", "ご", "いで"),
-    "v5s": ("す", "さ", "し", "せ", "そ", "して"),
-    "v5t": ("つ", "た", "ち", "て", "と", "って"),
-    "v5n": ("ぬ", "な", "に", "ね", "の", "んで"),
-    "v5b": ("ぶ", "ば", "び", "べ", "ぼ", "んで"),
-    "v5m": ("む", "ま", "み", "め", "も", "んで"),
-    "v5r": ("る", "ら", "り", "れ", "ろ", "って"),
-}
-STEMS = "いきぎしじちにひびみりえけげせぜてでねへべめれ"
+#: row: (dictionary, a-row, i-row, e-row, o-row endings, classes)
+GODAN = (
+    ("う", "わ", "い", "え", "お", ("v5u", "v5u-s")),
+    ("く", "か", "き", "け", "こ", ("v5k", "v5k-s")),
+    ("ぐ", "が", "ぎ", "げ", "ご", ("v5g",)),
+    ("す", "さ", "し", "せ", "そ", ("v5s",)),
+    ("つ", "た", "ち", "て", "と", ("v5t",)),
+    ("ぬ", "な", "に", "ね", "の", ("v5n",)),
+    ("ぶ", "ば", "び", "べ", "ぼ", ("v5b",)),
+    ("む", "ま", "み", "め", "も", ("v5m",)),
+    ("る", "ら", "り", "れ", "ろ", ("v5r", "v5r-i", "v5aru")),
+)
+#: The form before -te and -ta, which differs from class to class: (dictionary ending, joined form, classes)
+JOINED = (
+    ("う", "って", ("v5u",)), ("う", "うて", ("v5u-s",)), ("く", "いて", ("v5k",)), ("く", "って", ("v5k-s",)), ("ぐ", "いで", ("v5g",)), ("す", "して", ("v5s",)),
+    ("つ", "って", ("v5t",)), ("ぬ", "んで", ("v5n",)), ("ぶ", "んで", ("v5b",)), ("む", "んで", ("v5m",)), ("る", "って", ("v5r", "v5r-i", "v5aru")),
+)
+#: Classes that some forms leave out or add.
+NEGATIVE_OF_RU, STEM_OF_RU, STEM_OF_U = ("v5r", "v5aru"), ("v5r", "v5r-i"), ("v5u", "v5u-s", "v5aru")
+STEMS = "いえきぎけげじせぜちてでにねひびへべみめりれ"
 SCHEMA = "suffix string, new_suffix string, source_mask int, target_mask int, reason string, rule_rank int"
-LONGEST = 5
 
 
 def _mask(*names: str) -> int:
@@ -35,56 +41,52 @@ def _mask(*names: str) -> int:
 
 
 def japanese_rules() -> list[tuple[str, str, int, int, str, int]]:
-    """Rules of Japanese from the paradigms of verbs and adjectives, ranked by length of suffix, suffix, and order here."""
-    one = _mask("v1", "v1-s", "vk")
-    plain = _mask("v1", "v1-s")
+    """Rules of Japanese from the paradigms of verbs and adjectives, ranked by length of suffix, suffix, and order here.
+
+    The source names what a word must be to be undone further; an input itself is taken by every rule."""
     raw: list[tuple[str, str, int, int, str]] = []
 
-    def rule(suffix: str, new: str, source: int, target: int, reason: str) -> None:
-        raw.append((suffix, new, source, target, reason))
-
-    r = BIT["raw"]
-    for suffix in ("ませんでした", "ましょう", "ました", "ません"):
-        if len(suffix) <= LONGEST:
-            rule(suffix, "ます", r, BIT["masu"], {"ましょう": "volitional", "ました": "past", "ません": "negative"}[suffix])
-    rule("でした", "です", r, BIT["desu"], "past")
-    for name, (u, a, i, e, o, te) in GODAN.items():
-        own = BIT[name]
-        rule(e, u, r, own, "imperative")
-        rule(e + "ば", u, r, own, "-ba")
-        rule(o + "う", u, r, own, "volitional")
-        rule(te, u, r, own, "-te")
-        past = te[:-1] + {"て": "た", "で": "だ"}[te[-1]]
-        rule(past, u, r, own, "past")
-        rule(past + "ら", u, r, own, "-tara")
-        rule(past + "り", u, r, own, "-tari")
-        rule(a + "ない", u, BIT["adj-i"] | r, own, "negative")
-        rule(a + "ず", u, r, own, "-zu")
-        rule(a + "ぬ", u, r, own, "archaic negative")
-        rule(a + "ん", u, r, own, "casual negative")
-        rule(a + "れる", u, plain | r, own, "passive")
-        rule(a + "せる", u, plain | r, own, "causative")
-        rule(a + "す", u, BIT["v5s"] | r, own, "informal causative")
-        rule(e + "る", u, plain | r, own, "potential")
-        rule(i, u, r, own, "masu stem")
-    for suffix, new, source, reason in (("ろ", "る", r, "imperative"), ("よ", "る", r, "imperative"), ("れば", "る", r, "-ba"), ("よう", "る", r, "volitional"), ("て", "る", r, "-te"), ("た", "る", r, "past"), ("たら", "る", r, "-tara"), ("たり", "る", r, "-tari"), ("ない", "る", BIT["adj-i"] | r, "negative"), ("ず", "る", r, "-zu"), ("ぬ", "る", r, "archaic negative"), ("ん", "る", r, "casual negative"), ("られる", "る", plain | r, "potential or passive"), ("させる", "る", plain | r, "causative"), ("さす", "る", BIT["v5s"] | r, "informal causative")):
-        rule(suffix, new, source, one if reason in ("-te", "past", "-tara", "-tari", "-ba", "negative", "-zu") else plain, reason)
+    def rules(new: str, classes: tuple[str, ...], *forms: tuple[str, tuple[str, ...], str]) -> None:
+        for suffix, sources, reason in forms:
+            raw.append((suffix, new, _mask(*sources), _mask(*classes), reason))
+
+    r, one, adjective, causing = ("raw",), ("v1", "v1-s"), ("adj-i",), ("v5s",)
+    rules("ない", adjective, ("ありません", r, "polite"))
+    rules("ます", ("masu",), ("ましたり", r, "-tari"), ("ましょう", r, "volitional"), ("ました", r, "past"), ("ません", r, "negative"))
+    rules("です", ("desu",), ("でしたら", r, "-tara"), ("でしたり", r, "-tari"), ("でした", r, "past"))
+    for u, te, own in JOINED:
+        ta = te[:-1] + {"て": "た", "で": "だ"}[te[-1]]
+        rules(u, own, (te, r, "-te"), (ta, r, "past"), (ta + "ら", r, "-tara"), (ta + "り", r, "-tari"))
+    for u, a, i, e, o, own in GODAN:
+        negative, stem = (NEGATIVE_OF_RU, STEM_OF_RU) if u == "る" else (own, STEM_OF_U if u == "う" else own)
+        rules(u, own, (a + "せる", one, "causative"), (a + "れる", one, "passive"), (a + "す", causing, "informal causative"))
+        rules(u, own, (a + "ず", r, "-zu"), (a + "ぬ", r, "archaic negative"), (o + "う", r, "volitional"), (e, r, "imperative"))
+        rules(u, negative, (a + "ない", adjective, "negative"), (a + "ん", r, "casual negative"))
+        rules(u, stem, (i, r, "masu stem"))
+        if u != "る":
+            rules(u, own, (e + "ば", r, "-ba"), (e + "る", one, "potential"))
+    every = (*one, "vk")
+    rules("る", ("v1", "v1-s", "v5r", "v5r-i", "v5aru", "vk", "vs-i", "vs-s"), ("れば", r, "-ba"))
+    rules("る", ("v1", "v1-s", "v5r", "v5r-i", "v5aru"), ("れる", one, "potential"))
+    rules("る", every, ("たら", r, "-tara"), ("たり", r, "-tari"), ("た", r, "past"), ("て", r, "-te"), ("ない", adjective, "negative"), ("よう", r, "volitional"), ("ず", r, "-zu"), ("ん", r, "casual negative"))
+    rules("る", every, ("ぬ", r, "archaic negative"), ("させる", one, "causative"), ("られる", one, "potential or passive"), ("さす", causing, "informal causative"))
+    rules("る", ("vk",), ("い", r, "imperative"))
+    rules("る", one, ("よ", r, "imperative"))
+    rules("る", ("v1",), ("ろ", r, "imperative"))
+    rules("れる", ("v1-s",), ("れ", r, "imperative"))
     for stem in STEMS:
-        rule(stem, stem + "る", r, plain, "masu stem")
-    suru = _mask("vs-i", "vs-s")
-    for suffix, source, reason in (("した", r, "past"), ("して", r, "-te"), ("したら", r, "-tara"), ("したり", r, "-tari"), ("しない", BIT["adj-i"] | r, "negative"), ("しろ", r, "imperative"), ("せよ", r, "imperative"), ("しよう", r, "volitional"), ("すれば", r, "-ba"), ("せず", r, "-zu"), ("される", plain | r, "passive"), ("させる", plain | r, "causative"), ("し", r, "masu stem")):
-        rule(suffix, "する", source, suru, reason)
-    for suffix, source, reason in (("きた", r, "past"), ("きて", r, "-te"), ("きたら", r, "-tara"), ("こない", BIT["adj-i"] | r, "negative"), ("こい", r, "imperative"), ("こよう", r, "volitional"), ("くれば", r, "-ba"), ("こられる", plain | r, "potential or passive"), ("こさせる", plain | r, "causative"), ("き", r, "masu stem")):
-        rule(suffix, "くる", source, BIT["vk"], reason)
-    for suffix, source, reason in (("かった", r, "past"), ("くて", r, "-te"), ("かったら", r, "-tara"), ("かったり", r, "-tari"), ("くない", BIT["adj-i"] | r, "negative"), ("ければ", r, "-ba"), ("かろう", r, "volitional"), ("く", r, "adv"), ("さ", r, "noun")):
-        rule(suffix, "い", source, BIT["adj-i"], reason)
-    for suffix, reason in (("って", "-te"), ("った", "past"), ("ったら", "-tara"), ("ったり", "-tari")):
-        rule(suffix, "く", r, BIT["v5k-s"], reason)
-    for suffix, reason in (("うて", "-te"), ("うた", "past"), ("うたら", "-tara"), ("うたり", "-tari")):
-        rule(suffix, "う", r, BIT["v5u-s"], reason)
-    for suffix, reason in (("い", "masu stem"), ("い", "imperative")):
-        rule(suffix, "る", r, BIT["v5aru"], reason)
-    rule("ない", "ある", BIT["adj-i"] | r, BIT["v5r-i"], "negative")
+        rules(stem + "る", one, (stem, r, "masu stem"))
+    suru = ("vs-i", "vs-s")
+    rules("する", suru, ("した", r, "past"), ("して", r, "-te"), ("したら", r, "-tara"), ("したり", r, "-tari"), ("しない", adjective, "negative"), ("しろ", r, "imperative"), ("せよ", r, "imperative"))
+    rules("する", suru, ("しよう", r, "volitional"), ("せず", r, "-zu"), ("せぬ", r, "archaic negative"), ("せん", r, "casual negative"), ("し", r, "masu stem"))
+    rules("する", suru, ("される", one, "passive"), ("させる", one, "causative"), ("さす", causing, "informal causative"))
+    rules("する", ("vs-s",), ("さない", adjective, "negative"), ("しえる", ("v1",), "potential"), ("しうる", ("v5r",), "potential"))
+    rules("する", ("vs-i",), ("できる", ("v1",), "potential"))
+    rules("くる", ("vk",), ("きた", r, "past"), ("きて", r, "-te"), ("きたら", r, "-tara"), ("きたり", r, "-tari"), ("こない", adjective, "negative"), ("こい", r, "imperative"), ("こよう", r, "volitional"))
+    rules("くる", ("vk",), ("こず", r, "-zu"), ("き", r, "masu stem"), ("これる", one, "potential"), ("こられる", one, "potential or passive"), ("こさせる", one, "causative"))
+    rules("来る", ("vk",), ("来れる", one, "potential"), ("来", r, "masu stem"))
+    rules("い", adjective, ("かった", r, "past"), ("くて", r, "-te"), ("かったら", r, "-tara"), ("かったり", r, "-tari"), ("くない", adjective, "negative"), ("ければ", r, "-ba"), ("く", r, "adv"), ("さ", r, "noun"))
+    rules("ある", ("v5r-i",), ("ない", adjective, "negative"))
     order = sorted(range(len(raw)), key=lambda n: (-len(raw[n][0]), raw[n][0], n))
     return [(*raw[n], rank) for rank, n in enumerate(order)]
 
@@ -119,13 +121,27 @@ def one_step(words: DataFrame, rules: list[tuple]) -> DataFrame:
     ).filter("word <> ''")
 
 
-def closure(words: DataFrame, rules: list[tuple], depth: int = 6) -> DataFrame:
-    """All candidates of ``words`` (w) within ``depth`` steps, duplicates kept; ``path`` gives the order of discovery.
+def closure(words: DataFrame, rules: list[tuple], depth: int | None = None, kept: list[DataFrame] | None = None) -> DataFrame:
+    """All candidates of ``words`` (w) that chains of rules reach, duplicates kept; ``path`` gives the order of discovery.
 
-    Only rules whose source meets a candidate's mask go on, so each step is smaller than the one before."""
+    Without ``depth``, steps go on until one finds nothing: each is kept by Spark while the next is made of it, so a step is computed
+    once; ``kept`` collects these steps for callers that free them. Rules must not undo each other without end (the tables here take at least a letter, or lead to a mask that no rule takes).
+    With ``depth``, the plan is lazy and has that many steps. Only rules whose source meets a candidate's mask go on, so each step is
+    smaller than the one before."""
     start = words.select("w", F.col("w").alias("word"), F.lit((1 << 31) - 1).alias("mask"), F.lit(0).alias("depth"), F.expr("cast(array() as array<int>)").alias("path"), F.lit("").alias("reasons"))
-    step, found = one_step(start, rules), None
-    for _ in range(depth):
-        found = step if found is None else found.unionByName(step)
-        step = one_step(step, rules)
+    live = 0
+    for rule in rules:
+        live |= rule[2]
+    kept = [] if kept is None else kept
+    step = one_step(start, rules)
+    if depth is None:
+        kept.append(step := step.persist())
+    found, steps = step, 1
+    while steps != depth:
+        step = one_step(step.filter(F.col("mask").bitwiseAND(F.lit(live)) != 0), rules)
+        if depth is None:
+            kept.append(step := step.persist())
+            if step.isEmpty():
+                break
+        found, steps = found.unionByName(step), steps + 1
     return found

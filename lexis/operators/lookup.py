@@ -38,10 +38,12 @@ def direct_hits(inputs: DataFrame, index: DataFrame, is_name: bool) -> DataFrame
     return found.select("w", "entry_id", F.col("n").alias("match_len"), F.lit(is_name).alias("is_name"), F.lit("").alias("reasons"), F.lit(0).alias("depth"), F.expr("cast(array() as array<int>)").alias("path"), "key")
 
 
-def derived_hits(inputs: DataFrame, index: DataFrame, rules: list[tuple], depth: int = 3) -> DataFrame:
-    """Hits of what rules make of beginnings; an entry must share a part of speech with the candidate. Beginnings are made distinct first."""
+def derived_hits(inputs: DataFrame, index: DataFrame, rules: list[tuple], depth: int | None = None, kept: list[DataFrame] | None = None) -> DataFrame:
+    """Hits of what rules make of beginnings; an entry must share a part of speech with the candidate. Beginnings are made distinct first.
+
+    Chains of rules go on to their end, or to ``depth`` steps if it is given."""
     begins = prefixes(inputs)
-    candidates = closure(begins.select(F.col("prefix").alias("w")).distinct(), rules, depth)
+    candidates = closure(begins.select(F.col("prefix").alias("w")).distinct(), rules, depth, kept)
     hits = candidates.join(index, candidates["word"] == index["key"]).filter((F.col("mask") == 0) | (F.col("mask").bitwiseAND(F.col("pos_mask")) != 0))
     hits = hits.select(F.col("w").alias("prefix"), "entry_id", "reasons", "depth", "path", "key")
     return begins.join(hits, "prefix").select("w", "entry_id", F.col("n").alias("match_len"), F.lit(False).alias("is_name"), "reasons", "depth", "path", "key")
@@ -64,10 +66,10 @@ def materialised(hits: DataFrame, entries: DataFrame) -> DataFrame:
     return hits.join(entries, ["entry_id", "is_name"])
 
 
-def lookup(inputs: DataFrame, words: DataFrame, names: DataFrame | None, rules: list[tuple], depth: int = 3, limit: int = LIMIT) -> DataFrame:
+def lookup(inputs: DataFrame, words: DataFrame, names: DataFrame | None, rules: list[tuple], depth: int | None = None, limit: int = LIMIT, kept: list[DataFrame] | None = None) -> DataFrame:
     """Ranked hits of distinct inputs (w) in words, through rules, and in names."""
     inputs = inputs.select("w").distinct()
-    hits = direct_hits(inputs, words, False).unionByName(derived_hits(inputs, words, rules, depth))
+    hits = direct_hits(inputs, words, False).unionByName(derived_hits(inputs, words, rules, depth, kept))
     if names is not None:
         hits = hits.unionByName(direct_hits(inputs, names, True))
     return ranked(first_wins(hits), limit)

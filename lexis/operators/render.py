@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NAME_TYPES = {"s": "surname", "p": "place", "u": "person", "g": "given", "f": "female", "m": "male", "h": "full", "c": "company", "o": "organization", "r": "product", "t": "station", "w": "work"}
+# The codes of name types and their texts.
+NAME_TYPES = {
+    "a": "place",
+    "c": "company",
+    "d": "product",
+    "f": "female given name or forename",
+    "g": "given name or forename, gender not specified",
+    "m": "male given name or forename",
+    "n": "family or surname",
+    "o": "organization",
+    "p": "full name of a particular person",
+    "s": "railway station",
+    "u": "unclassified name",
+    "w": "work of art, literature, music, etc. name",
+}
 VISIBLE = 2
 
 

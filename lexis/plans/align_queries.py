@@ -16,6 +16,21 @@ def unique_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.unique_links(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
 
 
+@query("SELECT * FROM (VALUES (5::BIGINT, 15::BIGINT), (6, 15)) t(a, b)")
+def unique_mapping_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hand-made links, of which the given tables have none: only 5 and 6 have one target."""
+    links = inline(spark, [x[:2] for x in LINKS] + [(5, 15), (5, 15), (6, 15), (4, 13)], "a bigint, b bigint")
+    return alignment.unique_links(links, "a", "b").orderBy("a")
+
+
+@query("SELECT * FROM (VALUES (2::BIGINT, 7::BIGINT), (5, 9)) t(id, target)")
+def anti_rescue_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hand-made: 1 is linked already, 3 has two targets, 4 has no target in the index."""
+    rows = inline(spark, [(1, "x"), (2, "x"), (3, "y"), (4, "z"), (5, "v"), (6, None)], "id bigint, surface_text string")
+    index = inline(spark, [("x", 7), ("x", 7), ("y", 1), ("y", 2), ("v", 9), (None, 3)], "surface string, target bigint")
+    return alignment.rescued(rows, inline(spark, [(1,)], "id bigint"), "id", "surface_text", index)
+
+
 @query("""WITH e AS (SELECT DISTINCT c_custkey, c_nationkey FROM customer WHERE c_custkey % 3 = 0 UNION SELECT o_custkey, o_orderkey % 40 FROM orders), d AS (SELECT c_nationkey, count(*) AS d FROM e GROUP BY 1)
 SELECT c_custkey, CASE WHEN count(*) = 1 THEN 'one' WHEN max(d) = 1 THEN 'star' ELSE 'ambiguous' END AS kind, count(*) AS n FROM e JOIN d USING (c_nationkey) GROUP BY c_custkey""")
 def mapping_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,12 +96,13 @@ def length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.length_stats(table(spark, sf_dir, "documents"), "text")
 
 
-CODES = [("s",), ("p",), ("u",), ("w",), (";",), ("t",)]
+#: By hand: codes and texts; the last two are unknown.
+CODES = [("a", "place"), ("c", "company"), ("d", "product"), ("f", "female given name or forename"), ("m", "male given name or forename"), ("n", "family or surname"), ("o", "organization"), ("p", "full name of a particular person"), ("s", "railway station"), ("u", "unclassified name"), ("x", "x"), ("", "")]
 
 
-@query(f"SELECT code, CASE code {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in render.NAME_TYPES.items())} ELSE code END AS text FROM (VALUES {values(CODES)}) t(code)")
+@query(f"SELECT * FROM (VALUES {values(CODES)}) t(code, text)")
 def name_type_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inline(spark, CODES, "code string").select("code", render.name_type("code").alias("text"))
+    return inline(spark, [x[:1] for x in CODES], "code string").select("code", render.name_type("code").alias("text"))
 
 
 SHOWN = [(1, "かんじ", "かんじ", False, ["漢字", "感じ"], ["かんじ", "カンジ", "べつ"]), (2, "漢字", "漢字", False, ["漢字", "感じ"], ["かんじ"]), (3, "たなか", "たなか", True, ["田中"], ["たなか"]), (4, "不明", "不明", False, ["明白"], ["めいはく"])]
@@ -135,13 +136,41 @@ def render_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.rows_html(inline(spark, HITS, "w string, rnk int, kanji string, reading string, reasons string, pos string, senses array<string>"))
 
 
-GLOSSES = [(1, "たなか", "Tanaka"), (2, "とうきょう", "Tokyo Tower"), (3, "みはる", "Miharu"), (4, "さくら", "cherry blossom"), (5, "かとう", "Kato")]
-ROMANISED = [1, 3]
+#: By hand: types, glosses, readings and the text.
+GLOSSES = [
+    (1, ["surname"], ["Tanaka"], ["たなか"], "n"),
+    (2, ["place"], ["Tokyo Tower"], ["とうきょう"], "a;Tokyo Tower"),
+    (3, ["fem", "given"], ["Miharu"], ["みはる"], "f,g"),
+    (4, ["fem"], ["Miharu", "Spring"], ["みはる"], "f;Miharu; Spring"),
+    (5, ["surname"], ["Kato"], ["かとう", "カトー"], "n;Kato"),
+    (6, ["place"], ["Ōsaka"], ["おおさか"], "a"),
+    (7, ["station"], ["Cheko"], ["チェコ"], "s"),
+    (8, ["unclass"], ["Tana-ka"], ["たなか"], "u;Tana-ka"),
+    (9, ["person", "place"], ["Kato"], ["かとう"], "p,a;Kato"),
+]
+_GLOSSES = ", ".join(f"({i}, {_duck(t)}, {_duck(g)}, {_duck(r)}, '{x}')" for i, t, g, r, x in GLOSSES)
 
 
-@query(f"SELECT CAST(entry_id AS BIGINT) AS entry_id, gloss FROM (VALUES {values(GLOSSES)}) t(entry_id, reading, gloss) WHERE entry_id NOT IN ({', '.join(map(str, ROMANISED))})")
+@query(f"SELECT CAST(e AS BIGINT) AS entry_id, x AS text FROM (VALUES {_GLOSSES}) t(e, t, g, r, x)")
 def redundant_gloss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entries.without_romanised(inline(spark, GLOSSES, "entry_id bigint, reading string, gloss string")).select("entry_id", "gloss")
+    names = inline(spark, [x[:4] for x in GLOSSES], "entry_id bigint, types array<string>, glosses array<string>, readings array<string>")
+    return entries.translation_text(names).select("entry_id", "text")
+
+
+#: By hand: restrictions, note, glosses and the text.
+SENSES = [
+    (1, [], [], None, ["plain", "frank"], "plain; frank"),
+    (2, ["明白"], [], None, ["plain"], "(only 明白) plain"),
+    (3, ["漢字", "感じ"], ["かんじ"], "note", ["a", "b"], "(only 漢字,感じ,かんじ) (note) a; b"),
+    (4, None, ["かんじ"], "", ["a"], "(only かんじ) a"),
+    (5, None, None, "often neg.", ["a"], "(often neg.) a"),
+]
+
+
+@query(f"SELECT CAST(e AS BIGINT) AS entry_id, x AS text FROM (VALUES {values([(x[0], x[5]) for x in SENSES])}) t(e, x)")
+def sense_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    senses = inline(spark, [x[:5] for x in SENSES], "entry_id bigint, only_kanjis array<string>, only_readings array<string>, info string, glosses array<string>")
+    return entries.sense_text(senses).select("entry_id", "text")
 
 
 USUAL = [(1, "かんじ", True, None), (1, "カンジ", True, ["かんじ"]), (2, "いい", False, None), (3, "この", True, ["この", "こ"])]

@@ -10,7 +10,15 @@ from lexis.plans.registry import inline, query, table, values
 
 WORDS = [("ｽﾋﾟｰｶ",), ("開発センター",), ("ぶっとおし",), ("カタカナ",), ("ｶﾞｷﾞｸﾞ",), ("ﾊﾟﾝ",), ("オオカミ",), ("づつを",), ("こおりー",), ("セーラー",), ("ー",), ("ﾞ",), ("𠮟る",), ("abcｱ",), ("",)]
 PAIRS = [("スピーカ", "すぴいか"), ("ひらがな", "ヒラガナ"), ("センター", "せんたあ"), ("あ", "い"), ("ｶﾞ", "が")]
-LATIN = [("みはる", "Miharu"), ("しんじゅく", "shinjuku"), ("っか", "kka"), ("みはる", "mihari"), ("けいこ", "keiko"), ("ちば", "tiba"), ("きゃく", "kyaku"), ("ぎゅうにゅう", "gyuunyuu"), ("か", "k"), ("まっちゃ", "matcha")]
+#: By hand: kana, Latin, and whether it is accepted.
+LATIN = [
+    ("みはる", "Miharu", True), ("しんじゅく", "shinjuku", True), ("っか", "kka", True), ("みはる", "mihari", False), ("けいこ", "keiko", True), ("けいこ", "kēko", False), ("えいこ", "ēko", True),
+    ("ちば", "tiba", True), ("きゃく", "kyaku", True), ("ぎゅうにゅう", "gyuunyuu", True), ("か", "k", False), ("まっちゃ", "maccha", True), ("まっちゃ", "mattya", True), ("まっちゃ", "matcha", False),
+    ("おおさか", "ōsaka", True), ("おおさか", "oosaka", True), ("おおさか", "osaka", False), ("とうきょう", "toukyou", True), ("とうきょう", "tōkyō", False), ("しぇり", "sheri", True), ("ちぇこ", "cheko", True), ("ふぁん", "fan", True),
+    ("らーめん", "raamen", True), ("らーめん", "ramen", False), ("しんばし", "shimbashi", True), ("ゐど", "ido", True), ("ゐど", "wido", True), ("じゃ", "ja", True), ("づつ", "dzutsu", True), ("は", "wa", False),
+]
+#: By hand: words and their folds.
+FOLDED = [("ヰー", "ゐい"), ("ヱー", "ゑい"), ("スピーカ", "すぴいか"), ("センター", "せんたあ"), ("セーラー", "せいらあ"), ("ｶﾞｷﾞｸﾞ", "がぎぐ"), ("ﾊﾟﾝ", "ぱん"), ("コーヒー", "こうひい"), ("ｺｰﾋｰ", "こうひい"), ("ァー", "ぁー"), ("ンー", "んー"), ("ー", "ー"), ("ｳﾞ", "ゔ"), ("abc", "abc")]
 
 
 @query(f"""SELECT w AS word, {kana.folded_duckdb('w')} AS folded, CAST(list_sum(list_transform(string_split(w || 'x', ''), lambda c: CASE WHEN unicode(c) > 65535 THEN 2 ELSE 1 END)) - 1 AS BIGINT) AS n_units FROM (VALUES {values(WORDS)}) t(w)""")
@@ -54,14 +62,12 @@ def codepoint_vs_utf16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("w", F.length("w").cast("bigint").alias("n_cp"), kana.utf16_length("w").alias("n_u16"), F.expr("if(length(w) > 0, substring(w, 1, length(w) - 1), '')").alias("drop_last"), F.row_number().over(Window.orderBy("w")).cast("bigint").alias("place"))
 
 
-@query(f"""WITH RECURSIVE t(kana, sp) AS (VALUES {values(romaji.pairs())}), s AS (SELECT kana, sp, row_number() OVER () AS n FROM t),
-p(k, l) AS (VALUES {values(LATIN)}),
-r(k, l, rk, rl, ok) AS (
-  SELECT k, l, k, lower(l), length(l) >= length(k) FROM p
-  UNION ALL
-  SELECT k, l, substring(rk, length(best) - length(sp) + 1), substring(rl, length(sp) + 1), TRUE FROM (
-    SELECT r.k, r.l, r.rk, r.rl, s.sp, s.kana || s.sp AS best, row_number() OVER (PARTITION BY r.k, r.l, r.rk ORDER BY length(s.kana) DESC, s.n) AS rn
-    FROM r JOIN s ON r.ok AND r.rk <> '' AND starts_with(r.rk, s.kana) AND starts_with(r.rl, s.sp)) WHERE rn = 1)
-SELECT p.k AS kana, p.l AS latin, coalesce(bool_or(r.ok AND r.rk = '' AND r.rl = ''), FALSE) AS ok FROM p LEFT JOIN r ON p.k = r.k AND p.l = r.l GROUP BY p.k, p.l""")
+@query(f"SELECT * FROM (VALUES {values(LATIN)}) t(kana, latin, ok)")
 def romaji_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inline(spark, LATIN, "kana string, latin string").select("kana", "latin", romaji.is_romanisation("kana", "latin").alias("ok"))
+    given = inline(spark, [x[:2] for x in LATIN], "kana string, latin string")
+    return given.select("kana", "latin", romaji.is_romanisation("kana", "latin").alias("ok"))
+
+
+@query(f"SELECT * FROM (VALUES {values(FOLDED)}) t(word, folded)")
+def fold_kana_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inline(spark, [x[:1] for x in FOLDED], "word string").select("word", kana.folded("word").alias("folded"))

@@ -17,6 +17,9 @@ def start(texts: DataFrame, words: DataFrame, names: DataFrame | None, rules: li
     has the same number and the same hits."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        sink(lookup.lookup(lookup.tokens(rows.select("text")), words, names, rules), number)
+        kept: list[DataFrame] = []
+        sink(lookup.lookup(lookup.tokens(rows.select("text")), words, names, rules, kept=kept), number)
+        for step in kept:
+            step.unpersist()
 
     return texts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
