@@ -5,20 +5,37 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexis.functions.kana import KEY_STEP, QUERY_STEP, folded
-from lexis.operators import lookup, render
+from lexis.operators import build, lookup, render
 from lexis.options import Options
+from lexis.sources import xml_entries
 
 
 @dataclass
 class Dictionary:
-    """``words`` and ``names`` are indexes (key, entry_id, pos_mask); ``rules`` a bounded list as the inflection module makes it."""
+    """``words`` and ``names`` are indexes (key, entry_id, pos_mask); ``rules`` a bounded list as the inflection module makes it;
+    ``entries`` the contents (entry_id, is_name, kanjis, readings, groups), for rendering."""
 
     words: DataFrame
     names: DataFrame | None
     rules: list[tuple]
     options: Options = Options()
+    entries: DataFrame | None = None
+
+    @staticmethod
+    def build(elements: DataFrame, rules: list[tuple], options: Options = Options(), known: dict[str, list[str]] | None = None) -> Dictionary:
+        """A dictionary from entry elements (xml), words and names; ``known`` gives kanjis' readings for spelling variations."""
+        parsed = xml_entries.parsed(elements)
+        words, names = build.words_of(parsed), build.names_of(parsed)
+        entries = words.withColumn("is_name", F.lit(False)).unionByName(names.withColumn("is_name", F.lit(True)))
+        return Dictionary(build.index_of(words, known=known), build.index_of(names), rules, options, entries)
+
+    def save(self, path: str) -> None:
+        """What ``load`` reads."""
+        for name in ("words", "names", "entries"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @staticmethod
     def index(texts: DataFrame) -> DataFrame:
@@ -27,7 +44,7 @@ class Dictionary:
 
     @staticmethod
     def load(spark: SparkSession, path: str, rules: list[tuple], options: Options = Options()) -> Dictionary:
-        return Dictionary(spark.read.parquet(f"{path}/words"), spark.read.parquet(f"{path}/names"), rules, options)
+        return Dictionary(spark.read.parquet(f"{path}/words"), spark.read.parquet(f"{path}/names"), rules, options, spark.read.parquet(f"{path}/entries"))
 
     def lookup(self, texts: DataFrame) -> DataFrame:
         """Ranked hits of the folded ``texts`` (text)."""
@@ -35,5 +52,6 @@ class Dictionary:
         names = self.names if self.options.use_names else None
         return lookup.lookup(inputs, self.words, names, self.rules, self.options.depth, self.options.limit)
 
-    def render(self, hits: DataFrame) -> DataFrame:
-        return render.rows_html(hits, self.options.escape)
+    def render(self, hits: DataFrame, reviewed: DataFrame | None = None) -> DataFrame:
+        """(w, html) of ranked hits: their entries' contents, joined after ranking; ``reviewed`` lists ids (id) of entries under review."""
+        return render.entries_html(lookup.materialised(hits, self.entries), reviewed, self.options.escape, self.options.visible)

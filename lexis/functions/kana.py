@@ -53,8 +53,12 @@ LOOSE_STEP = f"""concat(acc, CASE
   ELSE {_MERGED} END)"""
 
 
+def folded_sql(column: str, step: str = QUERY_STEP) -> str:
+    return f"aggregate(filter(split({column}, ''), c -> c <> ''), '', (acc, c) -> {step})"
+
+
 def folded(column: str, step: str = QUERY_STEP) -> Column:
-    return F.expr(f"aggregate(filter(split({column}, ''), c -> c <> ''), '', (acc, c) -> {step})")
+    return F.expr(folded_sql(column, step))
 
 
 def folded_duckdb(column: str, step: str = QUERY_STEP) -> str:

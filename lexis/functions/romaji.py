@@ -51,13 +51,18 @@ def accepts(kana: str, latin: str) -> bool:
     return not latin
 
 
-def is_romanisation(kana: str, latin: str) -> Column:
-    """Whether the column ``latin`` spells the column ``kana``, as a fold inside the row."""
+def romanisation_sql(kana: str, latin: str) -> str:
+    """SQL that tells whether the expression ``latin`` spells the expression ``kana``, as a fold inside the row."""
     table = spellings()
     entries = ", ".join(f"'{k}', array({', '.join(chr(39) + x.replace(chr(39), chr(92) + chr(39)) + chr(39) for x in v)})" for k, v in table.items())
-    best = "coalesce(" + ", ".join(f"if(length(s.k) >= {n}, get(transform(slice(filter(try_element_at(t, left(s.k, {n})), x -> startswith(s.l, x)), 1, 1), x -> named_struct('k', substring(s.k, {n + 1}), 'l', substring(s.l, length(x) + 1), 'ok', true)), 0), null)" for n in range(4, 0, -1)) + ", named_struct('k', '', 'l', s.l, 'ok', false))"
+    best = "coalesce(" + ", ".join(f"if(length(s.k) >= {n}, get(transform(slice(filter(try_element_at(spelt, left(s.k, {n})), x -> startswith(s.l, x)), 1, 1), x -> named_struct('k', substring(s.k, {n + 1}), 'l', substring(s.l, length(x) + 1), 'ok', true)), 0), null)" for n in range(4, 0, -1)) + ", named_struct('k', '', 'l', s.l, 'ok', false))"
     fold = f"aggregate(sequence(1, greatest(1, length({kana}))), named_struct('k', {kana}, 'l', lower({latin}), 'ok', length({latin}) >= length({kana})), (s, i) -> if(s.ok and s.k <> '', {best}, s), s -> s.ok and s.k = '' and s.l = '')"
-    return F.expr(fold.replace("try_element_at(t,", f"try_element_at(map({entries}),"))
+    # the outer lambda names the table, so it is there once
+    return f"transform(array(map({entries})), spelt -> {fold})[0]"
+
+
+def is_romanisation(kana: str, latin: str) -> Column:
+    return F.expr(romanisation_sql(kana, latin))
 
 
 def pairs() -> list[tuple[str, str]]:

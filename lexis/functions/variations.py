@@ -44,7 +44,15 @@ def read(word: str, reading: str, known: dict[str, list[str]]) -> list[tuple[str
     return pieces
 
 
+def varies(word: str) -> bool:
+    """Whether a word is worth it: only kanjis and hiragana, two different kanjis or more, hiragana behind one, and no three kanjis in a row."""
+    kanjis = [c for c in word if "一" <= c <= "龥"]
+    return "".join(_BLOCK.findall(word)) == word and len(set(kanjis)) > 1 and re.search("[一-龥][ぁ-ゔ]", word) is not None and re.search("[一-龥]{3}", word) is None
+
+
 def of(word: str, reading: str, known: dict[str, list[str]]) -> list[str]:
+    if not varies(word):
+        return []
     pieces = read(word, reading, known)
     if pieces is None:
         return []

@@ -50,28 +50,37 @@ def length_stats(rows: DataFrame, text: str) -> DataFrame:
 TYPE_CODES = {"place": "a", "company": "c", "product": "d", "fem": "f", "given": "g", "masc": "m", "surname": "n", "organization": "o", "person": "p", "station": "s", "unclass": "u", "work": "w"}
 
 
+def _codes(types: str) -> str:
+    codes = ", ".join(f"'{k}', '{v}'" for k, v in TYPE_CODES.items())
+    return f"transform({types}, x -> coalesce(try_element_at(map({codes}), x), x))"
+
+
+def _redundant(glosses: str, readings: str) -> str:
+    from lexis.functions.kana import KEY_STEP, folded_sql
+    from lexis.functions.romaji import romanisation_sql
+
+    return f"(size({glosses}) = 1 and size({readings}) = 1 and coalesce({romanisation_sql(folded_sql(f'{readings}[0]', KEY_STEP), f'{glosses}[0]')}, false))"
+
+
 def translation_text(names: DataFrame) -> DataFrame:
     """``names`` (types, glosses, readings: arrays of strings) with ``text``: the types' codes and, behind a semicolon, the glosses.
 
     The one gloss of a name with one reading is left out if it merely romanises the reading. Types without a code stay as they are."""
-    from lexis.functions.kana import KEY_STEP, folded
-    from lexis.functions.romaji import is_romanisation
+    types = f"array_join({_codes('types')}, ',')"
+    return names.withColumn("text", F.expr(f"if({_redundant('glosses', 'readings')}, {types}, concat({types}, ';', array_join(glosses, '; ')))"))
 
-    codes = ", ".join(f"'{k}', '{v}'" for k, v in TYPE_CODES.items())
-    rows = names.withColumn("__gloss", F.when((F.size("glosses") == 1) & (F.size("readings") == 1), F.col("glosses")[0])).withColumn("__kana", folded("coalesce(readings[0], '')", KEY_STEP))
-    redundant = F.coalesce(is_romanisation("__kana", "__gloss"), F.lit(False))
-    types = f"array_join(transform(types, x -> coalesce(try_element_at(map({codes}), x), x)), ',')"
-    rows = rows.withColumn("__types", F.expr(types)).withColumn("text", F.when(redundant, F.col("__types")).otherwise(F.expr("concat(__types, ';', array_join(glosses, '; '))")))
-    return rows.drop("__gloss", "__kana", "__types")
+
+def sense_sql(only_kanjis: str, only_readings: str, info: str, glosses: str) -> str:
+    only = f"concat(coalesce({only_kanjis}, array()), coalesce({only_readings}, array()))"
+    parts = f"if(size({only}) > 0, concat('(only ', array_join({only}, ','), ')'), null), if({info} <> '', concat('(', {info}, ')'), null), array_join(coalesce({glosses}, array()), '; ')"
+    return f"concat_ws(' ', {parts})"
 
 
 def sense_text(senses: DataFrame) -> DataFrame:
     """``senses`` (only_kanjis, only_readings, info, glosses) with ``text``: what the sense is restricted to, its note, and its glosses.
 
     The restrictions are the kanjis' and readings' texts, null or empty for none."""
-    only = "concat(coalesce(only_kanjis, array()), coalesce(only_readings, array()))"
-    parts = f"if(size({only}) > 0, concat('(only ', array_join({only}, ','), ')'), null), if(info <> '', concat('(', info, ')'), null), array_join(coalesce(glosses, array()), '; ')"
-    return senses.withColumn("text", F.expr(f"concat_ws(' ', {parts})"))
+    return senses.withColumn("text", F.expr(sense_sql("only_kanjis", "only_readings", "info", "glosses")))
 
 
 def kana_readings(entries: DataFrame) -> DataFrame:

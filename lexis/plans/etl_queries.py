@@ -189,3 +189,63 @@ def table_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def xml_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xml.summary(xml.parsed(inline(spark, [(x,) for x in xml.SAMPLE], "xml string")))
+
+
+#: Elements of a small dictionary of words and names.
+ELEMENTS = [
+    ("<entry><ent_seq>10</ent_seq><k_ele><keb>食べる</keb><ke_pri>news1</ke_pri></k_ele><k_ele><keb>喰べる</keb></k_ele><r_ele><reb>たべる</reb><re_pri>news1</re_pri></r_ele><sense><pos>&v1;</pos><pos>&vt;</pos><gloss>to eat</gloss></sense><sense><stagk>喰べる</stagk><s_inf>rough</s_inf><gloss>to live on</gloss><gloss>to bite</gloss></sense></entry>",),
+    ("<entry><ent_seq>11</ent_seq><r_ele><reb>いい</reb></r_ele><sense><pos>&adj-i;</pos><gloss>good</gloss></sense><sense><pos>&n;</pos><gloss>a &lt; b</gloss></sense></entry>",),
+    ("<entry><ent_seq>12</ent_seq><k_ele><keb>取引</keb></k_ele><k_ele><keb>取り引き</keb></k_ele><r_ele><reb>とりひき</reb></r_ele><sense><pos>&n;</pos><pos>&vs-i;</pos><gloss>dealings</gloss></sense></entry>",),
+    ("<entry><ent_seq>20</ent_seq><k_ele><keb>田中</keb></k_ele><r_ele><reb>たなか</reb></r_ele><trans><name_type>&surname;</name_type><trans_det>Tanaka</trans_det></trans></entry>",),
+    ("<entry><ent_seq>21</ent_seq><k_ele><keb>田仲</keb></k_ele><r_ele><reb>たなか</reb></r_ele><trans><name_type>&surname;</name_type><trans_det>Tanaka</trans_det></trans></entry>",),
+    ("<entry><ent_seq>22</ent_seq><k_ele><keb>田中</keb></k_ele><r_ele><reb>たなか</reb></r_ele><trans><name_type>&place;</name_type><trans_det>Tanaka</trans_det></trans></entry>",),
+    ("<entry><ent_seq>23</ent_seq><r_ele><reb>スピーカ</reb></r_ele><trans><name_type>&company;</name_type><trans_det>Speaker</trans_det><trans_det>Spica</trans_det></trans></entry>",),
+]
+#: By hand: the index of the words, whose masks are v1, adj-i and vs-i, and of the names; 21 is part of 20.
+KEYS = [
+    ("食べる", 10, 4, False), ("喰べる", 10, 4, False), ("たべる", 10, 4, False), ("いい", 11, 2, False), ("取引", 12, 1024, False), ("取り引き", 12, 1024, False), ("とりひき", 12, 1024, False),
+    ("とり引き", 12, 1024, False), ("取りひき", 12, 1024, False), ("取引き", 12, 1024, False),
+    ("田中", 20, 0, True), ("田仲", 20, 0, True), ("たなか", 20, 0, True), ("田中", 22, 0, True), ("たなか", 22, 0, True), ("すぴいか", 23, 0, True),
+]
+#: By hand: entry, its kanjis, readings, and groups as parts of speech and senses.
+CONTENTS = [
+    (10, "食べる,喰べるU", "たべる", "v1,vt;to eat`(only 喰べる) (rough) to live on; to bite"), (11, "", "いい", "adj-i;good\\n;a < b"), (12, "取引,取り引き", "とりひき", "n,vs-i;dealings"),
+    (20, "田中,田仲", "たなか", "n;"), (22, "田中", "たなか", "a;"), (23, "", "スピーカ", "c;Speaker; Spica"),
+]
+#: By hand: what is typed and the rows of its table. 20 is before 22 by id; entry 10 is under review.
+TABLES = [
+    ("食べた", '<table><tr><td class="word reviewed" data-entry="10"><span class="kanji">食べる</span> <span class="readings hidden"><span class="kana">たべる</span></span> <span class="chain">(past)</span><br><div><span class="pos">v1, vt</span>; <ul class="senses hidden"><li>to eat</li><li>(only 喰べる) (rough) to live on; to bite</li></ul></div></td></tr></table>'),
+    ("いい", '<table><tr><td class="word" data-entry="11"><span class="readings"><span class="kana">いい</span></span><br><div><span class="pos">adj-i</span>; <span class="sense">good</span><br><span class="pos">n</span>; <span class="sense">a &lt; b</span></div></td></tr></table>'),
+    ("田中", '<table><tr><td class="name" data-entry="20"><span class="kanji">田中</span> <span class="readings"><span class="kana">たなか</span></span><br><div><span class="pos">family or surname</span></div></td></tr><tr><td class="name" data-entry="22"><span class="kanji">田中</span> <span class="readings"><span class="kana">たなか</span></span><br><div><span class="pos">place</span></div></td></tr></table>'),
+]
+
+
+def _dictionary(spark: SparkSession):
+    from lexis.api import Dictionary
+    from lexis.functions.variations import SAMPLE_READINGS
+    from lexis.operators.inflection import japanese_rules
+
+    return Dictionary.build(inline(spark, ELEMENTS, "xml string"), japanese_rules(), known=SAMPLE_READINGS)
+
+
+@query(f"SELECT key, CAST(entry_id AS BIGINT) AS entry_id, pos_mask, is_name FROM (VALUES {values(KEYS)}) t(key, entry_id, pos_mask, is_name)")
+def dictionary_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed index that is built from XML elements."""
+    d = _dictionary(spark)
+    return d.words.withColumn("is_name", F.lit(False)).unionByName(d.names.withColumn("is_name", F.lit(True))).select("key", "entry_id", "pos_mask", "is_name")
+
+
+@query(f"SELECT CAST(entry_id AS BIGINT) AS entry_id, kanjis, readings, content FROM (VALUES {values(CONTENTS)}) t(entry_id, kanjis, readings, content)")
+def dictionary_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries that are built from XML elements."""
+    joined = F.expr("array_join(transform(groups, g -> concat(array_join(g.pos, ','), ';', array_join(g.senses, '`'))), '\\\\')")
+    texts = [F.expr(f"array_join({codec.marked(c)}, ',')").alias(c) for c in ("kanjis", "readings")]
+    return _dictionary(spark).entries.select("entry_id", *texts, joined.alias("content"))
+
+
+@query(f"SELECT * FROM (VALUES {values(TABLES)}) t(w, html)")
+def dictionary_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From what is typed to tables, by a dictionary that is built from XML elements."""
+    d = _dictionary(spark)
+    hits = d.lookup(inline(spark, [x[:1] for x in TABLES], "text string"))
+    return d.render(hits, inline(spark, [(10,), (99,)], "id bigint"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexis.functions import codec, kana, romaji, variations
 from lexis.operators import alignment, entries, frequency, inflection, lookup, review
-from lexis.plans import catalogue
+from lexis.plans import catalogue, etl_queries
 from lexis.sources import html_text, text_files, xml_entries
 from lexis.streaming import live_lookup
 
@@ -144,6 +144,34 @@ def test_variations():
     assert variations.of("漢字", "べつ", {"漢": ["かん"], "字": ["じ"]}) == []
 
 
+def test_words_that_vary():
+    assert variations.varies("取り引き") and not any(map(variations.varies, ("取引", "取り", "カ取り引き", "人々り人", "取引所り", "")))
+    assert variations.of("取引", "とりひき", variations.SAMPLE_READINGS) == []
+
+
+def test_dictionary_is_kept(spark, tmp_path):
+    from lexis.api import Dictionary
+
+    rules = inflection.japanese_rules()
+    made = Dictionary.build(spark.createDataFrame(etl_queries.ELEMENTS, "xml string"), rules)
+    made.save(f"file://{tmp_path}/d")
+    kept = Dictionary.load(spark, f"file://{tmp_path}/d", rules)
+    texts = spark.createDataFrame([("食べられなかった",), ("タナカ",), ("すぴーか",), ("",), ("ない",)], "text string")
+    hits = kept.lookup(texts)
+    assert sorted((r.w, r.entry_id, r.reasons) for r in hits.filter("rnk = 1").collect()) == [("すぴいか", 23, ""), ("たなか", 20, ""), ("食べられなかった", 10, "past,negative,potential or passive")]
+    html = {r.w: r.html for r in kept.render(hits).collect()}
+    assert "(past,negative,potential or passive)" in html["食べられなかった"] and html["食べられなかった"].count("喰べる") == 1
+    assert html["たなか"].count("<tr") == 2 and "田" not in html["たなか"]
+    empty = Dictionary.build(spark.createDataFrame([], "xml string"), rules)
+    assert empty.entries.count() == 0 and empty.lookup(texts).count() == 0
+
+
+def test_rules_close_to_the_end(spark):
+    words = spark.createDataFrame([("ing" * 9,), ("られ" * 8 + "る",)], "w string")
+    deepest = lambda rules: inflection.closure(words, rules).agg(F.max("depth")).head()[0]
+    assert deepest([("ing", "", 3, 2, "-ing", 0)]) == 8 and deepest(inflection.japanese_rules()) >= 8
+
+
 def test_html(spark):
     page = spark.createDataFrame([(1, "<p>a<b>b</b><!-- c --><ruby>漢<rt>かん</rt></ruby> d</p><div>e</div><script>x</script>"), (2, None)], "page_id bigint, html string")
     assert [r.text for r in html_text.segments(page).orderBy("seg_ix").collect()] == ["ab漢 d", "e"]
