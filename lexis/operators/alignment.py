@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,12 +36,66 @@ def pruned_once(links: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def pruned(links: DataFrame, left: str, right: str, rounds: int = 2) -> DataFrame:
-    """Rounds from the left and from the right in turn, until the last changes nothing or ``rounds`` are done."""
+    """``rounds`` rounds, each from the left and then from the right."""
     for _ in range(rounds):
         links = pruned_once(pruned_once(links, left, right), right, left)
     return links
 
 
+def covered(links: DataFrame, left: str, right: str, left_texts: DataFrame, right_texts: DataFrame) -> DataFrame:
+    """``links`` (left, right, distinct) without those that a single cover makes superfluous.
+
+    Where exactly one of a left node's right nodes has all its texts, the node keeps that link alone. Nodes with one link, and those whose
+    right nodes have no other, stay as they are. All nodes are judged on the links as they come in. Texts are (left or right, text)."""
+    degree = links.groupBy(right).agg(F.count("*").alias("d"))
+    open_ = links.join(degree, right).groupBy(left).agg(F.count("*").alias("n"), F.max("d").alias("m")).filter("n > 1 and m > 1").select(left)
+    texts = left_texts.select(left, "text").distinct()
+    need = texts.groupBy(left).agg(F.count("*").alias("need"))
+    asked = links.join(open_, left).join(texts, left)
+    have = asked.join(right_texts.select(right, "text").distinct(), [right, "text"]).groupBy(left, right).agg(F.count("*").alias("have"))
+    covers = have.join(need, left).filter("have = need")
+    alone = covers.groupBy(left).agg(F.min(right).alias("keep"), F.count("*").alias("covers")).filter("covers = 1").select(left, "keep")
+    return links.join(alone, left, "left").filter(F.col("keep").isNull() | (F.col("keep") == F.col(right))).select(left, right)
+
+
+def pos_matches(matches: DataFrame, lemma_pos: DataFrame, entry_pos: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``matches`` (lemma_id, entry_id, ...) whose parts of speech make a learned pair.
+
+    ``lemma_pos`` is (lemma_id, pos), ``entry_pos`` (entry_id, entry_pos) of senses that aren't archaic, ``pairs`` (pos, entry_pos)."""
+    allowed = lemma_pos.join(pairs.select("pos", "entry_pos").distinct(), "pos").select("lemma_id", "entry_pos").distinct()
+    fits = matches.select("lemma_id", "entry_id").distinct().join(entry_pos.select("entry_id", "entry_pos").distinct(), "entry_id")
+    return matches.join(fits.join(allowed, ["lemma_id", "entry_pos"], "left_semi"), ["lemma_id", "entry_id"], "left_semi")
+
+
+def rescued_entries(entry_texts: DataFrame, matches: DataFrame, index: DataFrame) -> DataFrame:
+    """(lemma_id, entry_id, writing) of entries without a match that have a text which ``index`` (surface, lemma_id) gives one lemma for."""
+    alone = index.groupBy("surface").agg(F.min("lemma_id").alias("lemma_id"), F.max("lemma_id").alias("last")).filter("lemma_id = last")
+    rest = entry_texts.join(matches.select("entry_id"), "entry_id", "left_anti")
+    return rest.join(alone, F.col("text") == F.col("surface")).select("lemma_id", "entry_id", F.col("text").alias("writing")).distinct()
+
+
+def resolved(links: DataFrame, matches: DataFrame) -> DataFrame:
+    """(lemma_id, writing, entry_id, kind) of links (lemma_id, entry_id): a lemma's one entry, or the star of entries that are only its own,
+    for all writings (null); else, from all ``matches``, the writings that pin a single entry."""
+    classes = link_classes(links, "lemma_id", "entry_id").select("lemma_id", "kind")
+    sure = links.join(classes.filter("kind <> 'ambiguous'"), "lemma_id").select("lemma_id", F.lit(None).cast("string").alias("writing"), "entry_id", "kind")
+    pinned = matches.groupBy("lemma_id", "writing").agg(F.min("entry_id").alias("entry_id"), F.max("entry_id").alias("last")).filter("entry_id = last")
+    return sure.unionByName(pinned.drop("last").join(classes.filter("kind = 'ambiguous'"), "lemma_id").select("lemma_id", "writing", "entry_id", "kind"))
+
+
+def aligned(matches: DataFrame, lemma_texts: DataFrame, entry_texts: DataFrame, index: DataFrame) -> DataFrame:
+    """The mapping that ``resolved`` gives for ``matches`` (lemma_id, entry_id, writing) after rescuing unmatched entries and pruning by
+    covers from the entries' side, then from the lemmas'. Texts are (lemma_id or entry_id, text), ``index`` is (surface, lemma_id)."""
+    matches = matches.select("lemma_id", "entry_id", "writing").unionByName(rescued_entries(entry_texts, matches, index)).distinct()
+    links = matches.select("lemma_id", "entry_id").distinct()
+    links = covered(links, "entry_id", "lemma_id", entry_texts, lemma_texts).select("lemma_id", "entry_id")
+    return resolved(covered(links, "lemma_id", "entry_id", lemma_texts, entry_texts), matches)
+
+
+def mapped_entries(mapping: DataFrame) -> DataFrame:
+    return mapping.select("entry_id").distinct()
+
+
 def witnesses(pairs: DataFrame, keys: list[str], witness: str) -> DataFrame:
     """Distinct pairs of classes with the first witness."""
     return pairs.groupBy(*keys).agg(F.min(witness).alias("witness"))
@@ -59,9 +113,9 @@ def simple_matches(lexemes: DataFrame, entries: DataFrame) -> DataFrame:
     They meet on the folded writing. A proper noun needs at most one noun entry and one lemma there; a kana lexeme needs an entry that can be
     written in kana: without kanji, with a reading that has none, or usually so and alone; any other lexeme needs an equal reading."""
     joined = lexemes.join(entries, F.col("orth_key") == F.col("text_key"))
-    same = Window.partitionBy("lemma_id", "orth")
-    joined = joined.withColumn("n_entries", F.size(F.collect_set("entry_id").over(same))).withColumn("n_nouns", F.size(F.collect_set(F.when(F.col("is_noun"), F.col("entry_id"))).over(same)))
-    joined = joined.withColumn("n_lemmas", F.size(F.collect_set("lemma_id").over(Window.partitionBy("orth_key", "pos"))))
+    per_writing = joined.groupBy("lemma_id", "orth").agg(F.count_distinct("entry_id").alias("n_entries"), F.count_distinct(F.when(F.col("is_noun"), F.col("entry_id"))).alias("n_nouns"))
+    per_key = joined.groupBy("orth_key", "pos").agg(F.count_distinct("lemma_id").alias("n_lemmas"))
+    joined = joined.join(per_writing, ["lemma_id", "orth"]).join(per_key, ["orth_key", "pos"])
     kana = F.col("orth").rlike("^[ぁ-ヿ]*$")
     kana_ok = (F.col("text") == F.col("orth")) & (~F.col("has_kanji") | F.col("nokanji") | (F.col("uk") & ~F.col("archaic") & (F.col("n_entries") == 1)))
     proper = F.col("pos") == "proper"
