@@ -35,7 +35,7 @@ class Dictionary:
     def save(self, path: str) -> None:
         """What ``load`` reads."""
         for name in ("words", "names", "entries"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+            getattr(self, name).write.mode("overwrite").option("compression", "lz4_raw").parquet(f"{path}/{name}")
 
     @staticmethod
     def index(texts: DataFrame) -> DataFrame:

@@ -23,6 +23,11 @@ def from_base62(column: str) -> Column:
     return F.expr(f"aggregate(filter(split({column}, ''), c -> c <> ''), 0L, (n, c) -> n * 62 + locate(c, '{DIGITS}') - 1)")
 
 
+def power_of_two(column: str) -> Column:
+    """The least power of two that isn't below a number from 1 on."""
+    return F.expr(f"shiftleft(1L, if({column} <= 1, 0, length(bin({column} - 1))))")
+
+
 def marked(items: str) -> str:
     """Texts of siblings, with U on those that are uncommon while another is common."""
     return f"transform({items}, x -> if(exists({items}, y -> y.common) and not x.common, concat(x.text, 'U'), x.text))"

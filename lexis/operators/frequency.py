@@ -58,3 +58,15 @@ def phrase_table(parses: DataFrame, known: DataFrame) -> DataFrame:
     """(phrase, entry_id) of entries' parses (entry_id, words) of two words or more, for entries that aren't in ``known`` (entry_id)."""
     some = parses.filter(F.size("words") > 1).join(known, "entry_id", "left_anti")
     return some.select(F.array_join("words", " ").alias("phrase"), "entry_id").distinct()
+
+
+def ranks_of(words: DataFrame, ranks: DataFrame, key: str = "w") -> DataFrame:
+    """``words`` with their ``rnk``, null for unknown ones, and ``order``, for which unknown words come behind all known ones."""
+    size = ranks.agg(F.count("*").alias("size")).scalar()
+    return words.join(ranks.select(key, "rnk"), key, "left").withColumn("order", F.coalesce("rnk", size))
+
+
+def name_counts(tokens: DataFrame, names: DataFrame) -> DataFrame:
+    """(entry_id, n): how often the proper nouns among tokens (surface, pos) stand for a name of ``names`` (key, entry_id)."""
+    counts = tokens.filter("pos = 'proper'").groupBy("surface").agg(F.count("*").alias("n"))
+    return counts.join(names.select("key", "entry_id").distinct(), F.col("surface") == F.col("key")).groupBy("entry_id").agg(F.sum("n").alias("n"))

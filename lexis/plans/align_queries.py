@@ -205,3 +205,22 @@ def align_lexicons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT DISTINCT CAST(entry_id AS BIGINT) AS entry_id FROM (VALUES {values(MAPPING)}) t(lemma_id, writing, entry_id, kind)")
 def mapped_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.mapped_entries(_mapping(spark))
+
+
+@query("""WITH t AS (SELECT unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS w FROM documents), n AS (SELECT w, count(*) AS n FROM t WHERE w <> '' GROUP BY w HAVING count(*) >= 7),
+r AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) - 1 AS rnk FROM n), b AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS w FROM benchmark)
+SELECT b.w, CAST(rnk AS BIGINT) AS rnk, CAST(coalesce(rnk, (SELECT count(*) FROM r)) AS BIGINT) AS "order" FROM b LEFT JOIN r ON b.w = r.w WHERE b.w <> ''""")
+def rank_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of the benchmark's words by frequency in the documents."""
+    ranks = frequency.ranked(frequency.frequencies(lookup.tokens(table(spark, sf_dir, "documents").select("text"))))
+    words = lookup.tokens(table(spark, sf_dir, "benchmark").select("text")).distinct()
+    return frequency.ranks_of(words, ranks).select("w", F.col("rnk").cast("bigint").alias("rnk"), F.col("order").cast("bigint").alias("order"))
+
+
+NAMED = [("田中", "proper"), ("田中", "proper"), ("田中", "noun"), ("東京", "proper"), ("猫", "noun"), ("京", "proper")]
+NAMES = [("田中", 1), ("田中", 2), ("田中", 2), ("東京", 3), ("猫", 4)]
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 2::BIGINT), (2, 2), (3, 1)) t(entry_id, n)")
+def name_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequency.name_counts(inline(spark, NAMED, "surface string, pos string"), inline(spark, NAMES, "key string, entry_id bigint"))

@@ -186,7 +186,11 @@ def table_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.bounds(table(spark, sf_dir, "part"), "p_partkey", "p_name")
 
 
-@query(None)
+#: By hand: what the sample's entries hold.
+XML = [(1, 2, 3, 2, True, False, False), (2, 0, 1, 1, False, True, False), (3, 1, 0, 0, False, False, True)]
+
+
+@query(f"SELECT CAST(entry_id AS BIGINT) AS entry_id, n_kanji, n_sense, n_groups, common, archaic, is_name FROM (VALUES {values(XML)}) t(entry_id, n_kanji, n_sense, n_groups, common, archaic, is_name)")
 def xml_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xml.summary(xml.parsed(inline(spark, [(x,) for x in xml.SAMPLE], "xml string")))
 

@@ -35,6 +35,28 @@ def match_to_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.ranges(html_text.segments(table(spark, sf_dir, "pages"))).select("page_id", "seg_ix", "start", "end")
 
 
+#: By hand: text, place, what is clipped before and behind it, and the context.
+CLIPS = [
+    ("abc 日本語です x", 6, " 日本", "語です ", "日本語です"), ("日本語", 0, "", "日本語", "日本語"), ("日本語", 3, "日本語", "", "日本語"), ("ab", 1, "", "", ""), ("", 0, "", "", ""),
+    ("ああああああああああああああい", 14, "あ" * 13, "い", "あ" * 13 + "い"), ("日本 語", 3, "日本 ", "語", "語"), ("日本 語 ", 2, "日本", " 語 ", "日本語"),
+]
+
+
+@query(f"SELECT * FROM (VALUES {values(CLIPS)}) t(text, start, head, tail, context)")
+def clip_around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inline(spark, [x[:2] for x in CLIPS], "text string, start int")
+    letters = "ぁ-ゖァ-ヺー一-龥 "
+    rows = html_text.around(rows, letters)
+    return rows.select("text", "start", html_text.clip_at("text", "start", letters, forward=False).alias("head"), html_text.clip_at("text", "start", letters).alias("tail"), "context")
+
+
+@query("SELECT CAST(n AS BIGINT) AS n, CAST(power(2, ceil(log2(n))) AS BIGINT) AS p FROM range(1, 1500) t(n)")
+def powers_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexis.functions import codec
+
+    return spark.range(1, 1500).select(F.col("id").alias("n"), codec.power_of_two("id").alias("p"))
+
+
 PAIRS = [("A: 彼は行った。\tHe went.#ID=1_2", "B: 彼(かれ)[01] は 行く{行った}"), ("A: 山が高い\tThe mountain is high.#ID=2_3", "B: 山(やま) が 高い[1]{高い}~")]
 _PAIR_SQL = f"""WITH RECURSIVE p(a, b) AS (VALUES {values(PAIRS)}),
 s AS (SELECT regexp_extract(a, '#ID=([0-9_]+)', 1) AS sent_id, regexp_extract(a, '^A: ([^' || chr(9) || ']*)', 1) AS text, string_split(substr(b, 4), ' ') AS ws FROM p),
@@ -68,12 +90,18 @@ def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_files.stream_tokens(sentences).select("sent", "pos", "surface", F.element_at("feats", -1).alias("lemma"))
 
 
-@query(None)
+#: By hand: section, writing, reading and sense.
+WIKI = [("名詞", "漢字", "かんじ", "文字。"), ("名詞", "漢字", "かんじ", "字。"), ("動詞", "走る", "はしる", "駆ける。")]
+#: By hand: a word of kanjis with kana behind them, and its variations; 漢字 has no kana.
+VARIED = [("取り引き", "とり引き"), ("取り引き", "取りひき"), ("取り引き", "取引き"), ("引き取り", "ひき取り"), ("引き取り", "引きとり"), ("引き取り", "引取り"), ("受け付け", "うけ付け"), ("受け付け", "受けつけ"), ("受け付け", "受付け")]
+
+
+@query(f"SELECT * FROM (VALUES {values(WIKI)}) t(section, writing, reading, sense)")
 def tag_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_files.wiki_senses(inline(spark, [(x,) for x in text_files.WIKI_SAMPLE], "wiki string"))
 
 
-@query(None)
+@query(f"SELECT * FROM (VALUES {values(VARIED)}) t(word, variation)")
 def variations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexis.functions import variations as v
 

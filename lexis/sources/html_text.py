@@ -35,6 +35,21 @@ def clipped(rows: DataFrame, characters: str = r"\p{L}", most: int = CLIP) -> Da
     return rows.withColumn("clip", F.nullif(F.left(found, F.lit(most)), F.lit("")))
 
 
+def clip_at(text: str, start: str, characters: str, most: int = CLIP, forward: bool = True) -> Column:
+    """The run of ``characters`` (the inside of a set) that begins at ``start``, or ends before it, of at most ``most`` characters."""
+    if forward:
+        return F.expr(f"regexp_extract(substring({text}, {start} + 1, {most}), '^[{characters}]*', 0)")
+    return F.expr(f"regexp_extract(substring({text}, greatest({start} - {most}, 0) + 1, least({start}, {most})), '[{characters}]*$', 0)")
+
+
+def around(rows: DataFrame, characters: str, before: int = CLIP, behind: int = 100) -> DataFrame:
+    """``context`` of ``rows`` (text, start): the run of characters around the place, without blanks at its ends. A part before the place
+    that ends in a blank doesn't belong to it."""
+    head, tail = clip_at("text", "start", characters, before, False), clip_at("text", "start", characters, behind)
+    rows = rows.withColumn("__head", head).withColumn("__tail", tail)
+    return rows.withColumn("context", F.expr("concat(if(endswith(__head, btrim(__head)), btrim(__head), ''), btrim(__tail))")).drop("__head", "__tail")
+
+
 def ranges(rows: DataFrame, key: str = "page_id") -> DataFrame:
     """Where each segment starts and ends in the page's joined text."""
     before = Window.partitionBy(key).orderBy("seg_ix").rowsBetween(Window.unboundedPreceding, -1)

@@ -98,6 +98,6 @@ WIKI_SAMPLE = ("==日本語==\n===名詞===\n'''漢字'''（かんじ）\n#文
 def wiki_senses(pages: DataFrame) -> DataFrame:
     """(section, writing, reading, sense) of pages (wiki) with a Japanese heading: sections by part of speech, senses by numbered lines without examples."""
     ja = F.regexp_extract("wiki", r"(?s)(?:^|\n)==\s*日本語\s*==\n(.*?)(?:\n==[^=]|$)", 1)
-    parts = pages.select(F.explode(F.expr("slice(split(concat('\n', j), '\n==='), 2, 1000)")).alias("s")) if "j" in pages.columns else pages.withColumn("j", ja).select(F.explode(F.expr("slice(split(concat('\n', j), '\n==='), 2, 1000)")).alias("s"))
+    parts = pages.select(F.explode(F.expr("filter(split(concat('\n', j), '\n==='), (x, i) -> i > 0)")).alias("s")) if "j" in pages.columns else pages.withColumn("j", ja).select(F.explode(F.expr("filter(split(concat('\n', j), '\n==='), (x, i) -> i > 0)")).alias("s"))
     sections = parts.select(F.regexp_extract("s", "^([^=]+)===", 1).alias("section"), F.regexp_extract("s", "'''([^']+)'''", 1).alias("writing"), F.regexp_extract("s", "（([^）]+)）", 1).alias("reading"), F.expr("filter(split(s, '\n'), x -> x rlike '^#[^*#:]')").alias("lines"))
     return sections.select("section", "writing", "reading", F.explode(F.expr("transform(lines, x -> trim(substring(x, 2)))")).alias("sense"))
