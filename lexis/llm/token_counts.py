@@ -9,8 +9,10 @@ neighbouring characters, so its machine is definite: its map over any chunk is a
 characters at once from their classes.
 
 A text is cut into chunks, which are words or parts of ``CHUNK`` bytes of a longer word. A chunk's map goes from the
-state before it to the state behind it and the tokens emitted. Words start in the start state, so most maps are
-needed there only; through a long word's chunks the one state is carried in order, and no map over all states is built.
+state before it to the state behind it and the tokens emitted. Words start in the start state, so a word of one chunk needs its map
+there only. A longer word's chunks are run independently, each from the start state and from the states that the maps before it lead
+to, until the maps are closed under composition (a few rounds, as states forget what lies far back); then they are composed by a
+parallel prefix scan, in as many rounds as the logarithm of their number.
 Arcs and maps at the start state are kept in memory per Python worker, up to ``KEPT_ARCS`` and ``KEPT_WORDS``;
 then they are dropped and made anew, so memory is bounded for any input. Nothing is shuffled: the operator is one narrow pass.
 
@@ -104,6 +106,23 @@ def word_starts(text: str) -> np.ndarray:
 CONTRACTION = re.compile(r"'(?:s|t|re|ve|m|ll|d)").match
 
 
+#: State before a chunk to the state behind it and the tokens emitted.
+Map = dict[int, tuple[int, int]]
+
+
+def composed(first: Map, then: Map) -> Map:
+    return {state: (then[behind][0], n + then[behind][1]) for state, (behind, n) in first.items()}
+
+
+def prefixes(maps: list[Map]) -> list[Map]:
+    """The composition of each map with all before it; in each round all positions take in what ends just before their part."""
+    reach = 1
+    while reach < len(maps):
+        maps = maps[:reach] + [composed(maps[i - reach], maps[i]) for i in range(reach, len(maps))]
+        reach *= 2
+    return maps
+
+
 class Counter:
     """Token counts of whole texts; the values of maps at the start state are kept by word."""
 
@@ -123,12 +142,21 @@ class Counter:
         self.words = Words()
 
     def scan(self, word: bytes) -> int:
-        """Carry the state through a word's chunks from the start state on."""
-        state = total = 0
-        for a in range(0, len(word), CHUNK):
-            state, n = self.machine.run(state, word[a : a + CHUNK])
-            total += n
-        return total
+        """Tokens of a word: the last of the prefix compositions of its chunks' maps, at the start state."""
+        if len(word) <= CHUNK:
+            return self.machine.run(0, word)[1]
+        return prefixes(self.maps([word[a : a + CHUNK] for a in range(0, len(word), CHUNK)]))[-1][0][1]
+
+    def maps(self, chunks: list[bytes]) -> list[Map]:
+        """A map for each chunk, with all states that the map before it leads to."""
+        maps: list[Map] = [{} for _ in chunks]
+        asked = [{0} for _ in chunks]
+        while any(asked):
+            for own, states, chunk in zip(maps, asked, chunks):
+                for state in states:
+                    own[state] = self.machine.run(state, chunk)
+            asked = [set(), *({behind for behind, _ in before.values()} - own.keys() for before, own in zip(maps, maps[1:]))]
+        return maps
 
     def plain(self, text: str) -> int:
         if not text:
