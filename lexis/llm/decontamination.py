@@ -3,14 +3,15 @@
 A mask is a fixed pattern over a few consecutive tokens of which it looks at some; hashes of the tokens it looks
 at are equal whatever stands in the ignored places. Every place of every training text and benchmark item is hashed
 under all masks, training hashes are looked up among the benchmark's, and around each hit the texts are laid side by side:
-the overlap grows from the hit in both directions while it keeps at least ``ALIKE`` of its tokens, so substituted
+the overlap grows from the hit in both directions while it keeps at least ``ALIKE`` (four of five) of its tokens, so substituted
 tokens don't end it. The masks miss no such overlap: wherever the substitutions are, one mask hits at one place. An item is found in a text if such an overlap has ``LEAST`` tokens or more, or has ``ALIKE`` of all the item's
 tokens equal, whichever they are. Items of fewer than ``SPAN`` tokens are found where all their tokens stand in order: each of their
 lengths has a mask that looks at every place.
 
-Tokens are words of letters and digits in lower case. The benchmark is taken in blocks of at most ``BLOCK`` items
-by the hash of its key; a block's hashes are bounded, so they go to the tasks as they are, and the training texts
-are read once a block without any shuffle. A hit is kept once for each shift between the texts, so a frequent passage
+Tokens are words of letters and digits in lower case. The join of training and test hashes is a broadcast one, block by block: the
+benchmark is taken in blocks of about ``BLOCK`` items and ``BYTES`` bytes at most by the hash of the item, a block's sorted hashes are bounded,
+so they go to the tasks, and the training hashes are looked up there as they are made. The training texts are read once a block and nothing
+is shuffled; hashes of all their places, twice as many rows as the corpus has words, never leave a task. A hit is kept once for each shift between the texts, so a frequent passage
 costs a text one verification a shift. Whole texts are hashed.
 
 Null and empty texts and items overlap with nothing. Repeated items are found each; repeated rows are found each. A null doc_id stays null.
@@ -33,8 +34,9 @@ SPAN = 12
 #: Fixed masks: the places that are looked at. One of them hits in any stretch of SPAN tokens or more that is equal in ALIKE of its tokens,
 #: whatever the places of the others (tested for up to 39 tokens; a longer stretch has a part of 20 to 39 with the same share).
 MASKS = ("111011", "11110001")
-LEAST, ALIKE = 20, 0.8
-BLOCK = 4000
+LEAST, ALIKE = 20, (4, 5)
+#: Items, and bytes of them, that a block has about at most.
+BLOCK, BYTES = 4000, 16 << 20
 SCHEMA = "doc_id bigint, item_id bigint, start bigint, item_start bigint, length bigint, same bigint"
 
 
@@ -62,9 +64,11 @@ def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
 class Benchmark:
     """A bounded block of items with their seeds."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.keys = [k for k, _ in items]
-        self.tokens = [tokens(t) for _, t in items]
+    def __init__(self, items: list[tuple]):
+        """``items`` are (key, text) or (key, text, how often it is there)."""
+        self.keys = [x[0] for x in items]
+        self.copies = [x[2] if len(x) > 2 else 1 for x in items]
+        self.tokens = [tokens(x[1]) for x in items]
         self.seeds: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]] = []
         self.filter = np.zeros(1 << 22, dtype=bool)
         short = {len(t) for t in self.tokens if 0 < len(t) < SPAN}
@@ -99,10 +103,10 @@ class Benchmark:
             a, b = max(shift, 0), min(shift + len(other), len(text))
             same = text[a:b] == other[a - shift : b - shift]
             start, length, equal = longest(same)
-            share = ALIKE if len(other) >= SPAN else 1
-            if (length >= LEAST or equal >= share * len(other) - 1e-9) and length > best.get(item, (0, 0, 0, 0))[2]:
+            part, whole = ALIKE if len(other) >= SPAN else (1, 1)
+            if (length >= LEAST or whole * equal >= part * len(other)) and length > best.get(item, (0, 0, 0, 0))[2]:
                 best[item] = (a + start, a + start - shift, length, equal)
-        return [(self.keys[i], *x) for i, x in sorted(best.items())]
+        return [(self.keys[i], *x) for i, x in sorted(best.items()) for _ in range(self.copies[i])]
 
 
 def longest(same: np.ndarray) -> tuple[int, int, int]:
@@ -111,7 +115,8 @@ def longest(same: np.ndarray) -> tuple[int, int, int]:
     if not len(at):
         return 0, 0, 0
     # gains: prefix[j] - prefix[i] >= 0 where a stretch i..j has the share
-    prefix = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - ALIKE, -ALIKE))]) + 1e-9 * np.arange(len(same) + 1)
+    part, whole = ALIKE
+    prefix = np.concatenate([[0], np.cumsum(np.where(same, whole - part, -part))])
     least = np.minimum.accumulate(prefix)
     best = (0, 0, 0)
     for j in (at + 1).tolist():
@@ -123,11 +128,11 @@ def longest(same: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def blocks_of(benchmark: DataFrame, block: int = BLOCK):
-    """The items in blocks of bounded size, one after the other."""
-    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("text is not null")
-    n = rows.count()
-    parts = max(1, -(-2 * n // block))
+def blocks_of(benchmark: DataFrame, block: int = BLOCK, size: int = BYTES):
+    """The distinct items with their numbers, in blocks of bounded size, one after the other."""
+    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("text is not null").groupBy("item_id", "text").agg(F.count("*").alias("n"))
+    n, held = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()
+    parts = max(1, -(-2 * n // block), -(-2 * held // size))
     for part in range(parts if n else 0):
         chosen = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         yield [tuple(r) for r in chosen.collect()]
