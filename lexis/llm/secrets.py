@@ -7,10 +7,11 @@ Battery: every run of 20 or more of ``[A-Za-z0-9+/_=-]`` outside the fixed spans
 inferred (hex, base 32, or base 64 for a mix of digits and letters; anything else is no candidate), its
 characters become numbers of that alphabet, and three tests ask whether it can be random: chi-squared of the
 characters' counts against uniformity, the number of runs above and below the middle, and the correlation of
-neighbours. Their p-values are combined by Fisher's method. A candidate that the battery can't tell from random
-(``p >= ALPHA``) may still be other text that got through by chance; that chance falls with length, as
-``exp(-KAPPA * (length - 12))``. Benjamini and Hochberg's step-up procedure over the candidates of a document
-holds the share of such false discoveries to ``FDR``. Those that remain are spans of the kind ``random``.
+neighbours. Their p-values are combined by Fisher's method, and a candidate below ``ALPHA`` isn't random. The others may still be
+text that looks even by chance. Under that null hypothesis the chi-squared value isn't central: its mean grows by ``EXCESS`` of the
+alphabet for each character, so its lower tail is a p-value that falls with length. Benjamini and Hochberg's step-up procedure
+over these p-values of all candidates of a document (1 for those that the battery rejects) holds the share of such false
+discoveries to ``FDR``. Those that remain are spans of the kind ``random``.
 
 Everything is Spark SQL in one narrow pass: no shuffle, no Python. Matches' places come from the lengths of the
 gaps and matches before them, summed in two levels so that many matches cost little.
@@ -34,7 +35,10 @@ KINDS = {
     "hex": (r"[0-9a-f]{16,}", 0, 16),
 }
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-ALPHA, KAPPA, FDR = 0.001, 0.35, 0.05
+ALPHA, FDR = 0.001, 0.05
+#: What text adds to chi-squared for each character, by size of alphabet: size times the chance that two characters are equal, less 1,
+#: for digits, for capitals with digits, and for mixed names and numbers.
+EXCESS = {16: 0.6, 32: 1.1, 64: 2.0}
 BLOCK = 64
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 
@@ -77,6 +81,7 @@ def _battery(df: DataFrame) -> DataFrame:
     mixed = "x.bare rlike '[0-9]' and x.bare rlike '[A-Za-z]' and char_length(x.bare) >= 20"
     df = df.withColumn("__c", F.expr(f"transform({free}, c -> named_struct('start', c.start, 'end', c.end, 'bare', translate(c.whole, '-_=', '+/')))"))
     df = df.withColumn("__c", F.expr(f"transform(filter(__c, x -> {mixed}), x -> named_struct('start', x.start, 'end', x.end, 'bare', x.bare, 'kind', {kind}))"))
+    excess = "case x.a " + " ".join(f"when {a} then {v}D" for a, v in EXCESS.items()) + " end"
     alphabet = "case x.kind when 'hex' then '" + ALPHABETS["hex"] + "' when 'base32' then '" + ALPHABETS["base32"] + "' else '" + ALPHABETS["base64"] + "' end"
     df = df.withColumn("__c", F.expr(f"""transform(__c, x -> named_struct('start', x.start, 'end', x.end,
         'a', cast(case x.kind when 'hex' then 16 when 'base32' then 32 else 64 end as double),
@@ -85,7 +90,7 @@ def _battery(df: DataFrame) -> DataFrame:
         'mean', aggregate(x.v, 0D, (s, y) -> s + y) / size(x.v),
         'high', aggregate(x.v, 0D, (s, y) -> s + if(y >= x.a / 2, 1, 0)),
         'squares', aggregate(sequence(0, cast(x.a as int) - 1), 0D, (s, k) -> s + pow(size(filter(x.v, y -> y = k)), 2))))"""))
-    df = df.withColumn("__c", F.expr("""transform(__c, x -> named_struct('start', x.start, 'end', x.end, 'n', x.n, 'a', x.a,
+    df = df.withColumn("__c", F.expr("""transform(__c, x -> named_struct('start', x.start, 'end', x.end, 'n', x.n, 'a', x.a, 'excess', """ + excess + """,
         'chi', x.a / x.n * x.squares - x.n,
         'runs', 1 + aggregate(sequence(1, size(x.v) - 1), 0D, (s, i) -> s + if((x.v[i] >= x.a / 2) != (x.v[i - 1] >= x.a / 2), 1, 0)),
         'expected', 1 + 2 * x.high * (x.n - x.high) / x.n,
@@ -93,12 +98,13 @@ def _battery(df: DataFrame) -> DataFrame:
     df = df.withColumn("__c", F.expr("""transform(__c, x -> named_struct('start', x.start, 'end', x.end, 'n', x.n,
         'z1', (pow(x.chi / (x.a - 1), 1 / 3D) - (1 - 2 / (9 * (x.a - 1)))) / sqrt(2 / (9 * (x.a - 1))),
         'z2', abs(x.runs - x.expected) / sqrt(greatest(1e-9, (x.expected - 1) * (x.expected - 2) / (x.n - 1))),
-        'z3', abs(x.serial) * sqrt(x.n)))"""))
-    df = df.withColumn("__c", F.expr(f"""transform(__c, x -> named_struct('start', x.start, 'end', x.end, 'n', x.n,
+        'z3', abs(x.serial) * sqrt(x.n),
+        'z4', (x.a - 1 + x.n * x.excess - x.chi) / sqrt(2 * (x.a - 1) + 4 * x.n * x.excess)))"""))
+    df = df.withColumn("__c", F.expr(f"""transform(__c, x -> named_struct('start', x.start, 'end', x.end, 'even', {_sf('x.z4')},
         'h', -ln(greatest(1e-300, {_sf('x.z1')})) - ln(greatest(1e-300, 2 * {_sf('x.z2')})) - ln(greatest(1e-300, 2 * {_sf('x.z3')}))))"""))
     # Fisher: twice the sum of three logarithms has a chi-squared distribution of six degrees, whose tail is closed
     df = df.withColumn("__c", F.expr("""array_sort(transform(__c, x -> named_struct(
-        'q', if(exp(-greatest(0D, x.h)) * (1 + greatest(0D, x.h) + pow(greatest(0D, x.h), 2) / 2) >= """ + str(ALPHA) + """, exp(-""" + str(KAPPA) + """ * (x.n - 12)), 1D),
+        'q', if(exp(-greatest(0D, x.h)) * (1 + greatest(0D, x.h) + pow(greatest(0D, x.h), 2) / 2) >= """ + str(ALPHA) + """, x.even, 1D),
         'start', x.start, 'end', x.end)))"""))
     df = df.withColumn("__last", F.expr(f"aggregate(sequence(1, size(__c)), 0, (k, i) -> if(size(__c) > 0 and i >= 1 and __c[i - 1].q <= {FDR} * i / size(__c), i, k))"))
     return df.withColumn("__random", F.expr("if(__last > 0, slice(__c, 1, __last), cast(array() as array<struct<q: double, start: bigint, end: bigint>>))"))
