@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexis.llm.common import saved
+from lexis.llm.common import discard, saved
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,5 +22,6 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = saved(small.filter("a <> b").distinct(), "links")
+        before, edges = edges, saved(small.filter("a <> b").distinct(), "links")
+        discard(before)
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

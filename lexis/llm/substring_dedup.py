@@ -13,6 +13,7 @@
 Documents are shuffled once, by their key (steps 3 and 5 read the same columns, so they use one exchange); what is held in memory is a text or a
 bucket of at most ``HOT`` strings of at most ``k + 31`` words. Texts are cut for step 1 every 2^20 words.
 
+A row whose doc_id and text are found again is cut once, however often it is there, and loses all its windows.
 Windows are judged on the input. Null and empty texts, and texts shorter than a window, lose nothing; without words
 the digest is that of the empty string. Repeated rows count as different documents, so what they share is removed
 from each. A null doc_id stays null. Other columns are ignored.
@@ -32,6 +33,7 @@ from lexis.llm.common import map_rows, saved, table, words_of
 K, M = 35, 6
 LONGEST = 32
 HOT = 100_000
+SALTS = 16
 FEW = 64
 SEGMENT = 1 << 20
 KEPT = 1_000_000
@@ -128,6 +130,11 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> D
     key = ["__d", "__t"]
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("__d"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("__t", F.xxhash64("text"))
+    # a row that is there more than once loses all its windows, and one copy stands for it in the others' eyes
+    again = saved(rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key), "repeated")
+    once, copies = rows, not again.isEmpty()
+    if copies:
+        once = rows.join(again, key, "left_anti").unionByName(rows.join(again, key, "left_semi").dropDuplicates(key))
 
     def cut():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -142,13 +149,13 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> D
 
         return each
 
-    cuts = saved(map_rows(rows, [*key, "text"], cut, "__d bigint, __t bigint, start bigint, n bigint, least bigint"), "super-kmers")
+    cuts = saved(map_rows(once, [*key, "text"], cut, "__d bigint, __t bigint, start bigint, n bigint, least bigint"), "super-kmers")
     counts = saved(cuts.groupBy("least").agg(F.count("*").alias("all")).filter("all > 1"), "minimisers")
 
     def taken(which: str) -> DataFrame:
         """Documents with those of their super-k-mers whose minimisers are ``which``."""
         shared = cuts.join(counts.filter(which).select("least"), "least").groupBy(*key).agg(F.collect_list(F.struct("start", "n", "least")).alias("cuts"))
-        return rows.join(shared, key).select(*key, "text", "cuts", "doc_id")
+        return once.join(shared, key).select(*key, "text", "cuts", "doc_id")
 
     def pack():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -204,16 +211,24 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> D
     if not counts.filter(f"all > {hot}").isEmpty():
         each = saved(map_rows(taken(f"all > {hot}"), [*key, "text", "cuts", "doc_id"], digest, "__d bigint, __t bigint, start bigint, digest binary"), "windows")
         often = each.groupBy("digest").agg(F.count("*").alias("all")).filter("all > 1").select("digest")
-        marks = marks.unionByName(each.join(often, "digest").select(*key, "start", F.lit(1).cast("bigint").alias("mask")))
+        # a digest that much of the corpus shares is dealt to SALTS tasks
+        often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = each.withColumn("salt", F.pmod(F.xxhash64(*key, "start"), F.lit(SALTS)).cast("int"))
+        marks = marks.unionByName(salted.join(often, ["digest", "salt"]).select(*key, "start", F.lit(1).cast("bigint").alias("mask")))
     marks = marks.groupBy(*key).agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
+    judged = rows.join(marks, key, "left").withColumn("all", F.lit(False))
+    if copies:
+        judged = judged.drop("all").join(again.withColumn("all", F.lit(True)), key, "left")
 
     def remove():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: list[tuple] = []
-            for doc_id, text, marks in zip(*(batch.column(i) for i in range(3))):
+            for doc_id, text, marks, all_ in zip(*(batch.column(i) for i in range(4))):
                 words = words_of(text.as_py())
                 n, removed = len(words), 0
-                if marks.is_valid:
+                if all_.as_py() and n >= k:
+                    words, removed = [], n
+                elif marks.is_valid:
                     edge = np.zeros(n + 1, dtype=np.int64)
                     for mark in marks.as_py():
                         start, mask = mark["start"], mark["mask"]
@@ -230,7 +245,7 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> D
 
         return each
 
-    return map_rows(rows.join(marks, key, "left"), ["doc_id", "text", "marks"], remove, SCHEMA)
+    return map_rows(judged, ["doc_id", "text", "marks", "all"], remove, SCHEMA)
 
 
 def _rows(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
