@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexis.functions.kana import KEY_STEP, QUERY_STEP, folded
-from lexis.operators import build, lookup, render
+from lexis.operators import build, frequency, lookup, render
 from lexis.options import Options
 from lexis.sources import xml_entries
 
@@ -50,7 +50,16 @@ class Dictionary:
         """Ranked hits of the folded ``texts`` (text)."""
         inputs = texts.select(folded("text", QUERY_STEP).alias("w")).distinct()
         names = self.names if self.options.use_names else None
-        return lookup.lookup(inputs, self.words, names, self.rules, self.options.depth, self.options.limit)
+        return lookup.lookup(inputs, self.words, names, self.rules, self.options.depth, self.options.limit, longest=self.options.longest)
+
+    def ranks(self, tokens: DataFrame) -> DataFrame:
+        """(w, n, rnk) of the words of tokens (w) that are frequent enough."""
+        return frequency.ranked(frequency.frequencies(tokens), least=self.options.least_frequency)
+
+    def counts(self, tokens: DataFrame, mapping: DataFrame) -> DataFrame:
+        """(entry_id, n) of tokens (lemma_id, writing, folded, surface, pos) through ``mapping``; with ``count_names``, names count too."""
+        found = frequency.mapped_counts(tokens, mapping)
+        return found.unionByName(frequency.name_counts(tokens, self.names)) if self.options.count_names else found
 
     def render(self, hits: DataFrame, reviewed: DataFrame | None = None) -> DataFrame:
         """(w, html) of ranked hits: their entries' contents, joined after ranking; ``reviewed`` lists ids (id) of entries under review."""

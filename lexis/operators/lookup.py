@@ -32,18 +32,22 @@ def prefixes(inputs: DataFrame, longest: int = LONGEST_INPUT) -> DataFrame:
     return inputs.filter("w <> ''").withColumn("n", n).withColumn("prefix", F.expr("left(w, n)"))
 
 
-def direct_hits(inputs: DataFrame, index: DataFrame, is_name: bool) -> DataFrame:
+def direct_hits(inputs: DataFrame, index: DataFrame, is_name: bool, longest: int = LONGEST_INPUT) -> DataFrame:
     """Hits of beginnings in ``index`` (key, entry_id, pos_mask): no rule, no gate."""
-    found = prefixes(inputs).join(index, F.col("prefix") == F.col("key"))
+    found = prefixes(inputs, longest).join(index, F.col("prefix") == F.col("key"))
     return found.select("w", "entry_id", F.col("n").alias("match_len"), F.lit(is_name).alias("is_name"), F.lit("").alias("reasons"), F.lit(0).alias("depth"), F.expr("cast(array() as array<int>)").alias("path"), "key")
 
 
-def derived_hits(inputs: DataFrame, index: DataFrame, rules: list[tuple], depth: int | None = None, kept: list[DataFrame] | None = None) -> DataFrame:
+def derived_hits(inputs: DataFrame, index: DataFrame, rules: list[tuple], depth: int | None = None, kept: list[DataFrame] | None = None, direct: bool = False, longest: int = LONGEST_INPUT) -> DataFrame:
     """Hits of what rules make of beginnings; an entry must share a part of speech with the candidate. Beginnings are made distinct first.
 
-    Chains of rules go on to their end, or to ``depth`` steps if it is given."""
-    begins = prefixes(inputs)
-    candidates = closure(begins.select(F.col("prefix").alias("w")).distinct(), rules, depth, kept)
+    Chains of rules go on to their end, or to ``depth`` steps if it is given. With ``direct``, the beginnings' own hits are there too, as
+    those of no step, so the index is joined once."""
+    begins = prefixes(inputs, longest)
+    distinct = begins.select(F.col("prefix").alias("w")).distinct()
+    candidates = closure(distinct, rules, depth, kept)
+    if direct:
+        candidates = candidates.unionByName(distinct.select("w", F.col("w").alias("word"), F.lit(0).alias("mask"), F.lit(0).alias("depth"), F.expr("cast(array() as array<int>)").alias("path"), F.lit("").alias("reasons")))
     hits = candidates.join(index, candidates["word"] == index["key"]).filter((F.col("mask") == 0) | (F.col("mask").bitwiseAND(F.col("pos_mask")) != 0))
     hits = hits.select(F.col("w").alias("prefix"), "entry_id", "reasons", "depth", "path", "key")
     return begins.join(hits, "prefix").select("w", "entry_id", F.col("n").alias("match_len"), F.lit(False).alias("is_name"), "reasons", "depth", "path", "key")
@@ -66,10 +70,10 @@ def materialised(hits: DataFrame, entries: DataFrame) -> DataFrame:
     return hits.join(entries, ["entry_id", "is_name"])
 
 
-def lookup(inputs: DataFrame, words: DataFrame, names: DataFrame | None, rules: list[tuple], depth: int | None = None, limit: int = LIMIT, kept: list[DataFrame] | None = None) -> DataFrame:
+def lookup(inputs: DataFrame, words: DataFrame, names: DataFrame | None, rules: list[tuple], depth: int | None = None, limit: int = LIMIT, kept: list[DataFrame] | None = None, longest: int = LONGEST_INPUT) -> DataFrame:
     """Ranked hits of distinct inputs (w) in words, through rules, and in names."""
     inputs = inputs.select("w").distinct()
-    hits = direct_hits(inputs, words, False).unionByName(derived_hits(inputs, words, rules, depth, kept))
+    hits = derived_hits(inputs, words, rules, depth, kept, direct=True, longest=longest)
     if names is not None:
-        hits = hits.unionByName(direct_hits(inputs, names, True))
+        hits = hits.unionByName(direct_hits(inputs, names, True, longest))
     return ranked(first_wins(hits), limit)

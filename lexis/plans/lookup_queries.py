@@ -60,7 +60,10 @@ def prefix_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_WITH + "SELECT w, arg_max(prefix, n) AS best, CAST(max(n) AS BIGINT) AS len FROM pre JOIN voc ON prefix = key AND prefix <> w GROUP BY w")
 def prefix_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lookup.prefixes(_inputs(spark, sf_dir)).join(_vocabulary(spark, sf_dir), (F.col("prefix") == F.col("key")) & (F.col("prefix") != F.col("w")))
+    begins = lookup.prefixes(_inputs(spark, sf_dir)).filter("prefix <> w")
+    # the few beginnings pick their words before the vocabulary is made distinct
+    tokens = lookup.tokens(table(spark, sf_dir, "documents").select("text")).select(F.col("w").alias("prefix"))
+    found = begins.join(tokens.join(begins.select("prefix"), "prefix", "left_semi").distinct(), "prefix")
     return found.groupBy("w").agg(F.max_by("prefix", "n").alias("best"), F.max("n").cast("bigint").alias("len"))
 
 
@@ -158,7 +161,7 @@ def lookup_pos_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_WITH + "SELECT w, entry_id, CAST(match_len AS BIGINT) AS match_len, reasons FROM won WHERE NOT is_name")
 def lookup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs, words = _inputs(spark, sf_dir), _vocabulary(spark, sf_dir)
-    won = lookup.first_wins(lookup.direct_hits(inputs, words, False).unionByName(lookup.derived_hits(inputs, words, RULES)))
+    won = lookup.first_wins(lookup.derived_hits(inputs, words, RULES, direct=True))
     return won.select("w", "entry_id", F.col("match_len").cast("bigint").alias("match_len"), "reasons")
 
 

@@ -44,7 +44,10 @@ _CLASSES = {"n_hiragana": "[^぀-ゟ]", "n_katakana": "[^ァ-ヾ]", "n_kanji": "
 @query("SELECT doc_id, " + ", ".join(f"CAST(length(regexp_replace(text, '{p}', '', 'g')) AS BIGINT) AS {n}" for n, p in _CLASSES.items()) + " FROM documents")
 def script_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", *(F.length(F.regexp_replace("text", p, "")).cast("bigint").alias(n) for n, p in _CLASSES.items()))
+    # one search tells most texts apart from those with Japanese letters, of which each class is then counted
+    japanese = F.col("text").rlike("[぀-ゟァ-ヾ一-龥]")
+    count = lambda p: F.length(F.regexp_replace("text", p, "")).cast("bigint")
+    return docs.select("doc_id", *((count(p) if n == "n_latin" else F.when(japanese, count(p)).when(F.col("text").isNotNull(), F.lit(0).cast("bigint"))).alias(n) for n, p in _CLASSES.items()))
 
 
 @query(f"SELECT w AS word, regexp_matches(w, '{scripts.HIRAGANA_WORD}') AS is_hiragana, regexp_matches(w, '{scripts.GATE}') AS passes FROM (VALUES {values(WORDS + [(' か',), ('  か',), ('latin',)])}) t(w)")

@@ -151,6 +151,7 @@ def test_words_that_vary():
 
 def test_dictionary_is_kept(spark, tmp_path):
     from lexis.api import Dictionary
+    from lexis.options import Options
 
     rules = inflection.japanese_rules()
     made = Dictionary.build(spark.createDataFrame(etl_queries.ELEMENTS, "xml string"), rules)
@@ -162,6 +163,12 @@ def test_dictionary_is_kept(spark, tmp_path):
     html = {r.w: r.html for r in kept.render(hits).collect()}
     assert "(past,negative,potential or passive)" in html["食べられなかった"] and html["食べられなかった"].count("喰べる") == 1
     assert html["たなか"].count("<tr") == 2 and "田" not in html["たなか"]
+    short = Dictionary(kept.words, kept.names, rules, Options(longest=2, limit=1, count_names=True, least_frequency=2), kept.entries)
+    assert [(r.w, r.entry_id, r.match_len) for r in short.lookup(texts.limit(1)).collect()] == [("食べられなかった", 10, 2)] and short.lookup(spark.createDataFrame([("いいえ",)], "text string")).head().match_len == 2
+    tokens = spark.createDataFrame([(7, "田中", "たなか", "田中", "proper"), (7, "田中", "たなか", "x", "noun")], "lemma_id long, writing string, folded string, surface string, pos string")
+    mapping = spark.createDataFrame([(7, "one", None, 500)], "lemma_id long, kind string, writing string, entry_id long")
+    assert sorted(map(tuple, short.counts(tokens, mapping).collect())) == [(20, 1), (22, 1), (500, 2)]
+    assert [tuple(r) for r in short.ranks(spark.createDataFrame([("a",), ("a",), ("b",)], "w string")).collect()] == [("a", 2, 0)]
     empty = Dictionary.build(spark.createDataFrame([], "xml string"), rules)
     assert empty.entries.count() == 0 and empty.lookup(texts).count() == 0
 
