@@ -91,6 +91,18 @@ def japanese_rules() -> list[tuple[str, str, int, int, str, int]]:
     return [(*raw[n], rank) for rank, n in enumerate(order)]
 
 
+#: Rows of five-step verbs in a template, and the letter of their class.
+TEMPLATE_ROWS = {"バ": "b", "ガ": "g", "カ": "k", "マ": "m", "ナ": "n", "ラ": "r", "サ": "s", "タ": "t", "ア": "u"}
+
+
+def pos_of_template(name: str, params: str) -> str:
+    """SQL for the part of speech of an inflection template (its name and array of parameters), null if it is unknown."""
+    rows = ", ".join(f"'{k}', '{v}'" for k, v in TEMPLATE_ROWS.items())
+    adjective = f"case {params}[0] when 'タルト' then 'adj-t' when '形容詞' then 'adj-i' when 'ダ' then 'adj-na' end"
+    verb = f"case when get({params}, 2) in ('上一', '下一') then 'v1' when get({params}, 2) = '五' then concat('v5', try_element_at(map({rows}), {params}[1])) when get({params}, 2) = '変' then case {params}[1] when 'サ' then 'vs' when 'カ' then 'vk' end end"
+    return f"case when {name} = 'inf-ja-adj' then {adjective} else {verb} end"
+
+
 def european_rules() -> list[tuple[str, str, int, int, str, int]]:
     """A few endings that the driver's texts have, with two parts of speech: 1 for surface forms, 2 for verbs, 4 for nouns."""
     raw = [("ings", "ing", 1, 4, "plural"), ("ing", "", 7, 2, "-ing"), ("ed", "", 3, 2, "past"), ("es", "", 1, 6, "-s"), ("s", "", 1, 6, "-s"), ("ly", "", 1, 4, "adverb"), ("er", "", 5, 2, "agent")]

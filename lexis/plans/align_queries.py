@@ -224,3 +224,17 @@ NAMES = [("田中", 1), ("田中", 2), ("田中", 2), ("東京", 3), ("猫", 4)]
 @query("SELECT * FROM (VALUES (1::BIGINT, 2::BIGINT), (2, 2), (3, 1)) t(entry_id, n)")
 def name_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency.name_counts(inline(spark, NAMED, "surface string, pos string"), inline(spark, NAMES, "key string, entry_id bigint"))
+
+
+PHRASES = [
+    (1, "行く", "行く", "いく", "いく", False, ["行く"], [("ゆく", False, False)]), (2, "x", "行く", "いく", "いく", False, ["往く", "行く"], []), (3, "x", "x", "いく", "x", False, ["往く"], [("いく", False, False)]),
+    (4, "x", "x", "いく", "x", False, ["往く"], [("いく", True, False)]), (5, "x", "x", "x", "いく", False, ["往く"], [("いく", False, True)]), (6, "x", "x", "いく", "x", False, [], [("いく", False, False)]),
+    (7, "x", "x", "い.", "x", True, [], [("いく", False, False)]), (8, "x", "x", "い", "x", True, [], [("いく", False, False)]),
+]
+
+
+@query("SELECT CAST(id AS BIGINT) AS id, fits FROM (VALUES (1, true), (2, true), (3, false), (4, true), (5, true), (6, true), (7, true), (8, false)) t(id, fits)")
+def phrase_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hand-made: by writing, by reading where kana is possible, and by patterns that must match whole readings."""
+    schema = "id bigint, orth string, orth_base string, pron string, pron_base string, is_pattern boolean, kanji_keys array<string>, readings array<struct<key: string, nokanji: boolean, uk: boolean>>"
+    return alignment.phrase_fits(inline(spark, PHRASES, schema)).select("id", "fits")

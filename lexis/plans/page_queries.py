@@ -107,3 +107,27 @@ def variations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = inline(spark, [("取り引き", "とりひき"), ("引き取り", "ひきとり"), ("漢字", "かんじ"), ("受け付け", "うけつけ")], "word string, reading string")
     return v.variations(rows, v.SAMPLE_READINGS)
+
+
+#: Page elements, of which two are of the main namespace; and lines of two kinds of corpora.
+PAGES = [("<page><title>犬</title><ns>0</ns><revision><text>==日本語== &lt;b&gt;</text></revision></page>",), ("<page><title>利用者:x</title><ns>2</ns><revision><text>x</text></revision></page>",), ("<page><title>空</title><ns>0</ns><revision><text></text></revision></page>",)]
+LINES = [("<j>犬が走る。</j>",), ("<e>A dog runs.</e>",), ("<doc id=1>",), ("猫 <j>が</j> 走る",), ("本文",)]
+TEMPLATES = [(1, "inf-ja-adj", ["形容詞"]), (2, "inf-ja-adj", ["ダ"]), (3, "inf-ja-adj", ["タルト"]), (4, "inf-ja", ["か", "カ", "五"]), (5, "inf-ja", ["み", "マ", "上一"]), (6, "inf-ja", ["", "サ", "変"]), (7, "inf-ja", ["", "カ", "変"]), (8, "inf-ja", ["わ", "ア", "五"]), (9, "inf-ja", ["x"])]
+
+
+@query("SELECT * FROM (VALUES ('犬', '==日本語== <b>'), ('空', NULL)) t(title, wiki)")
+def wiki_page_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_files.wiki_pages(inline(spark, PAGES, "xml string")).select("title", F.nullif("wiki", F.lit("")).alias("wiki"))
+
+
+@query("SELECT * FROM (VALUES ('tagged', '犬が走る。'), ('tagged', '猫 が 走る'), ('plain', '猫 <j>が</j> 走る'), ('plain', '本文')) t(kind, value)")
+def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = inline(spark, LINES, "value string")
+    return text_files.corpus_sentences(lines, "j").select(F.lit("tagged").alias("kind"), "value").unionByName(text_files.corpus_sentences(lines).select(F.lit("plain").alias("kind"), "value"))
+
+
+@query("SELECT CAST(id AS BIGINT) AS id, pos FROM (VALUES (1, 'adj-i'), (2, 'adj-na'), (3, 'adj-t'), (4, 'v5k'), (5, 'v1'), (6, 'vs'), (7, 'vk'), (8, 'v5u'), (9, NULL)) t(id, pos)")
+def template_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexis.operators import inflection
+
+    return inline(spark, TEMPLATES, "id bigint, name string, params array<string>").select("id", F.expr(inflection.pos_of_template("name", "params")).alias("pos"))

@@ -92,6 +92,25 @@ def kanji_readings(rows: DataFrame) -> DataFrame:
     return df.select("kanji", F.explode(forms).alias("reading")).distinct()
 
 
+def read_wiki(spark: SparkSession, path: str) -> DataFrame:
+    """The page elements of a (compressed) wiki dump as ``xml``; the file is read as text cut at ``</page>``, so any size is split among tasks."""
+    cut = spark.read.option("lineSep", "</page>").text(path)
+    return cut.select(F.concat(F.regexp_extract("value", r"(?s)(<page>.*)", 1), F.lit("</page>")).alias("xml")).filter("xml like '<page>%'")
+
+
+def wiki_pages(elements: DataFrame) -> DataFrame:
+    """(title, wiki) of page elements (xml) of the main namespace."""
+    page = F.from_xml("xml", "title string, ns string, revision struct<text: string>", {"mode": "FAILFAST"})
+    return elements.select(page.alias("p")).filter("p.ns = '0'").select("p.title", F.col("p.revision.text").alias("wiki"))
+
+
+def corpus_sentences(lines: DataFrame, tag: str | None = None) -> DataFrame:
+    """Sentences (value) of a corpus' lines (value): with a ``tag``, the lines that hold it, without its marks; else those that don't begin with an element."""
+    if tag is None:
+        return lines.filter(~F.startswith("value", F.lit("<")))
+    return lines.filter(F.contains("value", F.lit(f"<{tag}>"))).select(F.regexp_replace("value", f"</?{tag}>", "").alias("value"))
+
+
 WIKI_SAMPLE = ("==日本語==\n===名詞===\n'''漢字'''（かんじ）\n#文字。\n#*例文。\n#字。\n===動詞===\n'''走る'''（はしる）\n#駆ける。", "==英語==\n===名詞===\n# word", "==日本語==\n本文")
 
 
