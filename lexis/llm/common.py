@@ -40,9 +40,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def saved(df: DataFrame, purpose: str = "step") -> DataFrame:
-    """Cut lineage through a Parquet table in the shared folder; columns stay prunable when it is read again."""
+def saved(df: DataFrame, purpose: str = "step", thin: bool = False) -> DataFrame:
+    """Cut lineage through a Parquet table in the shared folder; columns stay prunable when it is read again.
+
+    A ``thin`` table, such as links or counts, is written in fewer files than it has partitions: tasks take several of them one after
+    the other, two tasks or more for each core."""
     path = shared_dir(df.sparkSession, purpose)
+    if thin:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-partitions // 16)))
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.saved_path = path

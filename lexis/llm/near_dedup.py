@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexis.llm.common import map_rows, saved, table, words_of
+from lexis.llm.common import among, discard, map_rows, saved, table
 from lexis.llm.components import components
 from lexis.llm.substring_dedup import HASHES, runs_of
 
 WORDS, PERCENT = 5, 75
-COORDINATES, TREES, DEPTH = 64, 10, 3
+COORDINATES, TREES, DEPTH = 64, 10, 6
 SMALL, PIVOTS = 512, 16
 #: Texts of a group that are confirmed together.
 GROUP = 128
@@ -161,19 +161,22 @@ def _with_pivots(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.bool_()))], ["node", "id", "other", "stays"])
 
 
-def candidates(records: DataFrame) -> DataFrame:
-    """Links (a, b) of likely pairs among ``records`` (id, mins, sig), as stars within nodes."""
+def candidates(records: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) of likely pairs among ``records`` (id, mins, sig), as stars within nodes, and the tables that hold them."""
     chosen = [int(c) for c in np.random.default_rng(7).permutation(COORDINATES)[:TREES]]
     roots = F.array(*(F.xxhash64(F.lit(t), F.element_at("mins", c + 1)) for t, c in enumerate(chosen)))
     members = records.select("id", F.explode(roots).alias("node"))
-    sigs = records.select("id", "sig")
-    found = None
+    # both sides of these joins grow with the records, so neither is sent to all
+    sigs = records.select("id", "sig").hint("merge")
+    found, tables = None, []
     for depth in range(DEPTH + 1):
-        sizes = saved(members.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "nodes")
-        small = members.join(sizes.filter(f"n <= {SMALL}").select("node"), "node").join(sigs, "id")
-        links = saved(_by_group(small, ["node"], ["id", "sig"], _sketched, "a binary, b binary"), "candidates")
+        sizes = saved(members.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "nodes", thin=True)
+        small = members.join(sizes.filter(f"n <= {SMALL}").select("node").hint("merge"), "node").join(sigs, "id")
+        links = saved(_by_group(small, ["node"], ["id", "sig"], _sketched, "a binary, b binary"), "candidates", thin=True)
         found = links if found is None else found.unionByName(links)
-        large = sizes.filter(f"n > {SMALL}").select("node", "n")
+        tables.append(links)
+        # few: at most one for SMALL members; written, so Spark sees their size
+        large = saved(sizes.filter(f"n > {SMALL}").select("node", "n"), "large", thin=True)
         if large.isEmpty():
             break
         large_members = members.join(large, "node")
@@ -182,7 +185,8 @@ def candidates(records: DataFrame) -> DataFrame:
             own = F.pmod(F.xxhash64("id"), blocks).cast("int")
             pairs = large_members.join(sigs, "id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             pairs = pairs.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "sig")
-            found = found.unionByName(saved(_by_group(pairs, ["node", "i", "j"], ["id", "sig"], _sketched, "a binary, b binary"), "candidates"))
+            tables.append(saved(_by_group(pairs, ["node", "i", "j"], ["id", "sig"], _sketched, "a binary, b binary"), "candidates", thin=True))
+            found = found.unionByName(tables[-1])
             break
         shares = F.ceil(F.col("n") / SHARE).cast("int")
         rank = F.row_number().over(Window.partitionBy("node").orderBy("id"))
@@ -190,12 +194,15 @@ def candidates(records: DataFrame) -> DataFrame:
         pivots = pivots.select("node", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), F.lit(0).alias("rank"), "id", "sig")
         rest = large_members.join(sigs, "id").select("node", F.pmod(F.xxhash64("id"), shares).cast("int").alias("share"), F.lit(1).alias("rank"), "id", "sig")
         dealt = pivots.unionByName(rest).repartition("node", "share").sortWithinPartitions("node", "share", "rank", "id")
-        near = saved(dealt.mapInArrow(_with_pivots, "node bigint, id binary, other binary, stays boolean"), "near")
+        near = saved(dealt.mapInArrow(_with_pivots, "node bigint, id binary, other binary, stays boolean"), "near", thin=True)
+        tables.append(near)
         found = found.unionByName(near.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-        branching = near.filter("not stays").select("id", "node").join(records.select("id", "mins"), "id")
+        branching = near.filter("not stays").select("id", "node").join(records.select("id", "mins").hint("merge"), "id")
         child = F.explode(F.array(*(F.xxhash64("node", F.lit(j), F.get("mins", F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDINATES)).cast("int"))) for j in range(2))))
-        members = saved(branching.select("id", child.alias("node")).distinct(), "members")
-    return found
+        before, members = members, saved(branching.select("id", child.alias("node")).distinct(), "members", thin=True)
+        discard(before, sizes, large)
+    discard(members, sizes, large)
+    return found, tables
 
 
 def _confirmed(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
@@ -233,19 +240,23 @@ def classes(docs: DataFrame) -> DataFrame:
     # one row per set; its text is that of the row with the least place
     place = F.struct(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("part").alias("t"))
     records = saved(each.filter("n > 0").groupBy("id").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("sig").alias("sig")), "records")
-    groups = components(candidates(records.select("id", "mins", "sig")))
+    links, tables = candidates(records.select("id", "mins", "sig"))
+    groups = components(links)
+    discard(*tables)
     # texts of records in groups, once each
-    wanted = groups.join(records.select("id", "place", "n"), "id").select("root", "id", "n", F.col("place.d").alias("d"), F.col("place.t").alias("t"))
+    wanted = groups.join(records.select("id", "place", "n").hint("merge"), "id").select("root", "id", "n", F.col("place.d").alias("d"), F.col("place.t").alias("t"))
+    wanted = saved(wanted, "wanted", thin=True)
     texts = rows.select(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("part").alias("t"), "text")
-    texts = saved(texts.join(wanted, ["d", "t"]).select("root", "id", "n", "text").dropDuplicates(["id"]), "texts")
-    sizes = saved(texts.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).withColumn("parts", F.greatest(F.ceil(F.col("size") / GROUP), F.ceil(F.col("weight") / WEIGHT)).cast("int")), "groups")
+    texts = among(texts, wanted, ["d", "t"]).join(wanted.hint("merge"), ["d", "t"])
+    texts = saved(texts.select("root", "id", "n", "text").dropDuplicates(["id"]), "texts")
+    sizes = saved(texts.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).withColumn("parts", F.greatest(F.ceil(F.col("size") / GROUP), F.ceil(F.col("weight") / WEIGHT)).cast("int")), "groups", thin=True)
     split = texts.join(sizes, "root")
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     rank = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("id"), "id"))
     shared = texts.select("root", "id").join(sizes.filter("parts > 1"), "root").withColumn("rank", rank).filter(f"rank <= {PIVOTS}").select("root", "id", "parts")
     pivots = shared.join(texts.drop("root", "n"), "id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     compared = split.withColumn("part", part).select("root", "part", "id", "text").unionByName(pivots.select("root", "part", "id", "text")).withColumn("side", F.lit(0))
-    links = saved(_by_group(compared, ["root", "part"], ["id", "text", "side"], _confirmed, "a binary, b binary"), "confirmed")
+    links = saved(_by_group(compared, ["root", "part"], ["id", "text", "side"], _confirmed, "a binary, b binary"), "confirmed", thin=True)
     whole = components(links)
     large = sizes.filter("parts > 1").select("root", "parts")
     if not large.isEmpty():
@@ -254,15 +265,16 @@ def classes(docs: DataFrame) -> DataFrame:
         count = inside.groupBy("root", "class").agg(F.count("*").alias("n"))
         main = count.groupBy("root").agg(F.max_by("class", F.struct("n", "class")).alias("main"))
         outside = inside.join(main, "root").filter("class <> main").select("root", "id", "parts")
-        outside = saved(outside, "outside")
+        outside = saved(outside, "outside", thin=True)
         if not outside.isEmpty():
             per = outside.groupBy("root").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
             block = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
             asks = outside.join(per, "root").withColumn("block", block).join(texts.drop("root", "n"), "id")
             asks = asks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("root", "block", "part", "id", "text", F.lit(1).alias("side"))
             all_ = split.join(per, "root").withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", "block", "part", "id", "text", F.lit(0).alias("side"))
-            more = saved(_by_group(asks.unionByName(all_), ["root", "block", "part"], ["id", "text", "side"], _confirmed, "a binary, b binary"), "confirmed")
+            more = saved(_by_group(asks.unionByName(all_), ["root", "block", "part"], ["id", "text", "side"], _confirmed, "a binary, b binary"), "confirmed", thin=True)
             whole = components(links.unionByName(more))
+    discard(texts, sizes)
     return each.drop("mins", "sig").join(whole, "id", "left").select("doc_id", "part", "n", F.when(F.col("n") > 0, F.coalesce("root", "id")).alias("root"))
 
 
@@ -276,7 +288,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component, that with the least doc_id and text hash, and all rows without words."""
-    classed = saved(classes(docs), "classes")
+    classed = saved(classes(docs), "classes", thin=True)
     place = F.struct("doc_id", "part")
     names = classed.filter("n > 0").groupBy("root").agg(F.min(place).alias("name"), F.count("*").alias("many")).filter("many > 1").select("root", "name")
     others = classed.join(names, "root").filter(place != F.col("name")).select(F.coalesce("doc_id", F.lit(0)).alias("__d"), F.col("part").alias("__t"), F.col("doc_id").isNull().alias("__n")).distinct()

@@ -131,7 +131,7 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> D
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("__d"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("__t", F.xxhash64("text"))
     # a row that is there more than once loses all its windows, and one copy stands for it in the others' eyes
-    again = saved(rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key), "repeated")
+    again = saved(rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key), "repeated", thin=True)
     once, copies = rows, not again.isEmpty()
     if copies:
         once = rows.join(again, key, "left_anti").unionByName(rows.join(again, key, "left_semi").dropDuplicates(key))
@@ -150,7 +150,7 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> D
         return each
 
     cuts = saved(map_rows(once, [*key, "text"], cut, "__d bigint, __t bigint, start bigint, n bigint, least bigint"), "super-kmers")
-    counts = saved(cuts.groupBy("least").agg(F.count("*").alias("all")).filter("all > 1"), "minimisers")
+    counts = saved(cuts.groupBy("least").agg(F.count("*").alias("all")).filter("all > 1"), "minimisers", thin=True)
 
     def taken(which: str) -> DataFrame:
         """Documents with those of their super-k-mers whose minimisers are ``which``."""
