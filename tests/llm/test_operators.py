@@ -394,7 +394,7 @@ def test_many_windows_of_a_bucket():
 
 def brute_lines(rows):
     lines = [(d, t, i, frozenset(x.encode().split())) for d, t in sorted(set(rows), key=lambda x: x[0] or 0) for i, x in enumerate((t or "").split("\n"))]
-    lines = [x for x in lines if len(x[3]) >= 5]
+    lines = [x for x in lines if x[3]]
     gone = {lines[n][:3] for n in range(len(lines)) if any(100 * len(lines[n][3] & y[3]) >= 90 * len(lines[n][3] | y[3]) for y in lines[:n])}
     out = []
     for d, t in rows:
