@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexis.llm.common import among, discard, map_rows, saved, table
+from lexis.llm.common import among, bitmap, discard, is_set, map_rows, saved, table
 from lexis.llm.components import components
 from lexis.llm.substring_dedup import HASHES, runs_of
 
@@ -41,6 +41,8 @@ GROUP = 128
 LIKELY, ALIKE, FAIRLY, ENOUGH = 33, 54, 46, 4
 #: Records of a large node that one task compares with its pivots.
 SHARE = 4000
+#: Bits of the map of rows that go, a power of two.
+BITS = 1 << 22
 #: Shingles of a part of a group.
 WEIGHT = 2_000_000
 
@@ -179,28 +181,30 @@ def candidates(records: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         large = saved(sizes.filter(f"n > {SMALL}").select("node", "n"), "large", thin=True)
         if large.isEmpty():
             break
-        large_members = members.join(large, "node")
+        large_members = saved(members.join(large, "node"), "held", thin=True)
+        held = large_members.select("id")
+        sigs_held = among(sigs, held, ["id"])
         if depth == DEPTH:
             blocks = F.ceil(F.col("n") / (SMALL // 2)).cast("int")
             own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-            pairs = large_members.join(sigs, "id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            pairs = large_members.join(sigs_held, "id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             pairs = pairs.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "sig")
             tables.append(saved(_by_group(pairs, ["node", "i", "j"], ["id", "sig"], _sketched, "a binary, b binary"), "candidates", thin=True))
             found = found.unionByName(tables[-1])
             break
         shares = F.ceil(F.col("n") / SHARE).cast("int")
         rank = F.row_number().over(Window.partitionBy("node").orderBy("id"))
-        pivots = large_members.withColumn("rank", rank).filter(f"rank <= {PIVOTS}").join(sigs, "id")
+        pivots = large_members.withColumn("rank", rank).filter(f"rank <= {PIVOTS}").join(sigs_held, "id")
         pivots = pivots.select("node", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), F.lit(0).alias("rank"), "id", "sig")
-        rest = large_members.join(sigs, "id").select("node", F.pmod(F.xxhash64("id"), shares).cast("int").alias("share"), F.lit(1).alias("rank"), "id", "sig")
+        rest = large_members.join(sigs_held, "id").select("node", F.pmod(F.xxhash64("id"), shares).cast("int").alias("share"), F.lit(1).alias("rank"), "id", "sig")
         dealt = pivots.unionByName(rest).repartition("node", "share").sortWithinPartitions("node", "share", "rank", "id")
         near = saved(dealt.mapInArrow(_with_pivots, "node bigint, id binary, other binary, stays boolean"), "near", thin=True)
         tables.append(near)
         found = found.unionByName(near.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-        branching = near.filter("not stays").select("id", "node").join(records.select("id", "mins").hint("merge"), "id")
+        branching = near.filter("not stays").select("id", "node").join(among(records.select("id", "mins"), held, ["id"]).hint("merge"), "id")
         child = F.explode(F.array(*(F.xxhash64("node", F.lit(j), F.get("mins", F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDINATES)).cast("int"))) for j in range(2))))
         before, members = members, saved(branching.select("id", child.alias("node")).distinct(), "members", thin=True)
-        discard(before, sizes, large)
+        discard(before, sizes, large, large_members)
     discard(members, sizes, large)
     return found, tables
 
@@ -293,7 +297,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     names = classed.filter("n > 0").groupBy("root").agg(F.min(place).alias("name"), F.count("*").alias("many")).filter("many > 1").select("root", "name")
     others = classed.join(names, "root").filter(place != F.col("name")).select(F.coalesce("doc_id", F.lit(0)).alias("__d"), F.col("part").alias("__t"), F.col("doc_id").isNull().alias("__n")).distinct()
     keyed = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))).withColumn("__t", F.xxhash64("text")).withColumn("__n", F.col("doc_id").isNull())
-    kept = keyed.join(others, ["__d", "__t", "__n"], "left_anti")
+    # only rows that a bitmap of the others may hold are joined with them, so most texts aren't shuffled
+    others = saved(others, "others", thin=True)
+    bit = f"(xxhash64(__d, __t, __n) & {BITS - 1}L)"
+    doubtful = is_set(bitmap(others, bit, BITS), bit)
+    kept = keyed.filter(~doubtful).unionByName(keyed.filter(doubtful).join(others, ["__d", "__t", "__n"], "left_anti"))
     if not classed.filter("n > 0").groupBy("doc_id", "part").count().filter("count > 1").isEmpty():
         # rows that repeat both
         empty = F.trim(F.coalesce("text", F.lit(""))) == ""
