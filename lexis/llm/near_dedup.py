@@ -41,8 +41,8 @@ GROUP = 128
 LIKELY, ALIKE, FAIRLY, ENOUGH = 33, 54, 46, 4
 #: Records of a large node that one task compares with its pivots.
 SHARE = 4000
-#: Bits of the map of rows that go, a power of two.
-BITS = 1 << 22
+#: Bits of the map of rows that go, and of the smaller map of each level's records in large nodes, powers of two.
+BITS, FEW_BITS = 1 << 22, 1 << 18
 #: Shingles of a part of a group.
 WEIGHT = 2_000_000
 
@@ -183,7 +183,7 @@ def candidates(records: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             break
         large_members = saved(members.join(large, "node"), "held", thin=True)
         held = large_members.select("id")
-        sigs_held = among(sigs, held, ["id"])
+        sigs_held = among(sigs, held, ["id"], FEW_BITS)
         if depth == DEPTH:
             blocks = F.ceil(F.col("n") / (SMALL // 2)).cast("int")
             own = F.pmod(F.xxhash64("id"), blocks).cast("int")
@@ -201,7 +201,7 @@ def candidates(records: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         near = saved(dealt.mapInArrow(_with_pivots, "node bigint, id binary, other binary, stays boolean"), "near", thin=True)
         tables.append(near)
         found = found.unionByName(near.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-        branching = near.filter("not stays").select("id", "node").join(among(records.select("id", "mins"), held, ["id"]).hint("merge"), "id")
+        branching = near.filter("not stays").select("id", "node").join(among(records.select("id", "mins"), held, ["id"], FEW_BITS).hint("merge"), "id")
         child = F.explode(F.array(*(F.xxhash64("node", F.lit(j), F.get("mins", F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDINATES)).cast("int"))) for j in range(2))))
         before, members = members, saved(branching.select("id", child.alias("node")).distinct(), "members", thin=True)
         discard(before, sizes, large, large_members)
