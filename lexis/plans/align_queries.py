@@ -184,7 +184,7 @@ SURFACES = [("駆けろ", 9), ("駆けろ", 9), ("はしれ", 8), ("はしれ",
 VERBS = (1, 2, 6, 7, 9)
 #: By hand. 99 has the wrong part of speech; 10 covers 1, and 15 is covered by 6, which leaves 14 to 7; 16 and 17 are only 8's; 18 is rescued,
 #: 19 has two lemmas; 橋 and 箸 pin an entry where nothing covers.
-MAPPING = [(1, None, 10, "one"), (2, None, 11, "one"), (6, None, 15, "one"), (7, None, 14, "one"), (8, None, 16, "star"), (8, None, 17, "star"), (9, None, 18, "one"), (20, "橋", 12, "ambiguous"), (21, "箸", 13, "ambiguous")]
+FINAL = [(1, None, 10, "one"), (2, None, 11, "one"), (6, None, 15, "one"), (7, None, 14, "one"), (8, None, 16, "star"), (8, None, 17, "star"), (9, None, 18, "one"), (20, "橋", 12, "ambiguous"), (21, "箸", 13, "ambiguous")]
 
 
 def _mapping(spark: SparkSession) -> DataFrame:
@@ -196,13 +196,13 @@ def _mapping(spark: SparkSession) -> DataFrame:
     return alignment.aligned(matches, texts(LEMMA_TEXTS, "lemma_id"), texts(ENTRY_TEXTS, "entry_id"), inline(spark, SURFACES, "surface string, lemma_id bigint"))
 
 
-@query(f"SELECT CAST(lemma_id AS BIGINT) AS lemma_id, writing, CAST(entry_id AS BIGINT) AS entry_id, kind FROM (VALUES {values(MAPPING)}) t(lemma_id, writing, entry_id, kind)")
+@query(f"SELECT CAST(lemma_id AS BIGINT) AS lemma_id, writing, CAST(entry_id AS BIGINT) AS entry_id, kind FROM (VALUES {values(FINAL)}) t(lemma_id, writing, entry_id, kind)")
 def align_lexicons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From matches to the final mapping: parts of speech, rescue, covers from both sides, classes."""
     return _mapping(spark)
 
 
-@query(f"SELECT DISTINCT CAST(entry_id AS BIGINT) AS entry_id FROM (VALUES {values(MAPPING)}) t(lemma_id, writing, entry_id, kind)")
+@query(f"SELECT DISTINCT CAST(entry_id AS BIGINT) AS entry_id FROM (VALUES {values(FINAL)}) t(lemma_id, writing, entry_id, kind)")
 def mapped_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.mapped_entries(_mapping(spark))
 
@@ -226,7 +226,7 @@ def name_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency.name_counts(inline(spark, NAMED, "surface string, pos string"), inline(spark, NAMES, "key string, entry_id bigint"))
 
 
-PHRASES = [
+SPOKEN = [
     (1, "行く", "行く", "いく", "いく", False, ["行く"], [("ゆく", False, False)]), (2, "x", "行く", "いく", "いく", False, ["往く", "行く"], []), (3, "x", "x", "いく", "x", False, ["往く"], [("いく", False, False)]),
     (4, "x", "x", "いく", "x", False, ["往く"], [("いく", True, False)]), (5, "x", "x", "x", "いく", False, ["往く"], [("いく", False, True)]), (6, "x", "x", "いく", "x", False, [], [("いく", False, False)]),
     (7, "x", "x", "い.", "x", True, [], [("いく", False, False)]), (8, "x", "x", "い", "x", True, [], [("いく", False, False)]),
@@ -237,4 +237,4 @@ PHRASES = [
 def phrase_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hand-made: by writing, by reading where kana is possible, and by patterns that must match whole readings."""
     schema = "id bigint, orth string, orth_base string, pron string, pron_base string, is_pattern boolean, kanji_keys array<string>, readings array<struct<key: string, nokanji: boolean, uk: boolean>>"
-    return alignment.phrase_fits(inline(spark, PHRASES, schema)).select("id", "fits")
+    return alignment.phrase_fits(inline(spark, SPOKEN, schema)).select("id", "fits")
