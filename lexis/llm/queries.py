@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexis.llm import quality
+from lexis.llm import quality, vector_codes
 from lexis.llm.decontamination import op3_decontamination
 from lexis.llm.line_dedup import op10_line_dedup
 from lexis.llm.near_dedup import op7_near_dedup
@@ -16,6 +16,7 @@ from lexis.llm.secrets import op8_secrets
 from lexis.llm.substring_dedup import op9_substring_dedup
 from lexis.llm.token_counts import op2_token_counts
 from lexis.llm.toxicity import op6_toxicity
+from lexis.llm.vector_codes import op11_vector_codes
 from lexis.llm.warc import op1_warc_records
 
 
@@ -31,9 +32,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_secrets,
         op9_substring_dedup,
         op10_line_dedup,
+        op11_vector_codes,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality.ORACLE}
+    return {"op5_quality_rules": quality.ORACLE, "op11_vector_codes": vector_codes.ORACLE}
