@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexis.llm import quality, vector_codes
+from lexis.llm import lexical_search, quality, vector_codes
 from lexis.llm.decontamination import op3_decontamination
+from lexis.llm.lexical_search import op13_lexical_search
 from lexis.llm.line_dedup import op10_line_dedup
 from lexis.llm.near_dedup import op7_near_dedup
 from lexis.llm.packing import op4_packing
@@ -33,9 +34,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_substring_dedup,
         op10_line_dedup,
         op11_vector_codes,
+        op13_lexical_search,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality.ORACLE, "op11_vector_codes": vector_codes.ORACLE}
+    return {"op5_quality_rules": quality.ORACLE, "op11_vector_codes": vector_codes.ORACLE, "op13_lexical_search": lexical_search.ORACLE}
