@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexis.llm import lexical_search, quality, vector_codes
+from lexis.llm.byte_pairs import op12_byte_bpe
 from lexis.llm.decontamination import op3_decontamination
 from lexis.llm.lexical_search import op13_lexical_search
 from lexis.llm.line_dedup import op10_line_dedup
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_substring_dedup,
         op10_line_dedup,
         op11_vector_codes,
+        op12_byte_bpe,
         op13_lexical_search,
     )
     return {f.__name__: f for f in found}
