@@ -1,8 +1,8 @@
 """Operator 12: byte-level BPE encoding and decoding with Spark's higher-order functions.
 
 A piece of text that the pattern matches is a word. A word's bytes, each written as the letter of its number (U+0000 to U+00FF), are an array of
-parts. A fold merges, step by step, the neighbours whose concatenation has the least rank, the leftmost at a tie, until none
-has a rank. Ranks come from a literal map, laid out as an array of small maps by hash, so that a look-up reads few keys.
+parts, each known by its rank. A fold merges, step by step, the neighbours whose concatenation has the least rank, the leftmost at a tie, until none
+has a rank. Ranks of pairs come from a literal map, laid out as an array of small maps by hash, so that a look-up reads few keys.
 
 1. Words are counted over all texts, with partial counts by task. The most frequent ones, at most ``COMMON`` of them of ``COMMON_BYTES`` together, are folded once and
    become a second literal map, from word to ids. How many there are is found from a histogram of the counts, so no task sorts the words.
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import json
 
 import regex
 import tiktoken
@@ -28,10 +27,11 @@ from pyspark.sql import functions as F
 
 from lexis.llm.common import discard, saved, table, text_or_empty
 
-COMMON, COMMON_BYTES = 1 << 16, 4 << 20
+COMMON, COMMON_BYTES = 1 << 18, 8 << 20
 #: Small maps that a literal map is laid out in.
-BUCKETS = 1 << 14
-NONE = 1 << 30
+BUCKETS = 1 << 16
+#: The character of rank 0, and one behind all ranks.
+SIGNS, NONE = 0x10000, chr(0x10FFFF)
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -40,6 +40,8 @@ def ranks_of(path: str) -> dict[bytes, int]:
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
     if any(bytes((b,)) not in ranks for b in range(256)):
         raise ValueError("the vocabulary lacks a byte")
+    if max(ranks.values()) >= ord(NONE) - SIGNS:
+        raise ValueError("the vocabulary has too many pieces")
     return ranks
 
 
@@ -47,19 +49,17 @@ def letters(piece: bytes) -> str:
     return piece.decode("iso-8859-1")
 
 
-def literal_map(spark: SparkSession, keys: list[str], values: list, kind: str) -> Column:
-    """A map literal from strings to ``kind``, as an array of ``BUCKETS`` maps by the keys' hash."""
-    buckets: list[dict] = [{} for _ in range(BUCKETS)]
-    if keys:
-        hashed = spark.createDataFrame(list(enumerate(keys)), "n bigint, key string").select("n", (F.hash("key").bitwiseAND(BUCKETS - 1)).alias("at"))
-        for n, at in hashed.collect():
-            buckets[at][keys[n]] = values[n]
-    return literal(buckets, f"array<map<string,{kind}>>")
+def map_literal(rows: DataFrame, key: str, value: str) -> Column:
+    """A map from ``rows`` as an array of ``BUCKETS`` maps by the keys' hash; a scalar subquery, so tasks get it as one flat literal."""
+    buckets = rows.groupBy(F.hash(key).bitwiseAND(BUCKETS - 1).alias("id")).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("m"))
+    all_ = rows.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("id")).join(buckets, "id", "left")
+    return all_.agg(F.expr("transform(array_sort(collect_list(struct(id, m)), (a, b) -> a.id - b.id), x -> x.m)")).scalar()
 
 
-def literal(value, kind: str) -> Column:
-    """A literal of a nested type: the optimizer reads the constant JSON once."""
-    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False, separators=(",", ":"))), kind)
+def array_literal(spark: SparkSession, values: dict[int, str]) -> Column:
+    """An array of texts by number, from 0 on without gaps; a scalar subquery."""
+    rows = spark.createDataFrame([(n, values.get(n, "")) for n in range(max(values) + 1)], "n int, value string")
+    return rows.agg(F.expr("transform(array_sort(collect_list(struct(n, value))), x -> x.value)")).scalar()
 
 
 def looked_up(literal: Column, key: Column) -> Column:
@@ -71,38 +71,48 @@ def bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def fold(word: Column, ranks: Column) -> Column:
-    """The ids of a word (its bytes as letters): ranked merges folded over the array of its parts."""
+def sign(rank: int) -> str:
+    """A part as one character, so that an array of parts is a text, and texts of two characters are pairs."""
+    return chr(SIGNS + rank)
 
-    def rank(piece: Column) -> Column:
-        return F.coalesce(looked_up(ranks, piece), F.lit(NONE))
 
-    def pairs(parts: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: rank(F.concat(F.get(parts, i - 1), F.get(parts, i))))
+def pairs_of(ranks: dict[bytes, int]) -> list[tuple[str, str]]:
+    """What two neighbours make, by the two."""
+    out = []
+    for piece, rank in ranks.items():
+        for cut in range(1, len(piece)):
+            left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if left is not None and right is not None:
+                out.append((sign(left) + sign(right), sign(rank)))
+    return out
 
-    def merged(state: Column) -> Column:
-        parts, next_ = state["parts"], state["ranks"]
 
-        def at(k: Column) -> Column:  # k counts from 1
-            whole = F.concat(F.get(parts, k - 1), F.get(parts, k))
+def fold(word: Column, pairs: Column, ranks: dict[bytes, int]) -> Column:
+    """The ids of a word (its bytes as letters): ranked merges folded over its parts.
+
+    The state holds the parts and, for each two neighbours, the part that they would make; what makes nothing is ``NONE``, which comes behind all
+    parts, as do the ends that stand on both sides. The least of what can be made is both the merge to do and its result."""
 
-            def made(whole: Column) -> Column:
-                before = F.when(k > 1, F.array(rank(F.concat(F.get(parts, k - 2), whole)))).otherwise(F.array().cast("array<int>"))
-                behind = F.when(k + 1 < F.size(parts), F.array(rank(F.concat(whole, F.get(parts, k + 1))))).otherwise(F.array().cast("array<int>"))
-                return F.struct(
-                    F.concat(F.slice(parts, F.lit(1), k - 1), F.array(whole), F.slice(parts, k + 2, F.size(parts))).alias("parts"),
-                    F.concat(F.slice(next_, F.lit(1), F.greatest(k - 2, F.lit(0))), before, behind, F.slice(next_, k + 2, F.size(next_))).alias("ranks"),
-                )
+    def made(two: Column) -> Column:
+        return F.coalesce(looked_up(pairs, two), F.lit(NONE))
+
+    def merged(state: Column) -> Column:
+        parts, makes = state["parts"], state["makes"]
 
-            return bound(whole, made)
+        def at(new: Column, k: Column) -> Column:
+            beside = F.concat(made(F.concat(F.substring(parts, k - 1, 1), new)), made(F.concat(new, F.substring(parts, k + 2, 1))))
+            return F.struct(F.overlay(parts, new, k, F.lit(2)).alias("parts"), F.overlay(makes, beside, k - 1, F.lit(3)).alias("makes"))
 
-        return bound(F.array_min(next_), lambda least: F.when(least < NONE, bound(F.array_position(next_, least).cast("int"), at)).otherwise(state))
+        least = F.array_min(F.split(makes, ""))
+        return bound(least, lambda new: F.when(new == NONE, state).otherwise(bound(F.position(new, makes), lambda k: at(new, k))))
 
-    parts = F.split(word, "")
-    start = bound(parts, lambda p: F.struct(p.alias("parts"), pairs(p).alias("ranks")))
-    folded = F.aggregate(F.sequence(F.lit(2), F.length(word)), start, lambda state, _: merged(state), lambda state: F.transform(state["parts"], rank))
-    whole = looked_up(ranks, word)
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(folded)
+    signs = F.translate(word, "".join(map(chr, range(256))), "".join(sign(ranks[bytes((b,))]) for b in range(256)))
+    start = bound(
+        F.concat(F.lit(NONE), signs, F.lit(NONE)),
+        lambda parts: F.struct(parts.alias("parts"), F.array_join(F.transform(F.sequence(F.lit(1), F.length(parts) - 1), lambda i: made(F.substring(parts, i, 2))), "").alias("makes")),
+    )
+    ids = lambda parts: F.transform(F.split(F.substring(parts, F.lit(2), F.length(parts) - 2), ""), lambda c: F.ascii(c) - SIGNS)
+    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, lambda state, _: merged(state), lambda state: ids(state["parts"]))
 
 
 @functools.cache
@@ -122,7 +132,9 @@ def java_pattern(spark: SparkSession, pattern: str) -> str:
     everything, classes = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])), {}
     for kind, wanted in _classes().items():
         own = set(map(ord, spark.sql("SELECT regexp_replace(:t, :p, '')", args={"t": everything, "p": f"(?U)[^{kind}]+"}).first()[0]))
-        classes[kind] = kind + _ranges(wanted - own) if own <= wanted else _ranges(wanted)
+        more = wanted - own
+        # the usual characters don't pass through the list of the others
+        classes[kind] = _ranges(wanted) if own - wanted else f"{kind}[\\x{{{min(more):X}}}-\\x{{10FFFF}}&&[{_ranges(more)}]]" if more else kind
     one = lambda m: classes.get(m[0], m[0])
     inside = lambda m: regex.sub(r"\\p\{.\}|\\s", one, m[0]) if m[0][0] == "[" else f"[{one(m)}]" if m[0] in classes else m[0]
     return "(?U)" + regex.sub(r"\[[^\]]*\]|\\p\{.\}|\\s", inside, pattern)
@@ -154,35 +166,49 @@ def common_words(docs: DataFrame, pattern: str, most: int = COMMON, size: int =
     return counts.filter(F.col("level") >= least).select("word")
 
 
+def as_letters(word: Column) -> Column:
+    return F.decode(word.cast("binary"), "ISO-8859-1")
+
+
 def encode(docs: DataFrame, path: str, pattern: str, common: int = COMMON) -> DataFrame:
     """``docs`` (text and any other columns) with ``ids``, the ids of the whole text by the ranks of the file at ``path``."""
-    spark = docs.sparkSession
-    given, pattern = ranks_of(path), java_pattern(spark, pattern)
-    ranks = literal_map(spark, [letters(piece) for piece in given], list(given.values()), "int")
-    as_letters = lambda word: F.decode(word.cast("binary"), "ISO-8859-1")
+    spark, pattern, ranks = docs.sparkSession, java_pattern(docs.sparkSession, pattern), ranks_of(path)
+    pairs = map_literal(spark.createDataFrame(pairs_of(ranks), "pair string, made string"), "pair", "made")
+
+    def folded(rows: DataFrame, column: str) -> DataFrame:
+        # a subquery can't stand inside a higher-order function, but the optimizer merges a column that is used once into the function's argument
+        return rows.withColumn("__pairs", pairs).select(*rows.columns, bound(F.col("__pairs"), lambda pairs: fold(F.col(column), pairs, ranks)).alias("ids"))
+
+    # the library takes a word that is a piece itself as such, even if no merges lead to it
+    pieces = spark.createDataFrame([(letters(piece), rank) for piece, rank in ranks.items()], "piece string, rank int")
+    whole = folded(pieces, "piece").filter(F.size("ids") > 1).select(F.encode("piece", "ISO-8859-1").cast("string").alias("word"), F.array("rank").alias("ids"))
+    whole = saved(whole, "whole", thin=True)
     words = common_words(docs, pattern, common)
-    known = words.select("word", fold(as_letters(F.col("word")), ranks).alias("ids")).collect()
+    known = folded(words.join(whole, "word", "left_anti").withColumn("letters", as_letters(F.col("word"))), "letters").select("word", "ids")
+    known = saved(known.unionByName(whole), "folded", thin=True)
     discard(words)
-    known = literal_map(spark, [row.word for row in known], [row.ids for row in known], "array<int>")
-    ids = F.transform(words_in(text_or_empty(), pattern), lambda word: F.coalesce(looked_up(known, word), fold(as_letters(word), ranks)))
-    return docs.withColumn("ids", F.flatten(ids))
+    own = lambda pairs, known: F.transform(words_in(text_or_empty(), pattern), lambda word: F.coalesce(looked_up(known, word), fold(as_letters(word), pairs, ranks)))
+    ids = bound(F.col("__pairs"), lambda pairs: bound(F.col("__known"), lambda known: own(pairs, known)))
+    return docs.withColumns({"__pairs": pairs, "__known": map_literal(known, "word", "ids")}).select(*docs.columns, F.flatten(ids).alias("ids"))
 
 
-def joined(ids: Column, pieces: dict[int, bytes]) -> Column:
-    """The pieces of the ids, one behind the other, as binary."""
-    table = literal([letters(pieces.get(n, b"")) for n in range(max(pieces) + 1)], "array<string>")
-    return F.encode(F.array_join(F.transform(ids, lambda n: F.get(table, n)), ""), "ISO-8859-1")
+def joined(docs: DataFrame, out: str, pieces: dict[int, bytes]) -> DataFrame:
+    """``docs`` (ids and any other columns) with ``out``, the ids' pieces one behind the other."""
+    table = array_literal(docs.sparkSession, {n: letters(piece) for n, piece in pieces.items()})
+    text = bound(F.col("__pieces"), lambda pieces: F.array_join(F.transform("ids", lambda n: F.get(pieces, n)), ""))
+    return docs.withColumn("__pieces", table).select(*docs.columns, F.encode(text, "ISO-8859-1").alias(out))
 
 
-def decode(ids: Column, path: str) -> Column:
-    """The bytes that ids stand for."""
-    return joined(ids, {rank: piece for piece, rank in ranks_of(path).items()})
+def decode(docs: DataFrame, path: str, out: str = "decoded") -> DataFrame:
+    """``docs`` (ids) with the bytes that the ids stand for."""
+    return joined(docs, out, {rank: piece for piece, rank in ranks_of(path).items()})
 
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = encode(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), path, public_tokenizers.PATTERN)
-    as_numbers = joined(F.col("ids"), {n: n.to_bytes(4, "little") for n in ranks_of(path).values()})
-    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(as_numbers, 256).alias("ids_sha256"), F.sha2(decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    coded = encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids")
+    coded = joined(decode(coded, path), "numbers", {n: n.to_bytes(4, "little") for n in ranks_of(path).values()})
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2("numbers", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
