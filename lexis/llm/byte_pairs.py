@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import functools
 
+import numpy as np
 import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lexis.llm.common import discard, saved, table, text_or_empty
 
-COMMON, COMMON_BYTES = 1 << 18, 8 << 20
+COMMON, COMMON_BYTES = 1 << 17, 8 << 20
 #: Small maps that a literal map is laid out in.
 BUCKETS = 1 << 16
 #: The character of rank 0, and one behind all ranks.
@@ -115,23 +116,38 @@ def fold(word: Column, pairs: Column, ranks: dict[bytes, int]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, lambda state, _: merged(state), lambda state: ids(state["parts"]))
 
 
+CLASSES = (r"\p{L}", r"\p{N}", r"\s")
+
+
 @functools.cache
 def _classes() -> dict[str, set[int]]:
     """The code points of the classes in the pattern as the tiktoken library sees them."""
     everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     single = {bytes((b,)): b for b in range(256)}
     found = {}
-    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+    for kind in CLASSES:
         own = tiktoken.Encoding("class", pat_str=f"{kind}+", mergeable_ranks=single, special_tokens={})
-        found[kind] = set(map(ord, bytes(own.encode_ordinary(everything)).decode()))
+        found[kind] = set(map(ord, own.encode_to_numpy(everything).astype(np.uint8).tobytes().decode()))
     return found
 
 
+_JAVA_CLASSES: dict[str, set[int]] = {}
+
+
+def _java_classes(spark: SparkSession) -> dict[str, set[int]]:
+    """The same as Spark's regular expressions see them; asked once."""
+    if not _JAVA_CLASSES:
+        chars = spark.range(0x110000).filter("id < 55296 or id >= 57344").withColumn("c", F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')"))
+        row = chars.agg(*(F.collect_list(F.when(F.col("c").rlike(rf"(?U)\A{kind}\z"), F.col("id").cast("int"))).alias(kind) for kind in CLASSES)).first()
+        _JAVA_CLASSES.update((kind, set(row[kind])) for kind in CLASSES)
+    return _JAVA_CLASSES
+
+
 def java_pattern(spark: SparkSession, pattern: str) -> str:
     """``pattern`` for Spark's regular expressions, which know the Unicode tables of another year: its classes are mended by what the library holds besides."""
-    everything, classes = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])), {}
+    classes = {}
     for kind, wanted in _classes().items():
-        own = set(map(ord, spark.sql("SELECT regexp_replace(:t, :p, '')", args={"t": everything, "p": f"(?U)[^{kind}]+"}).first()[0]))
+        own = _java_classes(spark)[kind]
         more = wanted - own
         # the usual characters don't pass through the list of the others
         classes[kind] = _ranges(wanted) if own - wanted else f"{kind}[\\x{{{min(more):X}}}-\\x{{10FFFF}}&&[{_ranges(more)}]]" if more else kind
