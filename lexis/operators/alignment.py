@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -123,13 +123,14 @@ def simple_matches(lexemes: DataFrame, entries: DataFrame) -> DataFrame:
     return joined.filter(ok).select("lemma_id", "entry_id", F.col("orth").alias("writing")).distinct()
 
 
-def phrase_fits(hits: DataFrame) -> DataFrame:
+def phrase_fits(hits: DataFrame, by_sound: Column | None = None) -> DataFrame:
     """``hits`` with ``fits``: whether an entry's folded kanjis (kanji_keys) have the phrase's writing (orth, orth_base), or one of its readings
     (key, nokanji, uk) its sound (pron, pron_base; patterns if is_pattern). A reading counts if the entry can be written in kana: it has no
-    kanjis, the reading stands without them, or a sense says it is usually so."""
+    kanjis, the reading stands without them, or a sense says it is usually so. With ``by_sound``, sounds count only where it holds."""
     sound = "if(is_pattern, r.key rlike concat('^(?:', p, ')$'), r.key = p)"
     reading = f"exists(readings, r -> (size(kanji_keys) = 0 or r.nokanji or r.uk) and exists(array(pron, pron_base), p -> {sound}))"
-    return hits.withColumn("fits", F.expr(f"exists(kanji_keys, k -> k in (orth, orth_base)) or {reading}"))
+    sounds = F.expr(reading) if by_sound is None else by_sound & F.expr(reading)
+    return hits.withColumn("fits", F.expr("exists(kanji_keys, k -> k in (orth, orth_base))") | sounds)
 
 
 def name_matches(lexemes: DataFrame, names: DataFrame) -> DataFrame:
