@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexis.steps import Steps
+
+#: Writings in kana alone.
+KANA = "^[ぁ-ヿ]*$"
+
 
 def unique_links(links: DataFrame, left: str, right: str) -> DataFrame:
     """Links of left nodes that have exactly one right node."""
@@ -83,15 +88,52 @@ def resolved(links: DataFrame, matches: DataFrame) -> DataFrame:
     return sure.unionByName(pinned.drop("last").join(classes.filter("kind = 'ambiguous'"), "lemma_id").select("lemma_id", "writing", "entry_id", "kind"))
 
 
-def aligned(matches: DataFrame, lemma_texts: DataFrame, entry_texts: DataFrame, index: DataFrame) -> DataFrame:
+def aligned(matches: DataFrame, lemma_texts: DataFrame, entry_texts: DataFrame, index: DataFrame, rescue_texts: DataFrame | None = None) -> DataFrame:
     """The mapping that ``resolved`` gives for ``matches`` (lemma_id, entry_id, writing) after rescuing unmatched entries and pruning by
-    covers from the entries' side, then from the lemmas'. Texts are (lemma_id or entry_id, text), ``index`` is (surface, lemma_id)."""
-    matches = matches.select("lemma_id", "entry_id", "writing").unionByName(rescued_entries(entry_texts, matches, index)).distinct()
+    covers from the entries' side, then from the lemmas'. Texts are (lemma_id or entry_id, text), ``index`` is (surface, lemma_id); ``rescue_texts`` are
+    entries' texts as the index writes them, if it folds them."""
+    rescued_ = rescued_entries(entry_texts if rescue_texts is None else rescue_texts, matches, index)
+    matches = matches.select("lemma_id", "entry_id", "writing").unionByName(rescued_).distinct()
     links = matches.select("lemma_id", "entry_id").distinct()
     links = covered(links, "entry_id", "lemma_id", entry_texts, lemma_texts).select("lemma_id", "entry_id")
     return resolved(covered(links, "lemma_id", "entry_id", lemma_texts, entry_texts), matches)
 
 
+def learned_pairs(matches: DataFrame, lexemes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(pos, entry_pos, lemma_id, entry_id): parts of speech that go together, each pair with its first witness.
+
+    Only what leaves no doubt teaches: a lemma that all its ``matches`` lead to one entry, whose ``groups`` (entry_id, archaic, pos array) have one that
+    isn't archaic, with one part of speech, ``exp`` aside, which says none. The lemma's first lexeme speaks for it. Proper nouns go with nouns only."""
+    only = unique_links(matches, "lemma_id", "entry_id")
+    one = groups.filter("not archaic").groupBy("entry_id").agg(F.count("*").alias("n"), F.first("pos").alias("pos")).filter(F.expr("n = 1 and (size(pos) = 1 or array_contains(pos, 'exp'))"))
+    tags = one.select("entry_id", F.explode("pos").alias("entry_pos")).filter("entry_pos <> 'exp'")
+    spoken = lexemes.groupBy("lemma_id").agg(F.min(F.struct("orth", "pos")).alias("x")).select("lemma_id", "x.pos")
+    pairs = only.join(spoken, "lemma_id").join(tags, "entry_id").filter(F.expr("pos <> 'proper' or entry_pos like 'n%'"))
+    return pairs.groupBy("pos", "entry_pos").agg(F.min(F.struct("lemma_id", "entry_id")).alias("w")).select("pos", "entry_pos", "w.lemma_id", "w.entry_id")
+
+
+def gated(matches: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``matches`` (lemma_id, entry_id, writing, pos) whose lexeme's part of speech goes with one of the entry's that isn't archaic, by learned ``pairs``."""
+    tags = groups.filter("not archaic").select("entry_id", F.explode("pos").alias("entry_pos")).distinct()
+    allowed = tags.join(pairs.select("pos", "entry_pos").distinct(), "entry_pos").select("entry_id", "pos").distinct()
+    return matches.join(allowed, ["entry_id", "pos"], "left_semi").select("lemma_id", "entry_id", "writing").distinct()
+
+
+def align(lexemes: DataFrame, entries: DataFrame, groups: DataFrame, index: DataFrame, plain: str = KANA) -> DataFrame:
+    """The mapping (lemma_id, writing, entry_id, kind) of two lexicons: match, learn parts of speech from what is unique, keep the matches that they allow, rescue,
+    prune by covers from both sides, and classify.
+
+    ``lexemes`` are (lemma_id, pos, orth, orth_key, pron_key), ``entries`` as for ``simple_matches``, ``groups`` (entry_id, archaic, pos array), ``index`` (surface,
+    lemma_id) of folded surfaces. Steps that are read more than once are written to the shared folder and deleted at the end."""
+    steps = Steps(lexemes.sparkSession)
+    lexemes, entries = steps.saved(lexemes), steps.saved(entries)
+    matches = steps.saved(simple_matches(lexemes, entries, plain, with_pos=True))
+    groups = steps.saved(groups)
+    allowed = steps.saved(gated(matches, groups, learned_pairs(matches, lexemes, groups)))
+    texts = entries.select("entry_id", "text")
+    return steps.result(aligned(allowed, lexemes.select("lemma_id", F.col("orth").alias("text")), texts, index, entries.select("entry_id", F.col("text_key").alias("text"))))
+
+
 def mapped_entries(mapping: DataFrame) -> DataFrame:
     return mapping.select("entry_id").distinct()
 
@@ -107,20 +149,21 @@ def rescued(rows: DataFrame, mapped: DataFrame, key: str, surface: str, index: D
     return rows.join(mapped, key, "left_anti").join(alone, F.col(surface) == F.col("surface")).select(key, "target")
 
 
-def simple_matches(lexemes: DataFrame, entries: DataFrame) -> DataFrame:
-    """(lemma_id, entry_id, writing) of lexemes (lemma_id, pos, orth, orth_key, pron_key) and entries (entry_id, is_noun, has_kanji, nokanji, uk, archaic, text, reading_key, text_key).
+def simple_matches(lexemes: DataFrame, entries: DataFrame, plain: str = KANA, with_pos: bool = False) -> DataFrame:
+    """(lemma_id, entry_id, writing; also pos if asked) of lexemes (lemma_id, pos, orth, orth_key, pron_key) and entries (entry_id, is_noun, has_kanji, nokanji, uk, archaic, text, reading_key, text_key).
 
     They meet on the folded writing. A proper noun needs at most one noun entry and one lemma there; a kana lexeme needs an entry that can be
-    written in kana: without kanji, with a reading that has none, or usually so and alone; any other lexeme needs an equal reading."""
+    written in kana: without kanji, with a reading that has none, or usually so and alone; any other lexeme needs an equal reading.
+    ``plain`` is the pattern of writings in kana."""
     joined = lexemes.join(entries, F.col("orth_key") == F.col("text_key"))
     per_writing = joined.groupBy("lemma_id", "orth").agg(F.count_distinct("entry_id").alias("n_entries"), F.count_distinct(F.when(F.col("is_noun"), F.col("entry_id"))).alias("n_nouns"))
     per_key = joined.groupBy("orth_key", "pos").agg(F.count_distinct("lemma_id").alias("n_lemmas"))
     joined = joined.join(per_writing, ["lemma_id", "orth"]).join(per_key, ["orth_key", "pos"])
-    kana = F.col("orth").rlike("^[ぁ-ヿ]*$")
+    kana = F.col("orth").rlike(plain)
     kana_ok = (F.col("text") == F.col("orth")) & (~F.col("has_kanji") | F.col("nokanji") | (F.col("uk") & ~F.col("archaic") & (F.col("n_entries") == 1)))
     proper = F.col("pos") == "proper"
     ok = F.when(proper, (F.col("n_nouns") <= 1) & (F.col("n_lemmas") <= 1) & F.col("is_noun")).otherwise(True) & F.when(kana, kana_ok).otherwise(F.col("reading_key") == F.col("pron_key"))
-    return joined.filter(ok).select("lemma_id", "entry_id", F.col("orth").alias("writing")).distinct()
+    return joined.filter(ok).select("lemma_id", "entry_id", F.col("orth").alias("writing"), *(["pos"] if with_pos else [])).distinct()
 
 
 def phrase_fits(hits: DataFrame, by_sound: Column | None = None) -> DataFrame:

@@ -78,7 +78,7 @@ def japanese_rules() -> list[tuple[str, str, int, int, str, int]]:
         rules(stem + "る", one, (stem, r, "masu stem"))
     suru = ("vs-i", "vs-s")
     rules("する", suru, ("した", r, "past"), ("して", r, "-te"), ("したら", r, "-tara"), ("したり", r, "-tari"), ("しない", adjective, "negative"), ("しろ", r, "imperative"), ("せよ", r, "imperative"))
-    rules("する", suru, ("しよう", r, "volitional"), ("せず", r, "-zu"), ("せぬ", r, "archaic negative"), ("せん", r, "casual negative"), ("し", r, "masu stem"))
+    rules("する", suru, ("しよう", r, "volitional"), ("せず", r, "-zu"), ("せぬ", causing, "archaic negative"), ("せん", r, "casual negative"), ("し", r, "masu stem"))
     rules("する", suru, ("される", one, "passive"), ("させる", one, "causative"), ("さす", causing, "informal causative"))
     rules("する", ("vs-s",), ("さない", adjective, "negative"), ("しえる", ("v1",), "potential"), ("しうる", ("v5r",), "potential"))
     rules("する", ("vs-i",), ("できる", ("v1",), "potential"))

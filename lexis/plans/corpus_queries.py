@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexis.operators import corpus, lookup
+from lexis.operators import alignment, corpus, lookup
 from lexis.plans.registry import query, table
 from lexis.steps import Steps
 
@@ -120,3 +120,89 @@ def split_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sample_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the turns by a seeded digest of their keys: the sampling operator itself."""
     return corpus.sampled(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], 0.1, 7).select("conv_id", "turn")
+
+
+#: Endings that tell parts of speech here, and the entries' tags for them.
+_VERB, _ADVERB = "(ed|ing|en|er)$", "ly$"
+
+
+def lexicons(lexemes: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Two lexicons of the words of texts (text): lexemes, entries, the entries' groups, and the index of surfaces, as ``alignment.align`` takes them.
+
+    A lemma has the words that agree without marks and plural; an entry those whose first six plain letters agree."""
+    fold, ident = _fold, lambda x: f"cast(conv(substring(md5({x}), 1, 12), 16, 10) as bigint)"
+    words = lexemes.select(F.explode(F.expr(_words("text"))).alias("w")).filter("length(w) > 1").groupBy(F.lower("w").alias("orth")).agg(F.every(F.expr("w <> lower(w)")).alias("proper"))
+    words = words.withColumn("orth_key", F.expr(fold("orth"))).withColumn("lemma", F.expr("if(length(orth_key) > 3, regexp_replace(orth_key, 's$', ''), orth_key)"))
+    left = words.selectExpr(f"{ident('lemma')} as lemma_id", f"case when proper then 'proper' when orth rlike '{_VERB}' then 'verb' when orth rlike '{_ADVERB}' then 'adverb' else 'noun' end as pos", "orth", "orth_key", "orth_key as pron_key")
+    texts = entries.select(F.explode(F.expr(_words("text"))).alias("w")).filter("length(w) > 1").select(F.lower("w").alias("text")).distinct().withColumn("text_key", F.expr(fold("text")))
+    texts = texts.withColumn("head", F.expr("left(text_key, 6)")).withColumn("tag", F.expr(f"case when text rlike '{_VERB}' then 'v5' when text rlike '{_ADVERB}' then 'adv' else 'n' end"))
+    texts = texts.withColumn("entry_id", F.expr(ident("concat('entry ', head)")))
+    heads = texts.groupBy("entry_id").agg(F.bool_or(F.expr("tag = 'n'")).alias("is_noun"), F.bool_or(F.expr("text <> text_key")).alias("has_kanji"))
+    right = texts.join(heads, "entry_id").selectExpr("entry_id", "is_noun", "has_kanji", "length(text) % 7 = 0 as nokanji", "length(head) % 2 = 0 as uk", "false as archaic", "text", "text_key as reading_key", "text_key")
+    groups = texts.groupBy("entry_id", "tag").agg(F.bool_or(F.expr("text <> text_key")).alias("marked")).selectExpr("entry_id", "tag = 'adv' as archaic", "if(marked, array(tag, 'exp'), array(tag)) as pos")
+    return left, right, groups, left.select(F.col("orth_key").alias("surface"), "lemma_id").distinct()
+
+
+def _covered(name: str, links: str, left: str, right: str, left_texts: str, right_texts: str) -> str:
+    return f"""{name}_deg AS (SELECT {right}, count(*) AS d FROM {links} GROUP BY 1),
+{name}_open AS (SELECT {left} FROM {links} JOIN {name}_deg USING ({right}) GROUP BY 1 HAVING count(*) > 1 AND max(d) > 1),
+{name}_keep AS (SELECT {left}, min({right}) AS keep FROM (
+  SELECT l.{left}, l.{right} FROM {links} l JOIN {name}_open USING ({left}) WHERE NOT EXISTS (SELECT 1 FROM {left_texts} t WHERE t.{left} = l.{left} AND NOT EXISTS (SELECT 1 FROM {right_texts} r WHERE r.{right} = l.{right} AND r.text = t.text))) GROUP BY 1 HAVING count(*) = 1),
+{name} AS MATERIALIZED (SELECT l.lemma_id, l.entry_id FROM {links} l LEFT JOIN {name}_keep k ON l.{left} = k.{left} WHERE keep IS NULL OR keep = l.{right})"""
+
+
+_ALIGN = f"""WITH w AS (SELECT lower(w) AS orth, bool_and(w <> lower(w)) AS proper, {_SQL_FOLD.format('lower(w)')} AS k FROM (SELECT unnest({_W.format('text')}) AS w FROM documents) WHERE length(w) > 1 GROUP BY lower(w)),
+lx AS MATERIALIZED (SELECT {_SQL_ID.format("CASE WHEN length(k) > 3 THEN regexp_replace(k, 's$', '') ELSE k END")} AS lemma_id, CASE WHEN proper THEN 'proper' WHEN regexp_matches(orth, '{_VERB}') THEN 'verb' WHEN regexp_matches(orth, '{_ADVERB}') THEN 'adverb' ELSE 'noun' END AS pos, orth, k FROM w),
+c AS (SELECT DISTINCT lower(w) AS text, {_SQL_FOLD.format('lower(w)')} AS k FROM (SELECT unnest({_W.format('text')}) AS w FROM conversations) WHERE length(w) > 1),
+en AS MATERIALIZED (SELECT {_SQL_ID.format("'entry ' || left(k, 6)")} AS entry_id, text, k, length(left(k, 6)) % 2 = 0 AS uk, CASE WHEN regexp_matches(text, '{_VERB}') THEN 'v5' WHEN regexp_matches(text, '{_ADVERB}') THEN 'adv' ELSE 'n' END AS tag FROM c),
+heads AS (SELECT entry_id, bool_or(tag = 'n') AS is_noun, bool_or(text <> k) AS has_kanji FROM en GROUP BY 1),
+j AS (SELECT lx.*, en.entry_id, en.text, uk, length(text) % 7 = 0 AS nokanji, is_noun, has_kanji FROM lx JOIN en USING (k) JOIN heads USING (entry_id)),
+ne AS (SELECT lemma_id, orth, count(DISTINCT entry_id) AS n_entries, count(DISTINCT CASE WHEN is_noun THEN entry_id END) AS n_nouns FROM j GROUP BY 1, 2), nl AS (SELECT k, pos, count(DISTINCT lemma_id) AS n_lemmas FROM j GROUP BY 1, 2),
+m AS MATERIALIZED (SELECT DISTINCT lemma_id, entry_id, orth AS writing, pos FROM j JOIN ne USING (lemma_id, orth) JOIN nl USING (k, pos)
+  WHERE (pos <> 'proper' OR (n_nouns <= 1 AND n_lemmas <= 1 AND is_noun)) AND CASE WHEN regexp_matches(orth, '^[a-z]*$') THEN text = orth AND (NOT has_kanji OR nokanji OR (uk AND n_entries = 1)) ELSE TRUE END),
+g AS (SELECT entry_id, tag FROM en WHERE tag <> 'adv' GROUP BY 1, 2),
+pairs AS MATERIALIZED (SELECT DISTINCT pos, tag FROM (SELECT lemma_id, min(entry_id) AS entry_id FROM m GROUP BY 1 HAVING count(DISTINCT entry_id) = 1)
+  JOIN (SELECT lemma_id, arg_min(pos, orth) AS pos FROM lx GROUP BY 1) USING (lemma_id) JOIN (SELECT entry_id, min(tag) AS tag FROM g GROUP BY 1 HAVING count(*) = 1) USING (entry_id) WHERE pos <> 'proper' OR tag = 'n'),
+ok AS MATERIALIZED (SELECT DISTINCT lemma_id, entry_id, writing FROM m WHERE EXISTS (SELECT 1 FROM g JOIN pairs p ON p.tag = g.tag WHERE g.entry_id = m.entry_id AND p.pos = m.pos)),
+one AS (SELECT k, min(lemma_id) AS lemma_id FROM lx GROUP BY k HAVING count(DISTINCT lemma_id) = 1),
+every AS MATERIALIZED (SELECT * FROM ok UNION SELECT one.lemma_id, en.entry_id, en.k FROM en JOIN one USING (k) WHERE en.entry_id NOT IN (SELECT entry_id FROM ok)),
+links AS MATERIALIZED (SELECT DISTINCT lemma_id, entry_id FROM every), lt AS (SELECT lemma_id, orth AS text FROM lx), et AS (SELECT entry_id, text FROM en),
+{_covered('byentry', 'links', 'entry_id', 'lemma_id', 'et', 'lt')},
+{_covered('bylemma', 'byentry', 'lemma_id', 'entry_id', 'lt', 'et')},
+kinds AS (SELECT lemma_id, CASE WHEN count(*) = 1 THEN 'one' WHEN max(d) = 1 THEN 'star' ELSE 'ambiguous' END AS kind FROM bylemma JOIN (SELECT entry_id, count(*) AS d FROM bylemma GROUP BY 1) USING (entry_id) GROUP BY 1)
+"""
+_MAPPED = "SELECT lemma_id, CAST(NULL AS VARCHAR) AS writing, entry_id, kind FROM bylemma JOIN kinds USING (lemma_id) WHERE kind <> 'ambiguous' UNION ALL SELECT lemma_id, writing, min(entry_id), 'ambiguous' FROM every JOIN kinds USING (lemma_id) WHERE kind = 'ambiguous' GROUP BY 1, 2 HAVING count(DISTINCT entry_id) = 1"
+
+
+def _lexicons(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    return lexicons(table(spark, sf_dir, "documents").select("text"), table(spark, sf_dir, "conversations").select("text"))
+
+
+@query(_ALIGN + _MAPPED)
+def align_lexicons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexicon of the documents aligned with the dictionary of the conversations, from raw words to the final mapping."""
+    return alignment.align(*_lexicons(spark, sf_dir), plain="^[a-z]*$")
+
+
+@query(_ALIGN + f"SELECT DISTINCT entry_id FROM ({_MAPPED})")
+def mapped_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.mapped_entries(alignment.align(*_lexicons(spark, sf_dir), plain="^[a-z]*$"))
+
+
+@query(_ALIGN + "SELECT pos, tag AS entry_pos FROM pairs")
+def learned_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of parts of speech that unique matches of the two lexicons teach."""
+    lexemes, entries, groups, _ = _lexicons(spark, sf_dir)
+    return alignment.learned_pairs(alignment.simple_matches(lexemes, entries, "^[a-z]*$"), lexemes, groups).select("pos", "entry_pos")
+
+
+@query(_ALIGN + "SELECT DISTINCT lemma_id, entry_id, writing FROM m")
+def multi_cond_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexemes, entries, _, _ = _lexicons(spark, sf_dir)
+    return alignment.simple_matches(lexemes, entries, "^[a-z]*$")
+
+
+@query(_ALIGN + "SELECT DISTINCT lemma_id, entry_id FROM lx JOIN en USING (k) WHERE pos = 'proper'")
+def names_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexemes, entries, _, _ = _lexicons(spark, sf_dir)
+    return alignment.name_matches(lexemes, entries)

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-
 from lexis.operators import inflection, lookup, review
 from lexis.plans.registry import inline, query, table, values
 
 RULES = inflection.european_rules()
 JAPANESE = inflection.japanese_rules()
 INFLECTED = [("こき使われて",), ("食べさせられた",), ("行きませんでした",), ("高くない",), ("かけられて",), ("話せば",), ("飲んだり",), ("しなかった",)]
-KANA_WORDS = [("使う", 0x8000), ("かける", 4), ("食べる", 4), ("高い", 2), ("話す", 0x1000), ("飲む", 0x200000), ("する", 0x400), ("かけ", 0), ("高", 0)]
 RULE_COLUMNS = "(suffix, new_suffix, source_mask, target_mask, reason, rule_rank)"
 
 
@@ -25,9 +23,9 @@ def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.select("key", lookup.entry_id("key").alias("entry_id"), F.when(F.length("key") <= 4, 4).otherwise(2).alias("pos_mask"))
 
 
-def _names(spark: SparkSession, sf_dir: str, text: str = "substring(p_name, 1, 3)") -> DataFrame:
-    """Parts' name words as a second dictionary: those of ``text``, an expression on part."""
-    keys = lookup.tokens(table(spark, sf_dir, "part").select(F.expr(text).alias("text"))).select(F.col("w").alias("key")).distinct()
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the parts' names as a second dictionary."""
+    keys = lookup.tokens(table(spark, sf_dir, "part").select(F.col("p_name").alias("text"))).select(F.col("w").alias("key")).distinct()
     return keys.select("key", lookup.entry_id("key").alias("entry_id"), F.lit(0).alias("pos_mask"))
 
 
@@ -36,7 +34,7 @@ _ID = "CAST('0x' || substr(md5(key), 1, 12) AS BIGINT)"
 _WITH = f"""WITH RECURSIVE rules{RULE_COLUMNS} AS (VALUES {values(RULES)}),
 inp AS (SELECT w FROM ({_TOKENS.format('text', 'benchmark')}) WHERE w <> ''),
 voc AS (SELECT w AS key, {_ID.replace('key', 'w')} AS entry_id, CASE WHEN length(w) <= 4 THEN 4 ELSE 2 END AS pos_mask FROM ({_TOKENS.format('text', 'documents')}) WHERE w <> ''),
-nam AS (SELECT w AS key, {_ID.replace('key', 'w')} AS entry_id FROM ({_TOKENS.format('substring(p_name, 1, 3)', 'part')}) WHERE w <> ''),
+nam AS (SELECT w AS key, {_ID.replace('key', 'w')} AS entry_id FROM ({_TOKENS.format('p_name', 'part')}) WHERE w <> ''),
 pre AS (SELECT w, n, left(w, n) AS prefix FROM (SELECT w, unnest(range(1, least(length(w), 31) + 1)) AS n FROM inp)),
 clo(w, word, mask, depth, path, reasons) AS (
   SELECT DISTINCT prefix, prefix, 2147483647, 0, CAST([] AS INTEGER[]), '' FROM pre
@@ -50,7 +48,6 @@ hits AS (
 won AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY w, is_name, entry_id ORDER BY match_len DESC, depth, path, key) = 1),
 rnk AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY match_len DESC, is_name, strlen(reasons) DESC, entry_id) AS rnk FROM won QUALIFY rnk <= 32)
 """
-_WHOLE_NAMES = _WITH.replace("substring(p_name, 1, 3)", "p_name")
 
 
 @query(_WITH + "SELECT w, prefix, CAST(n AS BIGINT) AS n FROM pre")
@@ -74,84 +71,18 @@ def suffix_rule_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inflection.closure(words, RULES, 1).select("w", F.col("word").alias("cand"), F.col("reasons").alias("reason"))
 
 
-@query(f"""WITH RECURSIVE rules{RULE_COLUMNS} AS (VALUES {values(JAPANESE)}), inp(w) AS (VALUES {values(INFLECTED)}),
+@query(f"""WITH RECURSIVE rules{RULE_COLUMNS} AS (VALUES {values(RULES)}), inp AS (SELECT w FROM ({_TOKENS.format('text', 'documents')}) WHERE w <> ''),
 clo(w, word, mask, depth, path, reasons) AS (SELECT w, w, 2147483647, 0, CAST([] AS INTEGER[]), '' FROM inp UNION ALL
   SELECT c.w, left(c.word, length(c.word) - length(r.suffix)) || r.new_suffix, r.target_mask, c.depth + 1, list_append(c.path, r.rule_rank), CASE WHEN c.reasons = '' THEN r.reason ELSE c.reasons || ',' || r.reason END
-  FROM clo c JOIN rules r ON ends_with(c.word, r.suffix) AND (c.mask & r.source_mask) <> 0)
+  FROM clo c JOIN rules r ON ends_with(c.word, r.suffix) AND (c.mask & r.source_mask) <> 0 AND left(c.word, length(c.word) - length(r.suffix)) || r.new_suffix <> '')
 SELECT w, word AS cand, reasons, CAST(depth AS BIGINT) AS depth, CAST(row_number() OVER (PARTITION BY w ORDER BY depth, path) AS BIGINT) AS place FROM clo WHERE depth > 0""")
 def suffix_rule_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    found = inflection.closure(inline(spark, INFLECTED, "w string"), JAPANESE)
+    """All that chains of rules make of the documents' vocabulary."""
     place = F.row_number().over(Window.partitionBy("w").orderBy("depth", "path"))
+    found = inflection.closure(lookup.tokens(table(spark, sf_dir, "documents").select("text")).distinct(), RULES)
     return found.select("w", F.col("word").alias("cand"), "reasons", F.col("depth").cast("bigint").alias("depth"), place.cast("bigint").alias("place"))
 
 
-@query(f"""WITH RECURSIVE rules AS (SELECT 'ja' AS lang, * FROM (VALUES {values(JAPANESE)}) t{RULE_COLUMNS} UNION ALL SELECT 'eu', * FROM (VALUES {values(RULES)}) t{RULE_COLUMNS}),
-inp AS (SELECT 'ja' AS lang, w FROM (VALUES {values(INFLECTED)}) t(w) UNION ALL SELECT 'eu', w FROM ({_TOKENS.format('text', 'documents')}) WHERE w <> ''),
-clo(lang, w, word, mask, depth, path, reasons) AS (SELECT lang, w, w, 2147483647, 0, CAST([] AS INTEGER[]), '' FROM inp UNION ALL
-  SELECT c.lang, c.w, left(c.word, length(c.word) - length(r.suffix)) || r.new_suffix, r.target_mask, c.depth + 1, list_append(c.path, r.rule_rank), CASE WHEN c.reasons = '' THEN r.reason ELSE c.reasons || ',' || r.reason END
-  FROM clo c JOIN rules r ON c.lang = r.lang AND ends_with(c.word, r.suffix) AND (c.mask & r.source_mask) <> 0 AND left(c.word, length(c.word) - length(r.suffix)) || r.new_suffix <> '')
-SELECT w, word AS cand, reasons, CAST(depth AS BIGINT) AS depth, CAST(row_number() OVER (PARTITION BY lang, w ORDER BY depth, path) AS BIGINT) AS place FROM clo WHERE depth > 0""")
-def suffix_rule_closure_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``suffix_rule_closure`` with the documents' vocabulary under the European rules beside the inline words."""
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("w").orderBy("depth", "path"))
-    words = lookup.tokens(table(spark, sf_dir, "documents").select("text")).distinct()
-    found = [inflection.closure(df, rules).withColumn("place", place) for df, rules in ((inline(spark, INFLECTED, "w string"), JAPANESE), (words, RULES))]
-    return found[0].unionByName(found[1]).select("w", F.col("word").alias("cand"), "reasons", F.col("depth").cast("bigint").alias("depth"), F.col("place").cast("bigint").alias("place"))
-
-
-@query(f"""WITH RECURSIVE rules{RULE_COLUMNS} AS (VALUES {values(JAPANESE)}), inp(w) AS (VALUES {values(INFLECTED)}), voc(key, pos_mask) AS (VALUES {values(KANA_WORDS)}),
-pre AS (SELECT w, n, left(w, n) AS prefix FROM (SELECT w, unnest(range(1, length(w) + 1)) AS n FROM inp)),
-clo(w, word, mask, depth, reasons) AS (SELECT DISTINCT prefix, prefix, 2147483647, 0, '' FROM pre UNION ALL
-  SELECT c.w, left(c.word, length(c.word) - length(r.suffix)) || r.new_suffix, r.target_mask, c.depth + 1, CASE WHEN c.reasons = '' THEN r.reason ELSE c.reasons || ',' || r.reason END
-  FROM clo c JOIN rules r ON ends_with(c.word, r.suffix) AND (c.mask & r.source_mask) <> 0)
-SELECT pre.w, key, reasons, CAST(n AS BIGINT) AS match_len FROM pre JOIN clo ON clo.w = prefix AND depth > 0 JOIN voc ON word = key AND (mask & pos_mask) <> 0""")
-def lookup_japanese(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = inline(spark, KANA_WORDS, "key string, pos_mask int").withColumn("entry_id", F.lit(0).cast("bigint"))
-    hits = lookup.derived_hits(inline(spark, INFLECTED, "w string"), index, JAPANESE)
-    return hits.select("w", "key", "reasons", F.col("match_len").cast("bigint").alias("match_len"))
-
-
-#: By hand: input, entry, its part of speech, the reasons and the length of the longest match.
-KNOWN = [
-    ("食べさせられた", "食べる", 4, "past,potential or passive,causative", 7), ("高くなかった", "高い", 2, "past,negative", 6), ("話せば", "話す", 0x1000, "-ba", 3), ("飲んだり", "飲む", 0x200000, "-tari", 4),
-    ("こなかった", "くる", 0x10, "past,negative", 5), ("せん", "する", 0x400, "casual negative", 2), ("できた", "する", 0x400, "past,potential", 3), ("行かれた", "行く", 0x200, "past,passive", 4), ("行ったら", "行く", 0x200, "-tara", 4),
-]
-
-
-@query(f"SELECT w, key, reasons, CAST(match_len AS BIGINT) AS match_len FROM (VALUES {values([(a, b, d, e) for a, b, _, d, e in KNOWN])}) t(w, key, reasons, match_len)")
-def lookup_japanese_known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hit of known inflected words."""
-    index = inline(spark, sorted({x[1:3] for x in KNOWN}), "key string, pos_mask int").withColumn("entry_id", lookup.entry_id("key"))
-    won = lookup.first_wins(lookup.derived_hits(inline(spark, [x[:1] for x in KNOWN], "w string"), index, JAPANESE))
-    return won.select("w", "key", "reasons", F.col("match_len").cast("bigint").alias("match_len"))
-
-
-ENDINGS = ("できる", "せん", "せぬ", "さす", "しうる", "でしたら", "ましたり", "これる", "ありません", "かせる", "ったら", "らない", "れば", "来れる", "い", "れ")
-#: By hand: all rules of these endings, with what a word must be and what it becomes.
-RULES_OF_ENDINGS = [
-    ("できる", "する", "v1", "vs-i", "potential"), ("せん", "する", "raw", "vs-i|vs-s", "casual negative"), ("せぬ", "する", "raw", "vs-i|vs-s", "archaic negative"),
-    ("さす", "る", "v5s", "v1|v1-s|vk", "informal causative"), ("さす", "す", "v5s", "v5s", "informal causative"), ("さす", "する", "v5s", "vs-i|vs-s", "informal causative"),
-    ("しうる", "する", "v5r", "vs-s", "potential"), ("でしたら", "です", "raw", "desu", "-tara"), ("ましたり", "ます", "raw", "masu", "-tari"), ("これる", "くる", "v1|v1-s", "vk", "potential"),
-    ("ありません", "ない", "raw", "adj-i", "polite"), ("かせる", "く", "v1|v1-s", "v5k|v5k-s", "causative"),
-    ("ったら", "く", "raw", "v5k-s", "-tara"), ("ったら", "う", "raw", "v5u", "-tara"), ("ったら", "つ", "raw", "v5t", "-tara"), ("ったら", "る", "raw", "v5r|v5r-i|v5aru", "-tara"),
-    ("らない", "る", "adj-i", "v5r|v5aru", "negative"), ("れば", "る", "raw", "v1|v1-s|vk|vs-i|vs-s|v5r|v5r-i|v5aru", "-ba"), ("来れる", "来る", "v1|v1-s", "vk", "potential"),
-    ("い", "る", "raw", "vk", "imperative"), ("い", "いる", "raw", "v1|v1-s", "masu stem"), ("い", "う", "raw", "v5u|v5u-s|v5aru", "masu stem"),
-    ("れ", "る", "raw", "v5r|v5r-i|v5aru", "imperative"), ("れ", "れる", "raw", "v1-s", "imperative"), ("れ", "れる", "raw", "v1|v1-s", "masu stem"),
-]
-
-
-@query(f"SELECT * FROM (VALUES {values(RULES_OF_ENDINGS)}) t(suffix, new_suffix, source, target, reason)")
-def rules_of_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(b).alias("b")) for n, b in inflection.BIT.items()))
-    named = lambda c: F.expr(f"array_join(transform(filter(array_sort(transform(names, x -> named_struct('place', x.b, 'n', x.n, 'b', x.b))), x -> (x.b & {c}) <> 0), x -> x.n), '|')")
-    rules = inflection.rule_table(spark, JAPANESE).filter(F.col("suffix").isin(*ENDINGS)).withColumn("names", names)
-    return rules.select("suffix", "new_suffix", named("source_mask").alias("source"), named("target_mask").alias("target"), "reason")
-
-
 @query(_WITH + "SELECT w, entry_id, reasons, CAST(match_len AS BIGINT) AS match_len FROM hits WHERE depth > 0")
 def lookup_pos_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = lookup.derived_hits(_inputs(spark, sf_dir), _vocabulary(spark, sf_dir), RULES)
@@ -165,34 +96,25 @@ def lookup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return won.select("w", "entry_id", F.col("match_len").cast("bigint").alias("match_len"), "reasons")
 
 
-@query(_WITH + "SELECT w, CAST(rnk AS BIGINT) AS rnk, entry_id, is_name FROM rnk")
-def lookup_rank_top32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = lookup.lookup(_inputs(spark, sf_dir), _vocabulary(spark, sf_dir), _names(spark, sf_dir), RULES)
-    return hits.select("w", F.col("rnk").cast("bigint").alias("rnk"), "entry_id", "is_name")
+def ranked_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.lookup(_inputs(spark, sf_dir), _vocabulary(spark, sf_dir), _names(spark, sf_dir), RULES)
 
 
-@query(_WITH + "SELECT rnk.w, CAST(rnk AS BIGINT) AS rnk, e.key AS text FROM rnk JOIN (SELECT entry_id, key, FALSE AS is_name FROM voc UNION ALL SELECT entry_id, key, TRUE FROM nam) e ON e.entry_id = rnk.entry_id AND e.is_name = rnk.is_name")
-def late_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entry_id, is_name, text) of both dictionaries."""
     words, names = _vocabulary(spark, sf_dir), _names(spark, sf_dir)
-    hits = lookup.lookup(_inputs(spark, sf_dir), words, names, RULES).select("w", "rnk", "entry_id", "is_name")
-    entries = words.select("entry_id", F.col("key").alias("text"), F.lit(False).alias("is_name")).unionByName(names.select("entry_id", F.col("key").alias("text"), F.lit(True).alias("is_name")))
-    return lookup.materialised(hits, entries).select("w", F.col("rnk").cast("bigint").alias("rnk"), "text")
+    return words.select("entry_id", F.lit(False).alias("is_name"), F.col("key").alias("text")).unionByName(names.select("entry_id", F.lit(True).alias("is_name"), F.col("key").alias("text")))
 
 
-@query(_WHOLE_NAMES + "SELECT w, CAST(rnk AS BIGINT) AS rnk, entry_id, is_name FROM rnk")
-def lookup_rank_top32_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lookup_rank_top32`` with all words of the whole part names."""
-    hits = lookup.lookup(_inputs(spark, sf_dir), _vocabulary(spark, sf_dir), _names(spark, sf_dir, "p_name"), RULES)
-    return hits.select("w", F.col("rnk").cast("bigint").alias("rnk"), "entry_id", "is_name")
+@query(_WITH + "SELECT w, CAST(rnk AS BIGINT) AS rnk, entry_id, is_name FROM rnk")
+def lookup_rank_top32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_hits(spark, sf_dir).select("w", F.col("rnk").cast("bigint").alias("rnk"), "entry_id", "is_name")
 
 
-@query(_WHOLE_NAMES + "SELECT rnk.w, CAST(rnk AS BIGINT) AS rnk, e.key AS text FROM rnk JOIN (SELECT entry_id, key, FALSE AS is_name FROM voc UNION ALL SELECT entry_id, key, TRUE FROM nam) e ON e.entry_id = rnk.entry_id AND e.is_name = rnk.is_name")
-def late_materialise_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``late_materialise`` with all words of the whole part names."""
-    words, names = _vocabulary(spark, sf_dir), _names(spark, sf_dir, "p_name")
-    hits = lookup.lookup(_inputs(spark, sf_dir), words, names, RULES).select("w", "rnk", "entry_id", "is_name")
-    entries = words.select("entry_id", F.col("key").alias("text"), F.lit(False).alias("is_name")).unionByName(names.select("entry_id", F.col("key").alias("text"), F.lit(True).alias("is_name")))
-    return lookup.materialised(hits, entries).select("w", F.col("rnk").cast("bigint").alias("rnk"), "text")
+@query(_WITH + "SELECT rnk.w, CAST(rnk AS BIGINT) AS rnk, e.key AS text FROM rnk JOIN (SELECT entry_id, key, FALSE AS is_name FROM voc UNION ALL SELECT entry_id, key, TRUE FROM nam) e ON e.entry_id = rnk.entry_id AND e.is_name = rnk.is_name")
+def late_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = ranked_hits(spark, sf_dir).select("w", "rnk", "entry_id", "is_name")
+    return lookup.materialised(hits, contents(spark, sf_dir)).select("w", F.col("rnk").cast("bigint").alias("rnk"), "text")
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
@@ -201,9 +123,9 @@ def review_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.listed(table(spark, sf_dir, "customer"), "c_custkey", listed).select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def review_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
+    listed = table(spark, sf_dir, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("id"))
     return review.unlisted(table(spark, sf_dir, "customer"), "c_custkey", listed).select("c_custkey")
 
 

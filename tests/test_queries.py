@@ -5,11 +5,13 @@ import os
 
 import duckdb
 import pytest
+from known import align_cases, etl_cases, lookup_cases, page_cases, text_cases  # noqa: F401  they register themselves
+from known.cases import CASES
 from pyspark.sql import functions as F
 
 from lexis.functions import codec, kana, romaji, variations
 from lexis.operators import alignment, entries, frequency, inflection, lookup, review
-from lexis.plans import catalogue, etl_queries
+from lexis.plans import catalogue
 from lexis.sources import html_text, text_files, xml_entries
 from lexis.streaming import live_lookup
 
@@ -25,12 +27,9 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.queries()))
-def test_query(spark, duck, name):
-    got = catalogue.queries()[name](spark, SF)
+def same(got, duck, sql):
     columns = sorted(got.columns)
     rows = sorted(map(tuple, got.select(*columns).collect()), key=repr)
-    sql = catalogue.oracle_sql().get(name)
     if sql is None:
         assert rows
         return
@@ -38,6 +37,17 @@ def test_query(spark, duck, name):
     assert rows == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+def test_query(spark, duck, name):
+    same(catalogue.queries()[name](spark, SF), duck, catalogue.oracle_sql().get(name))
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_case(spark, duck, name):
+    make, sql = CASES[name]
+    same(make(spark, SF), duck, sql)
+
+
 def test_folding(spark):
     df = spark.createDataFrame([("ｽﾋﾟｰｶ",), ("開発センター",), ("ぶっとおし",)], "w string")
     rows = df.select(kana.folded("w"), kana.folded("w", kana.LOOSE_STEP), kana.folded_with_map("w")).collect()
@@ -59,7 +69,7 @@ def test_romanisation():
 
 
 def test_codec_round_trip(spark):
-    from lexis.plans.etl_queries import ENTRIES
+    from known.etl_cases import ENTRIES
 
     df = spark.createDataFrame(ENTRIES, codec.ENTRY)
     back = {r.entry_id: r for r in codec.decoded(codec.encoded(df).filter("entry_id <> 0").select("line")).collect()}
@@ -96,15 +106,15 @@ def test_hits_of_whole_names(spark, monkeypatch):
 
     texts = {"benchmark": ("text", "blue anvils"), "documents": ("text", "nothing"), "part": ("p_name", "blue anvil")}
     monkeypatch.setattr(lookup_queries, "table", lambda spark, sf_dir, name: spark.createDataFrame([(texts[name][1],)], f"{texts[name][0]} string"))
-    assert {(r.w, r.is_name) for r in lookup_queries.lookup_rank_top32_names(spark, "").collect()} == {("blue", True), ("anvils", True)}
-    assert {(r.w, r.text) for r in lookup_queries.late_materialise_names(spark, "").collect()} == {("blue", "blue"), ("anvils", "anvil")}
+    assert {(r.w, r.is_name) for r in lookup_queries.lookup_rank_top32(spark, "").collect()} == {("blue", True), ("anvils", True)}
+    assert {(r.w, r.text) for r in lookup_queries.late_materialise(spark, "").collect()} == {("blue", "blue"), ("anvils", "anvil")}
 
 
 def test_closure_of_vocabulary(spark, monkeypatch):
     from lexis.plans import lookup_queries
 
     monkeypatch.setattr(lookup_queries, "table", lambda *a: spark.createDataFrame([("Settings",)], "text string"))
-    rows = {(r.cand, r.reasons, r.depth) for r in lookup_queries.suffix_rule_closure_words(spark, "").filter("w = 'settings'").collect()}
+    rows = {(r.cand, r.reasons, r.depth) for r in lookup_queries.suffix_rule_closure(spark, "").filter("w = 'settings'").collect()}
     assert {("setting", "plural", 1), ("setting", "-s", 1), ("sett", "plural,-ing", 2), ("sett", "-s,-ing", 2)} == rows
 
 
@@ -154,7 +164,7 @@ def test_dictionary_is_kept(spark, tmp_path):
     from lexis.options import Options
 
     rules = inflection.japanese_rules()
-    made = Dictionary.build(spark.createDataFrame(etl_queries.ELEMENTS, "xml string"), rules)
+    made = Dictionary.build(spark.createDataFrame(etl_cases.ELEMENTS, "xml string"), rules)
     made.save(f"file://{tmp_path}/d")
     kept = Dictionary.load(spark, f"file://{tmp_path}/d", rules)
     texts = spark.createDataFrame([("食べられなかった",), ("タナカ",), ("すぴーか",), ("",), ("ない",)], "text string")
