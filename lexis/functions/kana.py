@@ -65,15 +65,15 @@ def folded_duckdb(column: str, step: str = QUERY_STEP) -> str:
     return f"list_reduce(list_filter(string_split({column}, ''), lambda c: c <> ''), lambda acc, c: {step}, '')"
 
 
-def folded_with_map(column: str) -> Column:
-    """(s, map): the folded text, and for each length of its beginnings the UTF-16 units of the source they took.
+def folded_with_map(column: str, step: str = QUERY_STEP, units: str = "if(ascii(c) > 65535, 2, 1)") -> Column:
+    """(s, map): the folded text, and for each length of its beginnings the ``units`` of the source they took, UTF-16 units unless told otherwise.
 
-    A unit that replaces the character before it belongs to that character."""
-    units = "if(ascii(c) > 65535, 2, 1)"
-    step = QUERY_STEP.replace("acc", "acc.s")
-    state = f"named_struct('s', {step}, 'used', acc.used + {units}, 'map', if(length({step}) > length(acc.s), concat(acc.map, array(acc.used + {units})), concat(slice(acc.map, 1, size(acc.map) - 1), array(acc.used + {units}))))"
+    A character that folds to several is taken by the first of them; one that changes the character before it belongs to that."""
+    step = step.replace("acc", "acc.s")
+    grown = f"array_repeat(acc.used + {units}, length({step}) - length(acc.s))"
+    map_ = f"if(length({step}) > length(acc.s), concat(acc.map, {grown}), if(size(acc.map) = 1, acc.map, concat(slice(acc.map, 1, size(acc.map) - 1), array(acc.used + {units}))))"
     start = "named_struct('s', '', 'used', 0, 'map', array(0))"
-    return F.expr(f"aggregate(filter(split({column}, ''), c -> c <> ''), {start}, (acc, c) -> {state}, acc -> named_struct('s', acc.s, 'map', acc.map))")
+    return F.expr(f"aggregate(filter(split({column}, ''), c -> c <> ''), {start}, (acc, c) -> named_struct('s', {step}, 'used', acc.used + {units}, 'map', {map_}), acc -> named_struct('s', acc.s, 'map', acc.map))")
 
 
 def utf16_length(column: str) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexis.functions.kana import QUERY_STEP, folded_with_map
 from lexis.operators.inflection import closure
 
 LIMIT = 32
@@ -77,3 +78,17 @@ def lookup(inputs: DataFrame, words: DataFrame, names: DataFrame | None, rules:
     if names is not None:
         hits = hits.unionByName(direct_hits(inputs, names, True, longest))
     return ranked(first_wins(hits), limit)
+
+
+def sources(texts: DataFrame, column: str = "text", step: str = QUERY_STEP) -> DataFrame:
+    """(text, w, units, chars) of the distinct texts: what is looked up, and for each length of its beginnings how much of the source it took, in UTF-16 units and in characters."""
+    distinct = texts.select(F.col(column).alias("text")).filter("text <> ''").distinct()
+    both = distinct.withColumn("u", folded_with_map("text", step)).withColumn("c", folded_with_map("text", step, "1"))
+    return both.select("text", F.col("u.s").alias("w"), F.col("u.map").alias("units"), F.col("c.map").alias("chars"))
+
+
+def located(hits: DataFrame, sources: DataFrame) -> DataFrame:
+    """``hits`` of folded texts (w, match_len, ...) for each source text, with ``match_units``, the match's length in the source's UTF-16 units, ``match_chars``, the same in characters, and
+    ``matched``, the part of the source that was found."""
+    rows = sources.join(hits, "w").withColumn("match_units", F.expr("units[match_len]")).withColumn("match_chars", F.expr("chars[match_len]"))
+    return rows.withColumn("matched", F.expr("left(text, match_chars)")).drop("units", "chars")
