@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexis.operators import alignment, corpus, lookup
+from lexis.operators import alignment, candidates, corpus, lookup
 from lexis.plans.registry import query, table
 from lexis.steps import Steps
 
@@ -206,3 +206,49 @@ def multi_cond_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def names_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexemes, entries, _, _ = _lexicons(spark, sf_dir)
     return alignment.name_matches(lexemes, entries)
+
+
+#: What tells a word's part of speech in this query, and the classes that stand for others there.
+_CLASSES = {"verb": ("v5",), "adverb": ("adv",), "noun": ("n",)}
+
+
+@query(
+    _ALIGN.split(",\nj AS", 1)[0]
+    + f""", ask AS (SELECT DISTINCT lower(w) AS w, {_SQL_FOLD.format('lower(w)')} AS k FROM (SELECT unnest({_W.format('text')}) AS w FROM benchmark) WHERE length(w) > 3),
+e AS (SELECT entry_id, left(min(k), 4) AS head, list(DISTINCT tag) AS tags, list(text) FILTER (text <> k) AS kanjis, list(k) AS readings FROM en GROUP BY entry_id),
+f0 AS (SELECT ask.*, e.*, CASE WHEN regexp_matches(w, '{_VERB}') THEN 'v5' WHEN regexp_matches(w, '{_ADVERB}') THEN 'adv' ELSE 'n' END AS tag FROM ask JOIN e ON left(ask.k, 4) = e.head),
+p1 AS (SELECT *, list_contains(tags, tag) AS ok FROM f0), f1 AS (SELECT * FROM p1 QUALIFY ok OR NOT bool_or(ok) OVER (PARTITION BY w)),
+p2 AS (SELECT * EXCLUDE (ok), list_contains(readings, k) AS ok FROM f1), f2 AS (SELECT * FROM p2 QUALIFY ok OR NOT bool_or(ok) OVER (PARTITION BY w)),
+p3 AS (SELECT * EXCLUDE (ok), (kanjis IS NULL AND w = k OR w <> k AND list_contains(coalesce(kanjis, []), w)) AND list_contains(readings, k) AS ok FROM f2), f3 AS (SELECT * FROM p3 QUALIFY ok OR NOT bool_or(ok) OVER (PARTITION BY w)),
+s AS (SELECT w, bool_or(list_contains(tags, tag)) AS a FROM f0 GROUP BY w), t AS (SELECT w, bool_or(ok) AS b FROM p2 GROUP BY w), u AS (SELECT w, bool_or(ok) AS c FROM p3 GROUP BY w)
+SELECT w, entry_id, concat_ws(',', CASE WHEN NOT a THEN 'pos' END, CASE WHEN NOT b THEN 'form' END, CASE WHEN NOT c THEN 'forms' END) AS skipped FROM f3 JOIN s USING (w) JOIN t USING (w) JOIN u USING (w)"""
+)
+def candidate_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the conversations' dictionary that are left for the benchmark's words after filters by part of speech, form, and shared writings and readings."""
+    _, texts, groups, _ = _lexicons(spark, sf_dir)
+    tags = groups.groupBy("entry_id").agg(F.flatten(F.collect_set("pos")).alias("tags"))
+    own = texts.groupBy("entry_id").agg(F.left(F.min("text_key"), F.lit(4)).alias("head"), F.collect_set(F.when(F.col("text") != F.col("text_key"), F.col("text"))).alias("kanjis"), F.collect_set("text_key").alias("readings"))
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.expr(_words("text"))).alias("w")).filter("length(w) > 3").select(F.lower("w").alias("w")).distinct().withColumn("k", F.expr(_fold("w")))
+    words = words.withColumn("asked", F.expr(f"array(case when w rlike '{_VERB}' then 'verb' when w rlike '{_ADVERB}' then 'adverb' else 'noun' end)"))
+    words = words.withColumn("writings", F.expr("if(w <> k, array(w), cast(array() as array<string>))")).withColumn("sounds", F.array("k"))
+    pairs = words.join(own, F.left("k", F.lit(4)) == F.col("head")).join(tags, "entry_id")
+    filters = {"pos": candidates.has_pos("tags", "asked", _CLASSES), "form": candidates.has_form("readings", "k"), "forms": candidates.shares_forms("kanjis", "readings", "writings", "sounds")}
+    return candidates.cascade(pairs, ["w"], filters).select("w", "entry_id", F.array_join("skipped", ",").alias("skipped"))
+
+
+@query(
+    """WITH RECURSIVE l AS (SELECT doc_id, i - 1 AS line_ix, x[i] AS line FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) WHERE regexp_matches(x[i], '[()<>|]')),
+d AS (SELECT DISTINCT line FROM l),
+f(line, p, parts, stack, problem) AS (SELECT line, 1, [''], '', CAST(NULL AS VARCHAR) FROM d UNION ALL
+  SELECT line, p + 1, CASE WHEN problem IS NOT NULL THEN parts WHEN c IN ('(', '<') THEN CASE WHEN stack = '' THEN list_concat(parts, [c, '']) ELSE list_append(parts[1:-2], parts[-1] || c) END
+    WHEN c NOT IN (')', '>') THEN list_append(parts[1:-2], parts[-1] || c) WHEN stack = '' OR right(stack, 1) <> CASE c WHEN ')' THEN '(' ELSE '<' END THEN parts WHEN length(stack) = 1 THEN list_concat(parts, [c, '']) ELSE parts END,
+   CASE WHEN problem IS NOT NULL THEN stack WHEN c IN ('(', '<') THEN stack || c WHEN c IN (')', '>') AND right(stack, 1) = CASE c WHEN ')' THEN '(' ELSE '<' END THEN left(stack, length(stack) - 1) ELSE stack END,
+   CASE WHEN problem IS NOT NULL THEN problem WHEN c IN (')', '>') AND stack = '' THEN 'unopened' WHEN c IN (')', '>') AND right(stack, 1) <> CASE c WHEN ')' THEN '(' ELSE '<' END THEN 'crossed' END
+  FROM (SELECT *, substr(line, p, 1) AS c FROM f WHERE p <= length(line))),
+z AS (SELECT line, CASE WHEN parts[-1] = '' THEN parts[1:-2] ELSE parts END AS parts, stack, problem FROM f WHERE p = length(line) + 1)
+SELECT doc_id, CAST(line_ix AS INTEGER) AS line_ix, array_to_string(parts, chr(31)) AS parts, stack AS "open", problem FROM l JOIN z USING (line)"""
+)
+def bracket_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' lines with brackets, cut at the outer ones, with what is left open and what is wrong."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_ix", "text")).filter(F.col("text").rlike("[()<>|]"))
+    return candidates.bracketed(lines, brackets={"(": ")", "<": ">"}).select("doc_id", "line_ix", F.array_join("parts", "\x1f").alias("parts"), "open", "problem")
