@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 
 from lexis.llm.common import discard, saved, table, text_or_empty
 
-COMMON, COMMON_BYTES = 1 << 17, 8 << 20
+COMMON, COMMON_BYTES = 1 << 18, 8 << 20
 #: Small maps that a literal map is laid out in.
 BUCKETS = 1 << 16
-#: The character of rank 0, and one behind all ranks.
-SIGNS, NONE = 0x10000, chr(0x10FFFF)
+#: Stands behind all parts.
+NONE = chr(0x10FFFF)
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -41,7 +41,7 @@ def ranks_of(path: str) -> dict[bytes, int]:
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
     if any(bytes((b,)) not in ranks for b in range(256)):
         raise ValueError("the vocabulary lacks a byte")
-    if max(ranks.values()) >= ord(NONE) - SIGNS:
+    if max(ranks.values()) >= 0x100000:
         raise ValueError("the vocabulary has too many pieces")
     return ranks
 
@@ -72,14 +72,15 @@ def bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def sign(rank: int) -> str:
-    """A part as one character, so that an array of parts is a text, and texts of two characters are pairs."""
-    return chr(SIGNS + rank)
+def base_of(ranks: dict[bytes, int]) -> int:
+    """A part is one character, so that an array of parts is a text, and texts of two characters are pairs: its rank, plus a base that keeps clear of surrogates if need be."""
+    return 0 if max(ranks.values()) < 0xD800 else 0x10000
 
 
 def pairs_of(ranks: dict[bytes, int]) -> list[tuple[str, str]]:
     """What two neighbours make, by the two."""
-    out = []
+    base, out = base_of(ranks), []
+    sign = lambda rank: chr(base + rank)
     for piece, rank in ranks.items():
         for cut in range(1, len(piece)):
             left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
@@ -89,7 +90,7 @@ def pairs_of(ranks: dict[bytes, int]) -> list[tuple[str, str]]:
 
 
 def fold(word: Column, pairs: Column, ranks: dict[bytes, int]) -> Column:
-    """The ids of a word (its bytes as letters): ranked merges folded over its parts.
+    """The parts of a word (its bytes as letters) when ranked merges are folded over them, one character each.
 
     The state holds the parts and, for each two neighbours, the part that they would make; what makes nothing is ``NONE``, which comes behind all
     parts, as do the ends that stand on both sides. The least of what can be made is both the merge to do and its result."""
@@ -107,13 +108,14 @@ def fold(word: Column, pairs: Column, ranks: dict[bytes, int]) -> Column:
         least = F.array_min(F.split(makes, ""))
         return bound(least, lambda new: F.when(new == NONE, state).otherwise(bound(F.position(new, makes), lambda k: at(new, k))))
 
-    signs = F.translate(word, "".join(map(chr, range(256))), "".join(sign(ranks[bytes((b,))]) for b in range(256)))
+    base = base_of(ranks)
+    single = F.array(*(F.lit(chr(base + ranks[bytes((b,))])) for b in range(256)))
+    signs = F.array_join(F.transform(F.split(word, ""), lambda c: F.get(single, F.ascii(c))), "")
     start = bound(
         F.concat(F.lit(NONE), signs, F.lit(NONE)),
         lambda parts: F.struct(parts.alias("parts"), F.array_join(F.transform(F.sequence(F.lit(1), F.length(parts) - 1), lambda i: made(F.substring(parts, i, 2))), "").alias("makes")),
     )
-    ids = lambda parts: F.transform(F.split(F.substring(parts, F.lit(2), F.length(parts) - 2), ""), lambda c: F.ascii(c) - SIGNS)
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, lambda state, _: merged(state), lambda state: ids(state["parts"]))
+    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, lambda state, _: merged(state), lambda state: F.substring(state["parts"], F.lit(2), F.length(state["parts"]) - 2))
 
 
 CLASSES = (r"\p{L}", r"\p{N}", r"\s")
@@ -187,37 +189,47 @@ def as_letters(word: Column) -> Column:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, common: int = COMMON) -> DataFrame:
-    """``docs`` (text and any other columns) with ``ids``, the ids of the whole text by the ranks of the file at ``path``."""
+    """``docs`` (text and any other columns) with ``signs``, the ids of the whole text by the ranks of the file at ``path``, one character each; ``ids`` makes numbers of them."""
     spark, pattern, ranks = docs.sparkSession, java_pattern(docs.sparkSession, pattern), ranks_of(path)
-    pairs = map_literal(spark.createDataFrame(pairs_of(ranks), "pair string, made string"), "pair", "made")
+    base, pairs = base_of(ranks), map_literal(spark.createDataFrame(pairs_of(ranks), "pair string, made string"), "pair", "made")
 
     def folded(rows: DataFrame, column: str) -> DataFrame:
         # a subquery can't stand inside a higher-order function, but the optimizer merges a column that is used once into the function's argument
-        return rows.withColumn("__pairs", pairs).select(*rows.columns, bound(F.col("__pairs"), lambda pairs: fold(F.col(column), pairs, ranks)).alias("ids"))
+        return rows.withColumn("__pairs", pairs).select(*rows.columns, bound(F.col("__pairs"), lambda pairs: fold(F.col(column), pairs, ranks)).alias("signs"))
 
     # the library takes a word that is a piece itself as such, even if no merges lead to it
-    pieces = spark.createDataFrame([(letters(piece), rank) for piece, rank in ranks.items()], "piece string, rank int")
-    whole = folded(pieces, "piece").filter(F.size("ids") > 1).select(F.encode("piece", "ISO-8859-1").cast("string").alias("word"), F.array("rank").alias("ids"))
+    pieces = spark.createDataFrame([(letters(piece), chr(base + rank)) for piece, rank in ranks.items()], "piece string, sign string")
+    whole = folded(pieces, "piece").filter(F.length("signs") > 1).select(F.encode("piece", "ISO-8859-1").cast("string").alias("word"), F.col("sign").alias("signs"))
     whole = saved(whole, "whole", thin=True)
     words = common_words(docs, pattern, common)
-    known = folded(words.join(whole, "word", "left_anti").withColumn("letters", as_letters(F.col("word"))), "letters").select("word", "ids")
+    known = folded(words.join(whole, "word", "left_anti").withColumn("letters", as_letters(F.col("word"))), "letters").select("word", "signs")
     known = saved(known.unionByName(whole), "folded", thin=True)
     discard(words)
     own = lambda pairs, known: F.transform(words_in(text_or_empty(), pattern), lambda word: F.coalesce(looked_up(known, word), fold(as_letters(word), pairs, ranks)))
-    ids = bound(F.col("__pairs"), lambda pairs: bound(F.col("__known"), lambda known: own(pairs, known)))
-    return docs.withColumns({"__pairs": pairs, "__known": map_literal(known, "word", "ids")}).select(*docs.columns, F.flatten(ids).alias("ids"))
+    signs = bound(F.col("__pairs"), lambda pairs: bound(F.col("__known"), lambda known: F.array_join(own(pairs, known), "")))
+    return docs.withColumns({"__pairs": pairs, "__known": map_literal(known, "word", "signs")}).select(*docs.columns, signs.alias("signs"))
 
 
-def joined(docs: DataFrame, out: str, pieces: dict[int, bytes]) -> DataFrame:
-    """``docs`` (ids and any other columns) with ``out``, the ids' pieces one behind the other."""
-    table = array_literal(docs.sparkSession, {n: letters(piece) for n, piece in pieces.items()})
-    text = bound(F.col("__pieces"), lambda pieces: F.array_join(F.transform("ids", lambda n: F.get(pieces, n)), ""))
-    return docs.withColumn("__pieces", table).select(*docs.columns, F.encode(text, "ISO-8859-1").alias(out))
+def ids(signs: Column, path: str) -> Column:
+    """The ids of a text of signs as an array of numbers."""
+    base = base_of(ranks_of(path))
+    return F.transform(F.filter(F.split(signs, ""), lambda c: c != ""), lambda c: F.ascii(c) - base)
+
+
+def number_bytes(signs: Column, path: str) -> Column:
+    """The ids as little-endian unsigned 32-bit integers: signs whose code is the id are such numbers of 16 bits, behind each of which come two bytes of zero."""
+    if base_of(ranks_of(path)):
+        halves = lambda n: F.concat(*(F.lpad(F.hex(F.shiftright(n, shift).bitwiseAND(255)), 2, "0") for shift in (0, 8, 16, 24)))
+        return F.unhex(F.array_join(F.transform(ids(signs, path), halves), ""))
+    return F.encode(F.when(signs != "", F.concat(F.array_join(F.split(signs, ""), "\0"), F.lit("\0"))).otherwise(F.lit("")), "UTF-16LE")
 
 
 def decode(docs: DataFrame, path: str, out: str = "decoded") -> DataFrame:
-    """``docs`` (ids) with the bytes that the ids stand for."""
-    return joined(docs, out, {rank: piece for piece, rank in ranks_of(path).items()})
+    """``docs`` (signs and any other columns) with the bytes that they stand for: the pieces one behind the other."""
+    ranks = ranks_of(path)
+    base, pieces = base_of(ranks), array_literal(docs.sparkSession, {rank: letters(piece) for piece, rank in ranks.items()})
+    text = bound(F.col("__pieces"), lambda pieces: F.array_join(F.transform(F.split("signs", ""), lambda c: F.get(pieces, F.ascii(c) - base)), ""))
+    return docs.withColumn("__pieces", pieces).select(*docs.columns, F.encode(F.when(F.col("signs") != "", text).otherwise(F.lit("")), "ISO-8859-1").alias(out))
 
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,6 +237,6 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    coded = encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids")
-    coded = joined(decode(coded, path), "numbers", {n: n.to_bytes(4, "little") for n in ranks_of(path).values()})
-    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2("numbers", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = decode(encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "signs"), path)
+    digest = F.sha2(number_bytes(F.col("signs"), path), 256)
+    return coded.select("doc_id", F.length("signs").cast("bigint").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
