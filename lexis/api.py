@@ -11,6 +11,7 @@ from lexis.functions.kana import KEY_STEP, QUERY_STEP, folded
 from lexis.operators import build, frequency, lookup, render
 from lexis.options import Options
 from lexis.sources import xml_entries
+from lexis.steps import Steps
 
 
 @dataclass
@@ -47,10 +48,11 @@ class Dictionary:
         return Dictionary(spark.read.parquet(f"{path}/words"), spark.read.parquet(f"{path}/names"), rules, options, spark.read.parquet(f"{path}/entries"))
 
     def lookup(self, texts: DataFrame) -> DataFrame:
-        """Ranked hits of the folded ``texts`` (text)."""
+        """Ranked hits of the folded ``texts`` (text), written to the shared folder; what led to them is deleted."""
         inputs = texts.select(folded("text", QUERY_STEP).alias("w")).distinct()
         names = self.names if self.options.use_names else None
-        return lookup.lookup(inputs, self.words, names, self.rules, self.options.depth, self.options.limit, longest=self.options.longest)
+        steps = Steps(texts.sparkSession)
+        return steps.result(lookup.lookup(inputs, self.words, names, self.rules, self.options.depth, self.options.limit, steps, self.options.longest))
 
     def ranks(self, tokens: DataFrame) -> DataFrame:
         """(w, n, rnk) of the words of tokens (w) that are frequent enough."""

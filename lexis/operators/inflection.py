@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexis.steps import Steps
+
 # Parts of speech in the order of their bits, and endings of the five-step verbs by row.
 POS = ("raw", "adj-i", "v1", "v1-s", "vk", "masu", "desu", "v5k", "v5g", "v5k-s", "vs-i", "vs-s", "v5s", "v5r", "v5t", "v5u", "v5u-s", "v5r-i", "v5aru", "v5n", "v5b", "v5m")
 BIT = {name: 1 << n for n, name in enumerate(POS)}
@@ -133,26 +135,26 @@ def one_step(words: DataFrame, rules: list[tuple]) -> DataFrame:
     ).filter("word <> ''")
 
 
-def closure(words: DataFrame, rules: list[tuple], depth: int | None = None, kept: list[DataFrame] | None = None) -> DataFrame:
+def closure(words: DataFrame, rules: list[tuple], depth: int | None = None, kept: Steps | None = None) -> DataFrame:
     """All candidates of ``words`` (w) that chains of rules reach, duplicates kept; ``path`` gives the order of discovery.
 
-    Without ``depth``, steps go on until one finds nothing: each is kept by Spark while the next is made of it, so a step is computed
-    once; ``kept`` collects these steps for callers that free them. Rules must not undo each other without end (the tables here take at least a letter, or lead to a mask that no rule takes).
+    Without ``depth``, steps go on until one finds nothing: each is written to the shared folder while the next is made of it, so a step is computed
+    once and nothing stays in memory; ``kept`` names the place, for callers that delete it. Rules must not undo each other without end (the tables here take at least a letter, or lead to a mask that no rule takes).
     With ``depth``, the plan is lazy and has that many steps. Only rules whose source meets a candidate's mask go on, so each step is
     smaller than the one before."""
     start = words.select("w", F.col("w").alias("word"), F.lit((1 << 31) - 1).alias("mask"), F.lit(0).alias("depth"), F.expr("cast(array() as array<int>)").alias("path"), F.lit("").alias("reasons"))
     live = 0
     for rule in rules:
         live |= rule[2]
-    kept = [] if kept is None else kept
+    kept = kept or Steps(words.sparkSession)
     step = one_step(start, rules)
     if depth is None:
-        kept.append(step := step.persist())
+        step = kept.saved(step)
     found, steps = step, 1
     while steps != depth:
         step = one_step(step.filter(F.col("mask").bitwiseAND(F.lit(live)) != 0), rules)
         if depth is None:
-            kept.append(step := step.persist())
+            step = kept.saved(step)
             if step.isEmpty():
                 break
         found, steps = found.unionByName(step), steps + 1

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexis.functions.kana import QUERY_STEP, folded_with_map
 from lexis.operators.inflection import closure
+from lexis.steps import Steps
 
 LIMIT = 32
 LONGEST_INPUT = 31
@@ -39,7 +40,7 @@ def direct_hits(inputs: DataFrame, index: DataFrame, is_name: bool, longest: int
     return found.select("w", "entry_id", F.col("n").alias("match_len"), F.lit(is_name).alias("is_name"), F.lit("").alias("reasons"), F.lit(0).alias("depth"), F.expr("cast(array() as array<int>)").alias("path"), "key")
 
 
-def derived_hits(inputs: DataFrame, index: DataFrame, rules: list[tuple], depth: int | None = None, kept: list[DataFrame] | None = None, direct: bool = False, longest: int = LONGEST_INPUT) -> DataFrame:
+def derived_hits(inputs: DataFrame, index: DataFrame, rules: list[tuple], depth: int | None = None, kept: Steps | None = None, direct: bool = False, longest: int = LONGEST_INPUT) -> DataFrame:
     """Hits of what rules make of beginnings; an entry must share a part of speech with the candidate. Beginnings are made distinct first.
 
     Chains of rules go on to their end, or to ``depth`` steps if it is given. With ``direct``, the beginnings' own hits are there too, as
@@ -71,7 +72,7 @@ def materialised(hits: DataFrame, entries: DataFrame) -> DataFrame:
     return hits.join(entries, ["entry_id", "is_name"])
 
 
-def lookup(inputs: DataFrame, words: DataFrame, names: DataFrame | None, rules: list[tuple], depth: int | None = None, limit: int = LIMIT, kept: list[DataFrame] | None = None, longest: int = LONGEST_INPUT) -> DataFrame:
+def lookup(inputs: DataFrame, words: DataFrame, names: DataFrame | None, rules: list[tuple], depth: int | None = None, limit: int = LIMIT, kept: Steps | None = None, longest: int = LONGEST_INPUT) -> DataFrame:
     """Ranked hits of distinct inputs (w) in words, through rules, and in names."""
     inputs = inputs.select("w").distinct()
     hits = derived_hits(inputs, words, rules, depth, kept, direct=True, longest=longest)

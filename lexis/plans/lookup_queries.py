@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from lexis.operators import inflection, lookup, review
-from lexis.plans.registry import inline, query, table, values
+from lexis.plans.registry import query, table, values
+from lexis.steps import Steps
 
 RULES = inflection.european_rules()
 JAPANESE = inflection.japanese_rules()
@@ -97,7 +98,9 @@ def lookup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.lookup(_inputs(spark, sf_dir), _vocabulary(spark, sf_dir), _names(spark, sf_dir), RULES)
+    """Hits of the benchmark's words, written once; the steps that led to them are deleted."""
+    steps = Steps(spark)
+    return steps.result(lookup.lookup(_inputs(spark, sf_dir), _vocabulary(spark, sf_dir), _names(spark, sf_dir), RULES, kept=steps))
 
 
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from lexis.operators import lookup
+from lexis.steps import Steps
 
 
 def start(texts: DataFrame, words: DataFrame, names: DataFrame | None, rules: list[tuple], sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -17,9 +18,8 @@ def start(texts: DataFrame, words: DataFrame, names: DataFrame | None, rules: li
     has the same number and the same hits."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        kept: list[DataFrame] = []
-        sink(lookup.lookup(lookup.tokens(rows.select("text")), words, names, rules, kept=kept), number)
-        for step in kept:
-            step.unpersist()
+        steps = Steps(rows.sparkSession)
+        sink(lookup.lookup(lookup.tokens(rows.select("text")), words, names, rules, kept=steps), number)
+        steps.discard()
 
     return texts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
