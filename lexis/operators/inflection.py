@@ -112,6 +112,22 @@ def european_rules() -> list[tuple[str, str, int, int, str, int]]:
     return [(*raw[n], rank) for rank, n in enumerate(order)]
 
 
+def rules_of(rows: DataFrame, bits: dict[str, int] | None = None) -> list[tuple[str, str, int, int, str, int]]:
+    """The rules of a table (suffix, new_suffix, source_pos, target_pos, reason), as a rule file has them, ranked like those made here; parts of speech become masks.
+
+    A part of speech that isn't among ``bits`` is refused with a ValueError, as is a rule without an ending or without parts of speech. A rule file is a bounded list."""
+    bits = BIT if bits is None else bits
+    raw = rows.select("suffix", "new_suffix", "source_pos", "target_pos", "reason").collect()
+    unknown = sorted({p for r in raw for p in (*(r.source_pos or ()), *(r.target_pos or ()))} - bits.keys())
+    if unknown:
+        raise ValueError(f"unknown parts of speech in rules: {', '.join(unknown)}")
+    if bad := [r.suffix for r in raw if not r.suffix or not r.source_pos or not r.target_pos]:
+        raise ValueError(f"rules without an ending or parts of speech: {bad}")
+    made = [(r.suffix, r.new_suffix or "", sum({bits[p] for p in r.source_pos}), sum({bits[p] for p in r.target_pos}), r.reason) for r in raw]
+    order = sorted(range(len(made)), key=lambda n: (-len(made[n][0]), made[n][0], n))
+    return [(*made[n], rank) for rank, n in enumerate(order)]
+
+
 def rule_table(spark: SparkSession, rules: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rules, SCHEMA)
 
