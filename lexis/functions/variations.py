@@ -1,6 +1,6 @@
 """Spelling variations of words whose kanjis' readings can be told apart in only one way.
 
-The writing's kana must be found in the reading, the stretches between them belong to the kanjis, and a stretch of several kanjis must split
+The writing's kana must be found in the reading beyond doubt, the stretches between them belong to the kanjis, and a stretch of several kanjis must split
 into their readings uniquely. Then a kanji can be written by its reading, and a kana behind a kanji can be left out where the kanji's reading may swallow it. A search with backtracking
 inside one word is beyond column expressions, so it runs on Arrow batches.
 """
@@ -23,17 +23,41 @@ def splits(kanjis: str, reading: str, known: dict[str, list[str]]) -> list[list[
     return [[r, *rest] for r in known.get(kanjis[0], ()) if r and reading.startswith(r) for rest in splits(kanjis[1:], reading[len(r) :], known)]
 
 
-def read(word: str, reading: str, known: dict[str, list[str]]) -> list[tuple[str, str]] | None:
-    """(piece, its reading) of the word's kanjis and kana, or None where it is not unique."""
+def anchored(word: str, reading: str) -> list[tuple[str, str]] | None:
+    """(block, its stretch of the reading) of the word's blocks of kanjis and of kana, or None where that is not certain.
+
+    A block of kana is certain where the rest of the reading has it once, or as often as the rest of the word, so that each must be its own; the stretches between belong to the kanjis."""
     blocks = _BLOCK.findall(word)
     if "".join(blocks) != word:
         return None
-    pattern = "".join("(.+)" if "一" <= b[0] <= "龥" else f"({b})" for b in blocks)
-    found = [m for m in [re.fullmatch(pattern, reading), re.fullmatch(pattern.replace("(.+)", "(.+?)"), reading)] if m]
-    if len(found) < 2 or found[0].groups() != found[1].groups():
+    found: list[tuple[str, str]] = []
+    open_, at = "", 0
+    for n, block in enumerate(blocks):
+        if "一" <= block[0] <= "龥":
+            open_ = block
+            continue
+        place = reading.find(block, at)
+        rest = reading.count(block, at)
+        if place < 0 or (reading.find(block, place + len(block)) >= 0 and rest != "".join(blocks[n:]).count(block)):
+            return None
+        if bool(open_) != (place > at):
+            return None
+        if open_:
+            found.append((open_, reading[at:place]))
+        found.append((block, block))
+        open_, at = "", place + len(block)
+    if bool(open_) != (at < len(reading)):
+        return None
+    return [*found, (open_, reading[at:])] if open_ else found
+
+
+def read(word: str, reading: str, known: dict[str, list[str]]) -> list[tuple[str, str]] | None:
+    """(piece, its reading) of the word's kanjis and kana, or None where it is not unique."""
+    parts = anchored(word, reading)
+    if parts is None:
         return None
     pieces: list[tuple[str, str]] = []
-    for block, part in zip(blocks, found[0].groups()):
+    for block, part in parts:
         if "一" <= block[0] <= "龥":
             ways = [[part]] if len(block) == 1 else splits(block, part, known)
             if len(ways) != 1:
