@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexis.plans import align_queries, corpus_queries, dictionary_queries, etl_queries, lookup_queries, page_queries, text_queries  # noqa: F401  they register themselves
+from lexis.plans import align_queries, corpus_queries, dictionary_queries, etl_queries, lookup_queries, page_queries, source_queries, text_queries  # noqa: F401  they register themselves
 from lexis.plans.registry import QUERIES, SQL, Query
 
 
