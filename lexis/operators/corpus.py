@@ -52,6 +52,15 @@ def descents(sentences: DataFrame, edges: DataFrame, longest: int, steps: Steps)
         depth += 1
 
 
+def met(phrases: DataFrame, sentences: DataFrame) -> DataFrame:
+    """``phrases`` without most of those that can't be found: their first two keys, or the one they have, must follow each other somewhere in the sentences.
+
+    It goes by 64-bit hashes, so a few others stay; that costs their edges and changes no result."""
+    keys = sentences.select(F.expr("transform(tokens, t -> t.key)").alias("k")).filter("size(k) > 0")
+    pairs = keys.select(F.explode(F.expr("concat(transform(k, (x, i) -> xxhash64(x, get(k, i + 1))), transform(k, x -> xxhash64(x, cast(null as string))))")).alias("begin")).distinct()
+    return phrases.withColumn("begin", F.expr("xxhash64(get(words, 0), get(words, 1))")).join(pairs, "begin", "left_semi").drop("begin")
+
+
 def _joined(field: str, depth: str) -> Column:
     return F.expr(f"array_join(transform(slice(tokens, start + 1, {depth}), t -> t.{field}), '')")
 
@@ -61,6 +70,7 @@ def hits(sentences: DataFrame, phrases: DataFrame, forms: DataFrame, steps: Step
 
     Where one entry ends, nothing needs asking. Where several do, an entry of ``forms`` (entry_id, kanji_keys, readings) needs the place's writing, or, if the
     place reads as it is written as far as the tree goes, or holds an unknown token, its sound; the least such entry is taken."""
+    phrases = steps.saved(met(phrases, sentences))
     edges = steps.saved(trie(phrases))
     longest = edges.agg(F.max(F.size("node"))).first()[0]
     if longest is None:
@@ -116,7 +126,7 @@ def recorded(walked: DataFrame, mapping: DataFrame, names: DataFrame) -> DataFra
 def counted(sentences: DataFrame, phrases: DataFrame, forms: DataFrame, mapping: DataFrame, names: DataFrame) -> DataFrame:
     """(entry_id, n): how often each entry stands in the corpus of ``sentences``."""
     steps = Steps(sentences.sparkSession)
-    sentences, phrases = steps.saved(sentences), steps.saved(phrases)
+    sentences = steps.saved(sentences)
     walk = steps.saved(walked(sentences, hits(sentences, phrases, forms, steps)))
     return steps.result(recorded(walk, mapping, names))
 

@@ -63,8 +63,8 @@ def names(texts: DataFrame) -> DataFrame:
     return words.select(F.expr(_fold("w")).alias("lemma"), F.expr("cast(conv(substring(md5(concat('name ', lower(w))), 1, 12), 16, 10) as bigint)").alias("entry_id")).distinct()
 
 
-def _lexicon(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    entries = phrase_entries(table(spark, sf_dir, "documents").select("text"))
+def _lexicon(spark: SparkSession, sf_dir: str, steps: Steps) -> tuple[DataFrame, DataFrame]:
+    entries = steps.saved(phrase_entries(table(spark, sf_dir, "documents").select("text")))
     return entries.select("words", "entry_id"), entries.select("entry_id", "kanji_keys", "readings")
 
 
@@ -102,18 +102,21 @@ SELECT entry_id, CAST(sum(n) AS BIGINT) AS n FROM every GROUP BY entry_id"""
 )
 def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the documents' phrases and words and the benchmark's names stand in the conversations."""
-    phrases, forms = _lexicon(spark, sf_dir)
+    steps = Steps(spark)
+    phrases, forms = _lexicon(spark, sf_dir, steps)
     documents = table(spark, sf_dir, "documents").select("text")
-    return corpus.counted(sentences(table(spark, sf_dir, "conversations")), phrases, forms, word_mapping(documents), names(table(spark, sf_dir, "benchmark").select("text")))
+    counts = corpus.counted(sentences(table(spark, sf_dir, "conversations")), phrases, forms, word_mapping(documents), names(table(spark, sf_dir, "benchmark").select("text")))
+    steps.discard()
+    return counts
 
 
 @query(_WALK + ", u AS (SELECT sent, p, array_to_string(w[p:p + k - 1], '') AS unit FROM walk JOIN t USING (sent) WHERE p > 0) SELECT sent, string_agg(unit, ' ' ORDER BY p) AS text FROM u GROUP BY sent UNION ALL SELECT sent, '' FROM t WHERE size = 0")
 def split_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations as the walk cut them: phrases without blanks, blanks between phrases and single words."""
     steps = Steps(spark)
-    phrases, forms = _lexicon(spark, sf_dir)
+    phrases, forms = _lexicon(spark, sf_dir, steps)
     corpus_ = steps.saved(sentences(table(spark, sf_dir, "conversations")))
-    return steps.result(corpus.split_text(corpus.walked(corpus_, corpus.hits(corpus_, steps.saved(phrases), forms, steps))))
+    return steps.result(corpus.split_text(corpus.walked(corpus_, corpus.hits(corpus_, phrases, forms, steps))))
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE CAST('0x' || substr(md5('7' || chr(31) || coalesce(CAST(conv_id AS VARCHAR), chr(30)) || chr(31) || coalesce(CAST(turn AS VARCHAR), chr(30))), 1, 12) AS BIGINT) < CAST(0.1 * 281474976710656 AS BIGINT)")
