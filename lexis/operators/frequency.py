@@ -47,12 +47,13 @@ def greedy(sentences: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
 def mapped_counts(tokens: DataFrame, mapping: DataFrame) -> DataFrame:
     """Counts per entry of tokens (lemma_id, writing, folded) through ``mapping`` (lemma_id, kind, writing, entry_id).
 
-    ``one`` and ``star`` count all targets; ``writing`` counts those of the written form, or else of the folded one."""
+    ``one`` and ``star`` count all targets; ``writing`` counts those of the written form, or else of the folded one. Equal tokens are counted before they meet the mapping."""
     m = mapping.select(F.col("lemma_id"), "kind", F.col("writing").alias("as"), "entry_id")
-    found = tokens.withColumn("t", F.monotonically_increasing_id()).join(m, "lemma_id")
+    kind = ["lemma_id", "writing", "folded"]
+    found = tokens.groupBy(*kind).agg(F.count("*").alias("n")).join(m, "lemma_id")
     found = found.withColumn("form", F.when(F.col("kind").isin("one", "star"), 0).when(F.col("as") == F.col("writing"), 0).when(F.col("as") == F.col("folded"), 1)).filter("form is not null")
-    first = F.rank().over(Window.partitionBy("t").orderBy("form"))
-    return found.withColumn("r", first).filter("r = 1").groupBy("entry_id").agg(F.count("*").alias("n"))
+    first = F.rank().over(Window.partitionBy(*kind).orderBy("form"))
+    return found.withColumn("r", first).filter("r = 1").groupBy("entry_id").agg(F.sum("n").alias("n"))
 
 
 def phrase_table(parses: DataFrame, known: DataFrame) -> DataFrame:
