@@ -26,10 +26,11 @@ def ranked(counts: DataFrame, key: str = "w", least: int = LEAST) -> DataFrame:
 def phrase_hits(sentences: DataFrame, phrases: DataFrame, keys: list[str]) -> DataFrame:
     """The longest phrase (phrase, len) at each place of ``sentences`` (keys, words); places from 0.
 
-    N-grams as long as the longest phrase meet the phrases by equality. The ``corpus`` module has a tree for many or long phrases, and for those that aren't valid everywhere."""
+    N-grams as long as the longest phrase meet the phrases by equality. They are many more than their file's size lets Spark expect, so they are never the side that is broadcast;
+    ``phrases`` may be, by a hint, and then no n-gram is shuffled. The ``corpus`` module has a tree for many or long phrases, and for those that aren't valid everywhere."""
     longest = phrases.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
     grams = sentences.select(*keys, F.explode(F.expr(f"flatten(transform(sequence(0, greatest(size(words) - 1, 0)), p -> transform(sequence(1, least({longest}, size(words) - p)), k -> named_struct('pos', p, 'gram', array_join(slice(words, p + 1, k), ' '), 'k', k))))")).alias("g")).select(*keys, "g.*")
-    hits = grams.join(phrases, F.col("gram") == F.col("phrase"))
+    hits = grams.hint("merge").join(phrases, F.col("gram") == F.col("phrase"))
     best = Window.partitionBy(*keys, "pos").orderBy(F.desc("k"))
     return hits.withColumn("__n", F.row_number().over(best)).filter("__n = 1").select(*keys, "pos", "phrase", F.col("k").alias("len"))
 

@@ -82,6 +82,11 @@ g AS (SELECT conv_id, turn, p - 1 AS pos, k, array_to_string(words[p:p + k - 1],
 h AS (SELECT conv_id, turn, pos, gram AS phrase, k AS len FROM g JOIN ph ON gram = phrase QUALIFY row_number() OVER (PARTITION BY conv_id, turn, pos ORDER BY k DESC) = 1)"""
 
 
+def _phrases(spark: SparkSession) -> DataFrame:
+    """The few phrases; Spark knows no size of rows made in Python, so it must be told that they are the small side."""
+    return F.broadcast(inline(spark, PHRASES, "phrase string"))
+
+
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").filter("text is not null")
     return rows.select("conv_id", "turn", F.expr(r"filter(split(lower(text), '[^\\p{L}]+'), w -> w <> '')").alias("words"))
@@ -89,7 +94,7 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_HITS} SELECT conv_id, turn, CAST(pos AS BIGINT) AS pos, phrase FROM h")
 def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = frequency.phrase_hits(_sentences(spark, sf_dir), inline(spark, PHRASES, "phrase string"), ["conv_id", "turn"])
+    hits = frequency.phrase_hits(_sentences(spark, sf_dir), _phrases(spark), ["conv_id", "turn"])
     return hits.select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "phrase")
 
 
