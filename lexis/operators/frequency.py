@@ -41,8 +41,9 @@ def greedy(sentences: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
     The phrases' places are found by joins; the walk is a fold over each sentence's hits in order."""
     places = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "len"))).alias("at"))
     walked = F.expr("aggregate(coalesce(at, array()), named_struct('end', 0, 'n', 0, 'words', 0), (s, x) -> if(x.pos >= s.end, named_struct('end', x.pos + x.len, 'n', s.n + 1, 'words', s.words + x.len), s))")
-    df = sentences.join(places, keys, "left").withColumn("walk", walked)
-    return df.select(*keys, (F.size("words") - F.col("walk.words") + F.col("walk.n")).cast("bigint").alias("n_tokens"), F.col("walk.n").cast("bigint").alias("n_phrases"))
+    sizes = sentences.select(*keys, F.size("words").alias("size"))
+    df = sizes.join(places.hint("merge"), keys, "left").withColumn("walk", walked)
+    return df.select(*keys, (F.col("size") - F.col("walk.words") + F.col("walk.n")).cast("bigint").alias("n_tokens"), F.col("walk.n").cast("bigint").alias("n_phrases"))
 
 
 def mapped_counts(tokens: DataFrame, mapping: DataFrame) -> DataFrame:

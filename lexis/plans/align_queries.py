@@ -103,7 +103,7 @@ def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, turn, CAST(n AS BIGINT) AS n_tokens, CAST(ph AS BIGINT) AS n_phrases FROM walk WHERE pos = size""")
 def greedy_tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, keys = _sentences(spark, sf_dir), ["conv_id", "turn"]
-    return frequency.greedy(rows, frequency.phrase_hits(rows, inline(spark, PHRASES, "phrase string"), keys), keys)
+    return frequency.greedy(rows, frequency.phrase_hits(rows, _phrases(spark), keys), keys)
 
 
 @query("""SELECT DISTINCT array_to_string(w, ' ') AS phrase, p_partkey AS entry_id FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part) WHERE len(w) > 1 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)""")
