@@ -23,3 +23,19 @@ def test_grams_are_not_broadcast(spark, name):
 def test_grams_are_not_broadcast_for_phrases_of_unknown_size(spark):
     rows = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", F.split("text", " ").alias("words"))
     assert "BroadcastExchange" not in plan(frequency.phrase_hits(rows, spark.createDataFrame([("of the",)], "phrase string"), ["conv_id", "turn"]))
+
+
+PARTS = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
+
+
+def result(spark, monkeypatch, module, name, **tables):
+    """The rows of a query over hand-made tables (rows, schema)."""
+    monkeypatch.setattr(module, "table", lambda s, d, t: s.createDataFrame(*tables[t]))
+    return sorted(map(tuple, catalogue.queries()[name](spark, "").collect()))
+
+
+def test_any_order_lists_a_customer(spark, monkeypatch):
+    from lexis.plans import lookup_queries
+
+    orders = ([(1, 5.0), (1, 400000.0), (2, 5.0)], "o_custkey long, o_totalprice double")
+    assert result(spark, monkeypatch, lookup_queries, "review_anti", customer=([(1,), (2,), (3,)], "c_custkey long"), orders=orders) == [(3,)]
