@@ -55,11 +55,24 @@ def entry_line_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT p_partkey AS entry_id, array_to_string(list_filter(range(len(w)), lambda i: i <> 1 OR p_size % 2 = 1), ',') AS readings, translate(p_brand, '#', '-') AS kanjis FROM (SELECT *, string_split(p_name, ' ') AS w FROM part) WHERE p_partkey % 7 <> 0")
+def restricted(parts: DataFrame) -> DataFrame:
+    """Entry elements (xml) of parts with three writings, brand, type and size; readings stand without kanji, or hold for some of the writings alone, as the size says."""
+    writings = "array(translate(p_brand, '#', '-'), p_type, concat('size-', p_size))"
+    only = "concat(if(i = 0 and p_size % 5 = 0, concat('<re_restr>', k[0], '</re_restr>'), ''), if(i = 0 and p_size % 3 = 0, concat('<re_restr>', k[1], '</re_restr>'), ''), if(i = 1 and p_size % 7 = 0, concat('<re_restr>', k[2], '</re_restr>'), ''))"
+    readings = f"array_join(transform(split(p_name, ' '), (x, i) -> concat('<r_ele><reb>', x, '</reb>', if(i = 1 and p_size % 2 = 0, '<re_nokanji/>', ''), {only}, '</r_ele>')), '')"
+    senses = "if(p_partkey % 7 = 0, '<trans><name_type>&product;</name_type><trans_det>part</trans_det></trans>', '<sense><pos>&n;</pos><gloss>part</gloss></sense>')"
+    return parts.withColumn("k", F.expr(writings)).select(F.expr(f"concat('<entry><ent_seq>', p_partkey, '</ent_seq>', array_join(transform(k, x -> concat('<k_ele><keb>', x, '</keb></k_ele>')), ''), {readings}, {senses}, '</entry>')").alias("xml"))
+
+
+@query("""WITH e AS (SELECT p_partkey AS entry_id, p_size, [translate(p_brand, '#', '-'), p_type, 'size-' || p_size] AS k, len(string_split(p_name, ' ')) AS n FROM part),
+x AS (SELECT entry_id, i, k[i] AS k, array_to_string(list_filter(range(n), lambda j: (j <> 0 OR (p_size % 5 <> 0 AND p_size % 3 <> 0) OR (p_size % 5 = 0 AND i = 1) OR (p_size % 3 = 0 AND i = 2)) AND (j <> 1 OR (p_size % 2 <> 0 AND (p_size % 7 <> 0 OR i = 3)))), ',') AS readings FROM (SELECT *, unnest([1, 2, 3]) AS i FROM e))
+SELECT entry_id, readings, string_agg(k, ',' ORDER BY i) AS kanjis FROM x GROUP BY entry_id, readings""")
 def reading_restriction_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each writing of the parts' entries the readings that it can have."""
-    rows = build.words_of(_parsed(spark, sf_dir)).withColumn("ix", F.expr(codec.reading_indices()))
-    return rows.select("entry_id", F.expr("array_join(ix[0], ',')").alias("readings"), F.expr("kanjis[0].text").alias("kanjis"))
+    """For the writings of all parts' entries, words and names, the readings that each can have; writings that can have the same ones stand together."""
+    parsed = xml.parsed(restricted(table(spark, sf_dir, "part")))
+    rows = build.words_of(parsed).unionByName(build.names_of(parsed)).withColumn("ix", F.expr(codec.reading_indices()))
+    lists = rows.select("entry_id", "kanjis", "ix", F.explode(F.array_distinct("ix")).alias("l"))
+    return lists.select("entry_id", F.array_join("l", ",").alias("readings"), F.expr("array_join(filter(transform(kanjis, (k, i) -> if(ix[i] = l, k.text, null)), k -> k is not null), ',')").alias("kanjis"))
 
 
 @query("""WITH w AS (SELECT p_partkey, p_size, unnest(list_concat([translate(p_brand, '#', '-')], string_split(p_name, ' '))) AS key FROM part WHERE p_partkey % 7 <> 0)

@@ -39,3 +39,11 @@ def test_any_order_lists_a_customer(spark, monkeypatch):
 
     orders = ([(1, 5.0), (1, 400000.0), (2, 5.0)], "o_custkey long, o_totalprice double")
     assert result(spark, monkeypatch, lookup_queries, "review_anti", customer=([(1,), (2,), (3,)], "c_custkey long"), orders=orders) == [(3,)]
+
+
+def test_readings_of_all_writings_of_words_and_names(spark, monkeypatch):
+    from lexis.plans import dictionary_queries
+
+    parts = [(1, "old ring", "Brand#1", "LARGE", 5), (7, "hot bolt", "Brand#2", "SMALL", 7), (8, "new gear", "Brand#3", "SMALL", 30)]
+    rows = result(spark, monkeypatch, dictionary_queries, "reading_restriction_inversion", part=(parts, PARTS))
+    assert rows == [(1, "0,1", "Brand-1"), (1, "1", "LARGE,size-5"), (7, "0", "Brand-2,SMALL"), (7, "0,1", "size-7"), (8, "", "size-30"), (8, "0", "Brand-3,SMALL")]
