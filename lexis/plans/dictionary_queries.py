@@ -82,11 +82,14 @@ def dictionary_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.index_of(build.words_of(_parsed(spark, sf_dir)))
 
 
-@query("""SELECT p_partkey AS entry_id, translate(p_brand, '#', '-') AS kanjis, array_to_string(string_split(p_name, ' '), ',') AS readings, CASE WHEN p_size % 3 = 0 THEN 'v1' ELSE 'n' END || ';' || p_type || '`size ' || p_size AS content FROM part WHERE p_partkey % 7 <> 0""")
+@query("""SELECT p_partkey AS entry_id, translate(p_brand, '#', '-') AS kanjis, array_to_string([w[i + 1] || CASE WHEN p_size > 25 AND i > 0 THEN 'U' ELSE '' END FOR i IN range(len(w))], ',') AS readings,
+CASE WHEN p_partkey % 7 = 0 THEN CASE WHEN p_size % 2 = 0 THEN 'c' ELSE 'd' END || ';' || p_type ELSE CASE WHEN p_size % 3 = 0 THEN 'v1' ELSE 'n' END || ';' || p_type || '`size ' || p_size END AS content FROM (SELECT *, string_split(p_name, ' ') AS w FROM part)""")
 def dictionary_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries, words and names, that are built from the parts' elements; uncommon texts are marked."""
     joined = F.expr("array_join(transform(groups, g -> concat(array_join(g.pos, ','), ';', array_join(g.senses, '`'))), '\\\\')")
-    texts = [F.expr(f"array_join(transform({c}, x -> x.text), ',')").alias(c) for c in ("kanjis", "readings")]
-    return build.words_of(_parsed(spark, sf_dir)).select("entry_id", *texts, joined.alias("content"))
+    texts = [F.expr(f"array_join({codec.marked(c)}, ',')").alias(c) for c in ("kanjis", "readings")]
+    parsed = _parsed(spark, sf_dir)
+    return build.words_of(parsed).unionByName(build.names_of(parsed)).select("entry_id", *texts, joined.alias("content"))
 
 
 @query("""SELECT p_partkey AS entry_id, concat_ws(' ', CASE WHEN p_size % 2 = 0 OR p_size % 4 = 1 THEN '(only ' || concat_ws(',', CASE WHEN p_size % 2 = 0 THEN p_brand END, CASE WHEN p_size % 4 = 1 THEN p_name END) || ')' END,

@@ -47,3 +47,11 @@ def test_readings_of_all_writings_of_words_and_names(spark, monkeypatch):
     parts = [(1, "old ring", "Brand#1", "LARGE", 5), (7, "hot bolt", "Brand#2", "SMALL", 7), (8, "new gear", "Brand#3", "SMALL", 30)]
     rows = result(spark, monkeypatch, dictionary_queries, "reading_restriction_inversion", part=(parts, PARTS))
     assert rows == [(1, "0,1", "Brand-1"), (1, "1", "LARGE,size-5"), (7, "0", "Brand-2,SMALL"), (7, "0,1", "size-7"), (8, "", "size-30"), (8, "0", "Brand-3,SMALL")]
+
+
+def test_contents_have_names_and_marks(spark, monkeypatch):
+    from lexis.plans import dictionary_queries
+
+    parts = [(1, "old ring", "Brand#1", "LARGE", 26), (7, "hot bolt", "Brand#2", "SMALL", 8)]
+    rows = result(spark, monkeypatch, dictionary_queries, "dictionary_contents", part=(parts, PARTS))
+    assert rows == [(1, "Brand-1", "old,ringU", "n;LARGE`size 26"), (7, "Brand-2", "hot,bolt", "c;SMALL")]
