@@ -72,8 +72,19 @@ def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_files.corpus_sentences(lines, "p")
 
 
-@query("""SELECT p_partkey AS entry_id, CASE WHEN p_size % 2 = 0 THEN 'c' ELSE 'd' END || CASE WHEN p_size % 3 = 0 THEN ',' || p_type ELSE '' END || ';' || replace(p_name, ' ', '; ') AS text FROM part""")
+#: Kana that stand for the digits of a part's number in its reading, and their Latin spellings: the usual ones, and others that are as good.
+_KANA, _SPELT, _OTHER = "あかさたちつまらふん", ["a", "ka", "sa", "ta", "chi", "tsu", "ma", "ra", "fu", "n"], ["a", "ka", "sa", "ta", "ti", "tu", "ma", "ra", "hu", "m"]
+_DIGITS = "string_split(CAST(p_partkey AS VARCHAR), '')"
+
+
+@query(f"""WITH p AS (SELECT *, array_to_string([{_SPELT}[CAST(x AS INTEGER) + 1] FOR x IN {_DIGITS}], '') AS spelt, array_to_string([{_OTHER}[CAST(x AS INTEGER) + 1] FOR x IN {_DIGITS}], '') AS other FROM part),
+t AS (SELECT p_partkey AS entry_id, CASE WHEN p_size % 2 = 0 THEN 'c' ELSE 'd' END || CASE WHEN p_size % 3 = 0 THEN ',' || p_type ELSE '' END AS types,
+  CASE p_partkey % 5 WHEN 0 THEN string_split(p_name, ' ') WHEN 1 THEN [spelt] WHEN 2 THEN [upper(other)] WHEN 3 THEN [spelt, p_name] ELSE [p_name] END AS glosses, spelt, other FROM p)
+SELECT entry_id, CASE WHEN len(glosses) = 1 AND lower(glosses[1]) IN (spelt, other) THEN types ELSE types || ';' || array_to_string(glosses, '; ') END AS text FROM t""")
 def redundant_gloss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Types and glosses of the parts as names; none merely romanises its reading."""
-    names = table(spark, sf_dir, "part").selectExpr("p_partkey as entry_id", "if(p_size % 3 = 0, array(if(p_size % 2 = 0, 'company', 'product'), p_type), array(if(p_size % 2 = 0, 'company', 'product'))) as types", "split(p_name, ' ') as glosses", "array(p_brand) as readings")
+    """Types and glosses of the parts as names, without a gloss that merely romanises the reading, which spells the part's number in either kana."""
+    spelt = lambda to: f"array_join(transform(filter(split(p_partkey, ''), x -> x <> ''), x -> array({', '.join(map(repr, to))})[cast(x as int)]), '')"
+    glosses = f"case p_partkey % 5 when 0 then split(p_name, ' ') when 1 then array({spelt(_SPELT)}) when 2 then array(upper({spelt(_OTHER)})) when 3 then array({spelt(_SPELT)}, p_name) else array(p_name) end"
+    reading = f"translate(p_partkey, '0123456789', if(p_size % 4 = 0, '{_KANA.translate({ord(h): ord(h) + 0x60 for h in _KANA})}', '{_KANA}'))"
+    names = table(spark, sf_dir, "part").selectExpr("p_partkey as entry_id", "if(p_size % 3 = 0, array(if(p_size % 2 = 0, 'company', 'product'), p_type), array(if(p_size % 2 = 0, 'company', 'product'))) as types", f"{glosses} as glosses", f"array({reading}) as readings")
     return entries.translation_text(names).select("entry_id", "text")

@@ -55,3 +55,11 @@ def test_contents_have_names_and_marks(spark, monkeypatch):
     parts = [(1, "old ring", "Brand#1", "LARGE", 26), (7, "hot bolt", "Brand#2", "SMALL", 8)]
     rows = result(spark, monkeypatch, dictionary_queries, "dictionary_contents", part=(parts, PARTS))
     assert rows == [(1, "Brand-1", "old,ringU", "n;LARGE`size 26"), (7, "Brand-2", "hot,bolt", "c;SMALL")]
+
+
+def test_glosses_that_romanise_are_left_out(spark, monkeypatch):
+    from lexis.plans import source_queries
+
+    parts = [(k, "old ring", "Brand#1", "LARGE", s) for k, s in ((41, 2), (47, 4), (43, 3), (44, 1), (45, 1))]
+    rows = result(spark, monkeypatch, source_queries, "redundant_gloss", part=(parts, PARTS))
+    assert rows == [(41, "c"), (43, "d,LARGE;chita; old ring"), (44, "d;old ring"), (45, "d;old; ring"), (47, "c")]
