@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexis.functions import codec
 from lexis.operators import build, entries, render
 from lexis.plans import lookup_queries
-from lexis.plans.registry import query, table
+from lexis.plans.registry import dealt, query, table
 from lexis.sources import xml_entries as xml
 
 
@@ -22,7 +22,7 @@ def elements(parts: DataFrame) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return xml.parsed(elements(table(spark, sf_dir, "part")))
+    return xml.parsed(elements(dealt(table(spark, sf_dir, "part"))))
 
 
 @query("""SELECT p_partkey AS entry_id, 1 AS n_kanji, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE 2 END AS n_sense, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE 1 END AS n_groups, p_size > 25 AS common, FALSE AS archaic, p_partkey % 7 = 0 AS is_name FROM part""")
@@ -69,7 +69,7 @@ x AS (SELECT entry_id, i, k[i] AS k, array_to_string(list_filter(range(n), lambd
 SELECT entry_id, readings, string_agg(k, ',' ORDER BY i) AS kanjis FROM x GROUP BY entry_id, readings""")
 def reading_restriction_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For the writings of all parts' entries, words and names, the readings that each can have; writings that can have the same ones stand together."""
-    parsed = xml.parsed(restricted(table(spark, sf_dir, "part")))
+    parsed = xml.parsed(restricted(dealt(table(spark, sf_dir, "part"))))
     rows = build.words_of(parsed).unionByName(build.names_of(parsed)).withColumn("ix", F.expr(codec.reading_indices()))
     lists = rows.select("entry_id", "kanjis", "ix", F.explode(F.array_distinct("ix")).alias("l"))
     return lists.select("entry_id", F.array_join("l", ",").alias("readings"), F.expr("array_join(filter(transform(kanjis, (k, i) -> if(ix[i] = l, k.text, null)), k -> k is not null), ',')").alias("kanjis"))

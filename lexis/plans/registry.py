@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt out to some tasks for each core. Files are split by bytes, so a small file whose rows need much work is one task, whatever the cluster's size."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def values(rows: list[tuple]) -> str:
     """The rows as the inside of a VALUES clause, for fixtures that both engines share."""
 

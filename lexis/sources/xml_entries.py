@@ -29,7 +29,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def parsed(elements: DataFrame) -> DataFrame:
     """Nested entries: restrictions as places among the kanjis, senses grouped under the last stated parts of speech."""
     coded = F.regexp_replace("xml", r"&(?!(?:lt|gt|amp|quot|apos);)([A-Za-z0-9-]+);", "$1")
-    e = elements.select(F.from_xml(coded, SCHEMA, {"mode": "FAILFAST"}).alias("e")).select("e.*")
+    # as a generator's output an element is parsed once, where its row is; a filter on what it holds would parse it again, before the rows are dealt to tasks
+    e = elements.select(F.explode(F.array(F.from_xml(coded, SCHEMA, {"mode": "FAILFAST"}))).alias("e")).select("e.*")
     e = e.withColumn("sense", F.expr("coalesce(sense, array())"))
     start = "cast(array() as array<struct<pos: array<string>, senses: array<struct<misc: array<string>, stagk: array<string>, stagr: array<string>, lsource: array<string>, dial: array<string>, s_inf: string, glosses: array<string>>>>>)"
     one = "named_struct('misc', coalesce(s.misc, array()), 'stagk', coalesce(s.stagk, array()), 'stagr', coalesce(s.stagr, array()), 'lsource', coalesce(s.lsource, array()), 'dial', coalesce(s.dial, array()), 's_inf', s.s_inf, 'glosses', s.gloss)"

@@ -63,3 +63,9 @@ def test_glosses_that_romanise_are_left_out(spark, monkeypatch):
     parts = [(k, "old ring", "Brand#1", "LARGE", s) for k, s in ((41, 2), (47, 4), (43, 3), (44, 1), (45, 1))]
     rows = result(spark, monkeypatch, source_queries, "redundant_gloss", part=(parts, PARTS))
     assert rows == [(41, "c"), (43, "d,LARGE;chita; old ring"), (44, "d;old ring"), (45, "d;old; ring"), (47, "c")]
+
+
+@pytest.mark.parametrize("name", ["xml_entries", "entry_line_encode", "entry_line_decode", "dictionary_index", "dictionary_contents", "reading_restriction_inversion"])
+def test_elements_of_a_small_file_are_many_tasks(spark, name):
+    text = plan(catalogue.queries()[name](spark, SF))
+    assert "RoundRobinPartitioning(16)" in text and "from_xml" not in text.split("RoundRobinPartitioning(16)", 1)[1].lower().replace("fromxml", "from_xml").replace("xmltostructs", "from_xml")
