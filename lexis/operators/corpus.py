@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from lexis.operators.alignment import phrase_fits
 from lexis.steps import Steps
 
-#: Copies of each edge of the trie, among which the places that wait for it are dealt: no key is too frequent for a task.
+#: Copies of each edge from the trie's root, among which the places that wait for it are dealt: no word is too frequent for a task. Deeper edges, which wait for
+#: several words in a row, have no copies.
 SALTS = 8
 
 
@@ -34,22 +35,22 @@ def trie(phrases: DataFrame) -> DataFrame:
 def descents(sentences: DataFrame, edges: DataFrame, longest: int, steps: Steps) -> DataFrame:
     """(sent, start, depth, node, n, first) of all nodes that the tokens from each place on lead to.
 
-    Each level joins the places that are left with the edges by node and key, until no place is left; ``longest`` only bounds how far a place looks ahead."""
-    edges = edges.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    Each level joins the places that are left with that level's edges by node and key, until no place is left, so each edge is moved once; ``longest`` only bounds how far
+    a place looks ahead."""
     keys = sentences.select("sent", F.expr("transform(tokens, t -> t.key)").alias("keys"))
     places = keys.select("sent", "keys", F.posexplode("keys").alias("start", "key"))
-    salt = F.pmod(F.hash("sent", "start"), F.lit(SALTS)).alias("salt")
-    waiting = places.select("sent", "start", F.expr(f"slice(keys, start + 2, {longest - 1})").alias("ahead"), "key", F.expr("cast(array() as array<string>)").alias("parent"), salt)
+    waiting = places.select("sent", "start", F.expr(f"slice(keys, start + 2, {longest - 1})").alias("ahead"), "key", F.pmod(F.hash("sent", "start"), F.lit(SALTS)).alias("salt"))
+    below, by = edges.filter("size(node) = 1").drop("parent").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"]
     found, depth = None, 1
     while True:
-        level = waiting.join(edges, ["parent", "key", "salt"]).select("sent", "start", "ahead", F.lit(depth).alias("depth"), "node", "n", "first", "salt")
-        level = steps.saved(level)
-        ends = level.select("sent", "start", "depth", "node", "n", "first")
+        level = steps.saved(waiting.join(below, by).select("sent", "start", "ahead", F.lit(depth).alias("depth"), "node", "n", "first"))
+        ends = level.drop("ahead")
         found = ends if found is None else found.unionByName(ends)
         if depth == longest or level.isEmpty():
             return found
-        waiting = level.filter(F.size("ahead") > 0).select("sent", "start", F.expr("slice(ahead, 2, size(ahead))").alias("ahead"), F.expr("ahead[0]").alias("key"), F.col("node").alias("parent"), "salt")
+        waiting = level.filter(F.size("ahead") > 0).select("sent", "start", F.expr("slice(ahead, 2, size(ahead))").alias("ahead"), F.expr("ahead[0]").alias("key"), F.col("node").alias("parent"))
         depth += 1
+        below, by = edges.filter(F.size("node") == depth), ["parent", "key"]
 
 
 def met(phrases: DataFrame, sentences: DataFrame) -> DataFrame:
