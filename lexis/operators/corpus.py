@@ -28,19 +28,21 @@ def trie(phrases: DataFrame) -> DataFrame:
 
     A node is the beginning of a phrase, as an array; ``n`` entries end there, the least of which is ``first``."""
     begins = phrases.filter(F.size("words") > 0).distinct().withColumn("d", F.explode(F.sequence(F.lit(1), F.size("words"))))
-    begins = begins.select(F.expr("slice(words, 1, d - 1)").alias("parent"), F.expr("words[d - 1]").alias("key"), F.expr("slice(words, 1, d)").alias("node"), F.when(F.col("d") == F.size("words"), F.col("entry_id")).alias("entry_id"))
-    return begins.groupBy("parent", "key", "node").agg(F.count("entry_id").alias("n"), F.min("entry_id").alias("first"))
+    begins = begins.select(F.expr("slice(words, 1, d)").alias("node"), F.when(F.col("d") == F.size("words"), F.col("entry_id")).alias("entry_id"))
+    nodes = begins.groupBy("node").agg(F.count("entry_id").alias("n"), F.min("entry_id").alias("first"))
+    return nodes.select(F.expr("slice(node, 1, size(node) - 1)").alias("parent"), F.expr("node[size(node) - 1]").alias("key"), "node", "n", "first")
 
 
 def descents(sentences: DataFrame, edges: DataFrame, longest: int, steps: Steps) -> DataFrame:
     """(sent, start, depth, node, n, first) of all nodes that the tokens from each place on lead to.
 
-    Each level joins the places that are left with that level's edges by node and key, until no place is left, so each edge is moved once; ``longest`` only bounds how far
+    Each level joins the places that are left with that level's edges by the node that their next token leads to, until no place is left, so each edge is moved once; ``longest`` only bounds how far
     a place looks ahead."""
     keys = sentences.select("sent", F.expr("transform(tokens, t -> t.key)").alias("keys"))
     places = keys.select("sent", "keys", F.posexplode("keys").alias("start", "key"))
-    waiting = places.select("sent", "start", F.expr(f"slice(keys, start + 2, {longest - 1})").alias("ahead"), "key", F.pmod(F.hash("sent", "start"), F.lit(SALTS)).alias("salt"))
-    below, by = edges.filter("size(node) = 1").drop("parent").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"]
+    waiting = places.select("sent", "start", F.expr(f"slice(keys, start + 2, {longest - 1})").alias("ahead"), F.array("key").alias("node"), F.pmod(F.hash("sent", "start"), F.lit(SALTS)).alias("salt"))
+    nodes = edges.select("node", "n", "first")
+    below, by = nodes.filter("size(node) = 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["node", "salt"]
     found, depth = None, 1
     while True:
         level = steps.saved(waiting.join(below, by).select("sent", "start", "ahead", F.lit(depth).alias("depth"), "node", "n", "first"))
@@ -48,9 +50,9 @@ def descents(sentences: DataFrame, edges: DataFrame, longest: int, steps: Steps)
         found = ends if found is None else found.unionByName(ends)
         if depth == longest or level.isEmpty():
             return found
-        waiting = level.filter(F.size("ahead") > 0).select("sent", "start", F.expr("slice(ahead, 2, size(ahead))").alias("ahead"), F.expr("ahead[0]").alias("key"), F.col("node").alias("parent"))
+        waiting = level.filter(F.size("ahead") > 0).select("sent", "start", F.expr("slice(ahead, 2, size(ahead))").alias("ahead"), F.expr("concat(node, array(ahead[0]))").alias("node"))
         depth += 1
-        below, by = edges.filter(F.size("node") == depth), ["parent", "key"]
+        below, by = nodes.filter(F.size("node") == depth), ["node"]
 
 
 def met(phrases: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ def hits(sentences: DataFrame, phrases: DataFrame, forms: DataFrame, steps: Step
     Where one entry ends, nothing needs asking. Where several do, an entry of ``forms`` (entry_id, kanji_keys, readings) needs the place's writing, or, if the
     place reads as it is written as far as the tree goes, or holds an unknown token, its sound; the least such entry is taken."""
     phrases = steps.saved(met(phrases, sentences))
-    edges = steps.saved(trie(phrases))
+    edges = steps.saved(trie(phrases).select("node", "n", "first"))
     longest = edges.agg(F.max(F.size("node"))).first()[0]
     if longest is None:
         return sentences.select("sent", F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit(0).cast("bigint").alias("entry_id")).limit(0)
