@@ -88,15 +88,16 @@ def resolved(links: DataFrame, matches: DataFrame) -> DataFrame:
     return sure.unionByName(pinned.drop("last").join(classes.filter("kind = 'ambiguous'"), "lemma_id").select("lemma_id", "writing", "entry_id", "kind"))
 
 
-def aligned(matches: DataFrame, lemma_texts: DataFrame, entry_texts: DataFrame, index: DataFrame, rescue_texts: DataFrame | None = None) -> DataFrame:
+def aligned(matches: DataFrame, lemma_texts: DataFrame, entry_texts: DataFrame, index: DataFrame, rescue_texts: DataFrame | None = None, steps: Steps | None = None) -> DataFrame:
     """The mapping that ``resolved`` gives for ``matches`` (lemma_id, entry_id, writing) after rescuing unmatched entries and pruning by
     covers from the entries' side, then from the lemmas'. Texts are (lemma_id or entry_id, text), ``index`` is (surface, lemma_id); ``rescue_texts`` are
-    entries' texts as the index writes them, if it folds them."""
+    entries' texts as the index writes them, if it folds them. ``steps`` keep what is read more than once."""
+    saved = steps.saved if steps else lambda df: df
     rescued_ = rescued_entries(entry_texts if rescue_texts is None else rescue_texts, matches, index)
-    matches = matches.select("lemma_id", "entry_id", "writing").unionByName(rescued_).distinct()
-    links = matches.select("lemma_id", "entry_id").distinct()
-    links = covered(links, "entry_id", "lemma_id", entry_texts, lemma_texts).select("lemma_id", "entry_id")
-    return resolved(covered(links, "lemma_id", "entry_id", lemma_texts, entry_texts), matches)
+    matches = saved(matches.select("lemma_id", "entry_id", "writing").unionByName(rescued_).distinct())
+    links = saved(matches.select("lemma_id", "entry_id").distinct())
+    links = saved(covered(links, "entry_id", "lemma_id", entry_texts, lemma_texts).select("lemma_id", "entry_id"))
+    return resolved(saved(covered(links, "lemma_id", "entry_id", lemma_texts, entry_texts)), matches)
 
 
 def learned_pairs(matches: DataFrame, lexemes: DataFrame, groups: DataFrame) -> DataFrame:
@@ -107,8 +108,9 @@ def learned_pairs(matches: DataFrame, lexemes: DataFrame, groups: DataFrame) ->
     only = unique_links(matches, "lemma_id", "entry_id")
     one = groups.filter("not archaic").groupBy("entry_id").agg(F.count("*").alias("n"), F.first("pos").alias("pos")).filter(F.expr("n = 1 and (size(pos) = 1 or array_contains(pos, 'exp'))"))
     tags = one.select("entry_id", F.explode("pos").alias("entry_pos")).filter("entry_pos <> 'exp'")
-    spoken = lexemes.groupBy("lemma_id").agg(F.min(F.struct("orth", "pos")).alias("x")).select("lemma_id", "x.pos")
-    pairs = only.join(spoken, "lemma_id").join(tags, "entry_id").filter(F.expr("pos <> 'proper' or entry_pos like 'n%'"))
+    # few lemmas have a match, so lexemes meet those before they are grouped
+    spoken = lexemes.select("lemma_id", "orth", "pos").join(only, "lemma_id").groupBy("lemma_id", "entry_id").agg(F.min(F.struct("orth", "pos")).alias("x")).select("lemma_id", "entry_id", "x.pos")
+    pairs = spoken.join(tags, "entry_id").filter(F.expr("pos <> 'proper' or entry_pos like 'n%'"))
     return pairs.groupBy("pos", "entry_pos").agg(F.min(F.struct("lemma_id", "entry_id")).alias("w")).select("pos", "entry_pos", "w.lemma_id", "w.entry_id")
 
 
@@ -120,18 +122,23 @@ def gated(matches: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def align(lexemes: DataFrame, entries: DataFrame, groups: DataFrame, index: DataFrame, plain: str = KANA) -> DataFrame:
+    """The mapping (lemma_id, writing, entry_id, kind) of two lexicons, as ``aligned_steps`` gives it; the steps are deleted at the end."""
+    steps = Steps(lexemes.sparkSession)
+    lexemes, entries, groups = steps.saved(lexemes), steps.saved(entries), steps.saved(groups)
+    return steps.result(aligned_steps(lexemes, entries, groups, index, plain, steps))
+
+
+def aligned_steps(lexemes: DataFrame, entries: DataFrame, groups: DataFrame, index: DataFrame, plain: str, steps: Steps) -> DataFrame:
     """The mapping (lemma_id, writing, entry_id, kind) of two lexicons: match, learn parts of speech from what is unique, keep the matches that they allow, rescue,
     prune by covers from both sides, and classify.
 
     ``lexemes`` are (lemma_id, pos, orth, orth_key, pron_key), ``entries`` as for ``simple_matches``, ``groups`` (entry_id, archaic, pos array), ``index`` (surface,
-    lemma_id) of folded surfaces. Steps that are read more than once are written to the shared folder and deleted at the end."""
-    steps = Steps(lexemes.sparkSession)
-    lexemes, entries = steps.saved(lexemes), steps.saved(entries)
-    matches = steps.saved(simple_matches(lexemes, entries, plain, with_pos=True))
-    groups = steps.saved(groups)
+    lemma_id) of folded surfaces. All are read several times, so they should be tables; what is made of them and read more than once is written to ``steps``."""
+    matches = steps.saved(simple_matches(lexemes, entries, plain, with_pos=True, steps=steps))
     allowed = steps.saved(gated(matches, groups, learned_pairs(matches, lexemes, groups)))
     texts = entries.select("entry_id", "text")
-    return steps.result(aligned(allowed, lexemes.select("lemma_id", F.col("orth").alias("text")), texts, index, entries.select("entry_id", F.col("text_key").alias("text"))))
+    rescue = entries.select("entry_id", F.col("text_key").alias("text"))
+    return aligned(allowed, lexemes.select("lemma_id", F.col("orth").alias("text")), texts, index, rescue, steps)
 
 
 def mapped_entries(mapping: DataFrame) -> DataFrame:
@@ -149,13 +156,14 @@ def rescued(rows: DataFrame, mapped: DataFrame, key: str, surface: str, index: D
     return rows.join(mapped, key, "left_anti").join(alone, F.col(surface) == F.col("surface")).select(key, "target")
 
 
-def simple_matches(lexemes: DataFrame, entries: DataFrame, plain: str = KANA, with_pos: bool = False) -> DataFrame:
+def simple_matches(lexemes: DataFrame, entries: DataFrame, plain: str = KANA, with_pos: bool = False, steps: Steps | None = None) -> DataFrame:
     """(lemma_id, entry_id, writing; also pos if asked) of lexemes (lemma_id, pos, orth, orth_key, pron_key) and entries (entry_id, is_noun, has_kanji, nokanji, uk, archaic, text, reading_key, text_key).
 
     They meet on the folded writing. A proper noun needs at most one noun entry and one lemma there; a kana lexeme needs an entry that can be
     written in kana: without kanji, with a reading that has none, or usually so and alone; any other lexeme needs an equal reading.
-    ``plain`` is the pattern of writings in kana."""
+    ``plain`` is the pattern of writings in kana. With ``steps``, the lexicons meet once, and the counts are made of what has met."""
     joined = lexemes.join(entries, F.col("orth_key") == F.col("text_key"))
+    joined = steps.saved(joined) if steps else joined
     per_writing = joined.groupBy("lemma_id", "orth").agg(F.count_distinct("entry_id").alias("n_entries"), F.count_distinct(F.when(F.col("is_noun"), F.col("entry_id"))).alias("n_nouns"))
     per_key = joined.groupBy("orth_key", "pos").agg(F.count_distinct("lemma_id").alias("n_lemmas"))
     joined = joined.join(per_writing, ["lemma_id", "orth"]).join(per_key, ["orth_key", "pos"])

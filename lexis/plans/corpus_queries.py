@@ -129,21 +129,24 @@ def sample_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VERB, _ADVERB = "(ed|ing|en|er)$", "ly$"
 
 
-def lexicons(lexemes: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def lexicons(lexemes: DataFrame, entries: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Two lexicons of the words of texts (text): lexemes, entries, the entries' groups, and the index of surfaces, as ``alignment.align`` takes them.
 
-    A lemma has the words that agree without marks and plural; an entry those whose first six plain letters agree."""
+    A lemma has the words that agree without marks and plural; an entry those whose first six plain letters agree. Texts are cut into words once: all four
+    tables are of ``steps``. Words are made distinct as they stand before letters are changed, which is then done for each of them once."""
     fold, ident = _fold, lambda x: f"cast(conv(substring(md5({x}), 1, 12), 16, 10) as bigint)"
-    words = lexemes.select(F.explode(F.expr(_words("text"))).alias("w")).filter("length(w) > 1").groupBy(F.lower("w").alias("orth")).agg(F.every(F.expr("w <> lower(w)")).alias("proper"))
+    cut = lambda texts: texts.select(F.explode(F.split("text", r"[^\p{L}]+")).alias("w")).filter("length(w) > 1").distinct()
+    words = cut(lexemes).groupBy(F.lower("w").alias("orth")).agg(F.every(F.expr("w <> lower(w)")).alias("proper"))
     words = words.withColumn("orth_key", F.expr(fold("orth"))).withColumn("lemma", F.expr("if(length(orth_key) > 3, regexp_replace(orth_key, 's$', ''), orth_key)"))
-    left = words.selectExpr(f"{ident('lemma')} as lemma_id", f"case when proper then 'proper' when orth rlike '{_VERB}' then 'verb' when orth rlike '{_ADVERB}' then 'adverb' else 'noun' end as pos", "orth", "orth_key", "orth_key as pron_key")
-    texts = entries.select(F.explode(F.expr(_words("text"))).alias("w")).filter("length(w) > 1").select(F.lower("w").alias("text")).distinct().withColumn("text_key", F.expr(fold("text")))
+    left = words.selectExpr(f"{ident('lemma')} as lemma_id", f"case when proper then 'proper' when orth rlike '{_VERB}' then 'verb' when orth rlike '{_ADVERB}' then 'adverb' else 'noun' end as pos", "orth", "orth_key")
+    left = steps.saved(left).withColumn("pron_key", F.col("orth_key"))
+    texts = cut(entries).select(F.lower("w").alias("text")).distinct().withColumn("text_key", F.expr(fold("text")))
     texts = texts.withColumn("head", F.expr("left(text_key, 6)")).withColumn("tag", F.expr(f"case when text rlike '{_VERB}' then 'v5' when text rlike '{_ADVERB}' then 'adv' else 'n' end"))
-    texts = texts.withColumn("entry_id", F.expr(ident("concat('entry ', head)")))
+    texts = steps.saved(texts.withColumn("entry_id", F.expr(ident("concat('entry ', head)"))))
     heads = texts.groupBy("entry_id").agg(F.bool_or(F.expr("tag = 'n'")).alias("is_noun"), F.bool_or(F.expr("text <> text_key")).alias("has_kanji"))
     right = texts.join(heads, "entry_id").selectExpr("entry_id", "is_noun", "has_kanji", "length(text) % 7 = 0 as nokanji", "length(head) % 2 = 0 as uk", "false as archaic", "text", "text_key as reading_key", "text_key")
     groups = texts.groupBy("entry_id", "tag").agg(F.bool_or(F.expr("text <> text_key")).alias("marked")).selectExpr("entry_id", "tag = 'adv' as archaic", "if(marked, array(tag, 'exp'), array(tag)) as pos")
-    return left, right, groups, left.select(F.col("orth_key").alias("surface"), "lemma_id").distinct()
+    return left, steps.saved(right), steps.saved(groups), left.select(F.col("orth_key").alias("surface"), "lemma_id")
 
 
 def _covered(name: str, links: str, left: str, right: str, left_texts: str, right_texts: str) -> str:
@@ -177,38 +180,48 @@ kinds AS (SELECT lemma_id, CASE WHEN count(*) = 1 THEN 'one' WHEN max(d) = 1 THE
 _MAPPED = "SELECT lemma_id, CAST(NULL AS VARCHAR) AS writing, entry_id, kind FROM bylemma JOIN kinds USING (lemma_id) WHERE kind <> 'ambiguous' UNION ALL SELECT lemma_id, writing, min(entry_id), 'ambiguous' FROM every JOIN kinds USING (lemma_id) WHERE kind = 'ambiguous' GROUP BY 1, 2 HAVING count(DISTINCT entry_id) = 1"
 
 
-def _lexicons(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    return lexicons(table(spark, sf_dir, "documents").select("text"), table(spark, sf_dir, "conversations").select("text"))
+#: Writings that count as kana here.
+_PLAIN = "^[a-z]*$"
+
+
+def _lexicons(spark: SparkSession, sf_dir: str, steps: Steps) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    return lexicons(table(spark, sf_dir, "documents").select("text"), table(spark, sf_dir, "conversations").select("text"), steps)
 
 
 @query(_ALIGN + _MAPPED)
 def align_lexicons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lexicon of the documents aligned with the dictionary of the conversations, from raw words to the final mapping."""
-    return alignment.align(*_lexicons(spark, sf_dir), plain="^[a-z]*$")
+    steps = Steps(spark)
+    return steps.result(alignment.aligned_steps(*_lexicons(spark, sf_dir, steps), _PLAIN, steps))
 
 
 @query(_ALIGN + f"SELECT DISTINCT entry_id FROM ({_MAPPED})")
 def mapped_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment.mapped_entries(alignment.align(*_lexicons(spark, sf_dir), plain="^[a-z]*$"))
+    steps = Steps(spark)
+    return steps.result(alignment.mapped_entries(alignment.aligned_steps(*_lexicons(spark, sf_dir, steps), _PLAIN, steps)))
 
 
 @query(_ALIGN + "SELECT pos, tag AS entry_pos FROM pairs")
 def learned_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of parts of speech that unique matches of the two lexicons teach."""
-    lexemes, entries, groups, _ = _lexicons(spark, sf_dir)
-    return alignment.learned_pairs(alignment.simple_matches(lexemes, entries, "^[a-z]*$"), lexemes, groups).select("pos", "entry_pos")
+    steps = Steps(spark)
+    lexemes, entries, groups, _ = _lexicons(spark, sf_dir, steps)
+    matches = alignment.simple_matches(lexemes, entries, _PLAIN, steps=steps)
+    return steps.result(alignment.learned_pairs(matches, lexemes, groups).select("pos", "entry_pos"))
 
 
 @query(_ALIGN + "SELECT DISTINCT lemma_id, entry_id, writing FROM m")
 def multi_cond_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexemes, entries, _, _ = _lexicons(spark, sf_dir)
-    return alignment.simple_matches(lexemes, entries, "^[a-z]*$")
+    steps = Steps(spark)
+    lexemes, entries, _, _ = _lexicons(spark, sf_dir, steps)
+    return steps.result(alignment.simple_matches(lexemes, entries, _PLAIN, steps=steps))
 
 
 @query(_ALIGN + "SELECT DISTINCT lemma_id, entry_id FROM lx JOIN en USING (k) WHERE pos = 'proper'")
 def names_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexemes, entries, _, _ = _lexicons(spark, sf_dir)
-    return alignment.name_matches(lexemes, entries)
+    steps = Steps(spark)
+    lexemes, entries, _, _ = _lexicons(spark, sf_dir, steps)
+    return steps.result(alignment.name_matches(lexemes, entries))
 
 
 #: What tells a word's part of speech in this query, and the classes that stand for others there.
@@ -228,7 +241,8 @@ SELECT w, entry_id, concat_ws(',', CASE WHEN NOT a THEN 'pos' END, CASE WHEN NOT
 )
 def candidate_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of the conversations' dictionary that are left for the benchmark's words after filters by part of speech, form, and shared writings and readings."""
-    _, texts, groups, _ = _lexicons(spark, sf_dir)
+    steps = Steps(spark)
+    _, texts, groups, _ = _lexicons(spark, sf_dir, steps)
     tags = groups.groupBy("entry_id").agg(F.flatten(F.collect_set("pos")).alias("tags"))
     own = texts.groupBy("entry_id").agg(F.left(F.min("text_key"), F.lit(4)).alias("head"), F.collect_set(F.when(F.col("text") != F.col("text_key"), F.col("text"))).alias("kanjis"), F.collect_set("text_key").alias("readings"))
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.expr(_words("text"))).alias("w")).filter("length(w) > 3").select(F.lower("w").alias("w")).distinct().withColumn("k", F.expr(_fold("w")))
@@ -236,7 +250,7 @@ def candidate_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = words.withColumn("writings", F.expr("if(w <> k, array(w), cast(array() as array<string>))")).withColumn("sounds", F.array("k"))
     pairs = words.join(own, F.left("k", F.lit(4)) == F.col("head")).join(tags, "entry_id")
     filters = {"pos": candidates.has_pos("tags", "asked", _CLASSES), "form": candidates.has_form("readings", "k"), "forms": candidates.shares_forms("kanjis", "readings", "writings", "sounds")}
-    return candidates.cascade(pairs, ["w"], filters).select("w", "entry_id", F.array_join("skipped", ",").alias("skipped"))
+    return steps.result(candidates.cascade(pairs, ["w"], filters).select("w", "entry_id", F.array_join("skipped", ",").alias("skipped")))
 
 
 @query(

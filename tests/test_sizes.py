@@ -85,3 +85,15 @@ def test_each_edge_is_moved_once(spark, monkeypatch):
     steps.discard()
     assert found == [(1, 0, None)] * 6 + [(1, 1, 4)] + [(2, 1, 2)] * 2 + [(2, 1, 3)] * 2 + [(3, 0, None), (4, 1, 1)]
     assert sum(taken) == corpus.SALTS * 3 + edges.count() - 3
+
+
+@pytest.mark.parametrize("name", ["learned_pos", "mapped_ids", "align_lexicons", "multi_cond_match", "names_match"])
+def test_texts_are_cut_into_words_once(spark, monkeypatch, name):
+    from lexis.plans import corpus_queries
+
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda text: read.add(1) or text).asNondeterministic()
+    texts = {"documents": ["The big rings turned", "old bolts, éclair", None], "conversations": ["an old ring, a Bolt", "quickly turned eclair"]}
+    monkeypatch.setattr(corpus_queries, "table", lambda s, d, t: s.createDataFrame([(x,) for x in texts[t]], "text string").select(seen("text").alias("text")))
+    catalogue.queries()[name](spark, "").collect()
+    assert read.value == 5
