@@ -8,7 +8,8 @@ has a rank. Ranks of pairs come from a literal map, laid out as an array of smal
    become a second literal map, from word to ids. How many there are is found from a histogram of the counts, so no task sorts the words.
 2. One narrow pass cuts each text into words, takes the ids of common words from that map and folds the others in place.
    Nothing but counts is shuffled, and no word is too frequent for a task.
-3. Decoding looks each id up in a literal array of pieces and concatenates them.
+3. Decoding looks each id up in a literal array of pieces and concatenates them. What a text's ids stand for is its words' ids' pieces one behind the other, so
+   ``round_trip`` decodes a common word's ids once, from the ids, and keeps numbers and pieces in the map of common words.
 
 Null and empty texts have no ids, and decode to nothing. There are no special tokens: their strings are text. Repeated rows give repeated results. A null doc_id
 stays null. Other columns are ignored. A word of n bytes takes up to n steps over what is left of it, so very long words (none of a text's words in the test tables
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from collections.abc import Callable
 
 import numpy as np
 import regex
@@ -188,26 +190,51 @@ def as_letters(word: Column) -> Column:
     return F.decode(word.cast("binary"), "ISO-8859-1")
 
 
-def encode(docs: DataFrame, path: str, pattern: str, common: int = COMMON) -> DataFrame:
-    """``docs`` (text and any other columns) with ``signs``, the ids of the whole text by the ranks of the file at ``path``, one character each; ``ids`` makes numbers of them."""
+def by_words(docs: DataFrame, path: str, pattern: str, common: int, makes: Callable[[Column, Column], Column], joined: Callable[[Column], Column]) -> DataFrame:
+    """``docs`` with ``__made``, which is ``joined`` of the array of what ``makes`` (from a word's signs and the literal array of pieces) gives for each word of the text; once for a common word."""
     spark, pattern, ranks = docs.sparkSession, java_pattern(docs.sparkSession, pattern), ranks_of(path)
     base, pairs = base_of(ranks), map_literal(spark.createDataFrame(pairs_of(ranks), "pair string, made string"), "pair", "made")
+    pieces = array_literal(spark, {rank: letters(piece) for piece, rank in ranks.items()})
 
     def folded(rows: DataFrame, column: str) -> DataFrame:
         # a subquery can't stand inside a higher-order function, but the optimizer merges a column that is used once into the function's argument
         return rows.withColumn("__pairs", pairs).select(*rows.columns, bound(F.col("__pairs"), lambda pairs: fold(F.col(column), pairs, ranks)).alias("signs"))
 
     # the library takes a word that is a piece itself as such, even if no merges lead to it
-    pieces = spark.createDataFrame([(letters(piece), chr(base + rank)) for piece, rank in ranks.items()], "piece string, sign string")
-    whole = folded(pieces, "piece").filter(F.length("signs") > 1).select(F.encode("piece", "ISO-8859-1").cast("string").alias("word"), F.col("sign").alias("signs"))
+    alone = spark.createDataFrame([(letters(piece), chr(base + rank)) for piece, rank in ranks.items()], "piece string, sign string")
+    whole = folded(alone, "piece").filter(F.length("signs") > 1).select(F.encode("piece", "ISO-8859-1").cast("string").alias("word"), F.col("sign").alias("signs"))
     whole = saved(whole, "whole", thin=True)
     words = common_words(docs, pattern, common)
     known = folded(words.join(whole, "word", "left_anti").withColumn("letters", as_letters(F.col("word"))), "letters").select("word", "signs")
-    known = saved(known.unionByName(whole), "folded", thin=True)
+    known = known.unionByName(whole).withColumn("__pieces", pieces).select("word", bound(F.col("__pieces"), lambda pieces: bound(F.col("signs"), lambda signs: makes(signs, pieces))).alias("made"))
+    known = saved(known, "folded", thin=True)
     discard(words)
-    own = lambda pairs, known: F.transform(words_in(text_or_empty(), pattern), lambda word: F.coalesce(looked_up(known, word), fold(as_letters(word), pairs, ranks)))
-    signs = bound(F.col("__pairs"), lambda pairs: bound(F.col("__known"), lambda known: F.array_join(own(pairs, known), "")))
-    return docs.withColumns({"__pairs": pairs, "__known": map_literal(known, "word", "signs")}).select(*docs.columns, signs.alias("signs"))
+
+    def each(pairs: Column, known: Column, pieces: Column) -> Column:
+        other = lambda word: bound(fold(as_letters(word), pairs, ranks), lambda signs: makes(signs, pieces))
+        return F.transform(words_in(text_or_empty(), pattern), lambda word: F.coalesce(looked_up(known, word), other(word)))
+
+    out = bound(F.col("__pairs"), lambda pairs: bound(F.col("__known"), lambda known: bound(F.col("__pieces"), lambda pieces: bound(each(pairs, known, pieces), joined))))
+    return docs.withColumns({"__pairs": pairs, "__known": map_literal(known, "word", "made"), "__pieces": pieces}).select(*docs.columns, out.alias("__made"))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, common: int = COMMON) -> DataFrame:
+    """``docs`` (text and any other columns) with ``signs``, the ids of the whole text by the ranks of the file at ``path``, one character each; ``ids`` makes numbers of them."""
+    return by_words(docs, path, pattern, common, lambda signs, pieces: signs, lambda words: F.array_join(words, "")).withColumnRenamed("__made", "signs")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, common: int = COMMON) -> DataFrame:
+    """``docs`` (text and any other columns) with ``numbers``, the ids of the whole text as ``number_bytes``, and ``decoded``, the bytes that the ids stand for."""
+    base = base_of(ranks_of(path))
+
+    def makes(signs: Column, pieces: Column) -> Column:
+        return F.struct(F.decode(number_bytes(signs, path), "ISO-8859-1").alias("numbers"), pieces_of(signs, pieces, base).alias("decoded"))
+
+    def joined(words: Column) -> Column:
+        return F.struct(*(F.array_join(F.transform(words, lambda word: word[part]), "").alias(part) for part in ("numbers", "decoded")))
+
+    made = by_words(docs, path, pattern, common, makes, joined)
+    return made.select(*docs.columns, *(F.encode(f"__made.{part}", "ISO-8859-1").alias(part) for part in ("numbers", "decoded")))
 
 
 def ids(signs: Column, path: str) -> Column:
@@ -224,11 +251,16 @@ def number_bytes(signs: Column, path: str) -> Column:
     return F.encode(F.when(signs != "", F.concat(F.array_join(F.split(signs, ""), "\0"), F.lit("\0"))).otherwise(F.lit("")), "UTF-16LE")
 
 
+def pieces_of(signs: Column, pieces: Column, base: int) -> Column:
+    """The pieces, as letters, that one sign or more stand for."""
+    return F.array_join(F.transform(F.split(signs, ""), lambda c: F.get(pieces, F.ascii(c) - base)), "")
+
+
 def decode(docs: DataFrame, path: str, out: str = "decoded") -> DataFrame:
     """``docs`` (signs and any other columns) with the bytes that they stand for: the pieces one behind the other."""
     ranks = ranks_of(path)
     base, pieces = base_of(ranks), array_literal(docs.sparkSession, {rank: letters(piece) for piece, rank in ranks.items()})
-    text = bound(F.col("__pieces"), lambda pieces: F.array_join(F.transform(F.split("signs", ""), lambda c: F.get(pieces, F.ascii(c) - base)), ""))
+    text = bound(F.col("__pieces"), lambda pieces: pieces_of(F.col("signs"), pieces, base))
     return docs.withColumn("__pieces", pieces).select(*docs.columns, F.encode(F.when(F.col("signs") != "", text).otherwise(F.lit("")), "ISO-8859-1").alias(out))
 
 
@@ -237,6 +269,6 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    coded = decode(encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "signs"), path)
-    digest = F.sha2(number_bytes(F.col("signs"), path), 256)
-    return coded.select("doc_id", F.length("signs").cast("bigint").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = round_trip(docs, path, public_tokenizers.PATTERN).select("doc_id", "numbers", "decoded")
+    tokens = (F.octet_length("numbers") / 4).cast("bigint")
+    return coded.select("doc_id", tokens.alias("n_tokens"), F.sha2("numbers", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

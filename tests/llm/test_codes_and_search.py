@@ -102,6 +102,18 @@ def test_bytes_as_the_library(spark, library, common):
     assert byte_pairs.encode(rows.limit(0), path, P.PATTERN).collect() == []
 
 
+@pytest.mark.parametrize("common", [0, byte_pairs.COMMON])
+def test_round_trip_by_words(spark, library, common):
+    """Numbers and bytes of common and of other words."""
+    path, own = P.path("byte_bpe_multi_50k.tiktoken"), library
+    texts = ["", None, "naïve naïve! 12\0", "!!! \r\n  x", "日本 \U0001f600 \u00ff"]
+    got = byte_pairs.round_trip(spark.createDataFrame(enumerate(texts), "doc_id bigint, text string"), path, P.PATTERN, common).collect()
+    for row in got:
+        ids = own.encode_ordinary(texts[row.doc_id] or "")
+        assert bytes(row.numbers) == struct.pack(f"<{len(ids)}I", *ids) and bytes(row.decoded) == own.decode_bytes(ids)
+    assert len(got) == len(texts)
+
+
 def test_pieces_that_no_merges_make_and_ranks_beyond_surrogates(spark, tmp_path):
     import base64
 
