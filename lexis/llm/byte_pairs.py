@@ -2,7 +2,7 @@
 
 A piece of text that the pattern matches is a word. A word's bytes, each written as the letter of its number (U+0000 to U+00FF), are an array of
 parts, each known by its rank. A fold merges, step by step, the neighbours whose concatenation has the least rank, the leftmost at a tie, until none
-has a rank. Ranks of pairs come from a literal map, laid out as an array of small maps by hash, so that a look-up reads few keys.
+has a rank. What pairs make comes from a literal array of small texts by hash, so that a look-up reads little.
 
 1. Words are counted over all texts, with partial counts by task. The most frequent ones, at most ``COMMON`` of them of ``COMMON_BYTES`` together, are folded once and
    become a second literal map, from word to ids. How many there are is found from a histogram of the counts, so no task sorts the words.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lexis.llm.common import discard, saved, table, text_or_empty
 
-COMMON, COMMON_BYTES = 1 << 18, 8 << 20
+COMMON, COMMON_BYTES = 1 << 19, 8 << 20
 #: Small maps that a literal map is laid out in.
 BUCKETS = 1 << 16
 #: Stands behind all parts.
@@ -52,13 +52,26 @@ def letters(piece: bytes) -> str:
     return piece.decode("iso-8859-1")
 
 
-def map_literal(rows: DataFrame, key: str, value: str) -> Column:
-    """A map from ``rows`` as an array of ``BUCKETS`` maps by the keys' hash; a scalar subquery, so tasks get it as one flat literal."""
-    buckets = rows.groupBy(F.hash(key).bitwiseAND(BUCKETS - 1).alias("id")).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("m"))
+def buckets_literal(rows: DataFrame, key: str, bucket: Column, otherwise: Column | None = None) -> Column:
+    """An array of what the aggregate ``bucket`` makes of the rows of each of ``BUCKETS`` hashes of ``key``; a scalar subquery, so tasks get it as one flat literal."""
+    buckets = rows.groupBy(F.hash(key).bitwiseAND(BUCKETS - 1).alias("id")).agg(bucket.alias("m"))
     all_ = rows.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("id")).join(buckets, "id", "left")
+    all_ = all_ if otherwise is None else all_.withColumn("m", F.coalesce("m", otherwise))
     return all_.agg(F.expr("transform(array_sort(collect_list(struct(id, m)), (a, b) -> a.id - b.id), x -> x.m)")).scalar()
 
 
+def map_literal(rows: DataFrame, key: str, value: str, order: str) -> Column:
+    """A map from ``rows`` as an array of small maps by the keys' hash. A look-up reads a small map's keys one after the other, so those that come first by ``order`` cost least."""
+    entries = F.array_sort(F.collect_list(F.struct(F.col(order).alias("order"), F.col(key).alias("key"), F.col(value).alias("value"))))
+    return buckets_literal(rows, key, F.map_from_entries(F.transform(entries, lambda x: F.struct(x["key"], x["value"]))))
+
+
+def pairs_literal(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+    """What two neighbours make, as texts by hash: a ``NONE`` before each pair, behind which its result stands. They are a fourth of the size of maps, and so mostly in the cores' caches."""
+    rows = spark.createDataFrame([(NONE + pair, made) for pair, made in pairs_of(ranks)], "pair string, made string")
+    return buckets_literal(rows, "pair", F.array_join(F.collect_list(F.concat("pair", "made")), ""), F.lit(NONE))
+
+
 def array_literal(spark: SparkSession, values: dict[int, str]) -> Column:
     """An array of texts by number, from 0 on without gaps; a scalar subquery."""
     rows = spark.createDataFrame([(n, values.get(n, "")) for n in range(max(values) + 1)], "n int, value string")
@@ -70,8 +83,8 @@ def looked_up(literal: Column, key: Column) -> Column:
 
 
 def bound(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
+    """``body`` of a value that is computed once: the end of a fold over nothing, which copies neither the value nor what is made of it."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda value, _: value, body)
 
 
 def base_of(ranks: dict[bytes, int]) -> int:
@@ -95,28 +108,37 @@ def fold(word: Column, pairs: Column, ranks: dict[bytes, int]) -> Column:
     """The parts of a word (its bytes as letters) when ranked merges are folded over them, one character each.
 
     The state holds the parts and, for each two neighbours, the part that they would make; what makes nothing is ``NONE``, which comes behind all
-    parts, as do the ends that stand on both sides. The least of what can be made is both the merge to do and its result."""
+    parts, as do the ends that stand on both sides. The least of what can be made is both the merge to do and its result. Its place is kept too: the first two neighbours, one of which
+    is an end, make nothing, so a least at the first place says that the word is done."""
 
-    def made(two: Column) -> Column:
-        return F.coalesce(looked_up(pairs, two), F.lit(NONE))
+    none = F.lit(NONE)
+
+    def made(pair: Column) -> Column:
+        # what stands behind the pair, or the whole text, which begins with NONE
+        return F.substring(F.call_function("substring_index", F.get(pairs, F.hash(pair).bitwiseAND(BUCKETS - 1)), pair, F.lit(-1)), 1, 1)
+
+    def state_of(parts: Column, makes: Column) -> Column:
+        return bound(makes, lambda makes: F.struct(parts.alias("parts"), makes.alias("makes"), F.position(F.array_min(F.split(makes, "")), makes).alias("at")))
 
     def merged(state: Column) -> Column:
-        parts, makes = state["parts"], state["makes"]
+        parts, makes, at = state["parts"], state["makes"], state["at"]
 
-        def at(new: Column, k: Column) -> Column:
-            beside = F.concat(made(F.concat(F.substring(parts, k - 1, 1), new)), made(F.concat(new, F.substring(parts, k + 2, 1))))
-            return F.struct(F.overlay(parts, new, k, F.lit(2)).alias("parts"), F.overlay(makes, beside, k - 1, F.lit(3)).alias("makes"))
+        def made_of(new: Column) -> Column:
+            beside = F.array(F.concat(none, F.substring(parts, at - 1, 1), new), F.concat(none, new, F.substring(parts, at + 2, 1)))
+            return state_of(F.overlay(parts, new, at, F.lit(2)), F.overlay(makes, F.array_join(F.transform(beside, made), ""), at - 1, F.lit(3)))
 
-        least = F.array_min(F.split(makes, ""))
-        return bound(least, lambda new: F.when(new == NONE, state).otherwise(bound(F.position(new, makes), lambda k: at(new, k))))
+        return F.when(at == 1, state).otherwise(bound(F.substring(makes, at, 1), made_of))
 
     base = base_of(ranks)
     single = F.array(*(F.lit(chr(base + ranks[bytes((b,))])) for b in range(256)))
     signs = F.array_join(F.transform(F.split(word, ""), lambda c: F.get(single, F.ascii(c))), "")
-    start = bound(
-        F.concat(F.lit(NONE), signs, F.lit(NONE)),
-        lambda parts: F.struct(parts.alias("parts"), F.array_join(F.transform(F.sequence(F.lit(1), F.length(parts) - 1), lambda i: made(F.substring(parts, i, 2))), "").alias("makes")),
-    )
+
+    def start(parts: Column) -> Column:
+        inner = F.slice(F.sequence(F.lit(1), F.length(parts)), F.lit(2), F.length(parts) - 3)
+        two = F.transform(inner, lambda i: F.concat(none, F.substring(parts, i, 2)))
+        return state_of(parts, F.concat(none, F.array_join(F.transform(two, made), ""), none))
+
+    start = bound(F.concat(none, signs, none), start)
     return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, lambda state, _: merged(state), lambda state: F.substring(state["parts"], F.lit(2), F.length(state["parts"]) - 2))
 
 
@@ -172,7 +194,7 @@ def words_in(text: Column, pattern: str) -> Column:
 
 
 def common_words(docs: DataFrame, pattern: str, most: int = COMMON, size: int = COMMON_BYTES) -> DataFrame:
-    """The most frequent words of all texts, at most ``most`` of them and ``size`` bytes together; words of nearly equal counts go or stay together."""
+    """The most frequent words of all texts (word, level; higher for more frequent ones), at most ``most`` of them and ``size`` bytes together; words of nearly equal counts go or stay together."""
     counts = docs.select(F.explode(words_in(text_or_empty(), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     counts = saved(counts.select("word", F.floor(8 * F.log2("n")).alias("level")), "words", thin=True)
     levels = counts.groupBy("level").agg(F.count("*").alias("words"), F.sum(F.octet_length("word")).alias("bytes")).collect()
@@ -183,7 +205,7 @@ def common_words(docs: DataFrame, pattern: str, most: int = COMMON, size: int =
         if words > most or used > size:
             break
         least = row.level
-    return counts.filter(F.col("level") >= least).select("word")
+    return counts.filter(F.col("level") >= least)
 
 
 def as_letters(word: Column) -> Column:
@@ -193,7 +215,7 @@ def as_letters(word: Column) -> Column:
 def by_words(docs: DataFrame, path: str, pattern: str, common: int, makes: Callable[[Column, Column], Column], joined: Callable[[Column], Column]) -> DataFrame:
     """``docs`` with ``__made``, which is ``joined`` of the array of what ``makes`` (from a word's signs and the literal array of pieces) gives for each word of the text; once for a common word."""
     spark, pattern, ranks = docs.sparkSession, java_pattern(docs.sparkSession, pattern), ranks_of(path)
-    base, pairs = base_of(ranks), map_literal(spark.createDataFrame(pairs_of(ranks), "pair string, made string"), "pair", "made")
+    base, pairs = base_of(ranks), pairs_literal(spark, ranks)
     pieces = array_literal(spark, {rank: letters(piece) for piece, rank in ranks.items()})
 
     def folded(rows: DataFrame, column: str) -> DataFrame:
@@ -202,11 +224,11 @@ def by_words(docs: DataFrame, path: str, pattern: str, common: int, makes: Calla
 
     # the library takes a word that is a piece itself as such, even if no merges lead to it
     alone = spark.createDataFrame([(letters(piece), chr(base + rank)) for piece, rank in ranks.items()], "piece string, sign string")
-    whole = folded(alone, "piece").filter(F.length("signs") > 1).select(F.encode("piece", "ISO-8859-1").cast("string").alias("word"), F.col("sign").alias("signs"))
+    whole = folded(alone, "piece").filter(F.length("signs") > 1).select(F.encode("piece", "ISO-8859-1").cast("string").alias("word"), F.col("sign").alias("signs"), F.lit(0).alias("place"))
     whole = saved(whole, "whole", thin=True)
     words = common_words(docs, pattern, common)
-    known = folded(words.join(whole, "word", "left_anti").withColumn("letters", as_letters(F.col("word"))), "letters").select("word", "signs")
-    known = known.unionByName(whole).withColumn("__pieces", pieces).select("word", bound(F.col("__pieces"), lambda pieces: bound(F.col("signs"), lambda signs: makes(signs, pieces))).alias("made"))
+    known = folded(words.join(whole, "word", "left_anti").withColumn("letters", as_letters(F.col("word"))), "letters").select("word", "signs", (-F.col("level")).cast("int").alias("place"))
+    known = known.unionByName(whole).withColumn("__pieces", pieces).select("word", "place", bound(F.col("__pieces"), lambda pieces: bound(F.col("signs"), lambda signs: makes(signs, pieces))).alias("made"))
     known = saved(known, "folded", thin=True)
     discard(words)
 
@@ -215,7 +237,7 @@ def by_words(docs: DataFrame, path: str, pattern: str, common: int, makes: Calla
         return F.transform(words_in(text_or_empty(), pattern), lambda word: F.coalesce(looked_up(known, word), other(word)))
 
     out = bound(F.col("__pairs"), lambda pairs: bound(F.col("__known"), lambda known: bound(F.col("__pieces"), lambda pieces: bound(each(pairs, known, pieces), joined))))
-    return docs.withColumns({"__pairs": pairs, "__known": map_literal(known, "word", "made"), "__pieces": pieces}).select(*docs.columns, out.alias("__made"))
+    return docs.withColumns({"__pairs": pairs, "__known": map_literal(known, "word", "made", "place"), "__pieces": pieces}).select(*docs.columns, out.alias("__made"))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, common: int = COMMON) -> DataFrame:
@@ -225,16 +247,16 @@ def encode(docs: DataFrame, path: str, pattern: str, common: int = COMMON) -> Da
 
 def round_trip(docs: DataFrame, path: str, pattern: str, common: int = COMMON) -> DataFrame:
     """``docs`` (text and any other columns) with ``numbers``, the ids of the whole text as ``number_bytes``, and ``decoded``, the bytes that the ids stand for."""
-    base = base_of(ranks_of(path))
+    base, charset = base_of(ranks_of(path)), number_text(F.lit(""), path)[1]
 
     def makes(signs: Column, pieces: Column) -> Column:
-        return F.struct(F.decode(number_bytes(signs, path), "ISO-8859-1").alias("numbers"), pieces_of(signs, pieces, base).alias("decoded"))
+        return F.struct(number_text(signs, path)[0].alias("numbers"), pieces_of(signs, pieces, base).alias("decoded"))
 
     def joined(words: Column) -> Column:
-        return F.struct(*(F.array_join(F.transform(words, lambda word: word[part]), "").alias(part) for part in ("numbers", "decoded")))
+        return F.struct(*(F.array_join(words[part], "").alias(part) for part in ("numbers", "decoded")))
 
     made = by_words(docs, path, pattern, common, makes, joined)
-    return made.select(*docs.columns, *(F.encode(f"__made.{part}", "ISO-8859-1").alias(part) for part in ("numbers", "decoded")))
+    return made.select(*docs.columns, F.encode("__made.numbers", charset).alias("numbers"), F.encode("__made.decoded", "ISO-8859-1").alias("decoded"))
 
 
 def ids(signs: Column, path: str) -> Column:
@@ -243,12 +265,18 @@ def ids(signs: Column, path: str) -> Column:
     return F.transform(F.filter(F.split(signs, ""), lambda c: c != ""), lambda c: F.ascii(c) - base)
 
 
-def number_bytes(signs: Column, path: str) -> Column:
-    """The ids as little-endian unsigned 32-bit integers: signs whose code is the id are such numbers of 16 bits, behind each of which come two bytes of zero."""
+def number_text(signs: Column, path: str) -> tuple[Column, str]:
+    """A text, and the charset in which it is the ids as little-endian unsigned 32-bit integers. Texts put one behind the other are the ids one behind the other."""
     if base_of(ranks_of(path)):
         halves = lambda n: F.concat(*(F.lpad(F.hex(F.shiftright(n, shift).bitwiseAND(255)), 2, "0") for shift in (0, 8, 16, 24)))
-        return F.unhex(F.array_join(F.transform(ids(signs, path), halves), ""))
-    return F.encode(F.when(signs != "", F.concat(F.array_join(F.split(signs, ""), "\0"), F.lit("\0"))).otherwise(F.lit("")), "UTF-16LE")
+        return F.decode(F.unhex(F.array_join(F.transform(ids(signs, path), halves), "")), "ISO-8859-1"), "ISO-8859-1"
+    # signs whose code is the id are numbers of 16 bits, behind each of which come two bytes of zero
+    return F.when(signs != "", F.concat(F.array_join(F.split(signs, ""), "\0"), F.lit("\0"))).otherwise(F.lit("")), "UTF-16LE"
+
+
+def number_bytes(signs: Column, path: str) -> Column:
+    """The ids as little-endian unsigned 32-bit integers."""
+    return F.encode(*number_text(signs, path))
 
 
 def pieces_of(signs: Column, pieces: Column, base: int) -> Column:

@@ -114,6 +114,23 @@ def test_round_trip_by_words(spark, library, common):
     assert len(got) == len(texts)
 
 
+def test_literals_of_pairs_and_words(spark):
+    """Each pair's result is found in the small texts, a pair that makes nothing isn't, and in a small map the more frequent words come first."""
+    ranks = {bytes((b,)): b for b in range(256)} | {b"ab": 256, b"abc": 257, b"bc": 258, b"aa": 259, b"aaa": 260}
+    pairs = spark.range(1).select(byte_pairs.pairs_literal(spark, ranks).alias("texts")).first().texts
+    at = "".join(pairs)
+    assert len(pairs) == byte_pairs.BUCKETS and all(text.startswith(byte_pairs.NONE) for text in pairs)
+    assert {at.split(byte_pairs.NONE + pair)[1][0] for pair, _ in byte_pairs.pairs_of(ranks)} == {chr(n) for n in range(256, 261)}
+    words = ["abc", "aaaa", "cab", "x", "aab", "abca", "aa"]
+    rows = spark.createDataFrame(enumerate(words), "n int, word string")
+    folded = rows.withColumn("p", byte_pairs.pairs_literal(spark, ranks)).select("word", byte_pairs.bound(F.col("p"), lambda p: byte_pairs.fold(byte_pairs.as_letters(F.col("word")), p, ranks)).alias("signs"))
+    assert {r.word: list(map(ord, r.signs)) for r in folded.collect()} == {"abc": [257], "aaaa": [259, 259], "cab": [99, 256], "x": [120], "aab": [97, 256], "abca": [257, 97], "aa": [259]}
+    known = spark.range(1 << 18).selectExpr("cast(id as string) as word", "'x' as made", "cast(-(id % 1000) as int) as place")
+    maps = spark.range(1).withColumn("m", byte_pairs.map_literal(known, "word", "made", "place")).select(F.slice("m", 1, 300).alias("m")).select(F.transform("m", F.map_keys).alias("words")).first().words
+    places = [[-(int(word) % 1000) for word in words or []] for words in maps]
+    assert places == list(map(sorted, places)) and max(map(len, places)) > 2
+
+
 def test_pieces_that_no_merges_make_and_ranks_beyond_surrogates(spark, tmp_path):
     import base64
 
