@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexis.operators import alignment, candidates, corpus, lookup
@@ -28,24 +28,25 @@ def _words(text: str) -> str:
     return f"filter(split({text}, '[^\\\\p{{L}}]+'), w -> w <> '')"
 
 
-def sentences(texts: DataFrame) -> DataFrame:
-    """(sent, copies, tokens) of texts (text)."""
-    known = "length(w) > 1"
-    token = f"""named_struct('key', {_key('w')}, 'surface', w, 'orth', lower(w), 'orth_base', lower(w), 'folded', {_fold('w')}, 'pron', if({known}, {_fold('w')}, '.+'),
-        'pron_base', if({known}, {_fold('w')}, '.+'), 'known', {known}, 'lemma', {_fold('w')}, 'proper', w <> lower(w))"""
-    return corpus.distinct_sentences(texts).select("sent", "copies", F.expr(f"transform({_words('text')}, w -> {token})").alias("tokens"))
+#: The tokens of a text.
+_TOKENS = f"""transform({_words('text')}, w -> named_struct('key', {_key('w')}, 'surface', w, 'orth', lower(w), 'orth_base', lower(w), 'folded', {_fold('w')}, 'pron', if(length(w) > 1, {_fold('w')}, '.+'),
+    'pron_base', if(length(w) > 1, {_fold('w')}, '.+'), 'known', length(w) > 1, 'lemma', {_fold('w')}, 'proper', w <> lower(w)))"""
 
 
-def phrase_entries(texts: DataFrame) -> DataFrame:
-    """Entries (entry_id, words, kanji_keys, readings) of the parts of sentences in texts (text); those in plain letters have a reading, others a writing."""
-    parts = texts.select(F.explode(F.split("text", r"[.,!?|\n]+")).alias("part")).select(F.expr(f"transform({_words('part')}, w -> lower(w))").alias("w"))
-    parts = parts.filter(F.size("w").between(LEAST, MOST)).distinct()
-    plain = "array_join(w, '') rlike '^[a-z]+$'"
+def phrase_entries(texts: DataFrame, corpus_: DataFrame, steps: Steps) -> DataFrame:
+    """Entries (entry_id, words, kanji_keys, readings) of the parts of sentences in texts (text) whose beginnings ``corpus_`` has; those in plain letters have a reading, others a writing.
+
+    Parts are moved and kept as texts, and made distinct where they meet the corpus."""
+    parts = f"filter(transform(split(text, '[.,!?|\\\\n]+'), part -> transform({_words('part')}, w -> lower(w))), w -> size(w) between {LEAST} and {MOST})"
+    parts = texts.select(F.explode(F.expr(f"array_distinct(transform({parts}, w -> array_join(w, ' ')))")).alias("part"))
+    words = F.expr(f"transform(split(part, ' '), x -> {_key('x')})").alias("words")
+    parts = steps.saved(corpus.met(parts.select("part", words), corpus_, _TOKENS).select("begin", "part").distinct().select("part"))
+    plain, writing = "part rlike '^[a-z ]+$'", "replace(part, ' ', '')"
     return parts.select(
-        F.expr("cast(conv(substring(md5(array_join(w, ' ')), 1, 12), 16, 10) as bigint)").alias("entry_id"),
-        F.expr(f"transform(w, x -> {_key('x')})").alias("words"),
-        F.expr(f"if({plain}, cast(array() as array<string>), array(array_join(w, '')))").alias("kanji_keys"),
-        F.expr(f"if({plain}, array(named_struct('key', array_join(w, ''), 'nokanji', false, 'uk', false)), cast(array() as array<struct<key: string, nokanji: boolean, uk: boolean>>))").alias("readings"),
+        F.expr("cast(conv(substring(md5(part), 1, 12), 16, 10) as bigint)").alias("entry_id"),
+        words,
+        F.expr(f"if({plain}, cast(array() as array<string>), array({writing}))").alias("kanji_keys"),
+        F.expr(f"if({plain}, array(named_struct('key', {writing}, 'nokanji', false, 'uk', false)), cast(array() as array<struct<key: string, nokanji: boolean, uk: boolean>>))").alias("readings"),
     )
 
 
@@ -53,8 +54,7 @@ def word_mapping(texts: DataFrame) -> DataFrame:
     """(lemma, kind, writing, entry_id) of the known words of texts: a lemma's one word, all words of a short lemma, or of a longer one those in the same writing."""
     words = texts.select(F.explode(F.expr(f"transform({_words('text')}, w -> lower(w))")).alias("w")).filter("length(w) > 1").distinct()
     words = words.select(F.expr(_fold("w")).alias("lemma"), F.col("w").alias("writing"), lookup.entry_id("w").alias("entry_id"))
-    sizes = words.groupBy("lemma").agg(F.count("*").alias("size"))
-    return words.join(sizes, "lemma").select("lemma", F.when(F.col("size") == 1, "one").when(F.length("lemma") <= 3, "star").otherwise("writing").alias("kind"), "writing", "entry_id")
+    return words.withColumn("size", F.count("*").over(Window.partitionBy("lemma"))).select("lemma", F.when(F.col("size") == 1, "one").when(F.length("lemma") <= 3, "star").otherwise("writing").alias("kind"), "writing", "entry_id")
 
 
 def names(texts: DataFrame) -> DataFrame:
@@ -63,9 +63,11 @@ def names(texts: DataFrame) -> DataFrame:
     return words.select(F.expr(_fold("w")).alias("lemma"), F.expr("cast(conv(substring(md5(concat('name ', lower(w))), 1, 12), 16, 10) as bigint)").alias("entry_id")).distinct()
 
 
-def _lexicon(spark: SparkSession, sf_dir: str, steps: Steps) -> tuple[DataFrame, DataFrame]:
-    entries = steps.saved(phrase_entries(table(spark, sf_dir, "documents").select("text")))
-    return entries.select("words", "entry_id"), entries.select("entry_id", "kanji_keys", "readings")
+def _lexicon(spark: SparkSession, sf_dir: str, steps: Steps) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The conversations' texts, and the phrases and forms of the documents' entries that they may have."""
+    corpus_ = steps.saved(corpus.distinct_sentences(table(spark, sf_dir, "conversations")))
+    entries = phrase_entries(table(spark, sf_dir, "documents").select("text"), corpus_, steps)
+    return corpus_, entries.select("words", "entry_id"), entries.select("entry_id", "kanji_keys", "readings")
 
 
 _W = r"list_filter(string_split_regex({}, '[^\p{{L}}]+'), lambda w: w <> '')"
@@ -103,9 +105,9 @@ SELECT entry_id, CAST(sum(n) AS BIGINT) AS n FROM every GROUP BY entry_id"""
 def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the documents' phrases and words and the benchmark's names stand in the conversations."""
     steps = Steps(spark)
-    phrases, forms = _lexicon(spark, sf_dir, steps)
+    corpus_, phrases, forms = _lexicon(spark, sf_dir, steps)
     documents = table(spark, sf_dir, "documents").select("text")
-    counts = corpus.counted(sentences(table(spark, sf_dir, "conversations")), phrases, forms, word_mapping(documents), names(table(spark, sf_dir, "benchmark").select("text")))
+    counts = corpus.counted(corpus_, phrases, forms, word_mapping(documents), names(table(spark, sf_dir, "benchmark").select("text")), _TOKENS)
     steps.discard()
     return counts
 
@@ -114,9 +116,8 @@ def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations as the walk cut them: phrases without blanks, blanks between phrases and single words."""
     steps = Steps(spark)
-    phrases, forms = _lexicon(spark, sf_dir, steps)
-    corpus_ = steps.saved(sentences(table(spark, sf_dir, "conversations")))
-    return steps.result(corpus.split_text(corpus.walked(corpus_, corpus.hits(corpus_, phrases, forms, steps))))
+    corpus_, phrases, forms = _lexicon(spark, sf_dir, steps)
+    return steps.result(corpus.split_text(corpus.walked(corpus_, corpus.hits(corpus_, phrases, forms, steps, _TOKENS), _TOKENS), _TOKENS))
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE CAST('0x' || substr(md5('7' || chr(31) || coalesce(CAST(conv_id AS VARCHAR), chr(30)) || chr(31) || coalesce(CAST(turn AS VARCHAR), chr(30))), 1, 12) AS BIGINT) < CAST(0.1 * 281474976710656 AS BIGINT)")

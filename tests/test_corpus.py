@@ -45,6 +45,23 @@ def test_phrases_of_any_length_and_validity_at_each_end(spark):
     steps.discard()
 
 
+def test_phrases_of_one_key_and_tokens_made_of_texts(spark):
+    texts = spark.createDataFrame([("a", 1, "x y z"), ("b", 2, "y"), ("c", 1, ""), ("d", 1, "w x"), ("e", 1, "z y z w")], "sent string, copies bigint, text string")
+    made = "transform(filter(split(text, ' '), w -> w <> ''), w -> named_struct('key', w, 'surface', w, 'orth', w, 'orth_base', w, 'folded', w, 'pron', w, 'pron_base', w, 'known', true, 'lemma', w, 'proper', false))"
+    phrases = spark.createDataFrame([(["y"], 1), (["x", "y", "q"], 2), (["z", "w"], 3), (["x"], 4), (["x"], 5), (["q"], 6)], "words array<string>, entry_id bigint")
+    forms = spark.createDataFrame([(4, ["other"], []), (5, ["x"], [])], FORM)
+    steps = Steps(spark)
+    for rows, tokens in ((texts, made), (texts.select("sent", "copies", F.expr(made).alias("tokens")), None)):
+        walk = corpus.walked(rows, corpus.hits(rows, phrases, forms, steps, tokens), tokens)
+        assert {r.sent: ([tuple(x) for x in r.taken], r.single) for r in walk.collect()} == {
+            "a": ([(0, 1, 5), (1, 1, 1)], [2]), "b": ([(0, 1, 1)], []), "c": ([], []), "d": ([(1, 1, 5)], [0]), "e": ([(1, 1, 1), (2, 2, 3)], [0]),
+        }
+        assert {r.sent: r.text for r in corpus.split_text(walk, tokens).collect()}["e"] == "z y zw"
+    left = corpus.met(phrases, texts, made).select("entry_id").collect()
+    assert sorted(r.entry_id for r in left) == [1, 2, 3, 4, 5]
+    steps.discard()
+
+
 def test_names_count_where_nothing_is_mapped(spark):
     rows = sentences(spark, [("a", 3, "Five X five no*w Now")])
     none = spark.createDataFrame([], "words array<string>, entry_id bigint")

@@ -97,3 +97,22 @@ def test_texts_are_cut_into_words_once(spark, monkeypatch, name):
     monkeypatch.setattr(corpus_queries, "table", lambda s, d, t: s.createDataFrame([(x,) for x in texts[t]], "text string").select(seen("text").alias("text")))
     catalogue.queries()[name](spark, "").collect()
     assert read.value == 5
+
+
+WALK = {"documents": ["Big rings turn. old bolts turned, never met", "big rings turn", "big rings, gone away", None], "conversations": ["The big rings turn old bolts turned", "Big bolts", "", None], "benchmark": ["The one"]}
+
+
+@pytest.mark.parametrize("name", ["corpus_counts", "split_corpus"])
+def test_only_phrases_that_can_be_met_and_no_tokens_are_kept(spark, monkeypatch, name):
+    from lexis.plans import corpus_queries
+
+    kept, saved = [], Steps.saved
+    monkeypatch.setattr(corpus_queries, "table", lambda s, d, t: s.createDataFrame([(x,) for x in WALK[t]], "text string"))
+    monkeypatch.setattr(Steps, "saved", lambda self, df: kept.append((df.columns, saved(self, df), df.columns == ["part"] and {r.part for r in df.collect()})) or kept[-1][1])
+    rows = [tuple(r) for r in catalogue.queries()[name](spark, "").collect()]
+    if name == "split_corpus":
+        assert {text for _, text in rows} == {"The bigringsturn oldboltsturned", "Big bolts", ""}
+    else:
+        assert len(rows) == 5 and {n for _, n in rows} == {1}  # two phrases, big and bolts, and the name
+    assert not any("tokens" in columns for columns, _, _ in kept)
+    assert [parts for _, _, parts in kept if parts] == [{"big rings turn", "big rings", "old bolts turned"}]
