@@ -49,7 +49,9 @@ def _descended(places: DataFrame, edges: DataFrame, least: int, longest: int, st
     ahead, node = F.expr(f"slice(keys, start + {least + 1}, {longest - least})"), F.expr(f"slice(keys, start + 1, {least})")
     waiting = places.filter(f"start + {least} <= size(keys)").select("sent", "start", ahead.alias("ahead"), node.alias("node"), F.pmod(F.hash("sent", "start"), F.lit(SALTS)).alias("salt"))
     nodes = edges.select("node", "n", "first")
-    below, by = nodes.filter(F.size("node") == least).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["node", "salt"]
+    below, by = nodes.filter(F.size("node") == least), ["node"]
+    if least == 1:
+        below, by = below.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["node", "salt"]
     found, depth = None, least
     while True:
         level = steps.saved(waiting.join(below, by).select("sent", "start", "ahead", F.lit(depth).alias("depth"), "node", "n", "first"))
@@ -69,27 +71,30 @@ def _made(expr: str, tokens: str | None) -> Column:
 
 #: Keys as numbers of 64 bits, which are moved instead of them.
 _NUMBERS = "transform({}, x -> xxhash64(x))"
-#: What the two keys at a place of such numbers, or the one that is there, are known by.
-_BEGIN = "xxhash64(get({0}, {1}), get({0}, {1} + 1))"
-_BEGINS, _ALONE = f"transform(keys, (x, i) -> {_BEGIN.format('keys', 'i')})", f"transform(keys, x -> {_BEGIN.format('array(x)', '0')})"
+#: Places meet phrases by so many keys before they meet their tree.
+HEAD = 3
 
 
-def met(phrases: DataFrame, sentences: DataFrame, tokens: str | None = None) -> DataFrame:
-    """``phrases``, with ``begin``, without most of those that can't be found: their first two keys, or the one they have, must follow each other somewhere in the sentences.
+def _heads(size: int) -> str:
+    """What ``size`` keys from each place on, or those that are left, are known by; keys are numbers."""
+    return f"transform(keys, (x, i) -> xxhash64(slice(keys, i + 1, {size})))"
 
-    It goes by 64-bit hashes, so a few others stay; that costs their edges and changes no result. To make what is left distinct by ``begin`` and more moves nothing."""
+
+def met(phrases: DataFrame, sentences: DataFrame, tokens: str | None = None, least: int = 1) -> DataFrame:
+    """``phrases``, with ``begin``, without most of those that can't be found: their first ``least`` + 1 keys, or all they have, must follow each other somewhere in the sentences.
+
+    No phrase may have fewer than ``least`` keys; what is left out then leads no place further than a phrase that ends there. It goes by 64-bit hashes, so a few others stay; that costs
+    their edges and changes no result. To make what is left distinct by ``begin`` and more moves nothing."""
     keys = sentences.select(_made(_NUMBERS.format("transform(tokens, t -> t.key)"), tokens).alias("keys"))
-    pairs = keys.select(F.explode(F.expr(f"array_distinct(concat({_BEGINS}, {_ALONE}))")).alias("begin")).distinct()
-    begin = _BEGIN.format(f"({_NUMBERS.format('slice(words, 1, 2)')})", "0")
-    return phrases.withColumn("begin", F.expr(begin)).join(pairs, "begin", "left_semi")
+    grams = keys.select(F.explode(F.expr(f"array_distinct(concat({_heads(least)}, {_heads(least + 1)}))")).alias("begin")).distinct()
+    return phrases.withColumn("begin", F.expr(f"xxhash64({_NUMBERS.format(f'slice(words, 1, {least + 1})')})")).join(grams, "begin", "left_semi")
 
 
-def _places(keyed: DataFrame, phrases: DataFrame, shortest: int) -> DataFrame:
-    """(sent, start, keys) of the places in ``keyed`` (sent, keys) where the first two keys of a phrase stand, or the only one of a phrase."""
-    begins = phrases.select(F.expr(_BEGIN.format("words", "0")).alias("begin")).distinct()
-    at = keyed.select("sent", F.posexplode(F.expr(_BEGINS)).alias("start", "begin"))
-    if shortest == 1:
-        at = at.unionByName(keyed.select("sent", F.posexplode(F.expr(_ALONE)).alias("start", "begin")))
+def _places(keyed: DataFrame, phrases: DataFrame, sizes: list[int]) -> DataFrame:
+    """(sent, start, keys) of the places in ``keyed`` (sent, keys) where the first three keys of a phrase stand, or all of a shorter one; ``sizes`` of phrases' heads occur."""
+    begins = phrases.select(F.expr(f"xxhash64(slice(words, 1, {HEAD}))").alias("begin")).distinct()
+    at = keyed.select("sent", F.posexplode(F.expr(f"arrays_zip({', '.join(_heads(k) for k in sizes)})")).alias("start", "begins"))
+    at = at.select("sent", "start", F.explode(F.array_distinct(F.array("begins.*"))).alias("begin"))
     starts = at.join(begins, "begin", "left_semi").groupBy("sent").agg(F.collect_set("start").alias("starts"))
     return keyed.join(starts, "sent").select("sent", "keys", F.explode("starts").alias("start"))
 
@@ -108,11 +113,12 @@ def hits(sentences: DataFrame, phrases: DataFrame, forms: DataFrame, steps: Step
     keyed = steps.saved(keyed)
     phrases = phrases.filter(F.size("words") > 0).select(F.expr(_NUMBERS.format("words")).alias("words"), "entry_id")
     edges = steps.saved(trie(phrases).select("node", "n", "first"))
-    shortest, longest = edges.filter("n > 0").agg(F.min(F.size("node")), F.max(F.size("node"))).first()
+    size = F.size("node")
+    longest, sizes = edges.filter("n > 0").agg(F.max(size), F.sort_array(F.collect_set(F.least(size, F.lit(HEAD))))).first()
     if longest is None:
         return sentences.select("sent", F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit(0).cast("bigint").alias("entry_id")).limit(0)
-    places = _places(keyed.select(F.col("number").alias("sent"), "keys"), phrases, shortest)
-    found = _descended(places, edges, min(shortest, 2), longest, steps).withColumnRenamed("sent", "number")
+    places = _places(keyed.select(F.col("number").alias("sent"), "keys"), phrases, sizes)
+    found = _descended(places, edges, sizes[0], longest, steps).withColumnRenamed("sent", "number")
     one = F.when(F.col("n") == 1, F.col("depth"))
     ends = found.groupBy("number", "start").agg(F.max("depth").alias("deepest"), F.max(one).alias("len"), F.max_by("first", one).alias("entry_id"), F.max("n").alias("most"))
     ends = steps.saved(ends.filter("most > 0"))

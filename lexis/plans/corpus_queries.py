@@ -40,7 +40,7 @@ def phrase_entries(texts: DataFrame, corpus_: DataFrame, steps: Steps) -> DataFr
     parts = f"filter(transform(split(text, '[.,!?|\\\\n]+'), part -> transform({_words('part')}, w -> lower(w))), w -> size(w) between {LEAST} and {MOST})"
     parts = texts.select(F.explode(F.expr(f"array_distinct(transform({parts}, w -> array_join(w, ' ')))")).alias("part"))
     words = F.expr(f"transform(split(part, ' '), x -> {_key('x')})").alias("words")
-    parts = steps.saved(corpus.met(parts.select("part", words), corpus_, _TOKENS).select("begin", "part").distinct().select("part"))
+    parts = steps.saved(corpus.met(parts.select("part", words), corpus_, _TOKENS, LEAST).select("begin", "part").distinct().select("part"))
     plain, writing = "part rlike '^[a-z ]+$'", "replace(part, ' ', '')"
     return parts.select(
         F.expr("cast(conv(substring(md5(part), 1, 12), 16, 10) as bigint)").alias("entry_id"),

@@ -58,7 +58,7 @@ def test_phrases_of_one_key_and_tokens_made_of_texts(spark):
         }
         assert {r.sent: r.text for r in corpus.split_text(walk, tokens).collect()}["e"] == "z y zw"
     left = corpus.met(phrases, texts, made).select("entry_id").collect()
-    assert sorted(r.entry_id for r in left) == [1, 2, 3, 4, 5]
+    assert sorted(r.entry_id for r in left) == [1, 2, 3, 4, 5]  # 2 isn't found, but x leads as far as its second key
     steps.discard()
 
 

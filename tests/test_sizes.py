@@ -99,7 +99,7 @@ def test_texts_are_cut_into_words_once(spark, monkeypatch, name):
     assert read.value == 5
 
 
-WALK = {"documents": ["Big rings turn. old bolts turned, never met", "big rings turn", "big rings, gone away", None], "conversations": ["The big rings turn old bolts turned", "Big bolts", "", None], "benchmark": ["The one"]}
+WALK = {"documents": ["Big rings turn. old bolts turned, never met", "big rings turn", "big rings, gone away, the big bolts", None], "conversations": ["The big rings turn old bolts turned", "Big bolts", "", None], "benchmark": ["The one"]}
 
 
 @pytest.mark.parametrize("name", ["corpus_counts", "split_corpus"])
